@@ -60,3 +60,138 @@ SELECT m.t_id AS trigger_id, m.c_id AS similar_id, round(m.score, 6) AS score, m
        CAST(n.n AS BIGINT) AS similar_count, n.n >= {MIN_COUNT} AS is_potential_trend, {RULE_COLS}
 FROM matches m JOIN (SELECT t_id, count(*) AS n FROM matches GROUP BY t_id) n ON n.t_id = m.t_id""",
                                       ctes=MATCHES)
+
+
+def fmt_arr_sql(a: str) -> str:
+    return (f"(CASE WHEN {a} >= 1000000 THEN '$' || printf('%.1f', CAST({a} AS DOUBLE) / 1000000.0) || 'M' "
+            f"WHEN {a} >= 1000 THEN '$' || CAST(CAST(round_even({a} / 1000.0, 0) AS BIGINT) AS VARCHAR) || 'K' "
+            f"ELSE '$' || format('{{:,}}', {a}) END)")
+
+
+def title_sql(x: str) -> str:
+    return f"(upper(substr({x}, 1, 1)) || lower(substr({x}, 2)))"
+
+
+ALL_SCORES = f"""
+SELECT q.id AS q_id, c.id AS c_id, {dot_sql('q.embedding', 'c.embedding')} AS score,
+       c.category, c.subject
+FROM tickets q JOIN tickets c ON c.id <> q.id"""
+
+
+def topk_sql(k: int = 5, exclude_self: bool = True) -> str:
+    src = ALL_SCORES if exclude_self else ALL_SCORES.replace("ON c.id <> q.id", "ON TRUE")
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c_id) AS rank
+FROM ({src})) WHERE rank <= {k}"""
+
+
+ORACLE["q_topk_similar"] = with_views("""
+SELECT q_id AS id, rank, c_id AS similar_id, round(score, 6) AS score, category FROM topk""",
+                                      ctes={"topk": topk_sql()})
+
+ORACLE["q_topk_freetext"] = with_views("""
+SELECT q_id AS query_id, rank, c_id AS similar_id, round(score, 6) AS score FROM topk""",
+                                       ctes={"topk": topk_sql(exclude_self=False)})
+
+ORACLE["q_infer_category"] = with_views("""
+SELECT t.id, t.category, coalesce(n.category, 'unknown') AS inferred_category
+FROM tickets t LEFT JOIN topk n ON n.q_id = t.id""", ctes={"topk": topk_sql(1)})
+
+MEMBERS = {
+    **MATCHES,
+    "members": """
+SELECT m.t_id AS trigger_id, m.c_id AS ticket_id, c.account_id, false AS is_trigger
+FROM matches m JOIN tickets c ON c.id = m.c_id
+UNION ALL SELECT id, id, account_id, true FROM tickets""",
+    "ca": """
+SELECT m.trigger_id, m.account_id,
+       min(CASE WHEN m.is_trigger THEN 'Z' ELSE 'A' END || m.ticket_id) AS first_seen,
+       any_value(a.account_name) AS account_name, any_value(a.arr) AS arr,
+       any_value(CASE WHEN a.tier IN ('enterprise', 'pro', 'free') THEN a.tier ELSE 'free' END) AS tier
+FROM members m JOIN accounts a ON a.account_id = m.account_id
+GROUP BY m.trigger_id, m.account_id""",
+}
+
+IMPACT_CTES = {
+    **MEMBERS,
+    "impact": f"""
+SELECT tot.trigger_id, CAST(tot.total_tickets AS BIGINT) AS total_tickets,
+       CAST(coalesce(p.unique_accounts, 0) AS BIGINT) AS unique_accounts,
+       CAST(coalesce(p.enterprise_accounts, 0) AS BIGINT) AS enterprise_accounts,
+       CAST(coalesce(p.pro_accounts, 0) AS BIGINT) AS pro_accounts,
+       CAST(coalesce(p.free_accounts, 0) AS BIGINT) AS free_accounts,
+       CAST(coalesce(p.enterprise_arr, 0) AS BIGINT) AS enterprise_arr,
+       CAST(coalesce(p.pro_arr, 0) AS BIGINT) AS pro_arr,
+       CAST(coalesce(p.free_arr, 0) AS BIGINT) AS free_arr,
+       CAST(coalesce(p.arr_at_risk, 0) AS BIGINT) AS arr_at_risk,
+       {fmt_arr_sql('CAST(coalesce(p.arr_at_risk, 0) AS BIGINT)')} AS arr_at_risk_formatted
+FROM (SELECT trigger_id, count(*) AS total_tickets FROM members GROUP BY trigger_id) tot
+LEFT JOIN (SELECT trigger_id, count(*) AS unique_accounts,
+                  count_if(tier = 'enterprise') AS enterprise_accounts, count_if(tier = 'pro') AS pro_accounts,
+                  count_if(tier = 'free') AS free_accounts,
+                  sum(CASE WHEN tier = 'enterprise' THEN arr ELSE 0 END) AS enterprise_arr,
+                  sum(CASE WHEN tier = 'pro' THEN arr ELSE 0 END) AS pro_arr,
+                  sum(CASE WHEN tier = 'free' THEN arr ELSE 0 END) AS free_arr,
+                  sum(arr) AS arr_at_risk
+           FROM ca GROUP BY trigger_id) p ON p.trigger_id = tot.trigger_id""",
+}
+ACC_VIEWS = ("tickets", "accounts")
+
+ORACLE["q_impact"] = with_views("SELECT * FROM impact", views=ACC_VIEWS, ctes=IMPACT_CTES)
+
+ORACLE["q_impact_tiers"] = with_views("""
+SELECT trigger_id, 'enterprise' AS tier, enterprise_accounts AS accounts, enterprise_arr AS arr FROM impact
+UNION ALL SELECT trigger_id, 'pro', pro_accounts, pro_arr FROM impact
+UNION ALL SELECT trigger_id, 'free', free_accounts, free_arr FROM impact""", views=ACC_VIEWS, ctes=IMPACT_CTES)
+
+ORACLE["q_top_accounts"] = with_views(f"""
+SELECT trigger_id, rank, account_id, account_name, tier, arr, {fmt_arr_sql('arr')} AS arr_formatted
+FROM (SELECT *, row_number() OVER (PARTITION BY trigger_id ORDER BY arr DESC, first_seen) AS rank FROM ca)
+WHERE rank <= 5""", views=ACC_VIEWS, ctes=MEMBERS)
+
+ORACLE["q_format_arr"] = with_views(f"SELECT account_id, arr, {fmt_arr_sql('arr')} AS arr_formatted FROM accounts",
+                                    views=("accounts",))
+
+DRAFT_CTES = {
+    **IMPACT_CTES,
+    "trend": f"""
+SELECT t.id, t.category, t.subject, t.priority, count(m.c_id) AS n
+FROM tickets t LEFT JOIN matches m ON m.t_id = t.id GROUP BY t.id, t.category, t.subject, t.priority""",
+    "flagged": f"SELECT * FROM trend WHERE n >= {MIN_COUNT}",
+    "samples": f"""
+SELECT q_id, string_agg('- ' || subject, chr(10) ORDER BY rank) AS sample_lines
+FROM ({topk_sql(3)}) WHERE q_id IN (SELECT id FROM flagged) GROUP BY q_id""",
+    "ids": """
+SELECT t_id, string_agg(c_id, ', ' ORDER BY c_id) AS similar_ticket_ids
+FROM (SELECT t_id, c_id, row_number() OVER (PARTITION BY t_id ORDER BY c_id) AS r FROM matches) WHERE r <= 20
+GROUP BY t_id""",
+    "drafts": f"""
+SELECT f.id AS trigger_ticket_id,
+       '[Trend] Recurring ' || {title_sql('f.category')} || ' issues (' || CAST(f.n AS VARCHAR) || ' similar tickets)' AS title,
+       'Support trend detected: ' || CAST(f.n AS VARCHAR) || ' tickets with similarity >= '
+         || CAST(CAST(round_even(0.2 * 100, 0) AS BIGINT) AS VARCHAR) || '% to ticket ' || f.id || '.' || chr(10) || chr(10)
+         || 'Category: ' || f.category || chr(10) || 'Trigger ticket: ' || f.subject || chr(10) || chr(10)
+         || 'Customer impact:' || chr(10) || '- ' || CAST(i.total_tickets AS VARCHAR) || ' tickets, '
+         || CAST(i.unique_accounts AS VARCHAR) || ' unique accounts, ' || CAST(i.enterprise_accounts AS VARCHAR)
+         || ' enterprise' || chr(10) || '- Est. ARR at risk: ' || i.arr_at_risk_formatted || ' (Salesforce)'
+         || chr(10) || chr(10) || 'Sample subjects:' || chr(10) || coalesce(s.sample_lines, '') || chr(10) || chr(10)
+         || 'Recommend engineering review for potential systemic ' || f.category || ' issue.' AS summary,
+       CASE WHEN f.n >= 50 OR lower(f.priority) = 'urgent' THEN 'urgent'
+            WHEN f.n >= 20 OR lower(f.priority) = 'high' THEN 'high' ELSE lower(f.priority) END AS priority,
+       f.category, CAST(f.n AS BIGINT) AS similar_count, coalesce(ids.similar_ticket_ids, '') AS similar_ticket_ids,
+       i.total_tickets, i.unique_accounts, i.enterprise_accounts, i.arr_at_risk, i.arr_at_risk_formatted
+FROM flagged f LEFT JOIN impact i ON i.trigger_id = f.id LEFT JOIN ids ON ids.t_id = f.id
+LEFT JOIN samples s ON s.q_id = f.id""",
+}
+
+ORACLE["q_draft"] = with_views("SELECT * FROM drafts", views=ACC_VIEWS, ctes=DRAFT_CTES)
+
+ORACLE["q_draft_text"] = with_views("""
+SELECT trigger_ticket_id,
+       'Title: ' || title || chr(10) || chr(10) || 'Priority: ' || upper(substr(priority, 1, 1)) || substr(priority, 2)
+       || chr(10) || 'Category: ' || category || chr(10) || chr(10) || 'Customer impact:' || chr(10) || '- '
+       || CAST(total_tickets AS VARCHAR) || ' tickets, ' || CAST(unique_accounts AS VARCHAR) || ' unique accounts, '
+       || CAST(enterprise_accounts AS VARCHAR) || ' enterprise' || chr(10) || '- Est. ARR at risk: '
+       || arr_at_risk_formatted || ' (Salesforce)' || chr(10) || chr(10) || 'Summary:' || chr(10) || summary
+       || chr(10) || chr(10) || 'Similar ticket IDs (' || CAST(similar_count AS VARCHAR)
+       || ' total, showing up to 20):' || chr(10) || similar_ticket_ids AS draft_text
+FROM drafts""", views=ACC_VIEWS, ctes=DRAFT_CTES)

@@ -47,3 +47,71 @@ def q_window_candidates(spark, d):
 @register("q_trend_detail")
 def q_trend_detail(spark, d):
     return trend.trend_detail(views.tickets(spark, d), CFG)
+
+
+def _a(spark, d):
+    from support_signals.plans.analysis import Analysis
+    return Analysis(spark, d, CFG)
+
+
+# ---------------------------------------------------------------- 2.2 top-k
+@register("q_topk_similar")
+def q_topk_similar(spark, d):
+    """5 nearest other tickets of every ticket (any category, any time)."""
+    return (_a(spark, d).topk().select(F.col("q_id").alias("id"), F.col("rank").cast("bigint").alias("rank"),
+                                       F.col("c_id").alias("similar_id"), F.round("score", 6).alias("score"),
+                                       "category"))
+
+
+@register("q_topk_freetext")
+def q_topk_freetext(spark, d):
+    """Top-5 for query vectors without an id (nothing excluded)."""
+    return (_a(spark, d).topk(exclude_self=False)
+            .select(F.col("q_id").alias("query_id"), F.col("rank").cast("bigint").alias("rank"),
+                    F.col("c_id").alias("similar_id"), F.round("score", 6).alias("score")))
+
+
+@register("q_infer_category")
+def q_infer_category(spark, d):
+    """Category of the nearest other ticket, 'unknown' without one."""
+    a = _a(spark, d)
+    nn = a.topk(k=1).select(F.col("q_id").alias("id"), F.col("category").alias("inferred_category"))
+    return (a.tickets.select("id", "category").join(nn, "id", "left")
+            .select("id", "category", F.coalesce("inferred_category", F.lit("unknown")).alias("inferred_category")))
+
+
+# ---------------------------------------------------------------- 2.4 impact
+@register("q_impact")
+def q_impact(spark, d):
+    return _a(spark, d).impact
+
+
+@register("q_impact_tiers")
+def q_impact_tiers(spark, d):
+    from support_signals.operators.impact import impact_tiers
+    return impact_tiers(_a(spark, d).impact)
+
+
+@register("q_top_accounts")
+def q_top_accounts(spark, d):
+    from support_signals.operators.impact import top_accounts
+    a = _a(spark, d)
+    return top_accounts(a.members, a.accounts).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("q_format_arr")
+def q_format_arr(spark, d):
+    from support_signals.functions.formats import format_arr
+    return _a(spark, d).accounts.select("account_id", "arr", format_arr("arr").alias("arr_formatted"))
+
+
+# ---------------------------------------------------------------- 2.8 drafts
+@register("q_draft")
+def q_draft(spark, d):
+    return _a(spark, d).drafts
+
+
+@register("q_draft_text")
+def q_draft_text(spark, d):
+    from support_signals.operators.drafts import draft_text
+    return draft_text(_a(spark, d).drafts)
