@@ -17,14 +17,16 @@ TIERS = ("enterprise", "pro", "free")      # fixed tier order of the reference
 
 
 def cluster_members(matches: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(trigger_id, ticket_id, account_id, is_trigger) with the trigger added.
+    """(trigger_id, ticket_id, account_id, ts, is_trigger) with the trigger added.
 
-    ``matches`` needs t_id, c_id, c_account_id; ``triggers`` id, account_id.
+    ``matches`` needs t_id, c_id, c_ts, c_account_id; ``triggers`` id,
+    created_at, account_id.
     """
     sim = matches.select(F.col("t_id").alias("trigger_id"), F.col("c_id").alias("ticket_id"),
-                         F.col("c_account_id").alias("account_id"), F.lit(False).alias("is_trigger"))
+                         F.col("c_account_id").alias("account_id"), F.col("c_ts").alias("ts"),
+                         F.lit(False).alias("is_trigger"))
     own = triggers.select(F.col("id").alias("trigger_id"), F.col("id").alias("ticket_id"),
-                          "account_id", F.lit(True).alias("is_trigger"))
+                          "account_id", F.col("created_at").alias("ts"), F.lit(True).alias("is_trigger"))
     return sim.unionByName(own)
 
 

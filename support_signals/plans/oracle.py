@@ -195,3 +195,144 @@ SELECT trigger_ticket_id,
        || chr(10) || chr(10) || 'Similar ticket IDs (' || CAST(similar_count AS VARCHAR)
        || ' total, showing up to 20):' || chr(10) || similar_ticket_ids AS draft_text
 FROM drafts""", views=ACC_VIEWS, ctes=DRAFT_CTES)
+
+
+# ---------------------------------------------------------------- queue
+def _sql_list(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+def pick_sql(key: str, choices) -> str:
+    return (f"list_extract({_sql_list(choices)}, "
+            f"CAST(CAST(('0x' || substr(md5({key}), 1, 4)) AS BIGINT) % {len(choices)} AS INTEGER) + 1)")
+
+
+def _case_map(x: str, d: dict, default: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.items())
+    return f"(CASE {x} {whens} ELSE {default} END)"
+
+
+def initials_sql(n: str) -> str:
+    parts = f"string_split_regex(trim(replace({n}, '/', ' ')), '\\s+')"
+    return (f"(CASE WHEN {n} IS NULL OR {n} = '' THEN '?' "
+            f"WHEN len(list_filter({parts}, lambda p: p <> '')) >= 2 "
+            f"THEN upper(substr({parts}[1], 1, 1) || substr({parts}[-1], 1, 1)) "
+            f"ELSE upper(substr({n}, 1, 2)) END)")
+
+
+def _labels():
+    from support_signals.functions import labels as L
+    return L
+
+
+def requester_sql(id_: str = "id") -> str:
+    return pick_sql(id_, _labels().REQUESTER_NAMES)
+
+
+def assignee_sql(id_: str = "id", a: str = "assignee") -> str:
+    return f"coalesce(nullif({a}, ''), {pick_sql(id_ + " || '_ag'", _labels().AGENT_NAMES)})"
+
+
+def channel_sql(id_: str = "id") -> str:
+    return pick_sql(id_ + " || '_ch'", _labels().CHANNELS)
+
+
+UNASSIGNED_SQL = "(assignee IS NULL OR assignee IN ('', '—'))"
+
+ORACLE["q_category_counts"] = with_views(
+    "SELECT category, CAST(count(*) AS BIGINT) AS n_tickets FROM tickets GROUP BY category")
+
+ORACLE["q_queue_facets"] = with_views(f"""
+SELECT count(*) AS total, CAST(count_if(status IN ('open', 'pending')) AS BIGINT) AS unsolved,
+       CAST(count_if(status = 'open' AND {UNASSIGNED_SQL}) AS BIGINT) AS unassigned,
+       CAST(count_if(status = 'open') AS BIGINT) AS open
+FROM tickets""")
+
+ORACLE["q_view_counts"] = with_views(f"""
+SELECT view, label, CAST(n AS BIGINT) AS n_tickets, CAST(ord AS INTEGER) AS ord FROM (
+  SELECT 'unsolved' AS view, 'Your unsolved tickets' AS label, count_if(status IN ('open', 'pending')) AS n, 0 AS ord FROM tickets
+  UNION ALL SELECT 'unassigned', 'Unassigned tickets', count_if(status = 'open' AND {UNASSIGNED_SQL}), 1 FROM tickets
+  UNION ALL SELECT 'All', 'All tickets', count(*), 2 FROM tickets
+  UNION ALL SELECT 'open', 'All open tickets', count_if(status = 'open'), 3 FROM tickets
+  UNION ALL SELECT category, {title_sql('category')}, count(*),
+         CASE category WHEN 'error' THEN 4 WHEN 'purchase' THEN 5 WHEN 'signup' THEN 6 WHEN 'click' THEN 7
+                       WHEN 'view' THEN 8 WHEN 'api' THEN 9 END
+  FROM tickets WHERE category IN ('error', 'purchase', 'signup', 'click', 'view', 'api') GROUP BY category)""")
+
+ORACLE["q_view_filter"] = with_views(f"""
+SELECT 'All' AS view, id FROM tickets
+UNION ALL SELECT 'unsolved', id FROM tickets WHERE status IN ('open', 'pending')
+UNION ALL SELECT 'unassigned', id FROM tickets WHERE status = 'open' AND {UNASSIGNED_SQL}
+UNION ALL SELECT 'open', id FROM tickets WHERE status = 'open'
+UNION ALL SELECT 'error', id FROM tickets WHERE category = 'error'""")
+
+ORACLE["q_ticket_search"] = with_views(f"""
+SELECT id FROM tickets
+WHERE contains(lower(id), 'eau') OR contains(lower(subject), 'eau') OR contains(lower(body), 'eau')
+   OR contains(lower({requester_sql()}), 'eau')""")
+
+ORACLE["q_ticket_page"] = with_views(f"""
+SELECT id, CAST(pos AS BIGINT) AS pos, status, category, {assignee_sql()} AS assignee,
+       {requester_sql()} AS requester_name, {channel_sql()} AS channel,
+       {_case_map('category', _labels().FORM_LABELS, "'Default Ticket Form'")} AS ticket_form,
+       CAST(total AS BIGINT) AS total, CAST(ceil(total / 40.0) AS BIGINT) AS pages
+FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS pos, count(*) OVER () AS total
+      FROM tickets WHERE status IN ('open', 'pending'))
+WHERE pos > 40 AND pos <= 80""")
+
+ORACLE["q_interaction_history"] = with_views("""
+SELECT id, rank, history_id, history_status FROM (
+  SELECT a.id, b.id AS history_id, b.status AS history_status,
+         row_number() OVER (PARTITION BY a.id ORDER BY b.created_at DESC, b.id) AS rank
+  FROM tickets a JOIN tickets b ON a.account_id = b.account_id AND a.id <> b.id
+  WHERE a.account_id IS NOT NULL) WHERE rank <= 3""")
+
+ORACLE["q_latest_comment"] = with_views("""
+SELECT t.id, m.pos, coalesce(m.author, 'customer') AS author, coalesce(m.type, 'public') AS type,
+       coalesce(m.text, t.body) AS text
+FROM tickets t LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket_no ORDER BY (type <> 'internal') DESC, pos DESC) AS r
+                 FROM messages) WHERE r = 1) m ON m.ticket_no = t.ticket_no""", views=("tickets", "messages"))
+
+ORACLE["q_timeline"] = with_views("""
+SELECT trigger_id, strftime(bucket, '%Y-%m-%d %H:%M') AS bucket,
+       CASE WHEN hourly THEN strftime(bucket, '%H:00') ELSE strftime(bucket, '%b %d') END AS label,
+       CAST(n AS BIGINT) AS n_tickets,
+       CAST(greatest(8, round_even(n / max(n) OVER (PARTITION BY trigger_id) * 86, 0)) AS BIGINT) AS height
+FROM (SELECT *, row_number() OVER (PARTITION BY trigger_id ORDER BY bucket DESC) AS r FROM (
+  SELECT m.trigger_id, s.hourly, CASE WHEN s.hourly THEN date_trunc('hour', m.ts) ELSE date_trunc('day', m.ts) END AS bucket,
+         count(*) AS n
+  FROM (SELECT m.t_id AS trigger_id, m.c_ts AS ts FROM matches m UNION ALL SELECT id, created_at FROM tickets) m
+  JOIN (SELECT trigger_id, max(ts) - min(ts) < INTERVAL 2 DAY AS hourly FROM
+          (SELECT m.t_id AS trigger_id, m.c_ts AS ts FROM matches m UNION ALL SELECT id, created_at FROM tickets)
+        GROUP BY trigger_id) s ON s.trigger_id = m.trigger_id
+  GROUP BY 1, 2, 3)) WHERE r <= 12""", ctes=MATCHES)
+
+
+def _display_sql() -> str:
+    L = _labels()
+    name = requester_sql()
+    asg = assignee_sql()
+    prio = _case_map("lower(priority)", L.PRIORITY_LABELS, title_sql("priority"))
+    view = _case_map("category", {k: v for k, v in L.VIEW_LABELS.items()}, title_sql("category"))
+    req = ", ".join(f"'{c}'" for c in sorted(L.REQUEST_CATEGORIES))
+    return f"""
+SELECT id,
+       array_to_string(CASE WHEN json_valid(tags) AND json_type(tags) = 'ARRAY' THEN CAST(tags AS VARCHAR[]) ELSE [] END, '|') AS tags,
+       CAST(CASE WHEN json_valid('{{' || tags) AND json_type('{{' || tags) = 'ARRAY' THEN 1 ELSE 0 END AS INTEGER) AS bad_tags,
+       strftime(created_at, '%b %d') AS created_label,
+       strftime(created_at, '%b %d, %H:%M') AS created_time_label,
+       strftime(created_at, '%a, %H:%M UTC') AS local_time,
+       CASE WHEN length(subject) <= 52 THEN subject ELSE substr(subject, 1, 51) || '…' END AS subject_short,
+       {prio} AS priority_label,
+       CASE WHEN lower(coalesce(category, '')) IN ({req}) THEN 'Request' ELSE 'Issue' END AS ticket_type,
+       {_case_map('category', L.FORM_LABELS, "'Default Ticket Form'")} AS ticket_form,
+       CASE WHEN category = 'All' THEN 'All tickets' ELSE {view} END AS view_label,
+       CASE WHEN status IS NULL OR status = '' THEN '—' ELSE upper(substr(status, 1, 1)) || lower(substr(status, 2)) END AS status_label,
+       {name} AS requester_name, {initials_sql(name)} AS initials,
+       CASE WHEN {channel_sql()} = 'API' THEN 'Via API' ELSE 'Via ' || lower({channel_sql()}) END AS via,
+       {asg} AS assignee, {initials_sql(asg)} AS assignee_initials
+FROM tickets"""
+
+
+ORACLE["q_ticket_display"] = with_views(_display_sql())

@@ -115,3 +115,89 @@ def q_draft(spark, d):
 def q_draft_text(spark, d):
     from support_signals.operators.drafts import draft_text
     return draft_text(_a(spark, d).drafts)
+
+
+# ---------------------------------------------------------------- 2.4/2.5/2.6 queue
+TEST_VIEW_ORDER = ["error", "purchase", "signup", "click", "view", "api"]
+
+
+@register("q_category_counts")
+def q_category_counts(spark, d):
+    from support_signals.operators.queue import category_counts
+    return category_counts(_a(spark, d).tickets).withColumn("n_tickets", F.col("n_tickets").cast("bigint"))
+
+
+@register("q_queue_facets")
+def q_queue_facets(spark, d):
+    from support_signals.operators.queue import queue_facets
+    return queue_facets(_a(spark, d).tickets)
+
+
+@register("q_view_counts")
+def q_view_counts(spark, d):
+    from support_signals.operators.queue import view_counts
+    return view_counts(_a(spark, d).tickets, TEST_VIEW_ORDER)
+
+
+@register("q_view_filter")
+def q_view_filter(spark, d):
+    from support_signals.operators.queue import view_filter
+    return view_filter(_a(spark, d).tickets, ["All", "unsolved", "unassigned", "open", "error"])
+
+
+@register("q_ticket_search")
+def q_ticket_search(spark, d):
+    from support_signals.operators.queue import search_fields, search_predicate
+    t = _a(spark, d).tickets
+    return t.where(search_predicate("  Eau ", search_fields(t))).select("id")
+
+
+@register("q_ticket_page")
+def q_ticket_page(spark, d):
+    from support_signals.operators.queue import ticket_page
+    return ticket_page(_a(spark, d).tickets, view="unsolved", page=1)
+
+
+@register("q_interaction_history")
+def q_interaction_history(spark, d):
+    from support_signals.operators.queue import interaction_history
+    return interaction_history(_a(spark, d).tickets)
+
+
+@register("q_latest_comment")
+def q_latest_comment(spark, d):
+    from support_signals.operators.queue import latest_comment
+    a = _a(spark, d)
+    return latest_comment(a.tickets, a.messages)
+
+
+@register("q_timeline")
+def q_timeline(spark, d):
+    from support_signals.operators.queue import timeline
+    return timeline(_a(spark, d).members)
+
+
+@register("q_ticket_display")
+def q_ticket_display(spark, d):
+    """S1-S8 on every ticket: tags, labels, defaults, truncation, initials."""
+    from support_signals.functions import labels as L
+    t = _a(spark, d).tickets
+    name = L.requester_name("id")
+    return t.select(
+        "id",
+        F.array_join(L.parse_tags("tags"), "|").alias("tags"),
+        F.size(L.parse_tags(F.concat(F.lit("{"), F.col("tags")))).alias("bad_tags"),
+        L.date_label("created_at").alias("created_label"),
+        L.date_label("created_at", "MMM dd, HH:mm").alias("created_time_label"),
+        L.date_label("created_at", "EEE, HH:mm 'UTC'").alias("local_time"),
+        L.truncate("subject", 52).alias("subject_short"),
+        L.priority_label("priority").alias("priority_label"),
+        L.ticket_type("category").alias("ticket_type"),
+        L.ticket_form("category").alias("ticket_form"),
+        L.view_label("category").alias("view_label"),
+        L.status_label("status").alias("status_label"),
+        name.alias("requester_name"), L.initials(name).alias("initials"),
+        L.channel_via(L.channel("id")).alias("via"),
+        L.assignee_display("id", "assignee").alias("assignee"),
+        L.initials(L.assignee_display("id", "assignee")).alias("assignee_initials"),
+    )

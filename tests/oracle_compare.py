@@ -35,9 +35,11 @@ def canon(v) -> str:
     if isinstance(v, float):
         if math.isnan(v):
             return "∅"
+        if v.is_integer() and abs(v) < 2**53:
+            return str(int(v))
         return f"{round(v, 6):.6f}"
     if isinstance(v, decimal.Decimal):
-        return f"{round(float(v), 6):.6f}"
+        return canon(float(v))
     if isinstance(v, (bool,)):
         return str(v)
     if isinstance(v, (pd.Timestamp, dt.datetime)):
