@@ -76,3 +76,62 @@ class Analysis:
         samples = drafts.sample_subjects(self.topk(flagged_tickets))
         ids = drafts.first_ids(self.matches)
         return drafts.engineering_drafts(self.trend, self.tickets, self.impact, ids, samples, self.cfg)
+
+    # ------------------------------------------------------------ review inputs
+    @cached_property
+    def decisions_log(self) -> DataFrame:
+        """Review decisions derived from the matches: first pass includes every
+        candidate whose number is not a multiple of 4; multiples of 3 are
+        revised an hour later (flipped), so the last write must win."""
+        no = F.substring("c_id", 3, 10).cast("bigint")
+        base = self.matches.select(F.col("t_id").alias("trigger_id"), F.col("c_id").alias("ticket_id"),
+                                   (no % 4 != 0).alias("include"), F.col("t_ts").alias("decided_at"),
+                                   F.lit(1).alias("seq"), no.alias("no"))
+        later = (base.where(F.col("no") % 3 == 0)
+                 .select("trigger_id", "ticket_id", (~F.col("include")).alias("include"),
+                         (F.col("decided_at") + F.expr("INTERVAL 1 HOUR")).alias("decided_at"), F.lit(2).alias("seq"),
+                         "no"))
+        return base.unionByName(later).drop("no")
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        from support_signals.operators.review import latest_decisions
+        return latest_decisions(self.decisions_log)
+
+    @cached_property
+    def tiers(self) -> DataFrame:
+        return self.accounts.select("account_id", F.col("tier").alias("customer_tier"))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        from support_signals.operators import review
+        return review.with_inclusion(review.review_candidates(self.matches, self.tickets, self.tiers), self.decisions)
+
+    @cached_property
+    def enrichment_log(self) -> DataFrame:
+        """Draft enrichment edits derived from the issue backlog (several issues
+        may edit the same trigger; the latest by created date, key wins)."""
+        i = self.issues.where(F.col("trigger_ticket_id").isNotNull())
+        return i.select(
+            F.col("trigger_ticket_id").alias("ticket_id"),
+            F.concat(F.lit("Expected: "), F.col("summary")).alias("expected_behavior"),
+            F.when(F.col("status") != "Done", F.concat(F.lit("Actual: "), F.col("status"))).alias("actual_behavior"),
+            F.when(F.col("priority").isin("Urgent", "High"),
+                   F.concat(F.lit("Reported with priority "), F.col("priority"))).alias("reproduction_steps"),
+            F.lit(None).cast("string").alias("environment"),
+            F.col("created").alias("written_at"), F.col("key_no").alias("seq"))
+
+    @cached_property
+    def enrichment(self) -> DataFrame:
+        from support_signals.sources.stores import latest_per_key
+        return latest_per_key(self.enrichment_log, ["ticket_id"])
+
+    @cached_property
+    def enriched_drafts(self) -> DataFrame:
+        e = self.enrichment.withColumnRenamed("ticket_id", "trigger_ticket_id")
+        return self.drafts.join(e, "trigger_ticket_id", "left")
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        from support_signals.operators.quality import quality_report
+        return quality_report(self.enriched_drafts)

@@ -336,3 +336,226 @@ FROM tickets"""
 
 
 ORACLE["q_ticket_display"] = with_views(_display_sql())
+
+
+# ---------------------------------------------------------------- review
+NO_SQL = "CAST(substr(c_id, 3) AS BIGINT)"
+REVIEW_CTES = {
+    **MATCHES,
+    "dlog": f"""
+SELECT t_id AS trigger_id, c_id AS ticket_id, {NO_SQL} % 4 <> 0 AS include, t_ts AS decided_at, 1 AS seq FROM matches
+UNION ALL
+SELECT t_id, c_id, NOT ({NO_SQL} % 4 <> 0), t_ts + INTERVAL 1 HOUR, 2 FROM matches WHERE {NO_SQL} % 3 = 0""",
+    "decisions": "SELECT trigger_id, ticket_id, arg_max(include, decided_at) AS include FROM dlog GROUP BY ALL",
+}
+
+TAGS_SQL = "(CASE WHEN json_valid({x}) AND json_type({x}) = 'ARRAY' THEN CAST({x} AS VARCHAR[]) ELSE [] END)"
+
+
+def explain_sql(tc: str, cc: str, tt: str, ct: str) -> str:
+    sh = f"list_slice(list_sort(list_intersect({TAGS_SQL.format(x=tt)}, {TAGS_SQL.format(x=ct)})), 1, 3)"
+    txt = (f"concat_ws('; ', CASE WHEN {cc} = {tc} THEN 'same ' || replace({cc}, '_', ' ') || ' category' END, "
+           f"CASE WHEN len({sh}) > 0 THEN 'shared signals: ' || "
+           f"array_to_string(list_transform({sh}, lambda x: upper(replace(x, '-', ' '))), ', ') END)")
+    return f"(CASE WHEN {txt} = '' THEN 'semantic language match' ELSE {txt} END)"
+
+
+CAND_CTES = {
+    **REVIEW_CTES,
+    "cands": f"""
+SELECT m.t_id AS trigger_id, m.c_id AS candidate_id, m.score, c.subject,
+       {explain_sql('t.category', 'c.category', 't.tags', 'c.tags')} AS explanation,
+       {title_sql("coalesce(c.status, '')")} AS status, {title_sql("coalesce(a.tier, '')")} AS tier,
+       coalesce(d.include, true) AS included
+FROM matches m JOIN tickets t ON t.id = m.t_id JOIN tickets c ON c.id = m.c_id
+LEFT JOIN accounts a ON a.account_id = c.account_id
+LEFT JOIN decisions d ON d.trigger_id = m.t_id AND d.ticket_id = m.c_id""",
+}
+
+ORACLE["q_review_upsert"] = with_views("SELECT trigger_id, ticket_id, include FROM decisions", ctes=REVIEW_CTES)
+
+ORACLE["q_score_candidates"] = with_views(f"""
+SELECT p.trigger_id, p.ticket_id, round({dot_sql('t.embedding', 'c.embedding')}, 6) AS score
+FROM (SELECT DISTINCT trigger_id, ticket_id FROM (SELECT trigger_id, ticket_id FROM dlog UNION ALL SELECT id, id FROM tickets)
+      WHERE trigger_id <> ticket_id) p
+JOIN tickets t ON t.id = p.trigger_id JOIN tickets c ON c.id = p.ticket_id""", ctes=REVIEW_CTES)
+
+ORACLE["q_explain"] = with_views("SELECT trigger_id, candidate_id, explanation FROM cands", views=ACC_VIEWS,
+                                 ctes=CAND_CTES)
+
+ORACLE["q_review_candidates"] = with_views(
+    "SELECT trigger_id, candidate_id, round(score, 6) AS score, status, tier, included FROM cands",
+    views=ACC_VIEWS, ctes=CAND_CTES)
+
+ORACLE["q_candidate_filter"] = with_views("""
+SELECT trigger_id, candidate_id FROM cands
+WHERE status IN ('Open', 'Pending') AND NOT (score * 100 < 21) AND included""", views=ACC_VIEWS, ctes=CAND_CTES)
+
+ORACLE["q_candidate_facets"] = with_views("""
+SELECT trigger_id, string_agg(DISTINCT status, '|' ORDER BY status) AS statuses,
+       string_agg(DISTINCT tier, '|' ORDER BY tier) AS tiers,
+       CAST(count_if(NOT (score * 100 < 21)) AS BIGINT) AS shown,
+       CAST(count_if(included) AS BIGINT) AS included, CAST(count_if(NOT included) AS BIGINT) AS excluded
+FROM cands GROUP BY trigger_id""", views=ACC_VIEWS, ctes=CAND_CTES)
+
+ORACLE["q_reviewed_trend"] = with_views(f"""
+SELECT t.id AS trigger_id, CAST(coalesce(r.n, 0) AS BIGINT) AS similar_count, coalesce(r.n, 0) >= {MIN_COUNT} AS is_potential_trend,
+       coalesce(r.signature, 0) AS signature
+FROM tickets t LEFT JOIN (
+  SELECT m.t_id, count(*) AS n, bit_xor(CAST(('0x' || substr(md5(m.c_id), 1, 15)) AS BIGINT)) AS signature
+  FROM matches m LEFT JOIN decisions d ON d.trigger_id = m.t_id AND d.ticket_id = m.c_id
+  WHERE coalesce(d.include, true) GROUP BY m.t_id) r ON r.t_id = t.id""", ctes=REVIEW_CTES)
+
+TS_FMT = "'%Y-%m-%d %H:%M:%S.%f'"
+ORACLE["q_cluster_events"] = with_views(f"""
+SELECT * FROM (
+  SELECT trigger_id, 1 AS seq, strftime(first_ts, {TS_FMT}) AS at, 'First matching support report' AS title,
+         first_id || ' - ' || first_subject AS detail, '' AS kind FROM ev
+  UNION ALL SELECT trigger_id, 2, strftime(first_ts + to_microseconds(CAST(round_even(
+         greatest(epoch_us(trig_ts) - epoch_us(first_ts), 1) * 0.3, 0) AS BIGINT)), {TS_FMT}),
+         CASE category WHEN 'identity' THEN 'SCIM authorization worker release' WHEN 'api' THEN 'API gateway release'
+              WHEN 'billing' THEN 'Billing rules deployment' WHEN 'notifications' THEN 'Notification worker deployment'
+              ELSE 'Service deployment' END,
+         'Synthetic operational marker for investigation correlation; not evidence of causation.', 'synthetic' FROM ev
+  UNION ALL SELECT trigger_id, 3, strftime(thr_ts, {TS_FMT}), 'Trend threshold reached',
+         thr_id || ' supplied the required earlier-match volume.', '' FROM ev
+  UNION ALL SELECT trigger_id, 4, strftime(trig_ts, {TS_FMT}), 'Trigger ticket analyzed',
+         trig_id || ' opened the current investigation.', '' FROM ev
+  UNION ALL SELECT trigger_id, 5, NULL, 'Support review confirmed',
+         'Reviewed ticket set and recalculated impact saved to the Jira draft.', 'confirmed' FROM ev WHERE confirmed)""",
+    ctes={**REVIEW_CTES, "mem": """
+SELECT t_id AS trigger_id, c_id AS ticket_id, c_ts AS ts, false AS is_trigger FROM matches
+UNION ALL SELECT id, id, created_at, true FROM tickets""", "rk": """
+SELECT *, row_number() OVER (PARTITION BY trigger_id ORDER BY ts, ticket_id) AS r,
+       count(*) OVER (PARTITION BY trigger_id) AS n FROM mem""", "ev": """
+SELECT f.trigger_id, f.ts AS first_ts, f.ticket_id AS first_id, s.subject AS first_subject,
+       h.ts AS thr_ts, h.ticket_id AS thr_id, g.ts AS trig_ts, g.ticket_id AS trig_id, t.category,
+       f.trigger_id IN (SELECT trigger_id FROM dlog) AS confirmed
+FROM rk f JOIN rk h ON h.trigger_id = f.trigger_id AND h.r = least(4, h.n)
+JOIN rk g ON g.trigger_id = f.trigger_id AND g.is_trigger
+JOIN tickets t ON t.id = f.trigger_id LEFT JOIN tickets s ON s.id = f.ticket_id
+WHERE f.r = 1"""})
+
+# ---------------------------------------------------------------- quality
+ENRICH_CTES = {
+    "elog": """
+SELECT trigger_ticket_id AS ticket_id, 'Expected: ' || summary AS expected_behavior,
+       CASE WHEN status <> 'Done' THEN 'Actual: ' || status END AS actual_behavior,
+       CASE WHEN priority IN ('Urgent', 'High') THEN 'Reported with priority ' || priority END AS reproduction_steps,
+       CAST(NULL AS VARCHAR) AS environment, created AS written_at, key_no AS seq
+FROM issues WHERE trigger_ticket_id IS NOT NULL""",
+    "enrichment": """
+SELECT ticket_id, expected_behavior, actual_behavior, reproduction_steps, environment FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY written_at DESC, seq DESC) AS r FROM elog) WHERE r = 1""",
+}
+
+ORACLE["q_enrichment_upsert"] = with_views("SELECT * FROM enrichment", views=("issues",), ctes=ENRICH_CTES)
+
+
+def _quality_ctes() -> dict[str, str]:
+    from support_signals.operators import quality as Q
+
+    def s(c):
+        return f"coalesce(CAST({c} AS VARCHAR), '')"
+
+    blob = "concat_ws(chr(10), " + ", ".join(s(f) for f in Q.DRAFT_FIELDS) + ")"
+    ids = "list_filter(string_split_regex(similar_ticket_ids, ',\\s*'), lambda x: x <> '')"
+    trig = "trigger_ticket_id"
+    ev = (f"(CASE WHEN {trig} IS NOT NULL AND {trig} <> '' AND NOT list_contains({ids}, {trig}) "
+          f"THEN list_prepend({trig}, {ids}) ELSE {ids} END)")
+    only = f"len(list_filter({ev}, lambda x: x <> coalesce({trig}, '')))"
+    cnt = f"coalesce(CAST(similar_count AS BIGINT), {only})"
+    acc = "coalesce(CAST(unique_accounts AS BIGINT), 0)"
+    arr = f"trim(coalesce(nullif({s('arr_at_risk_formatted')}, ''), {s('arr_at_risk_text')}))"
+    has_arr = f"({arr} <> '' AND {arr} NOT IN ({', '.join(repr(x) for x in Q.EMPTY_ARR)}))"
+    t = f"trim({s('title')})"
+    summ = f"trim(coalesce(nullif({s('summary')}, ''), {s('description')}))"
+    pr = f"lower(trim({s('priority')}))"
+
+    def rx(p):
+        return "'" + p.replace("U)", ")").replace("'", "''") + "'"
+
+    blank = lambda c: f"(trim({s(c)}) = '')"
+    rules = [
+        (f"(length({t}) >= 12 AND lower({t}) NOT IN ({', '.join(repr(x) for x in Q.GENERIC_TITLES)}))",
+         f"CASE WHEN length({t}) < 12 THEN 'Title is missing or too short for Engineering triage.' "
+         f"WHEN lower({t}) IN ({', '.join(repr(x) for x in Q.GENERIC_TITLES)}) THEN 'Title is too generic.' "
+         f"ELSE 'Title is present and specific enough to scan.' END"),
+        (f"(length({summ}) >= 80)",
+         f"CASE WHEN length({summ}) >= 80 THEN 'Summary has enough narrative context.' "
+         f"ELSE 'Summary is under 80 characters — Engineering lacks context.' END"),
+        (f"({s(trig)} <> '')",
+         f"CASE WHEN {s(trig)} <> '' THEN 'Trigger ticket ' || {trig} || ' is linked.' "
+         f"ELSE 'No trigger support ticket is linked.' END"),
+        (f"(NOT ({cnt} < 3 AND {only} < 3))",
+         f"CASE WHEN NOT ({cnt} < 3 AND {only} < 3) THEN CAST(greatest({cnt}, {only}) AS VARCHAR) || "
+         f"' evidence tickets linked.' ELSE 'Fewer than 3 evidence tickets — weak pattern signal.' END"),
+        (f"(NOT ({acc} <= 0 AND NOT {has_arr}))",
+         f"CASE WHEN NOT ({acc} <= 0 AND NOT {has_arr}) THEN 'Customer impact noted: ' || concat_ws(', ', "
+         f"CASE WHEN {acc} <> 0 THEN CAST({acc} AS VARCHAR) || ' accounts' END, CASE WHEN {has_arr} THEN 'ARR ' || {arr} END)"
+         f" || '.' ELSE 'No customer impact (accounts or ARR) is stated.' END"),
+        (f"((NOT {blank('expected_behavior')} AND NOT {blank('actual_behavior')}) OR regexp_matches({blob}, {rx(Q.EXPECTED_ACTUAL_RE)}))",
+         f"CASE WHEN NOT {blank('expected_behavior')} AND NOT {blank('actual_behavior')} THEN 'Expected vs actual behavior are both present.' "
+         f"WHEN regexp_matches({blob}, {rx(Q.EXPECTED_ACTUAL_RE)}) THEN 'Expected vs actual behavior is described in the draft text.' "
+         f"ELSE 'Expected vs actual behavior is missing.' END"),
+        (f"(NOT {blank('reproduction_steps')} OR NOT {blank('environment')} OR regexp_matches({blob}, {rx(Q.REPRO_OR_ENV_RE)}) "
+         f"OR regexp_matches({blob}, {rx(Q.EXPLICIT_GAP_RE)}))",
+         f"CASE WHEN NOT {blank('reproduction_steps')} THEN 'Reproduction steps are present.' "
+         f"WHEN NOT {blank('environment')} THEN 'Environment / version context is present.' "
+         f"WHEN regexp_matches({blob}, {rx(Q.REPRO_OR_ENV_RE)}) THEN 'Reproduction or environment details appear in the draft.' "
+         f"WHEN regexp_matches({blob}, {rx(Q.EXPLICIT_GAP_RE)}) THEN 'Draft explicitly notes missing repro/environment as a follow-up.' "
+         f"ELSE 'No reproduction steps, environment, or explicit evidence gap note.' END"),
+        (f"({pr} IN ('low', 'medium', 'high', 'urgent'))",
+         f"CASE WHEN {pr} IN ('low', 'medium', 'high', 'urgent') THEN 'Priority is set (' || {pr} || ').' "
+         f"ELSE 'Priority is missing or not in Low/Medium/High/Urgent.' END"),
+    ]
+    cols = ", ".join(f"{p} AS p{i}, {d} AS d{i}" for i, (p, d) in enumerate(rules))
+    earned = " + ".join(f"(CASE WHEN p{i} THEN {c.weight_pct} ELSE 0 END)" for i, c in enumerate(Q.CHECKS))
+    allp = " AND ".join(f"p{i}" for i in range(len(rules)))
+    gaps = lambda sep: "concat_ws('" + sep + "', " + ", ".join(
+        f"CASE WHEN NOT p{i} THEN '{c.label}' END" for i, c in enumerate(Q.CHECKS)) + ")"
+    npass = " + ".join(f"CAST(p{i} AS INTEGER)" for i in range(len(rules)))
+    return {
+        "qd": f"SELECT d.*, e.expected_behavior, e.actual_behavior, e.reproduction_steps, e.environment, "
+              f"CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS arr_at_risk_text "
+              f"FROM drafts d LEFT JOIN enrichment e ON e.ticket_id = d.trigger_ticket_id",
+        "qc": f"SELECT trigger_ticket_id AS draft_id, title, {cols} FROM qd",
+        "qs": f"SELECT *, round_even(CAST({earned} AS DOUBLE) / 100.0, 3) AS score, {allp} AS allp, "
+              f"{gaps(', ')} AS gl, {gaps('; ')} AS gs, CAST({npass} AS INTEGER) AS passed_count FROM qc",
+        "qv": "SELECT *, CASE WHEN score >= 0.75 AND allp THEN 'ready' WHEN score >= 0.5 THEN 'needs_work' "
+              "ELSE 'poor' END AS verdict FROM qs",
+        "report": f"""
+SELECT draft_id, score, CAST(round_even(score * 100, 0) AS INTEGER) AS score_pct, verdict, passed_count,
+       CAST({len(rules)} AS INTEGER) AS check_count,
+       CASE WHEN verdict = 'ready' THEN '{Q.READY_TEXT}'
+            WHEN verdict = 'needs_work' THEN '{Q.NEEDS_WORK_TEXT}' || CASE WHEN gl = '' THEN 'listed gaps' ELSE gl END || '.'
+            ELSE '{Q.POOR_TEXT}' || CASE WHEN gl = '' THEN 'listed gaps' ELSE gl END || '.' END AS recommendation,
+       'Escalation quality: ' || verdict || ' (' || CAST(CAST(round_even(score * 100, 0) AS INTEGER) AS VARCHAR) || '%, '
+         || CAST(passed_count AS VARCHAR) || '/{len(rules)} checks). Gaps: ' || CASE WHEN gs = '' THEN 'none' ELSE gs END
+         || '.' AS summary,
+       {', '.join(f'p{i}, d{i}' for i in range(len(rules)))}
+FROM qv""",
+    }
+
+
+QUALITY_CTES = {**DRAFT_CTES, **ENRICH_CTES, **_quality_ctes()}
+QVIEWS = ("tickets", "accounts", "issues")
+ORACLE["q_quality_score"] = with_views("""
+SELECT draft_id, score, score_pct, verdict, passed_count, check_count, recommendation, summary FROM report""",
+                                       views=QVIEWS, ctes=QUALITY_CTES)
+
+
+def _checks_long() -> str:
+    from support_signals.operators import quality as Q
+    parts = [f"SELECT draft_id, {i + 1} AS pos, '{c.id}' AS check_id, '{c.label}' AS label, "
+             f"CAST({c.weight_pct / 100} AS DOUBLE) AS weight, {str(c.required).lower()} AS required, "
+             f"p{i} AS passed, d{i} AS detail FROM report" for i, c in enumerate(Q.CHECKS)]
+    return "\nUNION ALL ".join(parts)
+
+
+ORACLE["q_quality_checks"] = with_views(_checks_long(), views=QVIEWS, ctes=QUALITY_CTES)
+
+ORACLE["q_quality_rank"] = with_views("""
+SELECT draft_id, verdict, score, row_number() OVER (
+  ORDER BY CASE verdict WHEN 'ready' THEN 2 WHEN 'needs_work' THEN 1 ELSE 0 END DESC, score DESC, draft_id DESC) AS rank
+FROM report""", views=QVIEWS, ctes=QUALITY_CTES)

@@ -201,3 +201,92 @@ def q_ticket_display(spark, d):
         L.assignee_display("id", "assignee").alias("assignee"),
         L.initials(L.assignee_display("id", "assignee")).alias("assignee_initials"),
     )
+
+
+# ---------------------------------------------------------------- 2.6/2.8 review
+@register("q_review_upsert")
+def q_review_upsert(spark, d):
+    """Latest decision per (trigger, ticket) from the append-only log."""
+    return _a(spark, d).decisions
+
+
+@register("q_score_candidates")
+def q_score_candidates(spark, d):
+    """Exact scores of the reviewed candidate sets (trigger itself dropped)."""
+    from support_signals.operators.review import score_candidates
+    a = _a(spark, d)
+    pairs = a.decisions_log.select("trigger_id", "ticket_id").unionByName(
+        a.tickets.select(F.col("id").alias("trigger_id"), F.col("id").alias("ticket_id")))
+    return score_candidates(pairs, a.tickets).withColumn("score", F.round("score", 6))
+
+
+@register("q_explain")
+def q_explain(spark, d):
+    """S10 over every matched pair."""
+    return _a(spark, d).candidates.select("trigger_id", "candidate_id", "explanation")
+
+
+@register("q_review_candidates")
+def q_review_candidates(spark, d):
+    """G5."""
+    return (_a(spark, d).candidates
+            .select("trigger_id", "candidate_id", F.round("score", 6).alias("score"), "status", "tier", "included"))
+
+
+@register("q_candidate_filter")
+def q_candidate_filter(spark, d):
+    """open/pending candidates scoring >= 21 % that are still included."""
+    from support_signals.operators.review import candidate_filter
+    c = candidate_filter(_a(spark, d).candidates, statuses=("Open", "Pending"), min_score=21, review="Included")
+    return c.select("trigger_id", "candidate_id")
+
+
+@register("q_candidate_facets")
+def q_candidate_facets(spark, d):
+    """F5."""
+    from support_signals.operators.review import candidate_facets, candidate_filter
+    c = _a(spark, d).candidates
+    return candidate_facets(c, candidate_filter(c, min_score=21))
+
+
+@register("q_reviewed_trend")
+def q_reviewed_trend(spark, d):
+    """Count, flag and id-set signature after the review decisions."""
+    from support_signals.operators.review import reviewed_members, reviewed_trend
+    a = _a(spark, d)
+    return reviewed_trend(reviewed_members(a.matches, a.decisions), a.tickets, a.cfg)
+
+
+@register("q_cluster_events")
+def q_cluster_events(spark, d):
+    """G7/W8."""
+    from support_signals.operators.review import cluster_events
+    a = _a(spark, d)
+    return cluster_events(a.members, a.tickets, a.decisions_log)
+
+
+# ---------------------------------------------------------------- 2.8 quality
+@register("q_enrichment_upsert")
+def q_enrichment_upsert(spark, d):
+    """Latest enrichment per ticket."""
+    return _a(spark, d).enrichment
+
+
+@register("q_quality_score")
+def q_quality_score(spark, d):
+    """Score, verdict, recommendation and summary of every draft."""
+    return _a(spark, d).quality.drop("checks", "gaps", "title")
+
+
+@register("q_quality_checks")
+def q_quality_checks(spark, d):
+    """The eight checks of every draft as rows."""
+    from support_signals.operators.quality import quality_checks_long
+    return quality_checks_long(_a(spark, d).quality)
+
+
+@register("q_quality_rank")
+def q_quality_rank(spark, d):
+    """W7."""
+    from support_signals.operators.quality import quality_rank
+    return quality_rank(_a(spark, d).quality)
