@@ -135,3 +135,43 @@ class Analysis:
     def quality(self) -> DataFrame:
         from support_signals.operators.quality import quality_report
         return quality_report(self.enriched_drafts)
+
+    # ------------------------------------------------------------ issue inputs
+    def drafts_for(self, triggers: DataFrame, only_flagged: bool) -> DataFrame:
+        """Drafts of the given trigger ids (flagged or not: the live analysis)."""
+        trig = self.tickets.join(triggers.select(F.col("id")).distinct(), "id", "left_semi")
+        samples = drafts.sample_subjects(self.topk(trig))
+        ids = drafts.first_ids(self.matches)
+        tr = self.trend.join(trig.select("id"), "id", "left_semi")
+        return drafts.engineering_drafts(tr, self.tickets, self.impact, ids, samples, self.cfg,
+                                         only_flagged=only_flagged)
+
+    @cached_property
+    def live_drafts(self) -> DataFrame:
+        refs = self.issues.where(F.col("trigger_ticket_id").isNotNull()).select(F.col("trigger_ticket_id").alias("id"))
+        return self.drafts_for(refs, only_flagged=False)
+
+    @cached_property
+    def issue_fields(self) -> DataFrame:
+        from support_signals.operators.issues import draft_issue_fields
+        return draft_issue_fields(self.enriched_drafts)
+
+    @cached_property
+    def upserted_issues(self) -> DataFrame:
+        from support_signals.operators.issues import upsert_issues
+        return upsert_issues(self.issues, self.issue_fields, F.lit("2025-01-01"))
+
+    @cached_property
+    def form_edits(self) -> DataFrame:
+        """Create-form edits derived from the first issue of each trigger."""
+        from support_signals.operators.issues import first_issue_per_trigger
+        first = first_issue_per_trigger(self.issues).select("issue_key")
+        i = self.issues.join(first, "issue_key", "left_semi")
+        return i.select(
+            "trigger_ticket_id", F.col("summary").alias("summary"),
+            F.concat(F.lit("Edited: "), F.col("summary")).alias("description"),
+            F.col("priority").alias("priority"),
+            F.when(F.col("status") == "Done", "Task").otherwise("Bug").alias("issue_type"),
+            F.when(F.col("key_no") % 2 == 0, F.lit("")).otherwise(F.lit("edited")).alias("category"),
+            F.concat(F.lower("priority"), F.lit(", support-escalation")).alias("labels"),
+            F.when(F.col("key_no") % 3 == 0, F.lit(" ")).otherwise(F.col("assignee")).alias("assignee"))

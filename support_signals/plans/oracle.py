@@ -151,12 +151,13 @@ WHERE rank <= 5""", views=ACC_VIEWS, ctes=MEMBERS)
 ORACLE["q_format_arr"] = with_views(f"SELECT account_id, arr, {fmt_arr_sql('arr')} AS arr_formatted FROM accounts",
                                     views=("accounts",))
 
-DRAFT_CTES = {
+def draft_ctes(trigger_filter: str = f"n >= {MIN_COUNT}") -> dict[str, str]:
+  return {
     **IMPACT_CTES,
     "trend": f"""
 SELECT t.id, t.category, t.subject, t.priority, count(m.c_id) AS n
 FROM tickets t LEFT JOIN matches m ON m.t_id = t.id GROUP BY t.id, t.category, t.subject, t.priority""",
-    "flagged": f"SELECT * FROM trend WHERE n >= {MIN_COUNT}",
+    "flagged": f"SELECT * FROM trend WHERE {trigger_filter}",
     "samples": f"""
 SELECT q_id, string_agg('- ' || subject, chr(10) ORDER BY rank) AS sample_lines
 FROM ({topk_sql(3)}) WHERE q_id IN (SELECT id FROM flagged) GROUP BY q_id""",
@@ -181,7 +182,10 @@ SELECT f.id AS trigger_ticket_id,
        i.total_tickets, i.unique_accounts, i.enterprise_accounts, i.arr_at_risk, i.arr_at_risk_formatted
 FROM flagged f LEFT JOIN impact i ON i.trigger_id = f.id LEFT JOIN ids ON ids.t_id = f.id
 LEFT JOIN samples s ON s.q_id = f.id""",
-}
+  }
+
+
+DRAFT_CTES = draft_ctes()
 
 ORACLE["q_draft"] = with_views("SELECT * FROM drafts", views=ACC_VIEWS, ctes=DRAFT_CTES)
 
@@ -559,3 +563,155 @@ ORACLE["q_quality_rank"] = with_views("""
 SELECT draft_id, verdict, score, row_number() OVER (
   ORDER BY CASE verdict WHEN 'ready' THEN 2 WHEN 'needs_work' THEN 1 ELSE 0 END DESC, score DESC, draft_id DESC) AS rank
 FROM report""", views=QVIEWS, ctes=QUALITY_CTES)
+
+
+# ---------------------------------------------------------------- issues
+def pystrip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def labels_sql(text: str, category: str) -> str:
+    return (f"(CASE WHEN {text} IS NULL THEN ['trend-warning', 'support-escalation', {category}] ELSE "
+            f"list_filter(list_transform(string_split({text}, ','), lambda x: {pystrip_sql('x')}), lambda x: x <> '') END)")
+
+
+def _pills_case(x: str) -> str:
+    from support_signals.operators.issues import COMPONENT_PILLS
+    return _case_map(x, COMPONENT_PILLS, f"upper(replace({x}, '-', ' '))")
+
+
+def enrich_desc_sql(desc: str) -> str:
+    from support_signals.operators.issues import ENRICHMENT_FIELDS
+    secs = [f"CASE WHEN {pystrip_sql(f'coalesce({k}, {chr(39)}{chr(39)})')} <> '' THEN '{label}:' || chr(10) || "
+            f"{pystrip_sql(k)} END" for k, label in ENRICHMENT_FIELDS]
+    anys = "concat_ws('', " + ", ".join(secs) + ")"
+    return (f"(CASE WHEN {anys} <> '' THEN concat_ws(chr(10) || chr(10), regexp_replace({desc}, '\\s+$', ''), "
+            + ", ".join(secs) + f") ELSE {desc} END)")
+
+
+LBL_TEXT = "(CASE WHEN key_no % 3 = 0 THEN NULL ELSE lower(priority) || ', ,' || replace(lower(summary), 'escalation ', ' ') END)"
+ORACLE["q_labels"] = with_views(f"""
+SELECT issue_key, array_to_string(lb, '|') AS labels, {_pills_case("list_filter(lb, lambda x: x NOT IN ('support-escalation', 'trend-warning'))[1]")} AS component,
+       CASE WHEN (CASE WHEN key_no % 2 = 0 THEN 'Task' ELSE status END) IN ('Bug', 'Task', 'Story')
+            THEN (CASE WHEN key_no % 2 = 0 THEN 'Task' ELSE status END) ELSE 'Bug' END AS type,
+       CASE WHEN replace(lower(status), ' ', '_') IN ('done', 'in_progress', 'to_do') THEN replace(lower(status), ' ', '_')
+            ELSE 'open' END AS status_key,
+       CASE WHEN lower(priority) IN ('urgent', 'high', 'medium') THEN lower(priority) ELSE 'low' END AS priority_key,
+       TRY_CAST(regexp_extract(issue_key, '^ENG-(\\d+)$', 1) AS BIGINT) AS key_number
+FROM (SELECT *, {labels_sql(LBL_TEXT, "'support'")} AS lb FROM issues)""", views=("issues",))
+
+ISSUE_CTES = {
+    **DRAFT_CTES, **ENRICH_CTES,
+    "ed": "SELECT d.*, e.expected_behavior, e.actual_behavior, e.reproduction_steps, e.environment "
+          "FROM drafts d LEFT JOIN enrichment e ON e.ticket_id = d.trigger_ticket_id",
+    "fields": f"""
+SELECT trigger_ticket_id, {title_sql("coalesce(priority, 'medium')")} AS priority,
+       coalesce(title, 'Support trend investigation') AS summary,
+       {enrich_desc_sql("coalesce(summary, 'Support trend detected.')")} AS description,
+       {labels_sql('CAST(NULL AS VARCHAR)', "coalesce(category, 'support')")} AS labels,
+       coalesce(CAST(similar_count AS BIGINT), 0) AS similar_ticket_count,
+       coalesce(CAST(total_tickets AS BIGINT), 0) AS zendesk_ticket_count,
+       coalesce(arr_at_risk_formatted, '$0') AS arr_at_risk, 'Unassigned' AS assignee, 'Bug' AS type,
+       {pystrip_sql("coalesce(expected_behavior, '')")} AS expected_behavior,
+       {pystrip_sql("coalesce(actual_behavior, '')")} AS actual_behavior,
+       {pystrip_sql("coalesce(reproduction_steps, '')")} AS reproduction_steps,
+       {pystrip_sql("coalesce(environment, '')")} AS environment
+FROM ed""",
+    "first": "SELECT trigger_ticket_id, min(key_no) AS fk FROM issues WHERE trigger_ticket_id IS NOT NULL GROUP BY 1",
+    "upserted": """
+SELECT i.issue_key, i.key_no, CASE WHEN f.summary IS NOT NULL THEN f.type ELSE 'Bug' END AS type, i.status,
+       coalesce(f.priority, i.priority) AS priority, coalesce(f.summary, i.summary) AS summary,
+       CASE WHEN f.summary IS NOT NULL THEN f.labels ELSE CAST([] AS VARCHAR[]) END AS labels,
+       CASE WHEN f.summary IS NOT NULL THEN f.assignee ELSE i.assignee END AS assignee,
+       'Support Operations' AS reporter, i.created, i.trigger_ticket_id,
+       f.similar_ticket_count, f.zendesk_ticket_count, f.arr_at_risk
+FROM issues i LEFT JOIN first ON first.trigger_ticket_id = i.trigger_ticket_id
+LEFT JOIN fields f ON f.trigger_ticket_id = i.trigger_ticket_id AND first.fk = i.key_no
+UNION ALL
+SELECT 'ENG-' || CAST(m + r AS VARCHAR), m + r, type, 'Open', priority, summary, labels, assignee, 'Support Operations',
+       DATE '2025-01-01', trigger_ticket_id, similar_ticket_count, zendesk_ticket_count, arr_at_risk
+FROM (SELECT *, row_number() OVER (ORDER BY trigger_ticket_id) AS r FROM fields
+      WHERE trigger_ticket_id NOT IN (SELECT trigger_ticket_id FROM first)) n,
+     (SELECT coalesce(max(TRY_CAST(regexp_extract(issue_key, '^ENG-(\\d+)$', 1) AS BIGINT)), 100) AS m FROM issues) mx""",
+}
+IVIEWS = ("tickets", "accounts", "issues")
+
+ORACLE["q_description"] = with_views(f"SELECT trigger_ticket_id, {enrich_desc_sql('summary')} AS description FROM ed",
+                                     views=IVIEWS, ctes=ISSUE_CTES)
+
+ORACLE["q_issue_fields"] = with_views("SELECT * REPLACE (array_to_string(labels, '|') AS labels) FROM fields",
+                                      views=IVIEWS, ctes=ISSUE_CTES)
+
+ORACLE["q_issue_upsert"] = with_views("SELECT * REPLACE (array_to_string(labels, '|') AS labels, "
+                                      "strftime(created, '%Y-%m-%d') AS created) FROM upserted",
+                                      views=IVIEWS, ctes=ISSUE_CTES)
+
+ORACLE["q_issue_filter"] = with_views("""
+SELECT issue_key FROM upserted
+WHERE status = 'Open' AND (contains(lower(issue_key), 'machinery') OR contains(lower(summary), 'machinery')
+   OR contains(lower(coalesce(assignee, '')), 'machinery') OR contains(lower(coalesce(reporter, '')), 'machinery')
+   OR len(list_filter(labels, lambda x: contains(lower(x), 'machinery'))) > 0)""", views=IVIEWS, ctes=ISSUE_CTES)
+
+ORACLE["q_issue_for_trigger"] = with_views("""
+SELECT trigger_ticket_id, arg_min(issue_key, key_no) AS issue_key, min(key_no) AS key_no, count(*) AS linked_issues
+FROM issues WHERE trigger_ticket_id IS NOT NULL GROUP BY trigger_ticket_id""", views=("issues",))
+
+ORACLE["q_issue_page"] = with_views("""
+SELECT issue_key, pos, status, 'Showing 51–' || CAST(least(75, n) AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) AS caption
+FROM (SELECT issue_key, status, row_number() OVER (ORDER BY key_no) AS pos, count(*) OVER () AS n FROM issues)
+WHERE pos > 50 AND pos <= 75""", views=("issues",))
+
+ORACLE["q_sprint_split"] = with_views("""
+SELECT issue_key, pos, greatest(n - 8, 0) AS backlog_count
+FROM (SELECT issue_key, row_number() OVER (ORDER BY key_no) AS pos, count(*) OVER () AS n FROM issues) WHERE pos <= 8""",
+                                      views=("issues",))
+
+LIVE_CTES = {
+    **draft_ctes("id IN (SELECT trigger_ticket_id FROM issues WHERE trigger_ticket_id IS NOT NULL)"),
+    "edits": """
+SELECT i.trigger_ticket_id, i.summary, i.priority,
+       CASE WHEN i.status = 'Done' THEN 'Task' ELSE 'Bug' END AS issue_type,
+       CASE WHEN i.key_no % 2 = 0 THEN '' ELSE 'edited' END AS category,
+       lower(i.priority) || ', support-escalation' AS labels,
+       CASE WHEN i.key_no % 3 = 0 THEN ' ' ELSE i.assignee END AS assignee
+FROM issues i JOIN (SELECT trigger_ticket_id, min(key_no) AS fk FROM issues WHERE trigger_ticket_id IS NOT NULL GROUP BY 1) f
+  ON f.trigger_ticket_id = i.trigger_ticket_id AND f.fk = i.key_no""",
+}
+
+ORACLE["q_edit_merge"] = with_views(f"""
+SELECT d.trigger_ticket_id,
+       CASE WHEN e.summary IS NOT NULL THEN coalesce(nullif({pystrip_sql('e.summary')}, ''), 'Support trend investigation') ELSE d.title END AS title,
+       CASE WHEN e.summary IS NOT NULL THEN lower(e.priority) ELSE d.priority END AS priority,
+       CASE WHEN e.summary IS NOT NULL THEN e.issue_type END AS issue_type,
+       CASE WHEN e.summary IS NOT NULL THEN coalesce(nullif({pystrip_sql('e.category')}, ''), d.category, 'support') ELSE d.category END AS category,
+       CASE WHEN e.summary IS NOT NULL THEN e.labels END AS labels,
+       CASE WHEN e.assignee IS NOT NULL THEN coalesce(nullif({pystrip_sql('e.assignee')}, ''), 'Unassigned') END AS assignee,
+       d.similar_count
+FROM drafts d LEFT JOIN edits e ON e.trigger_ticket_id = d.trigger_ticket_id""", views=IVIEWS, ctes=LIVE_CTES)
+
+ORACLE["q_issue_hydrate"] = with_views(f"""
+SELECT i.issue_key, i.trigger_ticket_id, coalesce(d.title, i.summary) AS summary,
+       CASE WHEN d.title IS NOT NULL THEN {title_sql('d.priority')} ELSE i.priority END AS priority,
+       d.similar_count AS similar_ticket_count, d.total_tickets AS zendesk_ticket_count,
+       d.arr_at_risk_formatted AS arr_at_risk,
+       CASE WHEN d.title IS NOT NULL THEN 'live' ELSE 'stored' END AS analysis_source,
+       CASE WHEN d.title IS NOT NULL THEN sha256(d.summary) END AS description_sha
+FROM issues i LEFT JOIN drafts d ON d.trigger_ticket_id = i.trigger_ticket_id""", views=IVIEWS, ctes=LIVE_CTES)
+
+ORACLE["q_linked_tickets"] = with_views("""
+SELECT l.trigger_id, l.ticket_id, coalesce(t.subject, l.ticket_id) AS subject, l.relationship
+FROM (SELECT t_id AS trigger_id, c_id AS ticket_id, 'Similar' AS relationship FROM matches
+      UNION ALL SELECT id, id, 'Trigger' FROM tickets) l LEFT JOIN tickets t ON t.id = l.ticket_id""", ctes=MATCHES)
+
+ORACLE["q_create_defaults"] = with_views(f"""
+SELECT d.trigger_ticket_id,
+       CASE WHEN {title_sql("coalesce(d.priority, 'medium')")} IN ('Low', 'Medium', 'High', 'Urgent')
+            THEN {title_sql("coalesce(d.priority, 'medium')")} ELSE 'Medium' END AS priority,
+       'Bug' AS issue_type, 'trend-warning, support-escalation, ' || coalesce(d.category, 'support') AS labels,
+       coalesce(nullif(d.total_tickets, 0), len(ids) + 1) AS linked_count,
+       coalesce(d.arr_at_risk_formatted, '$0') AS arr_default,
+       array_to_string(list_slice(ids, 1, 12), ', ') || CASE WHEN len(ids) > 12 THEN '…' ELSE '' END AS linked_preview,
+       coalesce(e.expected_behavior, '') AS expected_behavior, coalesce(e.actual_behavior, '') AS actual_behavior,
+       coalesce(e.reproduction_steps, '') AS reproduction_steps, coalesce(e.environment, '') AS environment
+FROM (SELECT *, list_filter(string_split_regex(coalesce(similar_ticket_ids, ''), ',\\s*'), lambda x: x <> '') AS ids FROM drafts) d
+LEFT JOIN enrichment e ON e.ticket_id = d.trigger_ticket_id""", views=IVIEWS, ctes=ISSUE_CTES)

@@ -290,3 +290,101 @@ def q_quality_rank(spark, d):
     """W7."""
     from support_signals.operators.quality import quality_rank
     return quality_rank(_a(spark, d).quality)
+
+
+# ---------------------------------------------------------------- 2.8 issues
+@register("q_labels")
+def q_labels(spark, d):
+    """S11/S12/S16/S18 over the issue backlog."""
+    from support_signals.operators import issues as I
+    i = _a(spark, d).issues
+    text = F.when(F.col("key_no") % 3 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lower("priority"), F.lit(", ,"), F.regexp_replace(F.lower("summary"), "escalation ", " ")))
+    labels = I.normalize_labels(text, F.lit("support"))
+    return i.select("issue_key", F.array_join(labels, "|").alias("labels"), I.component_label(labels).alias("component"),
+                    I.issue_type(F.when(F.col("key_no") % 2 == 0, "Task").otherwise(F.col("status"))).alias("type"),
+                    I.status_key("status").alias("status_key"), I.priority_key("priority").alias("priority_key"),
+                    I.key_number("issue_key").alias("key_number"))
+
+
+@register("q_description")
+def q_description(spark, d):
+    """Draft summary with the stored enrichment sections."""
+    from support_signals.operators.issues import description_with_enrichment
+    return _a(spark, d).enriched_drafts.select("trigger_ticket_id",
+                                                description_with_enrichment("summary").alias("description"))
+
+
+@register("q_issue_fields")
+def q_issue_fields(spark, d):
+    """G12."""
+    return _a(spark, d).issue_fields.withColumn("labels", F.array_join("labels", "|"))
+
+
+@register("q_issue_upsert")
+def q_issue_upsert(spark, d):
+    """Drafts upserted into the backlog."""
+    return (_a(spark, d).upserted_issues.drop("description")
+            .withColumn("labels", F.array_join("labels", "|"))
+            .withColumn("created", F.date_format("created", "yyyy-MM-dd")))
+
+
+@register("q_issue_filter")
+def q_issue_filter(spark, d):
+    """open issues matching 'machinery' in key, summary, people or labels."""
+    from support_signals.operators.issues import issue_filter
+    return issue_filter(_a(spark, d).upserted_issues, "open", "Machinery").select("issue_key")
+
+
+@register("q_issue_for_trigger")
+def q_issue_for_trigger(spark, d):
+    """F6."""
+    from support_signals.operators.issues import first_issue_per_trigger
+    return first_issue_per_trigger(_a(spark, d).issues)
+
+
+@register("q_issue_page")
+def q_issue_page(spark, d):
+    """Third page of the backlog."""
+    from support_signals.operators.issues import issue_page
+    return issue_page(_a(spark, d).issues, page=2)
+
+
+@register("q_sprint_split")
+def q_sprint_split(spark, d):
+    """W6."""
+    from support_signals.operators.issues import sprint_split
+    return sprint_split(_a(spark, d).issues)
+
+
+@register("q_edit_merge")
+def q_edit_merge(spark, d):
+    """Form edits merged into the live drafts of linked triggers."""
+    from support_signals.operators.issues import merge_edits
+    a = _a(spark, d)
+    return merge_edits(a.live_drafts, a.form_edits).select(
+        "trigger_ticket_id", "title", "priority", "issue_type", "category", "labels", "assignee", "similar_count")
+
+
+@register("q_issue_hydrate")
+def q_issue_hydrate(spark, d):
+    """Every issue, linked ones with live metrics."""
+    from support_signals.operators.issues import hydrate
+    a = _a(spark, d)
+    return hydrate(a.issues, a.live_drafts)
+
+
+@register("q_linked_tickets")
+def q_linked_tickets(spark, d):
+    """C11."""
+    from support_signals.operators.issues import linked_tickets
+    a = _a(spark, d)
+    return linked_tickets(a.matches, a.tickets, a.tickets)
+
+
+@register("q_create_defaults")
+def q_create_defaults(spark, d):
+    """G18."""
+    from support_signals.operators.issues import create_defaults
+    a = _a(spark, d)
+    return create_defaults(a.drafts, a.enrichment)
