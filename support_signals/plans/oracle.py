@@ -715,3 +715,72 @@ SELECT d.trigger_ticket_id,
        coalesce(e.reproduction_steps, '') AS reproduction_steps, coalesce(e.environment, '') AS environment
 FROM (SELECT *, list_filter(string_split_regex(coalesce(similar_ticket_ids, ''), ',\\s*'), lambda x: x <> '') AS ids FROM drafts) d
 LEFT JOIN enrichment e ON e.ticket_id = d.trigger_ticket_id""", views=IVIEWS, ctes=ISSUE_CTES)
+
+
+# ---------------------------------------------------------------- evaluation
+CUTS = (0.10, 0.125, 0.15, 0.175, 0.20, 0.25, 0.30)     # TEST_CONFIG.sweep
+CUTS_SQL = "(VALUES " + ", ".join(f"({c})" for c in CUTS) + ") cuts(cut)"
+
+ORACLE["q_nn_accuracy"] = with_views(f"""
+SELECT count(*) AS n, CAST(count_if(t.topic_id = nn.topic_id) AS BIGINT) AS correct,
+       round(count_if(t.topic_id = nn.topic_id) / count(*), 6) AS accuracy
+FROM tickets t LEFT JOIN (
+  SELECT q_id, topic_id FROM (
+    SELECT q.id AS q_id, c.topic_id, row_number() OVER (PARTITION BY q.id ORDER BY {dot_sql('q.embedding', 'c.embedding')} DESC, c.id) AS r
+    FROM tickets q JOIN tickets c ON c.id <> q.id) WHERE r = 1) nn ON nn.q_id = t.id""")
+
+PAIR_STATS = {"ap": f"""
+SELECT a.topic_id = b.topic_id AS same, {dot_sql('a.embedding', 'b.embedding')} AS s
+FROM tickets a JOIN tickets b ON a.id < b.id""", "tot": """
+SELECT count_if(same) AS same_pairs, sum(CASE WHEN same THEN s END) AS same_sum,
+       count_if(NOT same) AS cross_pairs, sum(CASE WHEN NOT same THEN s END) AS cross_sum FROM ap"""}
+
+ORACLE["q_pair_separation"] = with_views("""
+SELECT CAST(same_pairs AS BIGINT) AS same_pairs, CAST(cross_pairs AS BIGINT) AS cross_pairs,
+       round(same_sum / same_pairs, 6) AS same_mean, round(cross_sum / cross_pairs, 6) AS cross_mean FROM tot""",
+                                         ctes=PAIR_STATS)
+
+ORACLE["q_pair_thresholds"] = with_views(f"""
+SELECT round(CAST(cut AS DOUBLE), 6) AS cut,
+       round((SELECT count_if(same AND s >= cut) FROM ap) / (SELECT same_pairs FROM tot), 6) AS same_recall,
+       round((SELECT count_if(NOT same AND s >= cut) FROM ap) / (SELECT cross_pairs FROM tot), 6) AS cross_fp_rate
+FROM {CUTS_SQL}""", ctes=PAIR_STATS)
+
+EXPECTED_CTES = {"tp": window_pairs_sql("topic_id").replace(
+    f", {dot_sql('t.embedding', 'c.embedding')} AS score", ""), "exp": f"""
+SELECT t.id, CAST(count(p.c_id) AS BIGINT) AS earlier_same_topic,
+       t.is_emerging_trend AND count(p.c_id) >= {MIN_COUNT} AS expected
+FROM tickets t LEFT JOIN tp p ON p.t_id = t.id GROUP BY t.id, t.is_emerging_trend"""}
+
+ORACLE["q_expected_alerts"] = with_views("SELECT * FROM exp", ctes=EXPECTED_CTES)
+
+ORACLE["q_threshold_sweep"] = with_views(f"""
+SELECT round(CAST(cut AS DOUBLE), 6) AS cut, tp, fp, fn,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall,
+       round(CASE WHEN (CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END) + (CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END) > 0
+             THEN 2 * (CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END) * (CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END)
+                  / ((CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END) + (CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END))
+             ELSE 0.0 END, 6) AS f1
+FROM (
+  SELECT cuts.cut, CAST(count_if(e.expected AND coalesce(r.n, 0) >= {MIN_COUNT}) AS BIGINT) AS tp,
+         CAST(count_if(NOT e.expected AND coalesce(r.n, 0) >= {MIN_COUNT}) AS BIGINT) AS fp,
+         CAST(count_if(e.expected AND NOT coalesce(r.n, 0) >= {MIN_COUNT}) AS BIGINT) AS fn
+  FROM exp e CROSS JOIN {CUTS_SQL}
+  LEFT JOIN (SELECT p.t_id, c.cut, count(*) AS n FROM pairs p JOIN {CUTS_SQL.replace('cuts(cut)', 'c(cut)')} ON p.score >= c.cut
+             GROUP BY p.t_id, c.cut) r ON r.t_id = e.id AND r.cut = cuts.cut
+  GROUP BY cuts.cut)""", ctes={**EXPECTED_CTES, "pairs": window_pairs_sql()})
+
+ORACLE["q_false_positives"] = with_views(f"""
+SELECT e.id, t.topic_id, n.matches, m.c_id AS evidence_id, round(m.score, 6) AS score
+FROM exp e JOIN (SELECT t_id, count(*) AS matches FROM matches GROUP BY t_id) n ON n.t_id = e.id
+JOIN matches m ON m.t_id = e.id JOIN tickets t ON t.id = e.id
+WHERE NOT e.expected AND n.matches >= {MIN_COUNT}""", ctes={**EXPECTED_CTES, **MATCHES})
+
+ORACLE["q_boundary_case"] = with_views(f"""
+SELECT b.t_id AS id, b.topic_id, CAST({MIN_COUNT - 1} AS BIGINT) AS matches,
+       string_agg(m.c_id, ', ' ORDER BY m.score DESC, m.c_id) AS evidence
+FROM (SELECT n.t_id, t.topic_id FROM (SELECT t_id, count(*) AS n FROM matches GROUP BY t_id) n
+      JOIN tickets t ON t.id = n.t_id WHERE n.n = {MIN_COUNT - 1}
+      ORDER BY t.created_at DESC, n.t_id DESC LIMIT 1) b
+JOIN matches m ON m.t_id = b.t_id GROUP BY b.t_id, b.topic_id""", ctes=MATCHES)

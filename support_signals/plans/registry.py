@@ -388,3 +388,51 @@ def q_create_defaults(spark, d):
     from support_signals.operators.issues import create_defaults
     a = _a(spark, d)
     return create_defaults(a.drafts, a.enrichment)
+
+
+# ---------------------------------------------------------------- 2.10 evaluation
+@register("q_nn_accuracy")
+def q_nn_accuracy(spark, d):
+    from support_signals.operators.evaluate import nn_accuracy
+    return nn_accuracy(_a(spark, d).tickets, CFG)
+
+
+@register("q_pair_separation")
+def q_pair_separation(spark, d):
+    """Mean cosine of same-topic and cross-topic pairs."""
+    from support_signals.operators.evaluate import pair_statistics
+    s = pair_statistics(_a(spark, d).tickets, CFG, CFG.sweep)
+    return s.select("same_pairs", "cross_pairs", "same_mean", "cross_mean").distinct()
+
+
+@register("q_pair_thresholds")
+def q_pair_thresholds(spark, d):
+    """Same-topic pair recall and cross-topic false-positive rate per cut."""
+    from support_signals.operators.evaluate import pair_statistics
+    return pair_statistics(_a(spark, d).tickets, CFG, CFG.sweep).select("cut", "same_recall", "cross_fp_rate")
+
+
+@register("q_expected_alerts")
+def q_expected_alerts(spark, d):
+    from support_signals.operators.evaluate import expected_alerts
+    return expected_alerts(_a(spark, d).tickets, CFG)
+
+
+@register("q_threshold_sweep")
+def q_threshold_sweep(spark, d):
+    from support_signals.operators.evaluate import threshold_sweep
+    return threshold_sweep(_a(spark, d).tickets, CFG, CFG.sweep)
+
+
+@register("q_false_positives")
+def q_false_positives(spark, d):
+    from support_signals.operators.evaluate import false_positives
+    a = _a(spark, d)
+    return false_positives(a.tickets, a.matches, CFG)
+
+
+@register("q_boundary_case")
+def q_boundary_case(spark, d):
+    from support_signals.operators.evaluate import boundary_case
+    a = _a(spark, d)
+    return boundary_case(a.tickets, a.matches, CFG)
