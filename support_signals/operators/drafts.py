@@ -92,3 +92,34 @@ def draft_text(drafts: DataFrame) -> DataFrame:
         F.format_string("\n\nSimilar ticket IDs (%d total, showing up to 20):\n", "similar_count"),
         F.col("similar_ticket_ids"))
     return drafts.select("trigger_ticket_id", text.alias("draft_text"))
+
+
+def analysis_record(trend: DataFrame, topk: DataFrame, impact: DataFrame, drafts_df: DataFrame) -> DataFrame:
+    """Similar tickets, trend, impact and (only when flagged) the draft title,
+    one flat row per analysed ticket.  The top-k list is bounded by k."""
+    sim = (topk.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "c_id"))).alias("s"))
+           .select(F.col("q_id").alias("id"),
+                   F.array_join(F.transform("s", lambda x: x["c_id"]), ", ").alias("similar_ids")))
+    return (trend.join(sim, "id", "left")
+            .join(impact.withColumnRenamed("trigger_id", "id"), "id", "left")
+            .join(drafts_df.select(F.col("trigger_ticket_id").alias("id"), F.col("title").alias("draft_title")),
+                  "id", "left")
+            .select("id", "similar_ids", "similar_count", "is_potential_trend", "total_tickets", "unique_accounts",
+                    "arr_at_risk_formatted", "draft_title"))
+
+
+def pick_draft(trend: DataFrame, drafts_df: DataFrame, reviewed: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """The confirmed review's draft, else the analysis draft, else a
+    below-threshold row.  ``reviewed``: trigger_id, similar_count after review;
+    ``confirmed``: trigger ids with a stored review."""
+    rv = (reviewed.join(confirmed.select("trigger_id").distinct(), "trigger_id", "left_semi")
+          .select(F.col("trigger_id").alias("id"), F.col("similar_count").alias("rn")))
+    d = drafts_df.select(F.col("trigger_ticket_id").alias("id"), F.col("title").alias("dt"))
+    j = trend.join(rv, "id", "left").join(d, "id", "left")
+    reviewed_title = F.format_string("[Trend] Recurring %s issues (%d similar tickets)", title_case("category"), F.col("rn"))
+    return j.select(
+        F.col("id").alias("trigger_id"),
+        F.when(F.col("rn").isNotNull(), "review").when(F.col("dt").isNotNull(), "analysis").otherwise("none")
+        .alias("source"),
+        F.when(F.col("rn").isNotNull(), reviewed_title).when(F.col("dt").isNotNull(), F.col("dt"))
+        .otherwise(F.lit("No engineering draft: below the trend threshold.")).alias("title"))

@@ -71,3 +71,52 @@ def window_candidates(tickets: DataFrame, cfg: TrendConfig) -> DataFrame:
     c = p.groupBy(F.col("t_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return (tickets.select("id").join(c, "id", "left")
             .select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("window_count")))
+
+
+def freetext_trend(queries: DataFrame, tickets: DataFrame, cfg: TrendConfig) -> DataFrame:
+    """Trend signal of free-text query vectors.
+
+    ``queries``: ``query_id``, ``category`` (inferred, B8) and ``embedding``.
+    The window is *closed* and anchored on the newest ticket:
+    ``[max(created_at) - window, max(created_at)]``; nothing is excluded.
+    The anchor is a one-row aggregate; the pairs reuse the bucketed,
+    salted window join with every query placed at the anchor time.
+    """
+    anchor = tickets.agg(F.max("created_at").alias("anchor"))
+    q = (queries.crossJoin(F.broadcast(anchor))         # one row
+         .select(F.concat(F.lit("\u0000q:"), F.col("query_id")).alias("id"), "category",
+                 F.col("anchor").alias("created_at"), "embedding", F.col("query_id")))
+    m = (window_pairs(q, tickets, cfg, keys=("category",), trigger_cols=("query_id",), closed_end=True)
+         .where(F.col("score") >= F.lit(cfg.threshold)))
+    n = m.groupBy(F.col("t_query_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n"))
+    cnt = F.coalesce("n", F.lit(0)).cast("bigint")
+    return (queries.select("query_id", "category").join(n, "query_id", "left")
+            .select("query_id", "category", *_rule_columns(cnt, cfg)))
+
+
+def incoming_warning(trend: DataFrame, cfg: TrendConfig) -> DataFrame:
+    """The warning payload attached to an incoming ticket."""
+    flag = F.col("is_potential_trend")
+    msg = F.when(flag, F.format_string("Potential trend: %d similar tickets found in the previous %d days.",
+                                       F.col("similar_count"), F.col("window_days"))) \
+        .otherwise(F.lit("No trend signal detected."))
+    return trend.select(
+        F.col("id").alias("ticket_id"), F.lit("ticket.trend_checked").alias("event"), flag,
+        F.when(flag, F.lit("Potential trend")).alias("label"), "similar_count", "threshold", "min_count",
+        "window_days", msg.alias("message"))
+
+
+# Fixed value: external ids of this form are looked up as tickets, anything
+# else is analysed as free text.
+TICKET_ID_PATTERN = r"(?i)^T-\d+$"
+
+
+def route_incoming(requests: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Route by external id; id-routed requests report whether the
+    ticket is known (unknown ids are the 404 / skipped case)."""
+    is_id = F.col("external_id").rlike(TICKET_ID_PATTERN)
+    known = tickets.select(F.upper("id").alias("_k"), F.lit(True).alias("known"))
+    r = requests.withColumn("route", F.when(is_id, "ticket_id").otherwise("free_text"))
+    return (r.join(known, F.when(is_id, F.upper("external_id")) == F.col("_k"), "left")
+            .select("request_id", "external_id", "route",
+                    F.when(F.col("route") == "ticket_id", F.coalesce("known", F.lit(False))).alias("ticket_found")))

@@ -784,3 +784,60 @@ FROM (SELECT n.t_id, t.topic_id FROM (SELECT t_id, count(*) AS n FROM matches GR
       JOIN tickets t ON t.id = n.t_id WHERE n.n = {MIN_COUNT - 1}
       ORDER BY t.created_at DESC, n.t_id DESC LIMIT 1) b
 JOIN matches m ON m.t_id = b.t_id GROUP BY b.t_id, b.topic_id""", ctes=MATCHES)
+
+
+# ---------------------------------------------------------------- incoming / analysis
+ORACLE["q_trend_freetext"] = with_views(f"""
+SELECT q.id AS query_id, coalesce(nn.category, 'unknown') AS category, CAST(count(c.id) AS BIGINT) AS similar_count,
+       count(c.id) >= {MIN_COUNT} AS is_potential_trend, {RULE_COLS}
+FROM tickets q
+LEFT JOIN ({topk_sql(1, exclude_self=False)}) nn ON nn.q_id = q.id
+LEFT JOIN tickets c ON c.category = coalesce(nn.category, 'unknown')
+     AND c.created_at >= (SELECT max(created_at) FROM tickets) - INTERVAL 7 DAY
+     AND c.created_at <= (SELECT max(created_at) FROM tickets)
+     AND {dot_sql('q.embedding', 'c.embedding')} >= {THR}
+GROUP BY q.id, coalesce(nn.category, 'unknown')""")
+
+ORACLE["q_missing_triggers"] = with_views("""
+SELECT DISTINCT trigger_ticket_id AS id FROM issues
+WHERE trigger_ticket_id IS NOT NULL AND trigger_ticket_id NOT IN (SELECT id FROM tickets)""", views=("tickets", "issues"))
+
+ORACLE["q_queue_with_trend"] = with_views(f"""
+SELECT p.id, p.pos, tr.similar_count, tr.is_potential_trend
+FROM (SELECT id, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS BIGINT) AS pos FROM tickets) p
+JOIN (SELECT t.id, CAST(count(m.c_id) AS BIGINT) AS similar_count, count(m.c_id) >= {MIN_COUNT} AS is_potential_trend
+      FROM tickets t LEFT JOIN matches m ON m.t_id = t.id GROUP BY t.id) tr ON tr.id = p.id
+WHERE p.pos <= 40""", ctes=MATCHES)
+
+ORACLE["q_incoming_warning"] = with_views(f"""
+SELECT id AS ticket_id, 'ticket.trend_checked' AS event, n >= {MIN_COUNT} AS is_potential_trend,
+       CASE WHEN n >= {MIN_COUNT} THEN 'Potential trend' END AS label, CAST(n AS BIGINT) AS similar_count, {RULE_COLS},
+       CASE WHEN n >= {MIN_COUNT} THEN 'Potential trend: ' || CAST(n AS VARCHAR) || ' similar tickets found in the previous 7 days.'
+            ELSE 'No trend signal detected.' END AS message
+FROM (SELECT t.id, count(m.c_id) AS n FROM tickets t LEFT JOIN matches m ON m.t_id = t.id GROUP BY t.id)""", ctes=MATCHES)
+
+ORACLE["q_route_incoming"] = with_views("""
+SELECT r.request_id, r.external_id, CASE WHEN regexp_matches(r.external_id, '(?i)^T-\\d+$') THEN 'ticket_id' ELSE 'free_text' END AS route,
+       CASE WHEN regexp_matches(r.external_id, '(?i)^T-\\d+$') THEN upper(r.external_id) IN (SELECT upper(id) FROM tickets) END AS ticket_found
+FROM (SELECT issue_key AS request_id,
+             CASE WHEN trigger_ticket_id IS NULL THEN issue_key WHEN key_no % 2 = 0 THEN lower(trigger_ticket_id)
+                  ELSE trigger_ticket_id END AS external_id FROM issues) r""", views=("tickets", "issues"))
+
+ORACLE["q_analysis"] = with_views(f"""
+SELECT tr.id, s.similar_ids, CAST(tr.n AS BIGINT) AS similar_count, tr.n >= {MIN_COUNT} AS is_potential_trend,
+       i.total_tickets, i.unique_accounts, i.arr_at_risk_formatted, d.title AS draft_title
+FROM trend tr
+LEFT JOIN (SELECT q_id, string_agg(c_id, ', ' ORDER BY rank) AS similar_ids FROM ({topk_sql()}) GROUP BY q_id) s ON s.q_id = tr.id
+LEFT JOIN impact i ON i.trigger_id = tr.id LEFT JOIN drafts d ON d.trigger_ticket_id = tr.id""",
+                                  views=ACC_VIEWS, ctes=DRAFT_CTES)
+
+ORACLE["q_pick_draft"] = with_views(f"""
+SELECT tr.id AS trigger_id,
+       CASE WHEN rv.rn IS NOT NULL THEN 'review' WHEN d.title IS NOT NULL THEN 'analysis' ELSE 'none' END AS source,
+       CASE WHEN rv.rn IS NOT NULL THEN '[Trend] Recurring ' || {title_sql('tr.category')} || ' issues (' || CAST(rv.rn AS VARCHAR) || ' similar tickets)'
+            WHEN d.title IS NOT NULL THEN d.title ELSE 'No engineering draft: below the trend threshold.' END AS title
+FROM trend tr
+LEFT JOIN (SELECT DISTINCT trigger_id, coalesce((SELECT count(*) FROM matches m LEFT JOIN decisions dd ON dd.trigger_id = m.t_id
+           AND dd.ticket_id = m.c_id WHERE coalesce(dd.include, true) AND m.t_id = dl.trigger_id), 0) AS rn FROM dlog dl) rv
+  ON rv.trigger_id = tr.id
+LEFT JOIN drafts d ON d.trigger_ticket_id = tr.id""", views=ACC_VIEWS, ctes={**DRAFT_CTES, **REVIEW_CTES})

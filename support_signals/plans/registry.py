@@ -436,3 +436,71 @@ def q_boundary_case(spark, d):
     from support_signals.operators.evaluate import boundary_case
     a = _a(spark, d)
     return boundary_case(a.tickets, a.matches, CFG)
+
+
+# ---------------------------------------------------------------- 2.2 incoming / analysis
+@register("q_trend_freetext")
+def q_trend_freetext(spark, d):
+    """Every ticket vector analysed as anonymous free text."""
+    from support_signals.operators.trend import freetext_trend
+    a = _a(spark, d)
+    cat = (a.topk(exclude_self=False, k=1)
+           .select(F.col("q_id").alias("query_id"), F.col("category")))
+    q = (a.tickets.select(F.col("id").alias("query_id"), "embedding").join(cat, "query_id", "left")
+         .select("query_id", F.coalesce("category", F.lit("unknown")).alias("category"), "embedding"))
+    return freetext_trend(q, a.tickets, a.cfg)
+
+
+@register("q_missing_triggers")
+def q_missing_triggers(spark, d):
+    """Trigger ids referenced by issues that are not in the ticket table."""
+    a = _a(spark, d)
+    refs = a.issues.where(F.col("trigger_ticket_id").isNotNull()).select(F.col("trigger_ticket_id").alias("id"))
+    return refs.join(a.tickets.select("id"), "id", "left_anti").distinct()
+
+
+@register("q_queue_with_trend")
+def q_queue_with_trend(spark, d):
+    """First queue page annotated with the batch trend signal."""
+    from support_signals.operators.queue import ticket_page
+    a = _a(spark, d)
+    page = ticket_page(a.tickets, view="All", page=0).select("id", "pos")
+    return page.join(a.trend.select("id", "similar_count", "is_potential_trend"), "id", "left")
+
+
+@register("q_incoming_warning")
+def q_incoming_warning(spark, d):
+    """B12."""
+    from support_signals.operators.trend import incoming_warning
+    a = _a(spark, d)
+    return incoming_warning(a.trend, a.cfg)
+
+
+@register("q_route_incoming")
+def q_route_incoming(spark, d):
+    """Issue references routed by id pattern (trigger ids in mixed case, keys as free text)."""
+    from support_signals.operators.trend import route_incoming
+    a = _a(spark, d)
+    req = a.issues.select(F.col("issue_key").alias("request_id"),
+                          F.when(F.col("trigger_ticket_id").isNull(), F.col("issue_key"))
+                          .when(F.col("key_no") % 2 == 0, F.lower("trigger_ticket_id"))
+                          .otherwise(F.col("trigger_ticket_id")).alias("external_id"))
+    return route_incoming(req, a.tickets)
+
+
+@register("q_analysis")
+def q_analysis(spark, d):
+    """The analysis record of every ticket."""
+    from support_signals.operators.drafts import analysis_record
+    a = _a(spark, d)
+    return analysis_record(a.trend, a.topk(), a.impact, a.drafts)
+
+
+@register("q_pick_draft")
+def q_pick_draft(spark, d):
+    """G17."""
+    from support_signals.operators.drafts import pick_draft
+    from support_signals.operators.review import reviewed_members, reviewed_trend
+    a = _a(spark, d)
+    rv = reviewed_trend(reviewed_members(a.matches, a.decisions), a.tickets, a.cfg)
+    return pick_draft(a.trend, a.drafts, rv, a.decisions_log)
