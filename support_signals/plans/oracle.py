@@ -841,3 +841,77 @@ LEFT JOIN (SELECT DISTINCT trigger_id, coalesce((SELECT count(*) FROM matches m
            AND dd.ticket_id = m.c_id WHERE coalesce(dd.include, true) AND m.t_id = dl.trigger_id), 0) AS rn FROM dlog dl) rv
   ON rv.trigger_id = tr.id
 LEFT JOIN drafts d ON d.trigger_ticket_id = tr.id""", views=ACC_VIEWS, ctes={**DRAFT_CTES, **REVIEW_CTES})
+
+
+# ---------------------------------------------------------------- sources / ingest / dq
+def _pyjson_tags_sql(t: str) -> str:
+    arr = TAGS_SQL.format(x=t)
+    return ("'[' || array_to_string(list_transform(" + arr + ", lambda x: '\"' || replace(replace(x, '\\', '\\\\'), '\"', '\\\"') || '\"'), ', ') || ']'")
+
+
+ORACLE["q_ingest_tickets"] = with_views(f"""
+SELECT t.id, strftime(t.created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, t.subject, t.body, t.category, t.priority,
+       t.status, coalesce(a.tier, 'free') AS customer_tier, {_pyjson_tags_sql('t.tags')} AS tags,
+       CAST(t.topic_id AS VARCHAR) AS cluster,
+       replace(lower({requester_sql('t.id')}), ' ', '.') || '@example.invalid' AS requester_email,
+       CAST(t.account_id AS VARCHAR) AS account_id, {requester_sql('t.id')} AS requester_name,
+       {title_sql(channel_sql('t.id'))} AS channel, coalesce(nullif(t.assignee, ''), 'Support Team') AS assignee
+FROM tickets t LEFT JOIN accounts a ON a.account_id = t.account_id""", views=ACC_VIEWS)
+
+ORACLE["q_account_dim"] = with_views("""
+SELECT CAST(t.account_id AS VARCHAR) AS account_id, 'billing-' || lower(CAST(t.account_id AS VARCHAR)) || '@example.invalid' AS customer_email,
+       arg_min(a.account_name, (t.created_at, t.id)) AS account_name,
+       arg_min(coalesce(a.tier, 'free'), (t.created_at, t.id)) AS tier,
+       arg_min(a.arr, (t.created_at, t.id)) AS arr, arg_min(a.region, (t.created_at, t.id)) AS region
+FROM tickets t LEFT JOIN accounts a ON a.account_id = t.account_id GROUP BY t.account_id""", views=ACC_VIEWS)
+
+ORACLE["q_messages"] = with_views("""
+SELECT t.id AS ticket_id, m.pos, m.author, m.type, length(m.text) AS text_chars
+FROM messages m JOIN tickets t ON t.ticket_no = m.ticket_no""", views=("tickets", "messages"))
+
+ORACLE["q_ticket_by_id"] = with_views("SELECT id, category, status, priority, subject FROM tickets WHERE id = 'T-00042'")
+
+ORACLE["q_tickets_by_ids"] = with_views("""
+SELECT id, category, status FROM tickets WHERE id IN (SELECT trigger_ticket_id FROM issues)""", views=("tickets", "issues"))
+
+ORACLE["q_schema_align"] = with_views(f"""
+SELECT id, account_id, CAST(NULL AS VARCHAR) AS requester_name, CAST(NULL AS VARCHAR) AS channel,
+       {requester_sql()} AS requester_display, {channel_sql()} AS channel_display, {assignee_sql()} AS assignee_display
+FROM tickets""")
+
+ORACLE["q_fingerprint"] = with_views("""
+SELECT count(*) AS n_tickets, bit_xor(CAST(('0x' || substr(md5(id), 1, 15)) AS BIGINT)) AS fingerprint FROM tickets""")
+
+ORACLE["q_embed_incremental"] = with_views("""
+SELECT id, 'new' AS reason FROM tickets WHERE created_at >= (SELECT max(created_at) FROM tickets) - INTERVAL 10 DAY""")
+
+ORACLE["q_dq_report"] = with_views(f"""
+SELECT 'row_count' AS rule, CAST((SELECT count(*) FROM tickets) <> (SELECT count(*) FROM embeddings) AS BIGINT) AS violations
+UNION ALL SELECT 'unique_id', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM tickets GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'unique_subject', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM tickets GROUP BY subject HAVING count(*) > 1)
+UNION ALL SELECT 'unique_subject_body', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM tickets GROUP BY subject, body HAVING count(*) > 1)
+UNION ALL SELECT 'required_fields', CAST(count_if(id IS NULL OR created_at IS NULL OR subject IS NULL OR body IS NULL OR category IS NULL OR priority IS NULL OR status IS NULL) AS BIGINT) FROM tickets
+UNION ALL SELECT 'enum_category', CAST(count_if(category NOT IN ('api', 'webhooks', 'billing', 'identity', 'exports', 'sdk', 'account')) AS BIGINT) FROM tickets
+UNION ALL SELECT 'enum_priority', CAST(count_if(priority NOT IN ('low', 'medium', 'high', 'urgent')) AS BIGINT) FROM tickets
+UNION ALL SELECT 'enum_status', CAST(count_if(status NOT IN ('open', 'pending', 'resolved', 'closed')) AS BIGINT) FROM tickets
+UNION ALL SELECT 'id_pattern', CAST(count_if(NOT regexp_matches(id, '^T-[0-9]{{5}}$')) AS BIGINT) FROM tickets
+UNION ALL SELECT 'subject_min_length', CAST(count_if(length(subject) < 12) AS BIGINT) FROM tickets
+UNION ALL SELECT 'body_min_length', CAST(count_if(length(body) < 30) AS BIGINT) FROM tickets
+UNION ALL SELECT 'min_two_messages', CAST(count_if(coalesce(p.n, 0) < 2) AS BIGINT)
+  FROM tickets t LEFT JOIN (SELECT ticket_no, count(*) AS n FROM messages GROUP BY ticket_no) p ON p.ticket_no = t.ticket_no
+UNION ALL SELECT 'last_author_customer_iff_resolved', CAST(count_if((p.la = 'customer') <> (t.status = 'resolved')) AS BIGINT)
+  FROM tickets t JOIN (SELECT ticket_no, arg_max(author, pos) AS la FROM messages GROUP BY ticket_no) p ON p.ticket_no = t.ticket_no
+UNION ALL SELECT 'arr_non_negative', CAST(count_if(arr < 0) AS BIGINT) FROM accounts
+UNION ALL SELECT 'issue_links_resolve', CAST(count(*) AS BIGINT) FROM issues
+  WHERE trigger_ticket_id IS NOT NULL AND trigger_ticket_id NOT IN (SELECT id FROM tickets)""",
+    views=("tickets", "messages", "accounts", "issues"))
+
+ORACLE["q_dq_histogram"] = with_views("""
+SELECT 'status' AS kind, status AS value, count(*) AS n FROM tickets GROUP BY status
+UNION ALL SELECT 'label', CASE WHEN is_emerging_trend THEN 'emerging' ELSE 'normal' END, count(*) FROM tickets GROUP BY 2
+UNION ALL SELECT 'topic', CAST(topic_id AS VARCHAR), count(*) FROM tickets GROUP BY 2""")
+
+ORACLE["q_review_report"] = with_views("""
+SELECT t.id AS ticket_id, m.pos,
+       sha256(upper(substr(m.author, 1, 1)) || lower(substr(m.author, 2)) || ' (' || m.type || '): ' || m.text) AS line
+FROM messages m JOIN tickets t ON t.ticket_no = m.ticket_no""", views=("tickets", "messages"))

@@ -504,3 +504,112 @@ def q_pick_draft(spark, d):
     a = _a(spark, d)
     rv = reviewed_trend(reviewed_members(a.matches, a.decisions), a.tickets, a.cfg)
     return pick_draft(a.trend, a.drafts, rv, a.decisions_log)
+
+
+# ---------------------------------------------------------------- 2.1 sources / ingest
+@register("q_ingest_tickets")
+def q_ingest_tickets(spark, d):
+    """A1-A3: raw nested tickets (built from the views) flattened to the ticket table."""
+    from support_signals.sources.raw import flatten_tickets, nest_from_views
+    a = _a(spark, d)
+    flat = flatten_tickets(nest_from_views(a.tickets, a.accounts))
+    return flat.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@register("q_account_dim")
+def q_account_dim(spark, d):
+    """A4: account dimension from the first ticket of each account."""
+    from support_signals.sources.raw import account_dimension, nest_from_views
+    a = _a(spark, d)
+    return account_dimension(nest_from_views(a.tickets, a.accounts))
+
+
+@register("q_messages")
+def q_messages(spark, d):
+    """Conversation rows keyed by ticket id."""
+    a = _a(spark, d)
+    return (a.messages.join(a.tickets.select("ticket_no", "id"), "ticket_no")
+            .select(F.col("id").alias("ticket_id"), "pos", "author", "type", F.length("text").alias("text_chars")))
+
+
+@register("q_ticket_by_id")
+def q_ticket_by_id(spark, d):
+    """Point lookup (the predicate reaches the scan)."""
+    return _a(spark, d).tickets.where(F.col("id") == "T-00042").select("id", "category", "status", "priority", "subject")
+
+
+@register("q_tickets_by_ids")
+def q_tickets_by_ids(spark, d):
+    """Tickets referenced by issues (semi join; stale ids vanish)."""
+    a = _a(spark, d)
+    keys = a.issues.select(F.col("trigger_ticket_id").alias("id"))
+    return a.tickets.join(keys, "id", "left_semi").select("id", "category", "status")
+
+
+@register("q_schema_align")
+def q_schema_align(spark, d):
+    """Optional columns absent from the source become NULL, then
+    the deterministic defaults fill them; the ticket -> account map keeps known accounts."""
+    from support_signals.functions import labels as L
+    from support_signals.sources.raw import align_optional
+    t = align_optional(_a(spark, d).tickets, {"requester_name": "string", "channel": "string"})
+    return t.select("id", "account_id", "requester_name", "channel",
+                    L.requester_name("id", "requester_name").alias("requester_display"),
+                    L.channel("id", "channel").alias("channel_display"),
+                    L.assignee_display("id", "assignee").alias("assignee_display"))
+
+
+@register("q_fingerprint")
+def q_fingerprint(spark, d):
+    """Membership fingerprint of the ticket table (order-insensitive, one pass)."""
+    from support_signals.operators.review import id_signature
+    t = _a(spark, d).tickets
+    return t.agg(F.count(F.lit(1)).alias("n_tickets"), id_signature(F.col("id")).alias("fingerprint"))
+
+
+@register("q_embed")
+def q_embed(spark, d):
+    """Default hashed TF-IDF encoder over every ticket text (no oracle: Spark ML)."""
+    from support_signals.functions.encoder import encode, fit_encoder
+    t = _a(spark, d).tickets.select("id", "subject", "body")
+    e = encode(fit_encoder(t), t)
+    return e.select("id", F.size("embedding").alias("dims"),
+                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"),
+                                               lambda acc, x: acc + x * x)), 6).alias("norm"))
+
+
+@register("q_embed_incremental")
+def q_embed_incremental(spark, d):
+    """Tickets of the last 10 days arrive after a cache of the older ones."""
+    from support_signals.functions.encoder import encode, fit_encoder, incremental, ticket_text
+    t = _a(spark, d).tickets.select("id", "subject", "body", "created_at")
+    cut = t.agg((F.max("created_at") - F.expr("INTERVAL 10 DAYS")).alias("cut"))
+    old = t.crossJoin(F.broadcast(cut)).where(F.col("created_at") < F.col("cut")).drop("cut")   # cut: one row
+    model = fit_encoder(old)
+    cache = ticket_text(encode(model, old)).withColumn("text_sha", F.sha2("text", 256))
+    return incremental(model, cache, t).select("id", "reason")
+
+
+@register("q_dq_report")
+def q_dq_report(spark, d):
+    """Violations per rule."""
+    from support_signals.operators.dq import dq_report
+    from support_signals.sources.tables import table
+    a = _a(spark, d)
+    expected = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("expected"))
+    return dq_report(a.tickets, a.messages, a.accounts, a.issues, expected)
+
+
+@register("q_dq_histogram")
+def q_dq_histogram(spark, d):
+    """C10/J3/J9."""
+    from support_signals.operators.dq import histograms
+    return histograms(_a(spark, d).tickets)
+
+
+@register("q_review_report")
+def q_review_report(spark, d):
+    """J13."""
+    from support_signals.operators.dq import review_report
+    a = _a(spark, d)
+    return review_report(a.messages, a.tickets).withColumn("line", F.sha2("line", 256))
