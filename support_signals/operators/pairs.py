@@ -14,13 +14,14 @@ categories).  Instead both sides get a time bucket of ``bucket_hours``:
   residual predicate of the join; the score is computed only for pairs that
   pass it.
 
-Hot groups: a per-(key, bucket) row count decides how many salts a group is
-split into (``ceil(rows / target_rows_per_group)``, capped).  Candidates pick
-one salt by hash of their id, triggers are replicated to all salts of the
+Hot groups: a per-(key, bucket) row count finds the groups above
+``target_rows_per_group`` rows; each is split into
+``ceil(rows / target_rows_per_group)`` salts (capped).  Candidates pick one
+salt by hash of their id, triggers are replicated to all salts of their
 bucket, so the work of one hot category-day is spread over many tasks while
-cold groups stay at one salt.  The count table is broadcast only after its
-size has been checked; beyond the limit it is joined by shuffle.  AQE's skew
-split stays on as a second line of defence.
+cold groups stay at one salt and are not replicated.  The hot-group table is
+broadcast with a hard row limit (``MAX_HOT_GROUPS``); AQE's skew split stays
+on as a second line of defence.
 """
 
 from __future__ import annotations
@@ -33,23 +34,20 @@ from pyspark.sql import functions as F
 from support_signals.config import TrendConfig
 from support_signals.functions.vectors import bucket_of, dot, epoch_seconds
 
-# Broadcast the (key, bucket) -> salt table only below this many rows.
-MAX_BROADCAST_STATS_ROWS = 2_000_000
+# At most this many hot (key, bucket) groups are salted.  The hot-group table
+# is broadcast, so its size is bounded by construction (``limit``); groups
+# beyond the cap keep one salt, which changes only the spread of the work,
+# never the result.
+MAX_HOT_GROUPS = 100_000
 
 
-def _salt_table(cand: DataFrame, keys: Sequence[str], cfg: TrendConfig) -> DataFrame:
-    stats = (cand.groupBy(*keys, "bkt").agg(F.count(F.lit(1)).alias("n_rows"))
-             .select(*keys, "bkt",
-                     F.least(F.lit(cfg.max_salt),
-                             F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(cfg.target_rows_per_group))))
-                     .cast("int").alias("n_salt")))
-    return stats
-
-
-def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if its row count is below ``max_rows``."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def _hot_groups(cand: DataFrame, keys: Sequence[str], cfg: TrendConfig) -> DataFrame:
+    """(key, bucket, n_salt) for groups above ``target_rows_per_group`` rows."""
+    stats = cand.groupBy(*keys, "bkt").agg(F.count(F.lit(1)).alias("n_rows"))
+    hot = stats.where(F.col("n_rows") > cfg.target_rows_per_group).orderBy(F.desc("n_rows")).limit(MAX_HOT_GROUPS)
+    return hot.select(*keys, "bkt", F.least(F.lit(cfg.max_salt),
+                                            F.ceil(F.col("n_rows") / F.lit(cfg.target_rows_per_group)))
+                      .cast("int").alias("n_salt"))
 
 
 def window_pairs(
@@ -75,10 +73,10 @@ def window_pairs(
         *keys, F.col("id").alias("c_id"), F.col("created_at").alias("c_ts"),
         F.col("embedding").alias("c_vec"), *[F.col(c).alias(f"c_{c}") for c in candidate_cols],
     ).withColumn("bkt", bucket_of("c_ts", width))
-    salts = _salt_table(cand, keys, cfg)
-    salts = _maybe_broadcast(salts.cache(), MAX_BROADCAST_STATS_ROWS)
-    cand = (cand.join(salts, [*keys, "bkt"])
-            .withColumn("salt", F.pmod(F.xxhash64("c_id"), F.col("n_salt")).cast("int"))
+    hot = F.broadcast(_hot_groups(cand, keys, cfg))      # <= MAX_HOT_GROUPS rows
+    n_salt = F.coalesce(F.col("n_salt"), F.lit(1))
+    cand = (cand.join(hot, [*keys, "bkt"], "left")
+            .withColumn("salt", F.pmod(F.xxhash64("c_id"), n_salt).cast("int"))
             .drop("n_salt"))
 
     t_sec = epoch_seconds("t_ts")
@@ -89,9 +87,8 @@ def window_pairs(
     trig = (trig.withColumn("bkt", F.explode(F.sequence(
         F.floor((t_sec - F.lit(w)) / F.lit(width)).cast("bigint"),
         F.floor(t_sec / F.lit(width)).cast("bigint"))))
-        # buckets without candidates drop out here (inner join)
-        .join(salts, [*keys, "bkt"])
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)))
+        .join(hot, [*keys, "bkt"], "left")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), n_salt - 1)))
         .drop("n_salt"))
 
     upper = (F.col("c_ts") <= F.col("t_ts")) if closed_end else (F.col("c_ts") < F.col("t_ts"))

@@ -915,3 +915,7 @@ ORACLE["q_review_report"] = with_views("""
 SELECT t.id AS ticket_id, m.pos,
        sha256(upper(substr(m.author, 1, 1)) || lower(substr(m.author, 2)) || ' (' || m.type || '): ' || m.text) AS line
 FROM messages m JOIN tickets t ON t.ticket_no = m.ticket_no""", views=("tickets", "messages"))
+
+ORACLE["q_stream_warnings"] = ORACLE["q_incoming_warning"]
+ORACLE["q_stream_matches"] = with_views("SELECT t_id AS trigger_id, c_id AS similar_id, round(score, 6) AS score FROM matches",
+                                        ctes=MATCHES)
