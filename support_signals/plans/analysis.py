@@ -7,6 +7,7 @@ is materialised here; each query's plan is built from these pieces.
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,35 @@ from support_signals.config import TEST_CONFIG, TrendConfig
 from support_signals.operators import drafts, impact, trend
 from support_signals.operators.blocks import topk_neighbours
 from support_signals.operators.pairs import window_pairs
+from support_signals.session import cut_lineage
 from support_signals.sources import views
 
 
+_SHARED: dict[tuple, "Analysis"] = {}
+
+
+def shared_analysis(spark: SparkSession, sf_dir: str, cfg: TrendConfig = TEST_CONFIG) -> "Analysis":
+    """One materialising Analysis per (application, data folder, parameters):
+    the derived ticket table, the rule matches and the all-ticket top-k are
+    computed once and stored as reliable checkpoints in the shared checkpoint
+    folder; every query of the session reads them (computed once, stored,
+    joined to any page)."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), cfg)
+    if key not in _SHARED:
+        _SHARED[key] = Analysis(spark, sf_dir, cfg, materialize=True)
+    return _SHARED[key]
+
+
 class Analysis:
-    def __init__(self, spark: SparkSession, sf_dir: str, cfg: TrendConfig = TEST_CONFIG):
-        self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
+    def __init__(self, spark: SparkSession, sf_dir: str, cfg: TrendConfig = TEST_CONFIG, materialize: bool = False):
+        self.spark, self.sf_dir, self.cfg, self.materialize = spark, sf_dir, cfg, materialize
+
+    def _store(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.materialize else df
 
     @cached_property
     def tickets(self) -> DataFrame:
-        return views.tickets(self.spark, self.sf_dir)
+        return self._store(views.tickets(self.spark, self.sf_dir))
 
     @cached_property
     def accounts(self) -> DataFrame:
@@ -42,9 +62,15 @@ class Analysis:
     @cached_property
     def matches(self) -> DataFrame:
         """Trend-rule matches with the candidate's account and subject."""
-        return (window_pairs(self.tickets, self.tickets, self.cfg, keys=("category",),
-                             candidate_cols=("account_id", "subject"))
-                .where(F.col("score") >= F.lit(self.cfg.threshold)))
+        return self._store(window_pairs(self.tickets, self.tickets, self.cfg, keys=("category",),
+                                        candidate_cols=("account_id", "subject"))
+                           .where(F.col("score") >= F.lit(self.cfg.threshold)))
+
+    @cached_property
+    def topk_all(self) -> DataFrame:
+        """k nearest other tickets of every ticket (B2); k = 1 and top-3 views derive from it."""
+        return self._store(topk_neighbours(self.tickets, self.tickets, self.cfg.top_k, self.cfg.block_rows,
+                                           exclude_self=True, candidate_cols=("category", "subject")))
 
     @cached_property
     def trend(self) -> DataFrame:
@@ -62,8 +88,12 @@ class Analysis:
         return impact.impact_summary(self.members, self.accounts)
 
     def topk(self, queries: DataFrame | None = None, exclude_self: bool = True, k: int | None = None) -> DataFrame:
+        k = k or self.cfg.top_k
+        if exclude_self and k <= self.cfg.top_k:
+            t = self.topk_all.where(F.col("rank") <= k)
+            return t if queries is None else t.join(queries.select(F.col("id").alias("q_id")), "q_id", "left_semi")
         q = self.tickets if queries is None else queries
-        return topk_neighbours(q, self.tickets, k or self.cfg.top_k, self.cfg.block_rows,
+        return topk_neighbours(q, self.tickets, k, self.cfg.block_rows,
                                exclude_self=exclude_self, candidate_cols=("category", "subject"))
 
     @cached_property

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from support_signals.config import TEST_CONFIG as CFG
 from support_signals.operators import trend
-from support_signals.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -26,32 +25,32 @@ def register(name: str):
     return deco
 
 
+def _a(spark, d):
+    from support_signals.plans.analysis import shared_analysis
+    return shared_analysis(spark, d, CFG)
+
+
 # ---------------------------------------------------------------- 2.2 trend
 @register("q_trend_batch")
 def q_trend_batch(spark, d):
-    return trend.trend_batch(views.tickets(spark, d), CFG).drop("subject")
+    return trend.trend_batch(_a(spark, d).tickets, CFG).drop("subject")
 
 
 @register("q_pair_scores")
 def q_pair_scores(spark, d):
-    return (trend.pair_scores(views.tickets(spark, d), CFG)
+    return (trend.pair_scores(_a(spark, d).tickets, CFG)
             .select(F.col("t_id").alias("trigger_id"), F.col("c_id").alias("candidate_id"),
                     "category", F.round("score", 6).alias("score")))
 
 
 @register("q_window_candidates")
 def q_window_candidates(spark, d):
-    return trend.window_candidates(views.tickets(spark, d), CFG)
+    return trend.window_candidates(_a(spark, d).tickets, CFG)
 
 
 @register("q_trend_detail")
 def q_trend_detail(spark, d):
-    return trend.trend_detail(views.tickets(spark, d), CFG)
-
-
-def _a(spark, d):
-    from support_signals.plans.analysis import Analysis
-    return Analysis(spark, d, CFG)
+    return trend.trend_detail(_a(spark, d).tickets, CFG)
 
 
 # ---------------------------------------------------------------- 2.2 top-k
