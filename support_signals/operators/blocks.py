@@ -27,6 +27,11 @@ def _n_blocks(df: DataFrame, block_rows: int) -> int:
     return max(1, math.ceil(df.count() / max(1, block_rows)))
 
 
+def _empty(columns: list[str], dtypes: dict[str, str]) -> pd.DataFrame:
+    """A typed empty result (Arrow needs concrete column types)."""
+    return pd.DataFrame({c: pd.Series([], dtype=dtypes.get(c, "object")) for c in columns})
+
+
 def _stack(vecs: pd.Series) -> np.ndarray:
     if len(vecs) == 0:
         return np.zeros((0, 0))
@@ -75,7 +80,7 @@ def topk_neighbours(queries: DataFrame, candidates: DataFrame, k: int, block_row
 
     def cell(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({n: [] for n in ["q_id", "c_id", "score", *extra]})
+            return _empty(["q_id", "c_id", "score", *extra], {"score": "float64"})
         qv, cv = _stack(qp["embedding"]), _stack(cp["embedding"])
         s = qv @ cv.T
         qids, cids = qp["id"].to_numpy(), cp["id"].to_numpy()
