@@ -59,7 +59,7 @@ def normalize_labels(labels_text, category) -> Column:
 
 def component_label(labels) -> Column:
     """First label outside the skip set, mapped to its pill name, else upper case."""
-    first = F.element_at(F.filter(_c(labels), lambda x: ~x.isin(*SKIP_LABELS)), 1)
+    first = F.try_element_at(F.filter(_c(labels), lambda x: ~x.isin(*SKIP_LABELS)), F.lit(1))
     pills = F.create_map(*[F.lit(x) for kv in COMPONENT_PILLS.items() for x in kv])
     return F.coalesce(F.element_at(pills, first), F.upper(F.regexp_replace(first, "-", " ")))
 
