@@ -127,3 +127,27 @@ def status_label(status) -> Column:
 
 
 __all__ = ["truncate"]
+
+
+# ---- tier notes and reply templates (S7); fixed texts of the reference ----
+def customer_note(tier, company) -> Column:
+    t, c = F.lower(_c(tier)), _c(company)
+    return (F.when(t == "enterprise", F.concat(F.lit("Valuable Customer since 2010 — "), c, F.lit(" enterprise account")))
+            .when(t == "pro", F.concat(F.lit("Pro customer — "), c, F.lit(" since 2018")))
+            .otherwise(F.concat(F.lit("Customer since 2022 — "), c)))
+
+
+def internal_note(tier, name) -> Column:
+    t, n = F.lower(_c(tier)), _c(name)
+    return (F.when(t == "enterprise", F.concat(n, F.lit(" is on an enterprise account — prioritize response.")))
+            .when(t == "pro", F.concat(n, F.lit(" is a pro customer. Give attentive support.")))
+            .otherwise(F.concat(F.lit("Standard support tier for "), n, F.lit("."))))
+
+
+def agent_reply(name, category, subject) -> Column:
+    first = F.split(_c(name), r"\s+")[0]
+    api = F.lower(F.coalesce(_c(category), F.lit(""))).contains("api")
+    return (F.when(api, F.concat(F.lit("Hi "), first, F.lit(", thanks for reaching out. I can help with your API "
+                                                              "question. Let me review your account setup.")))
+            .otherwise(F.concat(F.lit("Hi "), first, F.lit(", how can I help you today? I see your request about: "),
+                                truncate(_c(subject), 60))))

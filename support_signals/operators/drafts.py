@@ -123,3 +123,36 @@ def pick_draft(trend: DataFrame, drafts_df: DataFrame, reviewed: DataFrame, conf
         .alias("source"),
         F.when(F.col("rn").isNotNull(), reviewed_title).when(F.col("dt").isNotNull(), F.col("dt"))
         .otherwise(F.lit("No engineering draft: below the trend threshold.")).alias("title"))
+
+
+FREE_TEXT_LABEL_CHARS = 60          # fixed value: label of a free-text trigger
+
+
+def freetext_drafts(ft_trend: DataFrame, ft_matches: DataFrame, queries: DataFrame, accounts: DataFrame,
+                    cfg: TrendConfig) -> DataFrame:
+    """Draft for a flagged free-text query: shorter summary, priority
+    medium from 20 matches else low, no trigger ticket, impact of the
+    matched tickets only."""
+    from support_signals.operators.impact import impact_summary
+
+    members = ft_matches.select(F.col("t_query_id").alias("trigger_id"), F.col("c_id").alias("ticket_id"),
+                                F.col("c_account_id").alias("account_id"), F.col("c_ts").alias("ts"),
+                                F.lit(False).alias("is_trigger"))
+    imp = impact_summary(members, accounts).withColumnRenamed("trigger_id", "query_id")
+    ids = first_ids(ft_matches.select(F.col("t_query_id").alias("t_id"), "c_id")).withColumnRenamed("t_id", "query_id")
+    f = (ft_trend.where(F.col("is_potential_trend"))
+         .join(queries.select("query_id", "subject"), "query_id", "left")
+         .join(imp, "query_id", "left").join(ids, "query_id", "left"))
+    n = F.col("similar_count")
+    label = F.substring(F.coalesce("subject", F.lit("")), 1, FREE_TEXT_LABEL_CHARS)
+    return f.select(
+        "query_id",
+        F.format_string("[Trend] Recurring %s issues (%d similar tickets)", title_case("category"), n).alias("title"),
+        F.concat(F.lit("Support trend detected from free-text input ("), label,
+                 F.format_string("): %d tickets with similarity >= ", n), pct0(F.lit(cfg.threshold)), F.lit("."))
+        .alias("summary"),
+        F.when(n >= HIGH_AT, "medium").otherwise("low").alias("priority"), "category", n.alias("similar_count"),
+        F.coalesce("similar_ticket_ids", F.lit("")).alias("similar_ticket_ids"),
+        F.coalesce("total_tickets", F.lit(0).cast("bigint")).alias("total_tickets"),
+        F.coalesce("unique_accounts", F.lit(0).cast("bigint")).alias("unique_accounts"),
+        F.coalesce("arr_at_risk_formatted", F.lit("$0")).alias("arr_at_risk_formatted"))

@@ -82,18 +82,25 @@ def freetext_trend(queries: DataFrame, tickets: DataFrame, cfg: TrendConfig) ->
     The anchor is a one-row aggregate; the pairs reuse the bucketed,
     salted window join with every query placed at the anchor time.
     """
-    anchor = tickets.agg(F.max("created_at").alias("anchor"))
-    q = (queries.crossJoin(F.broadcast(anchor))         # one row
-         .select(F.concat(F.lit("\u0000q:"), F.col("query_id")).alias("id"), "category",
-                 F.col("anchor").alias("created_at"), "embedding", F.col("query_id")))
-    m = (window_pairs(q, tickets, cfg, keys=("category",), trigger_cols=("query_id",), closed_end=True)
-         .where(F.col("score") >= F.lit(cfg.threshold)))
+    m = freetext_matches(queries, tickets, cfg)
     n = m.groupBy(F.col("t_query_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n"))
     cnt = F.coalesce("n", F.lit(0)).cast("bigint")
     return (queries.select("query_id", "category").join(n, "query_id", "left")
             .select("query_id", "category", *_rule_columns(cnt, cfg)))
 
 
+def freetext_matches(queries: DataFrame, tickets: DataFrame, cfg: TrendConfig) -> DataFrame:
+    """Matches of free-text queries: same (inferred) category, closed window
+    anchored on the newest ticket, score at or above the threshold."""
+    anchor = tickets.agg(F.max("created_at").alias("anchor"))
+    q = (queries.crossJoin(F.broadcast(anchor))         # one row
+         .select(F.concat(F.lit("\u0000q:"), F.col("query_id")).alias("id"), "category",
+                 F.col("anchor").alias("created_at"), "embedding", F.col("query_id")))
+    return (window_pairs(q, tickets, cfg, keys=("category",), trigger_cols=("query_id",),
+                         candidate_cols=("account_id",), closed_end=True)
+            .where(F.col("score") >= F.lit(cfg.threshold)))
+
+
 def incoming_warning(trend: DataFrame, cfg: TrendConfig) -> DataFrame:
     """The warning payload attached to an incoming ticket."""
     flag = F.col("is_potential_trend")

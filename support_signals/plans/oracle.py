@@ -919,3 +919,80 @@ FROM messages m JOIN tickets t ON t.ticket_no = m.ticket_no""", views=("tickets"
 ORACLE["q_stream_warnings"] = ORACLE["q_incoming_warning"]
 ORACLE["q_stream_matches"] = with_views("SELECT t_id AS trigger_id, c_id AS similar_id, round(score, 6) AS score FROM matches",
                                         ctes=MATCHES)
+
+
+# ---------------------------------------------------------------- text helpers
+FT_CTES = {
+    "nn": topk_sql(1, exclude_self=False),
+    "q": "SELECT t.id AS query_id, t.subject, t.embedding, coalesce(nn.category, 'unknown') AS category "
+         "FROM tickets t LEFT JOIN nn ON nn.q_id = t.id",
+    "ftm": f"""
+SELECT q.query_id, c.id AS c_id, c.account_id FROM q JOIN tickets c ON c.category = q.category
+ AND c.created_at >= (SELECT max(created_at) FROM tickets) - INTERVAL 7 DAY AND c.created_at <= (SELECT max(created_at) FROM tickets)
+ AND {dot_sql('q.embedding', 'c.embedding')} >= {THR}""",
+    "ftn": "SELECT q.query_id, q.subject, q.category, count(m.c_id) AS n FROM q LEFT JOIN ftm m ON m.query_id = q.query_id "
+           "GROUP BY q.query_id, q.subject, q.category",
+    "ftca": """
+SELECT m.query_id, m.account_id, any_value(a.arr) AS arr,
+       any_value(CASE WHEN a.tier IN ('enterprise', 'pro', 'free') THEN a.tier ELSE 'free' END) AS tier
+FROM ftm m JOIN accounts a ON a.account_id = m.account_id GROUP BY m.query_id, m.account_id""",
+    "fti": f"""
+SELECT t.query_id, CAST(t.total AS BIGINT) AS total_tickets, CAST(coalesce(p.ua, 0) AS BIGINT) AS unique_accounts,
+       {fmt_arr_sql('CAST(coalesce(p.arr, 0) AS BIGINT)')} AS arr_at_risk_formatted
+FROM (SELECT query_id, count(*) AS total FROM ftm GROUP BY query_id) t
+LEFT JOIN (SELECT query_id, count(*) AS ua, sum(arr) AS arr FROM ftca GROUP BY query_id) p ON p.query_id = t.query_id""",
+    "ftids": """
+SELECT query_id, string_agg(c_id, ', ' ORDER BY c_id) AS ids FROM (
+  SELECT query_id, c_id, row_number() OVER (PARTITION BY query_id ORDER BY c_id) AS r FROM ftm) WHERE r <= 20 GROUP BY query_id""",
+}
+
+ORACLE["q_draft_freetext"] = with_views(f"""
+SELECT f.query_id,
+       '[Trend] Recurring ' || {title_sql('f.category')} || ' issues (' || CAST(f.n AS VARCHAR) || ' similar tickets)' AS title,
+       'Support trend detected from free-text input (' || substr(coalesce(f.subject, ''), 1, 60) || '): ' || CAST(f.n AS VARCHAR)
+         || ' tickets with similarity >= 20%.' AS summary,
+       CASE WHEN f.n >= 20 THEN 'medium' ELSE 'low' END AS priority, f.category, CAST(f.n AS BIGINT) AS similar_count,
+       coalesce(ids.ids, '') AS similar_ticket_ids, coalesce(i.total_tickets, 0) AS total_tickets,
+       coalesce(i.unique_accounts, 0) AS unique_accounts, coalesce(i.arr_at_risk_formatted, '$0') AS arr_at_risk_formatted
+FROM ftn f LEFT JOIN fti i ON i.query_id = f.query_id LEFT JOIN ftids ids ON ids.query_id = f.query_id
+WHERE f.n >= {MIN_COUNT}""", views=ACC_VIEWS, ctes=FT_CTES)
+
+
+def _notes_sql() -> str:
+    name = requester_sql("t.id")
+    tier = "lower(coalesce(a.tier, 'free'))"
+    comp = "coalesce(nullif(a.account_name, ''), 'this account')"
+    first = f"string_split_regex({name}, '\\s+')[1]"
+    return f"""
+SELECT t.id,
+       CASE WHEN {tier} = 'enterprise' THEN 'Valuable Customer since 2010 — ' || {comp} || ' enterprise account'
+            WHEN {tier} = 'pro' THEN 'Pro customer — ' || {comp} || ' since 2018'
+            ELSE 'Customer since 2022 — ' || {comp} END AS customer_note,
+       CASE WHEN {tier} = 'enterprise' THEN {name} || ' is on an enterprise account — prioritize response.'
+            WHEN {tier} = 'pro' THEN {name} || ' is a pro customer. Give attentive support.'
+            ELSE 'Standard support tier for ' || {name} || '.' END AS internal_note,
+       CASE WHEN contains(lower(coalesce(t.category, '')), 'api')
+            THEN 'Hi ' || {first} || ', thanks for reaching out. I can help with your API question. Let me review your account setup.'
+            ELSE 'Hi ' || {first} || ', how can I help you today? I see your request about: '
+                 || CASE WHEN length(t.subject) <= 60 THEN t.subject ELSE substr(t.subject, 1, 59) || '…' END END AS agent_reply
+FROM tickets t LEFT JOIN accounts a ON a.account_id = t.account_id"""
+
+
+ORACLE["q_customer_notes"] = with_views(_notes_sql(), views=ACC_VIEWS)
+
+ORACLE["q_report_lines"] = with_views(f"""
+SELECT trigger_id, 'tier' AS kind, CAST(pos AS BIGINT) AS pos,
+       {title_sql('tier')} || ' accounts: ' || CAST(accounts AS VARCHAR) || ' - $' || format('{{:,}}', arr) || ' ARR' AS line
+FROM (SELECT trigger_id, 'enterprise' AS tier, 1 AS pos, enterprise_accounts AS accounts, enterprise_arr AS arr FROM impact
+      UNION ALL SELECT trigger_id, 'pro', 2, pro_accounts, pro_arr FROM impact
+      UNION ALL SELECT trigger_id, 'free', 3, free_accounts, free_arr FROM impact) WHERE accounts > 0 OR arr > 0
+UNION ALL
+SELECT trigger_id, 'account', rank, account_name || ' (' || {title_sql('tier')} || '): ' || {fmt_arr_sql('arr')}
+FROM (SELECT *, row_number() OVER (PARTITION BY trigger_id ORDER BY arr DESC, first_seen) AS rank FROM ca) WHERE rank <= 5
+UNION ALL
+SELECT t.id, 'badge', 0, CASE WHEN coalesce(r.n, 0) >= {MIN_COUNT} THEN 'Reviewed cluster meets trend threshold'
+                              ELSE 'Reviewed cluster is below trend threshold' END
+FROM tickets t LEFT JOIN (
+  SELECT m.t_id, count(*) AS n FROM matches m LEFT JOIN decisions d ON d.trigger_id = m.t_id AND d.ticket_id = m.c_id
+  WHERE coalesce(d.include, true) GROUP BY m.t_id) r ON r.t_id = t.id""", views=ACC_VIEWS,
+                                     ctes={**IMPACT_CTES, **REVIEW_CTES})

@@ -646,3 +646,57 @@ def q_stream_matches(spark, d):
     from support_signals.streaming.incoming import run_matches
     out = _stream_run(spark, d, lambda a, src, schema, root: run_matches(spark, src, schema, a.cfg, root))
     return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------- text helpers
+@register("q_draft_freetext")
+def q_draft_freetext(spark, d):
+    """Drafts for flagged free-text queries (every ticket vector as anonymous text)."""
+    from support_signals.operators.drafts import freetext_drafts
+    from support_signals.operators.trend import freetext_matches
+    a = _a(spark, d)
+    cat = a.topk(exclude_self=False, k=1).select(F.col("q_id").alias("query_id"), "category")
+    q = (a.tickets.select(F.col("id").alias("query_id"), "embedding", "subject").join(cat, "query_id", "left")
+         .withColumn("category", F.coalesce("category", F.lit("unknown"))))
+    m = freetext_matches(q, a.tickets, a.cfg)
+    n = m.groupBy(F.col("t_query_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n"))
+    ft = (q.join(n, "query_id", "left").select("query_id", "category",
+                                               F.coalesce("n", F.lit(0)).cast("bigint").alias("similar_count"))
+          .withColumn("is_potential_trend", F.col("similar_count") >= a.cfg.min_count))
+    return freetext_drafts(ft, m, q, a.accounts, a.cfg)
+
+
+@register("q_customer_notes")
+def q_customer_notes(spark, d):
+    """Tier notes and the first agent reply of every ticket."""
+    from support_signals.functions import labels as L
+    a = _a(spark, d)
+    j = a.tickets.join(a.accounts.select("account_id", "account_name", "tier"), "account_id", "left")
+    name = L.requester_name("id")
+    company = F.coalesce(F.nullif(F.col("account_name"), F.lit("")), F.lit("this account"))
+    tier = F.coalesce("tier", F.lit("free"))
+    return j.select("id", L.customer_note(tier, company).alias("customer_note"),
+                    L.internal_note(tier, name).alias("internal_note"),
+                    L.agent_reply(name, F.col("category"), F.col("subject")).alias("agent_reply"))
+
+
+@register("q_report_lines")
+def q_report_lines(spark, d):
+    """Tier lines (empty tiers hidden), top-account lines and the cluster badge."""
+    from support_signals.functions.formats import title_case
+    from support_signals.operators.impact import TIERS, impact_tiers, top_accounts
+    from support_signals.operators.review import reviewed_members, reviewed_trend
+    a = _a(spark, d)
+    order = F.create_map(*[F.lit(x) for i, t in enumerate(TIERS) for x in (t, i + 1)])
+    tiers = (impact_tiers(a.impact).where((F.col("accounts") > 0) | (F.col("arr") > 0))
+             .select("trigger_id", F.lit("tier").alias("kind"), F.element_at(order, F.col("tier")).cast("bigint").alias("pos"),
+                     F.format_string("%s accounts: %d - $%s ARR", title_case("tier"), F.col("accounts"),
+                                     F.format_number("arr", 0)).alias("line")))
+    acc = top_accounts(a.members, a.accounts).select(
+        "trigger_id", F.lit("account").alias("kind"), F.col("rank").cast("bigint").alias("pos"),
+        F.format_string("%s (%s): %s", F.col("account_name"), title_case("tier"), F.col("arr_formatted")).alias("line"))
+    rv = reviewed_trend(reviewed_members(a.matches, a.decisions), a.tickets, a.cfg).select(
+        "trigger_id", F.lit("badge").alias("kind"), F.lit(0).cast("bigint").alias("pos"),
+        F.when(F.col("is_potential_trend"), "Reviewed cluster meets trend threshold")
+        .otherwise("Reviewed cluster is below trend threshold").alias("line"))
+    return tiers.unionByName(acc).unionByName(rv)
