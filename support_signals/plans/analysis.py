@@ -17,7 +17,7 @@ from support_signals.config import TEST_CONFIG, TrendConfig
 from support_signals.operators import drafts, impact, trend
 from support_signals.operators.blocks import topk_neighbours
 from support_signals.operators.pairs import window_pairs
-from support_signals.session import cut_lineage
+from support_signals.session import write_table
 from support_signals.sources import views
 
 
@@ -40,12 +40,12 @@ class Analysis:
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: TrendConfig = TEST_CONFIG, materialize: bool = False):
         self.spark, self.sf_dir, self.cfg, self.materialize = spark, sf_dir, cfg, materialize
 
-    def _store(self, df: DataFrame) -> DataFrame:
-        return cut_lineage(df) if self.materialize else df
+    def _store(self, df: DataFrame, name: str, sort_by: str | None = None) -> DataFrame:
+        return write_table(df, name, sort_by) if self.materialize else df
 
     @cached_property
     def tickets(self) -> DataFrame:
-        return self._store(views.tickets(self.spark, self.sf_dir))
+        return self._store(views.tickets(self.spark, self.sf_dir), "tickets", "id")
 
     @cached_property
     def accounts(self) -> DataFrame:
@@ -64,13 +64,13 @@ class Analysis:
         """Trend-rule matches with the candidate's account and subject."""
         return self._store(window_pairs(self.tickets, self.tickets, self.cfg, keys=("category",),
                                         candidate_cols=("account_id", "subject"))
-                           .where(F.col("score") >= F.lit(self.cfg.threshold)))
+                           .where(F.col("score") >= F.lit(self.cfg.threshold)), "matches", "t_id")
 
     @cached_property
     def topk_all(self) -> DataFrame:
         """k nearest other tickets of every ticket (B2); k = 1 and top-3 views derive from it."""
         return self._store(topk_neighbours(self.tickets, self.tickets, self.cfg.top_k, self.cfg.block_rows,
-                                           exclude_self=True, candidate_cols=("category", "subject")))
+                                           exclude_self=True, candidate_cols=("category", "subject")), "topk", "q_id")
 
     @cached_property
     def trend(self) -> DataFrame:

@@ -615,20 +615,25 @@ def q_review_report(spark, d):
 
 
 # ---------------------------------------------------------------- 2.9 streaming
-def _stream_run(spark, d, run, slices: int = 4):
-    """Tickets arrive in ``slices`` time-ordered drops; after each drop the
-    streaming query is restarted from its checkpoint and processes only the
-    new files (availableNow), as a scheduled incremental job would."""
+def _stream_run(spark, d, start, slices: int = 4):
+    """Tickets arrive in ``slices`` time-ordered drops into the source folder
+    of a running streaming query; after each drop the query processes all
+    available input (one micro-batch per drop)."""
     from support_signals.streaming.incoming import TICKET_COLUMNS, arrive, scratch_root, time_slices
     a = _a(spark, d)
     root = scratch_root(spark, "incoming")
     src = root + "/source"
     schema = a.tickets.select(*TICKET_COLUMNS).schema
     sliced = time_slices(a.tickets, slices)
-    out = None
-    for i in range(slices):
-        arrive(sliced, src, i)
-        out = run(a, src, schema, root)
+    arrive(sliced, src, 0)
+    q, out = start(a, src, schema, root)
+    try:
+        q.processAllAvailable()
+        for i in range(1, slices):
+            arrive(sliced, src, i)
+            q.processAllAvailable()
+    finally:
+        q.stop()
     return out
 
 
@@ -636,15 +641,19 @@ def _stream_run(spark, d, run, slices: int = 4):
 def q_stream_warnings(spark, d):
     """T1(a)/T2/T5: the incoming stream produces the same warnings as the batch job."""
     from support_signals.streaming.incoming import warnings_job
-    out = _stream_run(spark, d, lambda a, src, schema, root: warnings_job(spark, src, schema, a.cfg, root)[2])
-    return spark.read.parquet(out).drop("batch_id")
+
+    def start(a, src, schema, root):
+        q, _, out = warnings_job(spark, src, schema, a.cfg, root, continuous=True)
+        return q, out
+    return spark.read.parquet(_stream_run(spark, d, start)).drop("batch_id")
 
 
 @register("q_stream_matches")
 def q_stream_matches(spark, d):
     """T1(b): stateful stream-stream interval join; equals the batch matches."""
     from support_signals.streaming.incoming import run_matches
-    out = _stream_run(spark, d, lambda a, src, schema, root: run_matches(spark, src, schema, a.cfg, root))
+    out = _stream_run(spark, d, lambda a, src, schema, root: run_matches(spark, src, schema, a.cfg, root,
+                                                                          continuous=True))
     return spark.read.parquet(out)
 
 

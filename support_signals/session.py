@@ -54,3 +54,17 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def write_table(df, name: str, sort_by: str | None = None):
+    """Write ``df`` as a parquet table in a fresh folder under the shared
+    checkpoint directory and return it read back: lineage is cut, and later
+    reads get column pruning and filter pushdown (row-group min/max on the
+    sort column)."""
+    import uuid
+
+    root = ensure_checkpoint_dir(df.sparkSession)
+    path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    out = df.sortWithinPartitions(sort_by) if sort_by else df
+    out.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
