@@ -120,11 +120,14 @@ def first_issue_per_trigger(issues: DataFrame) -> DataFrame:
 
 
 def issue_page(issues: DataFrame, page: int = 0, size: int = ISSUE_PAGE_SIZE) -> DataFrame:
-    """One page in key order with its 'Showing x-y of n' caption."""
-    ranked = global_rank(issues, F.asc("key_no"), name="pos")
+    """One page in key order with its 'Showing x-y of n' caption.
+
+    Sort + offset + limit runs as a per-task top-(offset + size) and a merge;
+    only the page rows reach the window that numbers them."""
     total = issues.agg(F.count(F.lit(1)).alias("n"))
     start = page * size
-    rows = ranked.where((F.col("pos") > start) & (F.col("pos") <= start + size))
+    rows = (issues.orderBy("key_no").offset(start).limit(size)
+            .withColumn("pos", (F.row_number().over(Window.orderBy("key_no")) + start).cast("bigint")))
     cap = F.when(F.col("n") > 0, F.format_string("Showing %d–%d of %d", F.lit(start + 1),
                                                  F.least(F.lit(start + size), F.col("n")), F.col("n"))) \
         .otherwise(F.lit("0 issues"))

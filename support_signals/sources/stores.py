@@ -47,3 +47,40 @@ def read_state(spark, state_root: str) -> DataFrame | None:
         return None
     with open(ptr, encoding="utf-8") as fh:
         return spark.read.parquet(fh.read().strip())
+
+
+def publish(df: DataFrame, state_root: str) -> str:
+    """Write a full new version (e.g. the issue backlog) and swap the
+    ``CURRENT`` pointer; readers see the old or the new version, never a mix."""
+    target = os.path.join(state_root, f"state-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(target)
+    tmp = os.path.join(state_root, "CURRENT.tmp")
+    with open(tmp, "w", encoding="utf-8") as fh:
+        fh.write(target)
+    os.replace(tmp, os.path.join(state_root, "CURRENT"))
+    return target
+
+
+def _exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def load_json_or_empty(spark, path: str, schema, multiline: bool = True) -> DataFrame:
+    """A JSON source; a missing file gives an empty table (as the reference)."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.json(path, schema=schema, multiLine=multiline)
+
+
+def load_issues(spark, runtime_path: str, seed_path: str, schema) -> DataFrame:
+    """The runtime backlog if it exists, otherwise the seed file."""
+    return load_json_or_empty(spark, runtime_path if _exists(spark, runtime_path) else seed_path, schema)
+
+
+def dedupe_last(df: DataFrame, key: str) -> DataFrame:
+    """When a key repeats in a list source, the last occurrence wins
+    (input order = partition order; monotonically increasing ids keep it)."""
+    d = df.withColumn("_order", F.monotonically_increasing_id())
+    return latest_per_key(d, [key], order=("_order",))

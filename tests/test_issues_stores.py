@@ -86,3 +86,20 @@ def test_global_rank(spark):
     df = spark.range(0, 1000).withColumn("k", (F.col("id") * 7919) % 1000).repartition(7)
     r = global_rank(df, F.desc("k")).collect()
     assert sorted((x.rank, x.k) for x in r) == [(i + 1, 999 - i) for i in range(1000)]
+
+
+def test_sources_missing_and_last_duplicate(spark):
+    root = tempfile.mkdtemp(prefix="ss-src-")
+    schema = "account_id string, arr bigint"
+    assert stores.load_json_or_empty(spark, os.path.join(root, "none.json"), schema).count() == 0
+    p = os.path.join(root, "acc.json")
+    with open(p, "w") as fh:
+        fh.write('[{"account_id": "A", "arr": 1}, {"account_id": "B", "arr": 2}, {"account_id": "A", "arr": 3}]')
+    d = {r.account_id: r.arr for r in stores.dedupe_last(stores.load_json_or_empty(spark, p, schema), "account_id").collect()}
+    assert d == {"A": 3, "B": 2}
+    seed = os.path.join(root, "seed.json")
+    with open(seed, "w") as fh:
+        fh.write('[{"issue_key": "ENG-150"}]')
+    assert stores.load_issues(spark, os.path.join(root, "runtime.json"), seed, "issue_key string").count() == 1
+    v = stores.publish(spark.createDataFrame([("ENG-151",)], "issue_key string"), os.path.join(root, "issues"))
+    assert stores.read_state(spark, os.path.join(root, "issues")).collect()[0].issue_key == "ENG-151" and v
