@@ -45,11 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder is created and registered.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
+    active = sc.getCheckpointDir()            # already registered (with Spark's own sub-folder)
+    if active:
+        return active
+    current = sc.getConf().get("spark.checkpoint.dir", None)
+    if not current:                           # unset: local tests only
         current = tempfile.mkdtemp(prefix="ss-ckpt-", dir=os.environ.get("SS_SCRATCH", "/tmp"))
     sc.setCheckpointDir(current)
-    return current
+    return sc.getCheckpointDir() or current
 
 
 def cut_lineage(df, eager: bool = True):
