@@ -996,3 +996,10 @@ FROM tickets t LEFT JOIN (
   SELECT m.t_id, count(*) AS n FROM matches m LEFT JOIN decisions d ON d.trigger_id = m.t_id AND d.ticket_id = m.c_id
   WHERE coalesce(d.include, true) GROUP BY m.t_id) r ON r.t_id = t.id""", views=ACC_VIEWS,
                                      ctes={**IMPACT_CTES, **REVIEW_CTES})
+
+# The hashed TF-IDF vector has 512 slots and unit norm whenever the text has
+# a token (ASCII word characters, as the tokenizer splits on \W), else norm 0.
+ORACLE["q_embed"] = with_views("""
+SELECT id, 512 AS dims,
+       CASE WHEN regexp_matches(coalesce(subject, '') || ' ' || coalesce(body, ''), '[A-Za-z0-9_]') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm
+FROM tickets""")

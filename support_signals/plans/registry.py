@@ -528,7 +528,7 @@ def q_messages(spark, d):
     """Conversation rows keyed by ticket id."""
     a = _a(spark, d)
     return (a.messages.join(a.tickets.select("ticket_no", "id"), "ticket_no")
-            .select(F.col("id").alias("ticket_id"), "pos", "author", "type", F.length("text").alias("text_chars")))
+            .select(F.col("id").alias("ticket_id"), "pos", "author", "type", F.length("text").cast("bigint").alias("text_chars")))
 
 
 @register("q_ticket_by_id")

@@ -28,7 +28,7 @@ def con():
 def test_every_query_has_oracle_or_reason():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"q_embed"}        # Spark ML encoder: rows-only check
+    assert set(q) == set(o)
 
 
 @pytest.mark.parametrize("name", NAMES)
