@@ -10,25 +10,27 @@ categories).  Instead both sides get a time bucket of ``bucket_hours``:
 * a candidate lives in exactly one bucket ``floor(epoch / width)``;
 * a trigger is replicated to every bucket its window touches
   (``window / width + 1`` replicas), so every pair is produced exactly once;
-* the join key is ``(key, bucket, salt)``; the exact half-open range test is a
+* the join key is ``(key, bucket, salt_c, salt_t)``; the exact half-open test is a
   residual predicate of the join; the score is computed only for pairs that
   pass it.
 
-Hot groups: a per-(key, bucket) row count finds the groups above
-``target_rows_per_group`` rows; each is split into
-``ceil(rows / target_rows_per_group)`` salts (capped).  Candidates pick one
-salt by hash of their id, triggers are replicated to all salts of their
-bucket, so the work of one hot category-day is spread over many tasks while
-cold groups stay at one salt and are not replicated.  The hot-group table is
-broadcast with a hard row limit (``MAX_HOT_GROUPS``); AQE's skew split stays
-on as a second line of defence.
+Hot groups are split on both sides.  Per (key, bucket) the candidate count
+``n_c`` and the count ``n_t`` of triggers reaching the bucket give
+``s_c = ceil(n_c / target)`` and ``s_t = ceil(n_t / target)`` (capped).  A
+candidate takes salt_c by hash and is replicated to every salt_t; a trigger
+takes salt_t by hash and is replicated to every salt_c; the join key is
+(key, bucket, salt_c, salt_t).  A join group then holds about ``target``
+rows of each side, so per-task work is bounded by ~target^2 however hot the
+category-day is, while cold buckets keep (1, 1) and are not replicated.
+The hot-group table is broadcast with a hard row limit (``MAX_HOT_GROUPS``);
+AQE's skew split stays on as a second line of defence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from support_signals.config import TrendConfig
@@ -41,13 +43,28 @@ from support_signals.functions.vectors import bucket_of, dot, epoch_seconds
 MAX_HOT_GROUPS = 100_000
 
 
-def _hot_groups(cand: DataFrame, keys: Sequence[str], cfg: TrendConfig) -> DataFrame:
-    """(key, bucket, n_salt) for groups above ``target_rows_per_group`` rows."""
-    stats = cand.groupBy(*keys, "bkt").agg(F.count(F.lit(1)).alias("n_rows"))
-    hot = stats.where(F.col("n_rows") > cfg.target_rows_per_group).orderBy(F.desc("n_rows")).limit(MAX_HOT_GROUPS)
-    return hot.select(*keys, "bkt", F.least(F.lit(cfg.max_salt),
-                                            F.ceil(F.col("n_rows") / F.lit(cfg.target_rows_per_group)))
-                      .cast("int").alias("n_salt"))
+def _hot_groups(cand: DataFrame, trig: DataFrame, keys: Sequence[str], cfg: TrendConfig, span: int) -> DataFrame:
+    """(key, bucket, s_c, s_t) for the hot candidate buckets.
+
+    ``s_c`` splits the candidates of the bucket, ``s_t`` splits the triggers
+    that reach it (those of buckets b .. b + span, a range-frame sum over the
+    small per-bucket count table), so a join group holds about
+    ``target_rows_per_group`` rows of each side.
+    """
+    c = cand.groupBy(*keys, "bkt").agg(F.count(F.lit(1)).alias("n_c"))
+    t = trig.groupBy(*keys, F.col("t_bkt").alias("bkt")).agg(F.count(F.lit(1)).alias("n_own"))
+    w = Window.partitionBy(*keys).orderBy("bkt").rangeBetween(0, span)   # rows per key = buckets, not data
+    st = (c.join(t, [*keys, "bkt"], "full")
+          .withColumn("n_t", F.sum(F.coalesce("n_own", F.lit(0))).over(w))
+          .where(F.col("n_c").isNotNull()))
+
+    def split(n):
+        return F.least(F.lit(cfg.max_salt), F.greatest(F.lit(1), F.ceil(n / F.lit(cfg.target_rows_per_group)))).cast("int")
+
+    st = st.select(*keys, "bkt", split(F.col("n_c")).alias("s_c"), split(F.col("n_t")).alias("s_t"),
+                   (F.col("n_c") * F.col("n_t")).alias("work"))
+    hot = st.where((F.col("s_c") > 1) | (F.col("s_t") > 1)).orderBy(F.desc("work")).limit(MAX_HOT_GROUPS)
+    return hot.drop("work")
 
 
 def window_pairs(
@@ -73,26 +90,30 @@ def window_pairs(
         *keys, F.col("id").alias("c_id"), F.col("created_at").alias("c_ts"),
         F.col("embedding").alias("c_vec"), *[F.col(c).alias(f"c_{c}") for c in candidate_cols],
     ).withColumn("bkt", bucket_of("c_ts", width))
-    hot = F.broadcast(_hot_groups(cand, keys, cfg))      # <= MAX_HOT_GROUPS rows
-    n_salt = F.coalesce(F.col("n_salt"), F.lit(1))
-    cand = (cand.join(hot, [*keys, "bkt"], "left")
-            .withColumn("salt", F.pmod(F.xxhash64("c_id"), n_salt).cast("int"))
-            .drop("n_salt"))
-
     t_sec = epoch_seconds("t_ts")
     trig = triggers.select(
         *keys, F.col("id").alias("t_id"), F.col("created_at").alias("t_ts"),
         F.col("embedding").alias("t_vec"), *[F.col(c).alias(f"t_{c}") for c in trigger_cols],
-    )
+    ).withColumn("t_bkt", F.floor(t_sec / F.lit(width)).cast("bigint"))
+    span = -(-w // width)                                # buckets a window reaches back
+    hot = F.broadcast(_hot_groups(cand.select(*keys, "bkt"), trig.select(*keys, "t_bkt"), keys, cfg, span))
+    s_c, s_t = F.coalesce(F.col("s_c"), F.lit(1)), F.coalesce(F.col("s_t"), F.lit(1))
+    # candidates: one candidate salt by hash, replicated to every trigger salt
+    cand = (cand.join(hot, [*keys, "bkt"], "left")
+            .withColumn("salt_c", F.pmod(F.xxhash64("c_id"), s_c).cast("int"))
+            .withColumn("salt_t", F.explode(F.sequence(F.lit(0), s_t - 1)))
+            .drop("s_c", "s_t"))
+    # triggers: every bucket their window touches; one trigger salt by hash,
+    # replicated to every candidate salt of that bucket
     trig = (trig.withColumn("bkt", F.explode(F.sequence(
-        F.floor((t_sec - F.lit(w)) / F.lit(width)).cast("bigint"),
-        F.floor(t_sec / F.lit(width)).cast("bigint"))))
+        F.floor((t_sec - F.lit(w)) / F.lit(width)).cast("bigint"), F.col("t_bkt"))))
         .join(hot, [*keys, "bkt"], "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), n_salt - 1)))
-        .drop("n_salt"))
+        .withColumn("salt_t", F.pmod(F.xxhash64("t_id"), s_t).cast("int"))
+        .withColumn("salt_c", F.explode(F.sequence(F.lit(0), s_c - 1)))
+        .drop("s_c", "s_t", "t_bkt"))
 
     upper = (F.col("c_ts") <= F.col("t_ts")) if closed_end else (F.col("c_ts") < F.col("t_ts"))
-    cond = [*keys, "bkt", "salt"]
+    cond = [*keys, "bkt", "salt_c", "salt_t"]
     pairs = (trig.join(cand, cond)
              .where((F.col("c_ts") >= F.col("t_ts") - F.make_dt_interval(F.lit(cfg.window_days)))
                     & upper & (F.col("c_id") != F.col("t_id"))))

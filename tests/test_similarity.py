@@ -132,9 +132,10 @@ def test_hot_category_day_is_salted_and_exact(spark, make_tickets):
                      "category": "api" if hot else ("billing", "sdk")[i % 2], "embedding": list(v)})
     t = make_tickets(rows)
     cfg = TrendConfig(threshold=0.5, min_count=2, target_rows_per_group=10)
-    cand = t.select("category", F.col("id").alias("c_id"), bucket_of("created_at", cfg.bucket_seconds).alias("bkt"))
-    hot = _hot_groups(cand, ["category"], cfg).collect()
-    assert [(h.category, h.n_salt) for h in hot] == [("api", 5)]
+    b = t.select("category", bucket_of("created_at", cfg.bucket_seconds).alias("bkt"))
+    hot = _hot_groups(b, b.withColumnRenamed("bkt", "t_bkt"), ["category"], cfg, 7).collect()
+    assert (hot[0].category, hot[0].s_c, hot[0].s_t) == ("api", 5, 5)          # the most work first
+    assert all(h.s_c == 1 and h.s_t > 1 for h in hot[1:])   # cold days: triggers of 8 days reach them
     got = {r.id: r.similar_count for r in trend.trend_batch(t, cfg).collect()}
     want = {}
     for r in rows:
