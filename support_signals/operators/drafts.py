@@ -9,11 +9,20 @@ from support_signals.config import TrendConfig
 from support_signals.functions.formats import pct0, title_case
 
 # Fixed values of the reference: ids listed on a draft, sample subjects,
-# priority elevation cut-offs, display names of priorities.
+# priority elevation cut-offs, display names of priorities, draft texts.
 MAX_DRAFT_IDS = 20
 SAMPLE_SUBJECTS = 3
 URGENT_AT, HIGH_AT = 50, 20
 PRIORITY_DISPLAY = {"low": "Low", "medium": "Medium", "high": "High", "urgent": "Urgent"}
+TITLE_FMT = "[Trend] Recurring %s issues (%d similar tickets)"
+SUMMARY_HEAD_FMT = "Support trend detected: %d tickets with similarity >= "
+IMPACT_FMT = "\n\nCustomer impact:\n- %d tickets, %d unique accounts, %d enterprise\n"
+ARR_LINE = "- Est. ARR at risk: "
+ARR_SOURCE = " (Salesforce)"
+RECOMMEND_TEXT = "\n\nRecommend engineering review for potential systemic "
+FREE_TEXT_HEAD = "Support trend detected from free-text input ("
+TEXT_IMPACT_FMT = "\nCustomer impact:\n- %d tickets, %d unique accounts, %d enterprise\n- Est. ARR at risk: %s (Salesforce)\n"
+TEXT_IDS_FMT = "\n\nSimilar ticket IDs (%d total, showing up to 20):\n"
 
 
 def elevated_priority(base, count) -> Column:
@@ -61,16 +70,15 @@ def engineering_drafts(trend: DataFrame, tickets: DataFrame, impact: DataFrame,
          .join(ids.withColumnRenamed("t_id", "id"), "id", "left")
          .join(samples.withColumnRenamed("t_id", "id"), "id", "left"))
     n = F.col("similar_count")
-    title = F.format_string("[Trend] Recurring %s issues (%d similar tickets)", title_case("category"), n)
+    title = F.format_string(TITLE_FMT, title_case("category"), n)
     summary = F.concat(
-        F.format_string("Support trend detected: %d tickets with similarity >= ", n), pct0(F.lit(cfg.threshold)),
+        F.format_string(SUMMARY_HEAD_FMT, n), pct0(F.lit(cfg.threshold)),
         F.lit(" to ticket "), F.col("id"), F.lit(".\n\nCategory: "), F.col("category"),
         F.lit("\nTrigger ticket: "), F.col("subject"),
-        F.format_string("\n\nCustomer impact:\n- %d tickets, %d unique accounts, %d enterprise\n",
-                        "total_tickets", "unique_accounts", "enterprise_accounts"),
-        F.lit("- Est. ARR at risk: "), F.col("arr_at_risk_formatted"), F.lit(" (Salesforce)\n\nSample subjects:\n"),
+        F.format_string(IMPACT_FMT, "total_tickets", "unique_accounts", "enterprise_accounts"),
+        F.lit(ARR_LINE), F.col("arr_at_risk_formatted"), F.lit(ARR_SOURCE + "\n\nSample subjects:\n"),
         F.coalesce(F.col("sample_lines"), F.lit("")),
-        F.lit("\n\nRecommend engineering review for potential systemic "), F.col("category"), F.lit(" issue."),
+        F.lit(RECOMMEND_TEXT), F.col("category"), F.lit(" issue."),
     )
     return j.select(
         F.col("id").alias("trigger_ticket_id"), title.alias("title"), summary.alias("summary"),
@@ -82,14 +90,13 @@ def engineering_drafts(trend: DataFrame, tickets: DataFrame, impact: DataFrame,
 
 def draft_text(drafts: DataFrame) -> DataFrame:
     """The printable block of a draft."""
-    impact_line = F.format_string(
-        "\nCustomer impact:\n- %d tickets, %d unique accounts, %d enterprise\n- Est. ARR at risk: %s (Salesforce)\n",
-        "total_tickets", "unique_accounts", "enterprise_accounts", "arr_at_risk_formatted")
+    impact_line = F.format_string(TEXT_IMPACT_FMT, "total_tickets", "unique_accounts", "enterprise_accounts",
+                                  "arr_at_risk_formatted")
     text = F.concat(
         F.lit("Title: "), F.col("title"), F.lit("\n\nPriority: "), priority_display("priority"),
         F.lit("\nCategory: "), F.col("category"), F.lit("\n"), impact_line,
         F.lit("\nSummary:\n"), F.col("summary"),
-        F.format_string("\n\nSimilar ticket IDs (%d total, showing up to 20):\n", "similar_count"),
+        F.format_string(TEXT_IDS_FMT, "similar_count"),
         F.col("similar_ticket_ids"))
     return drafts.select("trigger_ticket_id", text.alias("draft_text"))
 
@@ -116,7 +123,7 @@ def pick_draft(trend: DataFrame, drafts_df: DataFrame, reviewed: DataFrame, conf
           .select(F.col("trigger_id").alias("id"), F.col("similar_count").alias("rn")))
     d = drafts_df.select(F.col("trigger_ticket_id").alias("id"), F.col("title").alias("dt"))
     j = trend.join(rv, "id", "left").join(d, "id", "left")
-    reviewed_title = F.format_string("[Trend] Recurring %s issues (%d similar tickets)", title_case("category"), F.col("rn"))
+    reviewed_title = F.format_string(TITLE_FMT, title_case("category"), F.col("rn"))
     return j.select(
         F.col("id").alias("trigger_id"),
         F.when(F.col("rn").isNotNull(), "review").when(F.col("dt").isNotNull(), "analysis").otherwise("none")
@@ -147,8 +154,8 @@ def freetext_drafts(ft_trend: DataFrame, ft_matches: DataFrame, queries: DataFra
     label = F.substring(F.coalesce("subject", F.lit("")), 1, FREE_TEXT_LABEL_CHARS)
     return f.select(
         "query_id",
-        F.format_string("[Trend] Recurring %s issues (%d similar tickets)", title_case("category"), n).alias("title"),
-        F.concat(F.lit("Support trend detected from free-text input ("), label,
+        F.format_string(TITLE_FMT, title_case("category"), n).alias("title"),
+        F.concat(F.lit(FREE_TEXT_HEAD), label,
                  F.format_string("): %d tickets with similarity >= ", n), pct0(F.lit(cfg.threshold)), F.lit("."))
         .alias("summary"),
         F.when(n >= HIGH_AT, "medium").otherwise("low").alias("priority"), "category", n.alias("similar_count"),

@@ -101,15 +101,21 @@ def freetext_matches(queries: DataFrame, tickets: DataFrame, cfg: TrendConfig) -
             .where(F.col("score") >= F.lit(cfg.threshold)))
 
 
+# Fixed values of the reference: texts of the incoming-ticket warning.
+WARNING_EVENT = "ticket.trend_checked"
+WARNING_LABEL = "Potential trend"
+WARNING_FMT = "Potential trend: %d similar tickets found in the previous %d days."
+NO_SIGNAL_TEXT = "No trend signal detected."
+
+
 def incoming_warning(trend: DataFrame, cfg: TrendConfig) -> DataFrame:
     """The warning payload attached to an incoming ticket."""
     flag = F.col("is_potential_trend")
-    msg = F.when(flag, F.format_string("Potential trend: %d similar tickets found in the previous %d days.",
-                                       F.col("similar_count"), F.col("window_days"))) \
-        .otherwise(F.lit("No trend signal detected."))
+    msg = F.when(flag, F.format_string(WARNING_FMT, F.col("similar_count"), F.col("window_days"))) \
+        .otherwise(F.lit(NO_SIGNAL_TEXT))
     return trend.select(
-        F.col("id").alias("ticket_id"), F.lit("ticket.trend_checked").alias("event"), flag,
-        F.when(flag, F.lit("Potential trend")).alias("label"), "similar_count", "threshold", "min_count",
+        F.col("id").alias("ticket_id"), F.lit(WARNING_EVENT).alias("event"), flag,
+        F.when(flag, F.lit(WARNING_LABEL)).alias("label"), "similar_count", "threshold", "min_count",
         "window_days", msg.alias("message"))
 
 
