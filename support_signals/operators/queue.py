@@ -153,3 +153,30 @@ def timeline(members: DataFrame, newest: int = 12) -> DataFrame:
         F.col("n_tickets").cast("bigint"),
         F.greatest(F.lit(8), F.bround(F.col("n_tickets") / mx * 86, 0).cast("bigint")).alias("height"),
     )
+
+
+def enrich_account(tickets: DataFrame, accounts: DataFrame) -> DataFrame:
+    """2.3 two-key fallback: the account by id, otherwise by requester e-mail;
+    not found -> empty defaults (name '', ARR 0 shown as an em dash, the
+    ticket's own tier)."""
+    from support_signals.functions.formats import format_arr
+
+    acc = accounts.select("account_id", "account_name", "arr", "region", "tier", "customer_email")
+    by_id = acc.select(F.col("account_id").alias("_aid"), F.struct("account_name", "arr", "region", "tier").alias("a_id"))
+    by_mail = (acc.where(F.col("customer_email").isNotNull())
+               .groupBy("customer_email").agg(F.max_by(F.struct("account_name", "arr", "region", "tier"), "account_id")
+                                              .alias("a_mail"))
+               .withColumnRenamed("customer_email", "_mail"))
+    j = (tickets.join(by_id, tickets.account_id == by_id._aid, "left")
+         .join(by_mail, tickets.requester_email == by_mail._mail, "left"))
+    a = F.coalesce(F.col("a_id"), F.col("a_mail"))
+    own_tier = F.col("customer_tier") if "customer_tier" in tickets.columns else F.lit("").cast("string")
+    return j.select(
+        "id",
+        F.when(F.col("a_id").isNotNull(), "account_id").when(F.col("a_mail").isNotNull(), "requester_email")
+        .alias("matched_by"),
+        F.coalesce(a["account_name"], F.lit("")).alias("account_name"),
+        F.coalesce(a["arr"], F.lit(0).cast("bigint")).alias("account_arr"),
+        F.when(a.isNotNull(), format_arr(a["arr"])).otherwise(F.lit("—")).alias("account_arr_formatted"),
+        F.coalesce(a["region"], F.lit("")).alias("account_region"),
+        F.when(a.isNotNull(), F.coalesce(a["tier"], own_tier)).otherwise(own_tier).alias("account_tier"))

@@ -1003,3 +1003,30 @@ ORACLE["q_embed"] = with_views("""
 SELECT id, 512 AS dims,
        CASE WHEN regexp_matches(coalesce(subject, '') || ' ' || coalesce(body, ''), '[A-Za-z0-9_]') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm
 FROM tickets""")
+
+ORACLE["q_component"] = with_views(f"""
+SELECT issue_key, {_pills_case("list_filter(lb, lambda x: x NOT IN ('support-escalation', 'trend-warning'))[1]")} AS component
+FROM (SELECT *, {labels_sql(LBL_TEXT, "'support'")} AS lb FROM issues)""", views=("issues",))
+
+ORACLE["q_elevated_priority"] = with_views(f"""
+SELECT t.id, t.priority, CAST(t.n AS BIGINT) AS similar_count, e.elevated,
+       CASE e.elevated WHEN 'low' THEN 'Low' WHEN 'medium' THEN 'Medium' WHEN 'high' THEN 'High' WHEN 'urgent' THEN 'Urgent'
+            ELSE {title_sql('e.elevated')} END AS elevated_label
+FROM trend t, LATERAL (SELECT CASE WHEN t.n >= 50 OR lower(t.priority) = 'urgent' THEN 'urgent'
+                                   WHEN t.n >= 20 OR lower(t.priority) = 'high' THEN 'high' ELSE lower(t.priority) END AS elevated) e""",
+                                        ctes=DRAFT_CTES, views=ACC_VIEWS)
+
+ORACLE["q_quality_text"] = with_views("SELECT draft_id, recommendation, summary FROM report", views=QVIEWS,
+                                      ctes=QUALITY_CTES)
+
+ORACLE["q_enrich_account"] = with_views(f"""
+SELECT t.id, CASE WHEN a.account_id IS NOT NULL THEN 'account_id' WHEN m.account_id IS NOT NULL THEN 'requester_email' END AS matched_by,
+       coalesce(a.account_name, m.account_name, '') AS account_name, coalesce(a.arr, m.arr, 0) AS account_arr,
+       CASE WHEN coalesce(a.account_id, m.account_id) IS NOT NULL THEN {fmt_arr_sql('coalesce(a.arr, m.arr)')} ELSE '—' END AS account_arr_formatted,
+       coalesce(a.region, m.region, '') AS account_region,
+       CASE WHEN coalesce(a.account_id, m.account_id) IS NOT NULL THEN coalesce(a.tier, m.tier, '') ELSE '' END AS account_tier
+FROM tickets t LEFT JOIN accounts a ON a.account_id = t.account_id
+LEFT JOIN (SELECT customer_email, arg_max(account_id, account_id) AS account_id, arg_max(account_name, account_id) AS account_name,
+                  arg_max(arr, account_id) AS arr, arg_max(region, account_id) AS region, arg_max(tier, account_id) AS tier
+           FROM accounts GROUP BY customer_email) m ON m.customer_email = 'billing-' || CAST(t.ticket_no AS VARCHAR) || '@example.invalid'""",
+                                        views=ACC_VIEWS)

@@ -709,3 +709,41 @@ def q_report_lines(spark, d):
         F.when(F.col("is_potential_trend"), "Reviewed cluster meets trend threshold")
         .otherwise("Reviewed cluster is below trend threshold").alias("line"))
     return tiers.unionByName(acc).unionByName(rv)
+
+
+# ---------------------------------------------------------------- explicit keys of the inventory
+@register("q_component")
+def q_component(spark, d):
+    """Component pill of every issue (labels as in q_labels)."""
+    from support_signals.operators import issues as I
+    i = _a(spark, d).issues
+    text = F.when(F.col("key_no") % 3 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lower("priority"), F.lit(", ,"), F.regexp_replace(F.lower("summary"), "escalation ", " ")))
+    return i.select("issue_key", I.component_label(I.normalize_labels(text, F.lit("support"))).alias("component"))
+
+
+@register("q_elevated_priority")
+def q_elevated_priority(spark, d):
+    """S14 for every ticket: base priority and match count -> elevated priority."""
+    from support_signals.operators.drafts import elevated_priority, priority_display
+    a = _a(spark, d)
+    j = a.trend.join(a.tickets.select("id", "priority"), "id")
+    return j.select("id", "priority", "similar_count", elevated_priority("priority", "similar_count").alias("elevated"),
+                    priority_display(elevated_priority("priority", "similar_count")).alias("elevated_label"))
+
+
+@register("q_quality_text")
+def q_quality_text(spark, d):
+    """Recommendation and one-line summary of every draft's quality report."""
+    return _a(spark, d).quality.select("draft_id", "recommendation", "summary")
+
+
+@register("q_enrich_account")
+def q_enrich_account(spark, d):
+    """2.3 two-key fallback lookup; the requester e-mail is the billing address of
+    the account numbered like the ticket (so unknown account ids can still resolve)."""
+    from support_signals.operators.queue import enrich_account
+    a = _a(spark, d)
+    t = a.tickets.select("id", "account_id", F.concat(F.lit("billing-"), F.col("ticket_no").cast("string"),
+                                                      F.lit("@example.invalid")).alias("requester_email"))
+    return enrich_account(t, a.accounts)

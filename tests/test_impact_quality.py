@@ -99,3 +99,15 @@ def test_quality_poor_and_generic(spark):
                                 unique_accounts=0, arr_at_risk_formatted="$0", priority="p1")).collect()[0]
     assert r.verdict == "poor"
     assert r.recommendation.startswith("Draft is too thin")
+
+
+def test_enrich_account_two_key_fallback(spark):
+    from support_signals.operators.queue import enrich_account
+    t = spark.createDataFrame([("T-1", 1, "x@a"), ("T-2", 99, "billing-2@x"), ("T-3", 98, "nobody@x")],
+                              "id string, account_id int, requester_email string")
+    acc = spark.createDataFrame([(1, "One", 1500, "EMEA", "pro", "billing-1@x"), (2, "Two", 2500000, "APAC", "enterprise", "billing-2@x")],
+                                "account_id int, account_name string, arr bigint, region string, tier string, customer_email string")
+    r = {x.id: x for x in enrich_account(t, acc).collect()}
+    assert (r["T-1"].matched_by, r["T-1"].account_arr_formatted) == ("account_id", "$2K")
+    assert (r["T-2"].matched_by, r["T-2"].account_name, r["T-2"].account_arr_formatted) == ("requester_email", "Two", "$2.5M")
+    assert (r["T-3"].matched_by, r["T-3"].account_name, r["T-3"].account_arr, r["T-3"].account_arr_formatted) == (None, "", 0, "—")
