@@ -31,6 +31,9 @@ class TrendConfig:
       replicated once per salt.
     * ``block_rows``: rows per block for the NumPy block products used by
       top-k and all-pairs evaluation (memory per task ~ block_rows^2 * 8 B).
+    * ``stream_salts``: fixed split of each (category, day) key of the
+      streaming interval join (no statistics exist in a stream); raise it
+      when one category-day is hot.
     """
 
     threshold: float = DEFAULT_THRESHOLD
@@ -41,6 +44,7 @@ class TrendConfig:
     target_rows_per_group: int = 20_000
     max_salt: int = 512
     block_rows: int = 2_048
+    stream_salts: int = 1
     sweep: tuple[float, ...] = field(default=(0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75))
 
     def with_(self, **kw) -> "TrendConfig":

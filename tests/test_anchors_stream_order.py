@@ -40,3 +40,19 @@ def test_interval_join_stream_out_of_order(spark):
     got = {(r.trigger_id, r.similar_id) for r in spark.read.parquet(out).collect()}
     want = {(r.trigger_id, r.similar_id) for r in trend.trend_detail(t, TEST_CONFIG).collect()}
     assert got == want and len(want) == 547
+
+
+def test_interval_join_stream_salted(spark):
+    from support_signals.streaming.incoming import TICKET_COLUMNS, arrive, run_matches, scratch_root, time_slices
+    t = views.tickets(spark, SF)
+    cfg = TEST_CONFIG.with_(stream_salts=3)
+    root = scratch_root(spark, "test-salted")
+    src = root + "/source"
+    sliced = time_slices(t, 2)
+    arrive(sliced, src, 0)
+    q, out = run_matches(spark, src, t.select(*TICKET_COLUMNS).schema, cfg, root, continuous=True)
+    q.processAllAvailable()
+    arrive(sliced, src, 1)
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(out).count() == 547
