@@ -29,6 +29,12 @@ def epoch_seconds(ts: Column | str) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def epoch_micros(ts: Column | str) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (time-zone independent)."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def bucket_of(ts: Column | str, bucket_seconds: int) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(bucket_seconds)).cast("bigint")
 

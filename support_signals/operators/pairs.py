@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from support_signals.config import TrendConfig
-from support_signals.functions.vectors import bucket_of, dot, epoch_seconds
+from support_signals.functions.vectors import bucket_of, dot, epoch_micros, epoch_seconds
 
 # At most this many hot (key, bucket) groups are salted.  The hot-group table
 # is broadcast, so its size is bounded by construction (``limit``); groups
@@ -76,13 +76,16 @@ def window_pairs(
     candidate_cols: Sequence[str] = (),
     with_score: bool = True,
     closed_end: bool = False,
+    min_score: float | None = None,
 ) -> DataFrame:
     """Pairs (t_id, c_id[, score]) with equal ``keys`` and
     ``t.created_at - window <= c.created_at < t.created_at`` (``<=`` when
     ``closed_end``), excluding the trigger itself.
 
     Both inputs need ``id``, ``created_at``, ``embedding`` and ``keys``.
-    Extra columns are carried through prefixed ``t_`` / ``c_``.
+    Extra columns are carried through prefixed ``t_`` / ``c_``.  With
+    ``min_score`` only pairs scoring at least that much are returned (the
+    ``blocks`` engine then never emits the others).
     """
     keys = list(keys)
     w, width = cfg.window_seconds, cfg.bucket_seconds
@@ -114,11 +117,53 @@ def window_pairs(
 
     upper = (F.col("c_ts") <= F.col("t_ts")) if closed_end else (F.col("c_ts") < F.col("t_ts"))
     cond = [*keys, "bkt", "salt_c", "salt_t"]
+    if cfg.pair_engine == "blocks" and with_score and min_score is not None:
+        return _block_matches(trig, cand, cond, keys, cfg, closed_end, min_score, trigger_cols, candidate_cols)
     pairs = (trig.join(cand, cond)
              .where((F.col("c_ts") >= F.col("t_ts") - F.make_dt_interval(F.lit(cfg.window_days)))
                     & upper & (F.col("c_id") != F.col("t_id"))))
     out = [*keys, "t_id", "t_ts", "c_id", "c_ts",
            *[f"t_{c}" for c in trigger_cols], *[f"c_{c}" for c in candidate_cols]]
     if with_score:
-        return pairs.select(*out, dot("t_vec", "c_vec").alias("score"))
+        scored = pairs.select(*out, dot("t_vec", "c_vec").alias("score"))
+        return scored if min_score is None else scored.where(F.col("score") >= F.lit(float(min_score)))
     return pairs.select(*out)
+
+
+def _block_matches(trig: DataFrame, cand: DataFrame, cond: list[str], keys: list[str], cfg: TrendConfig,
+                   closed_end: bool, min_score: float, trigger_cols, candidate_cols) -> DataFrame:
+    """``pair_engine="blocks"``: every salted (key, bucket) group is one NumPy
+    product; the window test, self exclusion and score cut run on the score
+    matrix, and only the surviving pairs leave the task."""
+    import numpy as np
+    import pandas as pd
+
+    from support_signals.operators.blocks import _empty, _stack
+
+    w_us = int(cfg.window_seconds) * 1_000_000
+    t_extra, c_extra = [f"t_{c}" for c in trigger_cols], [f"c_{c}" for c in candidate_cols]
+    def fresh(cols):       # new attribute ids: both sides may stem from the same table
+        return [F.col(c).alias(c) for c in cols]
+    tl = trig.select(*fresh([*cond, "t_id", "t_ts"]), epoch_micros("t_ts").alias("t_us"), *fresh(["t_vec", *t_extra]))
+    cl = cand.select(*fresh([*cond, "c_id", "c_ts"]), epoch_micros("c_ts").alias("c_us"), *fresh(["c_vec", *c_extra]))
+    out_cols = [*keys, "t_id", "t_ts", "c_id", "c_ts", *t_extra, *c_extra, "score"]
+    fields = {f.name: f.dataType.simpleString() for f in (*tl.schema.fields, *cl.schema.fields)}
+    schema = ", ".join(f"{c} {'double' if c == 'score' else fields[c]}" for c in out_cols)
+
+    def group(tp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        if len(tp) == 0 or len(cp) == 0:
+            return _empty(out_cols, {"score": "float64"})
+        s = _stack(tp["t_vec"]) @ _stack(cp["c_vec"]).T
+        tu, cu = tp["t_us"].to_numpy()[:, None], cp["c_us"].to_numpy()[None, :]
+        upper = (cu <= tu) if closed_end else (cu < tu)
+        ok = (s >= min_score) & (cu >= tu - w_us) & upper & (tp["t_id"].to_numpy()[:, None] != cp["c_id"].to_numpy()[None, :])
+        r, c = np.nonzero(ok)
+        res = {k: tp[k].to_numpy()[r] for k in keys}
+        for col in ("t_id", "t_ts", *t_extra):
+            res[col] = tp[col].to_numpy()[r]
+        for col in ("c_id", "c_ts", *c_extra):
+            res[col] = cp[col].to_numpy()[c]
+        res["score"] = s[r, c]
+        return pd.DataFrame(res)[out_cols]
+
+    return tl.groupBy(*cond).cogroup(cl.groupBy(*cond)).applyInPandas(group, schema=schema)

@@ -23,8 +23,7 @@ def pair_scores(tickets: DataFrame, cfg: TrendConfig) -> DataFrame:
 def trend_matches(tickets: DataFrame, cfg: TrendConfig, triggers: DataFrame | None = None) -> DataFrame:
     """Matching (trigger, similar) pairs of the rule: window + category + score."""
     trig = tickets if triggers is None else triggers
-    return (window_pairs(trig, tickets, cfg, keys=("category",))
-            .where(F.col("score") >= F.lit(cfg.threshold)))
+    return window_pairs(trig, tickets, cfg, keys=("category",), min_score=cfg.threshold)
 
 
 def _rule_columns(count: F.Column, cfg: TrendConfig) -> list:
@@ -96,9 +95,8 @@ def freetext_matches(queries: DataFrame, tickets: DataFrame, cfg: TrendConfig) -
     q = (queries.crossJoin(F.broadcast(anchor))         # one row
          .select(F.concat(F.lit("\u0000q:"), F.col("query_id")).alias("id"), "category",
                  F.col("anchor").alias("created_at"), "embedding", F.col("query_id")))
-    return (window_pairs(q, tickets, cfg, keys=("category",), trigger_cols=("query_id",),
-                         candidate_cols=("account_id",), closed_end=True)
-            .where(F.col("score") >= F.lit(cfg.threshold)))
+    return window_pairs(q, tickets, cfg, keys=("category",), trigger_cols=("query_id",),
+                        candidate_cols=("account_id",), closed_end=True, min_score=cfg.threshold)
 
 
 # Fixed values of the reference: texts of the incoming-ticket warning.

@@ -63,8 +63,8 @@ class Analysis:
     def matches(self) -> DataFrame:
         """Trend-rule matches with the candidate's account and subject."""
         return self._store(window_pairs(self.tickets, self.tickets, self.cfg, keys=("category",),
-                                        candidate_cols=("account_id", "subject"))
-                           .where(F.col("score") >= F.lit(self.cfg.threshold)), "matches", "t_id")
+                                        candidate_cols=("account_id", "subject"), min_score=self.cfg.threshold),
+                           "matches", "t_id")
 
     @cached_property
     def topk_all(self) -> DataFrame:

@@ -147,3 +147,24 @@ def test_hot_category_day_is_salted_and_exact(spark, make_tickets):
             and float(np.dot(np.float32(r["embedding"]), np.float32(c["embedding"]))) >= 0.5)
     assert got == want
     assert max(want.values()) > 0
+
+
+def test_block_engine_equals_join_engine(spark, make_tickets):
+    import random
+    random.seed(5)
+    rows = []
+    for i in range(90):
+        v = [random.gauss(0, 1) for _ in range(4)]
+        n = sum(x * x for x in v) ** 0.5
+        rows.append({"id": f"T-{i:03d}", "created_at": f"2026-07-{1 + i % 15:02d}T{(i * 3) % 24:02d}:{i % 60:02d}",
+                     "category": ("api", "billing")[i % 2], "embedding": [x / n for x in v]})
+    t = make_tickets(rows)
+    base = TrendConfig(threshold=0.3, min_count=2, target_rows_per_group=4)
+    join = sorted((r.id, r.similar_count) for r in trend.trend_batch(t, base).collect())
+    blocks = sorted((r.id, r.similar_count) for r in trend.trend_batch(t, base.with_(pair_engine="blocks")).collect())
+    assert join == blocks and sum(c for _, c in join) > 0
+    free_q = t.select(F.col("id").alias("query_id"), "category", "embedding")
+    a = sorted(tuple(r) for r in trend.freetext_trend(free_q, t, base).select("query_id", "similar_count").collect())
+    b = sorted(tuple(r) for r in trend.freetext_trend(free_q, t, base.with_(pair_engine="blocks"))
+               .select("query_id", "similar_count").collect())
+    assert a == b
