@@ -3,7 +3,8 @@
 A write appends ``(key..., payload..., written_at, seq)`` rows to a parquet
 log; a read keeps the last write per key with ``max_by`` (partial
 aggregation: no sort, no single-task gather, skew-safe).  Compaction rewrites
-the latest state into a new folder and swaps the pointer file, so readers
+the latest state into a new folder and swaps the pointer file through the
+Hadoop FileSystem API (write + rename, on the shared file system), so readers
 never see a half-written state (the atomic-rename of the reference).
 """
 
@@ -33,20 +34,39 @@ def compact(spark, log_path: str, state_root: str, keys: Sequence[str],
     log = spark.read.parquet(log_path)
     target = os.path.join(state_root, f"state-{uuid.uuid4().hex}")
     latest_per_key(log, keys, order).write.mode("errorifexists").parquet(target)
-    tmp = os.path.join(state_root, "CURRENT.tmp")
-    with open(tmp, "w", encoding="utf-8") as fh:
-        fh.write(target)
-    os.replace(tmp, os.path.join(state_root, "CURRENT"))
+    _point(spark, state_root, target)
     return target
 
 
+def _fs(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _point(spark, state_root: str, target: str) -> None:
+    """Write ``CURRENT`` -> target through the Hadoop FileSystem API (works on
+    the shared cluster file system): write a temporary file, then rename it
+    over the pointer."""
+    jvm = spark.sparkContext._jvm
+    fs, tmp = _fs(spark, os.path.join(state_root, f"CURRENT.{uuid.uuid4().hex}.tmp"))
+    out = fs.create(tmp, True)
+    out.write(bytearray(target.encode("utf-8")))
+    out.close()
+    cur = jvm.org.apache.hadoop.fs.Path(os.path.join(state_root, "CURRENT"))
+    if fs.exists(cur):
+        fs.delete(cur, False)
+    if not fs.rename(tmp, cur):
+        raise OSError(f"could not publish {target}")
+
+
 def read_state(spark, state_root: str) -> DataFrame | None:
     """Current compacted state, or None when nothing was written (as the reference)."""
-    ptr = os.path.join(state_root, "CURRENT")
-    if not os.path.exists(ptr):
+    fs, cur = _fs(spark, os.path.join(state_root, "CURRENT"))
+    if not fs.exists(cur):
         return None
-    with open(ptr, encoding="utf-8") as fh:
-        return spark.read.parquet(fh.read().strip())
+    target = spark.read.text(cur.toString()).first()[0].strip()
+    return spark.read.parquet(target)
 
 
 def publish(df: DataFrame, state_root: str) -> str:
@@ -54,17 +74,13 @@ def publish(df: DataFrame, state_root: str) -> str:
     ``CURRENT`` pointer; readers see the old or the new version, never a mix."""
     target = os.path.join(state_root, f"state-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(target)
-    tmp = os.path.join(state_root, "CURRENT.tmp")
-    with open(tmp, "w", encoding="utf-8") as fh:
-        fh.write(target)
-    os.replace(tmp, os.path.join(state_root, "CURRENT"))
+    _point(spark=df.sparkSession, state_root=state_root, target=target)
     return target
 
 
 def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
 
 
 def load_json_or_empty(spark, path: str, schema, multiline: bool = True) -> DataFrame:
