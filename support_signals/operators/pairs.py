@@ -43,20 +43,24 @@ from support_signals.functions.vectors import bucket_of, dot, epoch_micros, epoc
 MAX_HOT_GROUPS = 100_000
 
 
-def _hot_groups(cand: DataFrame, trig: DataFrame, keys: Sequence[str], cfg: TrendConfig, span: int) -> DataFrame:
+def _hot_groups(cand: DataFrame, trig: DataFrame | None, keys: Sequence[str], cfg: TrendConfig, span: int) -> DataFrame:
     """(key, bucket, s_c, s_t) for the hot candidate buckets.
 
     ``s_c`` splits the candidates of the bucket, ``s_t`` splits the triggers
     that reach it (those of buckets b .. b + span, a range-frame sum over the
     small per-bucket count table), so a join group holds about
-    ``target_rows_per_group`` rows of each side.
+    ``target_rows_per_group`` rows of each side.  ``trig=None``: the
+    triggers are the candidates themselves (one aggregate serves both).
     """
     c = cand.groupBy(*keys, "bkt").agg(F.count(F.lit(1)).alias("n_c"))
-    t = trig.groupBy(*keys, F.col("t_bkt").alias("bkt")).agg(F.count(F.lit(1)).alias("n_own"))
     w = Window.partitionBy(*keys).orderBy("bkt").rangeBetween(0, span)   # rows per key = buckets, not data
-    st = (c.join(t, [*keys, "bkt"], "full")
-          .withColumn("n_t", F.sum(F.coalesce("n_own", F.lit(0))).over(w))
-          .where(F.col("n_c").isNotNull()))
+    if trig is None:
+        st = c.withColumn("n_t", F.sum("n_c").over(w))
+    else:
+        t = trig.groupBy(*keys, F.col("t_bkt").alias("bkt")).agg(F.count(F.lit(1)).alias("n_own"))
+        st = (c.join(t, [*keys, "bkt"], "full")
+              .withColumn("n_t", F.sum(F.coalesce("n_own", F.lit(0))).over(w))
+              .where(F.col("n_c").isNotNull()))
 
     def split(n):
         return F.least(F.lit(cfg.max_salt), F.greatest(F.lit(1), F.ceil(n / F.lit(cfg.target_rows_per_group)))).cast("int")
@@ -99,7 +103,12 @@ def window_pairs(
         F.col("embedding").alias("t_vec"), *[F.col(c).alias(f"t_{c}") for c in trigger_cols],
     ).withColumn("t_bkt", F.floor(t_sec / F.lit(width)).cast("bigint"))
     span = -(-w // width)                                # buckets a window reaches back
-    hot = F.broadcast(_hot_groups(cand.select(*keys, "bkt"), trig.select(*keys, "t_bkt"), keys, cfg, span))
+    same = triggers is candidates
+    stats = _hot_groups(cand.select(*keys, "bkt"), None if same else trig.select(*keys, "t_bkt"), keys, cfg, span)
+    # Hot-group statistics (at most MAX_HOT_GROUPS rows of key, bucket and two
+    # split counts -- no ticket data) are computed once and broadcast to both
+    # sides as one small local table.
+    hot = F.broadcast(candidates.sparkSession.createDataFrame(stats.collect(), stats.schema))
     s_c, s_t = F.coalesce(F.col("s_c"), F.lit(1)), F.coalesce(F.col("s_t"), F.lit(1))
     # candidates: one candidate salt by hash, replicated to every trigger salt
     cand = (cand.join(hot, [*keys, "bkt"], "left")

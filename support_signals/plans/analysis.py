@@ -76,8 +76,8 @@ class Analysis:
     def trend(self) -> DataFrame:
         counts = self.matches.groupBy(F.col("t_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
         n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
-        return (self.tickets.select("id", "category", "subject").join(counts, "id", "left")
-                .select("id", "category", "subject", *trend._rule_columns(n, self.cfg)))
+        return self._store(self.tickets.select("id", "category", "subject").join(counts, "id", "left")
+                           .select("id", "category", "subject", *trend._rule_columns(n, self.cfg)), "trend", "id")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -85,7 +85,7 @@ class Analysis:
 
     @cached_property
     def impact(self) -> DataFrame:
-        return impact.impact_summary(self.members, self.accounts)
+        return self._store(impact.impact_summary(self.members, self.accounts), "impact", "trigger_id")
 
     def topk(self, queries: DataFrame | None = None, exclude_self: bool = True, k: int | None = None) -> DataFrame:
         k = k or self.cfg.top_k
@@ -105,7 +105,8 @@ class Analysis:
         flagged_tickets = self.tickets.join(self.flagged.select("id"), "id", "left_semi")
         samples = drafts.sample_subjects(self.topk(flagged_tickets))
         ids = drafts.first_ids(self.matches)
-        return drafts.engineering_drafts(self.trend, self.tickets, self.impact, ids, samples, self.cfg)
+        return self._store(drafts.engineering_drafts(self.trend, self.tickets, self.impact, ids, samples, self.cfg),
+                           "drafts", "trigger_ticket_id")
 
     # ------------------------------------------------------------ review inputs
     @cached_property
