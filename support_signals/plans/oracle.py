@@ -1030,3 +1030,14 @@ LEFT JOIN (SELECT customer_email, arg_max(account_id, account_id) AS account_id,
                   arg_max(arr, account_id) AS arr, arg_max(region, account_id) AS region, arg_max(tier, account_id) AS tier
            FROM accounts GROUP BY customer_email) m ON m.customer_email = 'billing-' || CAST(t.ticket_no AS VARCHAR) || '@example.invalid'""",
                                         views=ACC_VIEWS)
+
+ORACLE["q_nn_accuracy_golden"] = with_views(f"""
+SELECT count(*) AS n, CAST(count_if(g.golden = nn.golden) AS BIGINT) AS correct,
+       round(count_if(g.golden = nn.golden) / count(*), 6) AS accuracy
+FROM (SELECT t.id, l.quality AS golden FROM tickets t JOIN labels l ON l.doc_id = t.ticket_no) g
+LEFT JOIN (
+  SELECT q_id, golden FROM (
+    SELECT q.id AS q_id, l.quality AS golden,
+           row_number() OVER (PARTITION BY q.id ORDER BY {dot_sql('q.embedding', 'c.embedding')} DESC, c.id) AS r
+    FROM tickets q JOIN tickets c ON c.id <> q.id LEFT JOIN labels l ON l.doc_id = c.ticket_no) WHERE r = 1) nn
+  ON nn.q_id = g.id""")

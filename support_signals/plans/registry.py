@@ -747,3 +747,15 @@ def q_enrich_account(spark, d):
     t = a.tickets.select("id", "account_id", F.concat(F.lit("billing-"), F.col("ticket_no").cast("string"),
                                                       F.lit("@example.invalid")).alias("requester_email"))
     return enrich_account(t, a.accounts)
+
+
+@register("q_nn_accuracy_golden")
+def q_nn_accuracy_golden(spark, d):
+    """E1 golden variant: tickets whose document carries a quality label are
+    scored; the nearest neighbour is searched among all tickets."""
+    from support_signals.operators.evaluate import nn_accuracy
+    from support_signals.sources.tables import table
+    a = _a(spark, d)
+    lab = table(spark, d, "labels").select(F.col("doc_id").alias("ticket_no"), F.col("quality").alias("golden"))
+    t = a.tickets.join(lab, "ticket_no", "left").select("id", "embedding", "golden")
+    return nn_accuracy(t, CFG, label="golden", labelled_only=True)
