@@ -44,3 +44,12 @@ def test_raw_rules(spark, doc):
     assert ("enum_category", "T-20005") in v and ("min_two_messages", "T-20005") in v
     assert ("body_is_first_message", "T-20006") in v
     assert not any(t == "T-20001" for rule, t in v if rule not in ("unique_subject", "golden_message_count"))
+
+
+def test_backfill_topic_and_cluster_sizes(spark, doc):
+    raw = R.explode_tickets(doc)
+    m = spark.createDataFrame([("T-20001", "audit_export"), ("T-20002", "sdk_migration")], "id string, topic_id string")
+    r = {x.id: x.topic_id for x in dq.backfill_topic(raw, m).select("id", "topic_id").collect()}
+    assert r["T-20001"] == "audit_export" and r["T-20002"] == "sdk_migration" and r["T-20003"] is None
+    sizes = {x.cluster_id: x.n for x in dq.cluster_sizes(raw).collect()}
+    assert sizes == {None: 6}
