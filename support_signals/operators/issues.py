@@ -124,22 +124,22 @@ def issue_page(issues: DataFrame, page: int = 0, size: int = ISSUE_PAGE_SIZE) ->
 
     Sort + offset + limit runs as a per-task top-(offset + size) and a merge;
     only the page rows reach the window that numbers them."""
-    total = issues.agg(F.count(F.lit(1)).alias("n"))
+    total = issues.select(F.count(F.lit(1))).scalar()            # scalar subquery
     start = page * size
     rows = (issues.orderBy("key_no").offset(start).limit(size)
             .withColumn("pos", (F.row_number().over(Window.orderBy("key_no")) + start).cast("bigint")))
     cap = F.when(F.col("n") > 0, F.format_string("Showing %d–%d of %d", F.lit(start + 1),
                                                  F.least(F.lit(start + size), F.col("n")), F.col("n"))) \
         .otherwise(F.lit("0 issues"))
-    return rows.crossJoin(F.broadcast(total)).select("issue_key", "pos", "status", cap.alias("caption"))
+    return rows.withColumn("n", total).select("issue_key", "pos", "status", cap.alias("caption"))
 
 
 def sprint_split(issues: DataFrame, size: int = SPRINT_SIZE) -> DataFrame:
     """The first ``size`` issues in key order form the sprint; the rest is counted."""
     w = Window.orderBy("key_no")           # only the first `size` rows reach this window
     sprint = issues.orderBy("key_no").limit(size).withColumn("pos", F.row_number().over(w))
-    backlog = issues.agg(F.greatest(F.count(F.lit(1)) - size, F.lit(0)).alias("backlog_count"))
-    return sprint.crossJoin(F.broadcast(backlog)).select("issue_key", F.col("pos").cast("bigint"), "backlog_count")
+    backlog = issues.select(F.greatest(F.count(F.lit(1)) - size, F.lit(0))).scalar()     # scalar subquery
+    return sprint.select("issue_key", F.col("pos").cast("bigint"), backlog.alias("backlog_count"))
 
 
 def draft_issue_fields(drafts: DataFrame) -> DataFrame:
@@ -209,9 +209,9 @@ def upsert_issues(issues: DataFrame, fields: DataFrame, created) -> DataFrame:
                          "trigger_ticket_id", pick("similar_ticket_count"), pick("zendesk_ticket_count"),
                          pick("arr_at_risk"))
     new = fields.join(first, "trigger_ticket_id", "left_anti")
-    top = base.agg(F.coalesce(F.max(key_number("issue_key")), F.lit(FIRST_KEY_NUMBER - 1)).alias("_max"))
+    top = base.select(F.coalesce(F.max(key_number("issue_key")), F.lit(FIRST_KEY_NUMBER - 1))).scalar()
     ranked = global_rank(new, F.asc("trigger_ticket_id"), name="_r")
-    fresh = (ranked.crossJoin(F.broadcast(top))
+    fresh = (ranked.withColumn("_max", top)
              .select(F.concat(F.lit(f"{PROJECT_KEY}-"), (F.col("_max") + F.col("_r")).cast("string")).alias("issue_key"),
                      (F.col("_max") + F.col("_r")).alias("key_no"), "type", F.lit("Open").alias("status"),
                      "priority", "summary", "description", "labels", "assignee",

@@ -90,9 +90,9 @@ def ticket_page(tickets: DataFrame, view: str = "All", search: str = "", page: i
     rows = tickets.where(view_predicate(view) & search_predicate(search, search_fields(tickets)))
     page_rows = (rows.orderBy(F.desc("created_at"), F.asc("id")).offset(page * page_size).limit(page_size))
     w = Window.orderBy(F.desc("created_at"), F.asc("id"))   # <= page_size rows: single partition is fine
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    total = rows.select(F.count(F.lit(1))).scalar()              # scalar subquery
     return (page_rows.withColumn("pos", F.row_number().over(w) + page * page_size)
-            .crossJoin(F.broadcast(total))
+            .withColumn("total", total)
             .select("id", F.col("pos").cast("bigint"), "status", "category",
                     L.assignee_display("id", "assignee").alias("assignee"),
                     L.requester_name("id").alias("requester_name"), L.channel("id").alias("channel"),

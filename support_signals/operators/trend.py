@@ -91,10 +91,9 @@ def freetext_trend(queries: DataFrame, tickets: DataFrame, cfg: TrendConfig) ->
 def freetext_matches(queries: DataFrame, tickets: DataFrame, cfg: TrendConfig) -> DataFrame:
     """Matches of free-text queries: same (inferred) category, closed window
     anchored on the newest ticket, score at or above the threshold."""
-    anchor = tickets.agg(F.max("created_at").alias("anchor"))
-    q = (queries.crossJoin(F.broadcast(anchor))         # one row
-         .select(F.concat(F.lit("\u0000q:"), F.col("query_id")).alias("id"), "category",
-                 F.col("anchor").alias("created_at"), "embedding", F.col("query_id")))
+    anchor = tickets.select(F.max("created_at")).scalar()      # scalar subquery, evaluated once
+    q = queries.select(F.concat(F.lit("\u0000q:"), F.col("query_id")).alias("id"), "category",
+                       anchor.alias("created_at"), "embedding", F.col("query_id"))
     return window_pairs(q, tickets, cfg, keys=("category",), trigger_cols=("query_id",),
                         candidate_cols=("account_id",), closed_end=True, min_score=cfg.threshold)
 

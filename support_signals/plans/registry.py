@@ -582,8 +582,8 @@ def q_embed_incremental(spark, d):
     """Tickets of the last 10 days arrive after a cache of the older ones."""
     from support_signals.functions.encoder import encode, fit_encoder, incremental, ticket_text
     t = _a(spark, d).tickets.select("id", "subject", "body", "created_at")
-    cut = t.agg((F.max("created_at") - F.expr("INTERVAL 10 DAYS")).alias("cut"))
-    old = t.crossJoin(F.broadcast(cut)).where(F.col("created_at") < F.col("cut")).drop("cut")   # cut: one row
+    cut = t.select(F.max("created_at") - F.expr("INTERVAL 10 DAYS")).scalar()      # scalar subquery
+    old = t.where(F.col("created_at") < cut)
     model = fit_encoder(old)
     cache = ticket_text(encode(model, old)).withColumn("text_sha", F.sha2("text", 256))
     return incremental(model, cache, t).select("id", "reason")

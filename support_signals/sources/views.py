@@ -37,13 +37,10 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    # stride between the events that time the tickets: one scalar row,
-    # broadcast (size bound: exactly one row).
-    stride = (ev.agg(F.count(F.lit(1)).alias("n_ev"))
-              .crossJoin(emb.agg(F.count(F.lit(1)).alias("n_emb")))
-              .select(F.expr("n_ev div n_emb").alias("stride")))
-    e = (emb.crossJoin(F.broadcast(stride))
-         .withColumn("event_key", F.col("vec_id") * F.col("stride")))
+    # stride between the events that time the tickets: scalar subqueries
+    # (parquet row counts), evaluated once.
+    stride = F.floor(ev.select(F.count(F.lit(1))).scalar() / emb.select(F.count(F.lit(1))).scalar()).cast("bigint")
+    e = emb.withColumn("event_key", F.col("vec_id") * stride)
     j = (e.join(ev, ev.event_id == e.event_key)
          .join(docs, docs.doc_id == e.vec_id, "left"))
     no = F.col("vec_id")
