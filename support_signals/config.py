@@ -31,11 +31,13 @@ class TrendConfig:
       replicated once per salt.
     * ``block_rows``: rows per block for the NumPy block products used by
       top-k and all-pairs evaluation (memory per task ~ block_rows^2 * 8 B).
-    * ``pair_engine``: ``"join"`` (default) scores each candidate pair in the
-      join's residual predicate (JVM, no Python); ``"blocks"`` co-groups the
-      same salted (key, bucket) groups and scores each group with one NumPy
+    * ``pair_engine``: ``"join"`` scores each candidate pair in the join's
+      residual predicate (JVM, no Python); ``"blocks"`` co-groups the same
+      salted (key, bucket) groups and scores each group with one NumPy
       matrix product, emitting only pairs at or above ``min_score`` -- much
-      faster for dense hot groups, at the cost of Arrow transfer.
+      faster for dense hot groups, at the cost of Arrow transfer; ``"auto"``
+      (default) takes ``blocks`` when the join statistics show hot groups
+      and ``join`` otherwise.
     * ``stream_salts``: fixed split of each (category, day) key of the
       streaming interval join (no statistics exist in a stream); raise it
       when one category-day is hot.
@@ -50,7 +52,7 @@ class TrendConfig:
     max_salt: int = 512
     block_rows: int = 2_048
     stream_salts: int = 1
-    pair_engine: str = "join"
+    pair_engine: str = "auto"
     sweep: tuple[float, ...] = field(default=(0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75))
 
     def with_(self, **kw) -> "TrendConfig":

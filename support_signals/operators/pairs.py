@@ -108,7 +108,9 @@ def window_pairs(
     # Hot-group statistics (at most MAX_HOT_GROUPS rows of key, bucket and two
     # split counts -- no ticket data) are computed once and broadcast to both
     # sides as one small local table.
-    hot = F.broadcast(candidates.sparkSession.createDataFrame(stats.collect(), stats.schema))
+    hot_rows = stats.collect()
+    hot = F.broadcast(candidates.sparkSession.createDataFrame(hot_rows, stats.schema))
+    engine = cfg.pair_engine if cfg.pair_engine != "auto" else ("blocks" if hot_rows else "join")
     s_c, s_t = F.coalesce(F.col("s_c"), F.lit(1)), F.coalesce(F.col("s_t"), F.lit(1))
     # candidates: one candidate salt by hash, replicated to every trigger salt
     cand = (cand.join(hot, [*keys, "bkt"], "left")
@@ -126,7 +128,7 @@ def window_pairs(
 
     upper = (F.col("c_ts") <= F.col("t_ts")) if closed_end else (F.col("c_ts") < F.col("t_ts"))
     cond = [*keys, "bkt", "salt_c", "salt_t"]
-    if cfg.pair_engine == "blocks" and with_score and min_score is not None:
+    if engine == "blocks" and with_score and min_score is not None:
         return _block_matches(trig, cand, cond, keys, cfg, closed_end, min_score, trigger_cols, candidate_cols)
     pairs = (trig.join(cand, cond)
              .where((F.col("c_ts") >= F.col("t_ts") - F.make_dt_interval(F.lit(cfg.window_days)))
