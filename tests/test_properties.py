@@ -57,3 +57,26 @@ def test_window_join_matches_brute_force(spark, make_tickets, seed, bucket_hours
             and t - timedelta(days=7) <= datetime.fromisoformat(c["created_at"]) < t
             and float(np.dot(np.float32(r["embedding"]), np.float32(c["embedding"]))) >= 0.3)
     assert got == want
+
+
+@SETTINGS
+@given(seed=st.integers(0, 10**6), k=st.integers(1, 6), block_rows=st.sampled_from([1, 4, 9, 1000]),
+       exclude_self=st.booleans())
+def test_topk_block_grid_matches_brute_force(spark, make_tickets, seed, k, block_rows, exclude_self):
+    from support_signals.operators.blocks import topk_neighbours
+    rng = np.random.default_rng(seed)
+    n = 25
+    vecs = rng.normal(size=(n, 4))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    rows = [{"id": f"T-{i:02d}", "created_at": "2026-07-01T10:00", "embedding": [float(x) for x in vecs[i]]}
+            for i in range(n)]
+    t = make_tickets(rows)
+    got = {}
+    for r in topk_neighbours(t, t, k, block_rows, exclude_self=exclude_self).collect():
+        got.setdefault(r.q_id, []).append((r.rank, r.c_id))
+    v32 = vecs.astype(np.float32).astype(np.float64)
+    s = v32 @ v32.T
+    for i in range(n):
+        cands = [(-s[i, j], f"T-{j:02d}") for j in range(n) if not (exclude_self and j == i)]
+        want = [c for _, c in sorted(cands)[:k]]
+        assert [c for _, c in sorted(got[f"T-{i:02d}"])] == want
