@@ -39,7 +39,9 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     # stride between the events that time the tickets: scalar subqueries
     # (parquet row counts), evaluated once.
-    stride = F.floor(ev.select(F.count(F.lit(1))).scalar() / emb.select(F.count(F.lit(1))).scalar()).cast("bigint")
+    n_ev = ev.select(F.count(F.lit(1))).scalar().cast("decimal(38,0)")
+    n_emb = emb.select(F.count(F.lit(1))).scalar().cast("decimal(38,0)")
+    stride = F.floor(n_ev / n_emb).cast("bigint")          # exact integer division at any row count
     e = emb.withColumn("event_key", F.col("vec_id") * stride)
     j = (e.join(ev, ev.event_id == e.event_key)
          .join(docs, docs.doc_id == e.vec_id, "left"))
