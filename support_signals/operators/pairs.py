@@ -24,6 +24,11 @@ rows of each side, so per-task work is bounded by ~target^2 however hot the
 category-day is, while cold buckets keep (1, 1) and are not replicated.
 The hot-group table is broadcast with a hard row limit (``MAX_HOT_GROUPS``);
 AQE's skew split stays on as a second line of defence.
+
+Scoring (``cfg.pair_engine``): ``join`` evaluates the cosine in the join's
+residual predicate in the JVM; ``blocks`` co-groups the same salted groups
+and scores each with one NumPy product, returning only pairs at or above the
+cut; ``auto`` uses ``blocks`` when hot groups exist.
 """
 
 from __future__ import annotations
