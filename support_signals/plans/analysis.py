@@ -87,10 +87,18 @@ class Analysis:
     def impact(self) -> DataFrame:
         return self._store(impact.impact_summary(self.members, self.accounts), "impact", "trigger_id")
 
+    @cached_property
+    def topk_free_all(self) -> DataFrame:
+        """k nearest tickets of every ticket vector used as anonymous text (B3): nothing excluded."""
+        return self._store(topk_neighbours(self.tickets, self.tickets, self.cfg.top_k, self.cfg.block_rows,
+                                           exclude_self=False, candidate_cols=("category", "subject")),
+                           "topk_free", "q_id")
+
     def topk(self, queries: DataFrame | None = None, exclude_self: bool = True, k: int | None = None) -> DataFrame:
         k = k or self.cfg.top_k
-        if exclude_self and k <= self.cfg.top_k:
-            t = self.topk_all.where(F.col("rank") <= k)
+        if k <= self.cfg.top_k and (queries is None or exclude_self):
+            base = self.topk_all if exclude_self else self.topk_free_all
+            t = base.where(F.col("rank") <= k)
             return t if queries is None else t.join(queries.select(F.col("id").alias("q_id")), "q_id", "left_semi")
         q = self.tickets if queries is None else queries
         return topk_neighbours(q, self.tickets, k, self.cfg.block_rows,
