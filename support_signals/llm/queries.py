@@ -47,5 +47,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op5_token_count, op6_quality_rules, op8_secret_scan)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op5_token_count, op6_quality_rules, op8_secret_scan,
+                                 op9_jaccard_join)}
 ORACLE: dict[str, str] = {}

@@ -148,4 +148,5 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sequence_hash(h: np.ndarray) -> np.uint64:
     """Hash of a whole sequence of fewer than 64 words; sequences of different lengths differ."""
-    return mix(np.array([(h * _PLACE[:len(h)]).sum(dtype=np.uint64) + U64(len(h)) * _PLACE[63]], dtype=np.uint64))[0]
+    total = np.append(h * _PLACE[:len(h)], np.array([len(h)], dtype=np.uint64) * _PLACE[63:])
+    return mix(total.sum(dtype=np.uint64, keepdims=True))[0]
