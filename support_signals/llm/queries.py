@@ -41,6 +41,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find, report
+
+    return report(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_scan
 
@@ -53,6 +59,6 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op5_token_count, op6_quality_rules, op8_secret_scan,
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op5_token_count, op6_quality_rules, op7_decontaminate, op8_secret_scan,
                                  op9_jaccard_join)}
 ORACLE: dict[str, str] = {}
