@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
 from .words import scan, slices, windows
 
 FIT_ROWS = 20_000
@@ -224,9 +225,8 @@ def verdict(rules: list[Rule]) -> Column:
 
 def apply(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, kept, rule (0: none)."""
-    stats = statistics(docs)
-    marked = labels.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    rules = fit(statistics(docs.join(marked, "doc_id", "left_semi")), labels, fit_rows)
+    stats = write_table(statistics(docs), "text-statistics")      # read twice; no texts
+    rules = fit(stats, labels, fit_rows)
     failed = base_failed()
     return stats.select("doc_id", *BASE, failed.alias("base_failed"),
                         F.when(failed, F.lit(False)).otherwise(verdict(rules) == 0).alias("kept"),
