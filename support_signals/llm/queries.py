@@ -29,6 +29,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -59,6 +65,6 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op5_token_count, op6_quality_rules, op7_decontaminate, op8_secret_scan,
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op4_substring_dedup, op5_token_count, op6_quality_rules, op7_decontaminate, op8_secret_scan,
                                  op9_jaccard_join)}
 ORACLE: dict[str, str] = {}
