@@ -29,6 +29,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -65,6 +71,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op4_substring_dedup, op5_token_count, op6_quality_rules, op7_decontaminate, op8_secret_scan,
-                                 op9_jaccard_join)}
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_derive import derivatives
+
+    return derivatives(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_license_scan, op4_substring_dedup, op5_token_count, op6_quality_rules, op7_decontaminate, op8_secret_scan,
+                                 op9_jaccard_join, op10_warc_derivatives)}
 ORACLE: dict[str, str] = {}

@@ -158,3 +158,39 @@ def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
         F.split(s, ":")[1].cast("bigint").alias("start"), F.array_position(F.array(*map(F.lit, (*KINDS, "linked"))), F.split(s, ":")[0]).alias("kind"), s.alias("span"))))
     return out.select(key, *keep, "n_assign", "n_access", "n_hex", "base_sha256",
                       F.array_join(F.transform(spans, lambda x: x["span"]), ",").alias("spans"))
+
+
+def redact(docs: DataFrame, columns: tuple[str, ...], text: str = "text", key: str = "doc_id", reach: int = REACH) -> DataFrame:
+    """``columns`` of every row, its spans replaced by ``[kind]``; overlapping spans are one, named after the first.
+
+    Strong spans are found again next to the text, so only linked tokens travel: documents meet them by id and hash."""
+    linked = link(write_table(parts(docs, text, key).where("parts IS NOT NULL"), "secret-parts"), key, reach).withColumnsRenamed({key: "_key", "text_hash": "_hash"})
+    same = docs[key].eqNullSafe(F.col("_key")) & F.xxhash64(docs[text]).eqNullSafe(F.col("_hash"))
+    joined = docs.join(linked, same, "left").select(*columns, "linked")
+    at, size = columns.index(text), columns.index("n_chars") if "n_chars" in columns else None
+    schema = joined.select(*columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lengths = [], []
+            for value, more in zip(batch.column(at), batch.column(len(columns))):
+                t = value.as_py()
+                if t:
+                    strong = strong_spans(t, t.lower()) + [(m.start(), 2, m.end()) for m in HEX.finditer(t)]
+                    spans = sorted([(s, e, KINDS[k]) for s, k, e in strong] + [(x["start"], x["end"], "linked") for x in more.as_py() or ()])
+                    out, done = [], 0
+                    for s, e, kind in spans:
+                        if s >= done:
+                            out += [t[done:s], f"[{kind}]"]
+                        done = max(done, e)
+                    if out:
+                        t = "".join([*out, t[done:]])
+                texts.append(t)
+                lengths.append(None if t is None else len(t))
+            new = list(batch.columns[:len(columns)])
+            new[at] = pa.array(texts, pa.string())
+            if size is not None:
+                new[size] = pa.array(lengths, new[size].type)
+            yield pa.RecordBatch.from_arrays(new, names=list(columns))
+
+    return joined.mapInArrow(run, schema)
