@@ -11,10 +11,10 @@ of the symmetric difference, and a difference of ``d`` elements touches at most
 at least ``1 + s`` whole blocks (pigeonhole).  Blocks with fewer than two bits set say little and join many classes;
 they are used as keys only by classes that have ``s`` or more of them, as every other pair agrees in a fuller block.
 
-**Join.**  Blocks meet on (band, block number, bits).  First each class is compared with the smallest class it shares
-most blocks with, and the links found make components; then only pairs in different components are still compared, so a
-group of near copies costs about one comparison per member, not one per pair.  Size and a 256-bit parity sketch (again a
-lower bound) drop pairs inside the join; the rest is verified on the sets themselves.
+**Join.**  Blocks meet on (band, block number, bits).  Documents that meet on one of their rarest shared blocks form small
+clusters; within a cluster sizes, then 256-bit parity sketches (again a lower bound), then the sets themselves are compared.
+A comparison is left out when its two documents are connected already, and a cluster gives a forest of links instead of all
+pairs, which has the same components.
 
 Defined results: null or empty texts, or such without words, have no shingles and link with nothing; a text of one to four
 words has its whole sequence as its one shingle; component_id is the smallest doc_id reachable, itself included; rows with
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_table
@@ -179,8 +179,9 @@ def _keys(ids: np.ndarray, sets: list[np.ndarray], wanted: np.ndarray | None) ->
 def candidate_clusters(docs: DataFrame, members: np.ndarray, text: str, key: str) -> DataFrame:
     """(doc_id, cluster) of documents that may link: linking ones are in the same cluster.
 
-    ``node`` is twice the id, plus one for the band below.  A first pass counts the classes at each key (aggregated
-    before the shuffle); the second only sends keys that more than one document has."""
+    ``node`` is twice the id, plus one for the band below.  A first pass counts the documents at each key (aggregated
+    before the shuffle); the second only sends keys that more than one document has.  Of those a document needs only its
+    rarest, all but as many as a partner shares anyway, so passages that many documents have do not chain them."""
     schema = "key bigint, node bigint, need int"
     every = chosen_sets(docs, members, text, key, lambda i, s: _keys(i, s, None), schema).select("key", "node")
     shared = write_table(every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
@@ -189,8 +190,12 @@ def candidate_clusters(docs: DataFrame, members: np.ndarray, text: str, key: str
     wanted = docs.sparkSession.sparkContext.broadcast(exact_bitmap(shared.select(top.alias("at")), KEY_BITS))
     again = chosen_sets(docs, members, text, key, lambda i, s: _keys(i, s, wanted.value), schema)
     rows = write_table(again.join(shared, "key"), "shared-blocks")
-    enough = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("node")
-    kept = rows.join(enough, "node", "left_semi")
+    size = rows.groupBy("key").agg(F.count("*").alias("size"))
+    own = Window.partitionBy("node")
+    # of n shared keys a partner shares ``need`` at least, so one of the n - need + 1 rarest
+    kept = (rows.join(size, "key").withColumn("n", F.count("*").over(own))
+            .withColumn("place", F.row_number().over(own.orderBy("size", "key")))
+            .where("place <= n - need + 1").select("key", "node"))
     least = kept.groupBy("key").agg(F.min("node").alias("leader"))
     edges = kept.join(least, "key").select(F.shiftright("node", 1).alias("a"), F.shiftright("leader", 1).alias("b"))
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
