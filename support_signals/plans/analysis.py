@@ -1,8 +1,8 @@
 """Lazily built DataFrames shared by the registered queries.
 
 One ``Analysis`` per (session, data folder): the ticket views, the matched
-pairs of the trend rule, the cluster members, impact and drafts.  Nothing
-is materialised here; each query's plan is built from these pieces.
+pairs of the trend rule, the cluster members, impact and drafts.  The pieces
+that several queries share are stored once per session.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ class Analysis:
         """Review decisions derived from the matches: first pass includes every
         candidate whose number is not a multiple of 4; multiples of 3 are
         revised an hour later (flipped), so the last write must win."""
-        no = F.substring("c_id", 3, 10).cast("bigint")
+        no = F.expr("substring(c_id, 3)").cast("bigint")
         base = self.matches.select(F.col("t_id").alias("trigger_id"), F.col("c_id").alias("ticket_id"),
                                    (no % 4 != 0).alias("include"), F.col("t_ts").alias("decided_at"),
                                    F.lit(1).alias("seq"), no.alias("no"))

@@ -3,9 +3,10 @@
 The driver tables carry no tickets, so the ticket domain is derived from
 them (the same definitions are used as SQL text by the DuckDB oracle):
 
-* ``tickets``  one row per embedding vector, timed by every r-th event
-  (r = #events div #embeddings) so tickets spread over the whole period,
-  text from ``documents``;
+* ``tickets``  one row per number that a document or an embedding vector has.
+  Text and vector are those of the number, counted round again in the shorter
+  table; every event belongs to one ticket: the ticket's opening event gives
+  time, category and account, and the errors among its events the priority;
 * ``accounts`` from customer + nation + region;
 * ``messages`` from conversations;
 * ``issues``   from orders (+ customer for the assignee).
@@ -19,9 +20,14 @@ from pyspark.sql import functions as F
 from support_signals.sources.tables import table
 
 
-def _priority(no: Column) -> Column:
-    return (F.when(no % 7 == 0, "urgent").when(no % 3 == 0, "medium")
-            .when(no % 2 == 0, "high").otherwise("low"))
+def ticket_id(no: Column) -> Column:
+    """``T-`` and the number in five digits, or as many as it has."""
+    digits = no.cast("string")
+    return F.concat(F.lit("T-"), F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits))
+
+
+def _priority(errors: Column) -> Column:
+    return F.when(errors >= 4, "urgent").when(errors == 3, "high").when(errors == 2, "medium").otherwise("low")
 
 
 def _status(no: Column) -> Column:
@@ -33,27 +39,47 @@ def _assignee(no: Column) -> Column:
             .otherwise(F.concat(F.lit("agent"), (no % 8).cast("string"))))
 
 
+def _rows(df: DataFrame) -> Column:
+    """Row count as a scalar subquery, evaluated once."""
+    return F.coalesce(df.select(F.count(F.lit(1))).scalar(), F.lit(0))
+
+
+def ticket_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (table(spark, sf_dir, "documents").select(F.col("doc_id").alias("no"))
+            .union(table(spark, sf_dir, "embeddings").select("vec_id")).distinct())
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = ticket_numbers(spark, sf_dir)
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    # stride between the events that time the tickets: scalar subqueries
-    # (parquet row counts), evaluated once.
-    n_ev = ev.select(F.count(F.lit(1))).scalar().cast("decimal(38,0)")
-    n_emb = emb.select(F.count(F.lit(1))).scalar().cast("decimal(38,0)")
-    stride = F.floor(n_ev / n_emb).cast("bigint")          # exact integer division at any row count
-    e = emb.withColumn("event_key", F.col("vec_id") * stride)
-    j = (e.join(ev, ev.event_id == e.event_key)
-         .join(docs, docs.doc_id == e.vec_id, "left"))
-    no = F.col("vec_id")
+    n_tickets, n_events, n_emb, n_docs = (_rows(x) for x in (numbers, ev, emb, docs))
+    no = F.col("no")
+    # the opening event of each ticket, and to which ticket each event belongs
+    first_event = F.floor((no * n_events).cast("decimal(38,0)") / n_tickets).cast("bigint")
+    errors = (ev.select(F.floor((F.col("event_id") * n_tickets).cast("decimal(38,0)") / n_events).cast("bigint").alias("owner"), "event_type")
+              .groupBy("owner").agg(F.count_if(F.col("event_type") == "error").alias("errors")))
+    lap = F.floor(no / n_emb).cast("bigint")
+    other = emb.select(F.col("vec_id").alias("vec2"), F.col("embedding").alias("embedding2"))
+    j = (numbers.withColumns({"event_key": first_event, "vec_key": no % n_emb, "vec2_key": (no + lap) % n_emb, "doc_key": no % n_docs})
+         .join(ev, F.col("event_key") == ev.event_id, "left")
+         .join(errors, no == F.col("owner"), "left")
+         .join(emb, F.col("vec_key") == emb.vec_id, "left")
+         .join(other, F.col("vec2_key") == F.col("vec2"), "left")
+         .join(docs, F.col("doc_key") == docs.doc_id, "left"))
     text = F.coalesce(F.col("text"), F.lit(""))
+    total = F.zip_with("embedding", "embedding2", lambda x, y: x.cast("double") + y.cast("double"))
+    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda acc, x: acc + x * x))
+    vector = F.when(F.col("vec_key") == F.col("vec2_key"), F.col("embedding")).otherwise(
+        F.transform(total, lambda x: (x / norm).cast("float")))       # later laps: the middle of two vectors
     return j.select(
         no.alias("ticket_no"),
-        F.concat(F.lit("T-"), F.lpad(no.cast("string"), 5, "0")).alias("id"),
+        ticket_id(no).alias("id"),
         F.col("ts").alias("created_at"),
         F.col("event_type").alias("category"),
         F.col("user_id").alias("account_id"),
-        _priority(no).alias("priority"),
+        _priority(F.coalesce("errors", F.lit(0))).alias("priority"),
         _status(no).alias("status"),
         _assignee(no).alias("assignee"),
         F.substring(text, 1, 60).alias("subject"),
@@ -62,7 +88,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit('","'), F.coalesce(F.col("source"), F.lit("none")), F.lit('"]')).alias("tags"),
         F.col("label").alias("topic_id"),
         (F.col("label") < 5).alias("is_emerging_trend"),
-        F.col("embedding"),
+        vector.alias("embedding"),
     )
 
 
@@ -100,6 +126,7 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "left")
     key = F.col("o_orderkey")
+    n_tickets = _rows(ticket_numbers(spark, sf_dir))
     return j.select(
         F.concat(F.lit("ENG-"), (key + 101).cast("string")).alias("issue_key"),
         key.alias("key_no"),
@@ -111,28 +138,39 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("assignee"),
         F.concat(F.lit("Escalation "), F.lower("c_mktsegment")).alias("summary"),
         F.col("o_orderdate").cast("date").alias("created"),
-        F.when(key % 97 == 0, F.concat(F.lit("T-"), F.lpad((key % 700).cast("string"), 5, "0")))
-        .alias("trigger_ticket_id"),
+        F.when(key % 97 == 0, ticket_id(key % n_tickets)).alias("trigger_ticket_id"),
     )
 
 
 # SQL text of the same views, shared with the DuckDB oracle (plans/oracle.py).
 TICKETS_SQL = """
-SELECT e.vec_id AS ticket_no,
-       concat('T-', lpad(CAST(e.vec_id AS VARCHAR), 5, '0')) AS id,
+SELECT x.no AS ticket_no,
+       'T-' || CASE WHEN x.no < 10000 THEN printf('%05d', x.no) ELSE CAST(x.no AS VARCHAR) END AS id,
        ev.ts AS created_at, ev.event_type AS category, ev.user_id AS account_id,
-       CASE WHEN e.vec_id % 7 = 0 THEN 'urgent' WHEN e.vec_id % 3 = 0 THEN 'medium'
-            WHEN e.vec_id % 2 = 0 THEN 'high' ELSE 'low' END AS priority,
-       CASE WHEN e.vec_id % 5 = 3 THEN 'open' WHEN e.vec_id % 5 = 4 THEN 'pending' ELSE 'resolved' END AS status,
-       CASE WHEN e.vec_id % 6 = 0 THEN NULL WHEN e.vec_id % 11 = 0 THEN ''
-            ELSE concat('agent', CAST(e.vec_id % 8 AS VARCHAR)) END AS assignee,
+       CASE WHEN coalesce(g.errors, 0) >= 4 THEN 'urgent' WHEN g.errors = 3 THEN 'high'
+            WHEN g.errors = 2 THEN 'medium' ELSE 'low' END AS priority,
+       CASE WHEN x.no % 5 = 3 THEN 'open' WHEN x.no % 5 = 4 THEN 'pending' ELSE 'resolved' END AS status,
+       CASE WHEN x.no % 6 = 0 THEN NULL WHEN x.no % 11 = 0 THEN ''
+            ELSE concat('agent', CAST(x.no % 8 AS VARCHAR)) END AS assignee,
        substr(coalesce(d.text, ''), 1, 60) AS subject, coalesce(d.text, '') AS body,
-       concat('["', ev.event_type, '","', coalesce(d.lang, 'xx'), '","', coalesce(d.source, 'none'), '"]') AS tags,
-       e.label AS topic_id, e.label < 5 AS is_emerging_trend, e.embedding AS embedding
-FROM embeddings e
-CROSS JOIN (SELECT CAST(FLOOR((SELECT COUNT(*) FROM events) * 1.0 / (SELECT COUNT(*) FROM embeddings)) AS BIGINT) AS k) r
-JOIN events ev ON ev.event_id = e.vec_id * r.k
-LEFT JOIN documents d ON d.doc_id = e.vec_id
+       '["' || ev.event_type || '","' || coalesce(d.lang, 'xx') || '","' || coalesce(d.source, 'none') || '"]' AS tags,
+       e.label AS topic_id, e.label < 5 AS is_emerging_trend,
+       CASE WHEN e.vec_id = e2.vec_id THEN e.embedding ELSE list_transform(list_zip(e.embedding, e2.embedding),
+         lambda p: CAST((CAST(p[1] AS DOUBLE) + CAST(p[2] AS DOUBLE)) / sqrt(list_sum(list_transform(list_zip(e.embedding, e2.embedding),
+           lambda q: (CAST(q[1] AS DOUBLE) + CAST(q[2] AS DOUBLE)) * (CAST(q[1] AS DOUBLE) + CAST(q[2] AS DOUBLE))))) AS FLOAT)) END AS embedding
+FROM (SELECT n.no, (n.no * s.n_events) // s.n_tickets AS event_key, n.no % s.n_emb AS vec_key,
+             (n.no + n.no // s.n_emb) % s.n_emb AS vec2_key, n.no % s.n_docs AS doc_key
+      FROM (SELECT doc_id AS no FROM documents UNION SELECT vec_id FROM embeddings) n,
+           (SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings)) AS n_tickets,
+                   (SELECT count(*) FROM events) AS n_events, (SELECT count(*) FROM embeddings) AS n_emb,
+                   (SELECT count(*) FROM documents) AS n_docs) s) x
+LEFT JOIN events ev ON ev.event_id = x.event_key
+LEFT JOIN (SELECT (event_id * t.n) // c.n AS owner, count_if(event_type = 'error') AS errors
+           FROM events, (SELECT count(*) AS n FROM (SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings)) t,
+                (SELECT count(*) AS n FROM events) c GROUP BY 1) g ON g.owner = x.no
+LEFT JOIN embeddings e ON e.vec_id = x.vec_key
+LEFT JOIN embeddings e2 ON e2.vec_id = x.vec2_key
+LEFT JOIN documents d ON d.doc_id = x.doc_key
 """
 
 ACCOUNTS_SQL = """
@@ -157,7 +195,8 @@ SELECT concat('ENG-', CAST(o.o_orderkey + 101 AS VARCHAR)) AS issue_key, o.o_ord
             WHEN '3' THEN 'Medium' ELSE 'Low' END AS priority,
        c.c_name AS assignee, concat('Escalation ', lower(c.c_mktsegment)) AS summary,
        CAST(o.o_orderdate AS DATE) AS created,
-       CASE WHEN o.o_orderkey % 97 = 0 THEN concat('T-', lpad(CAST(o.o_orderkey % 700 AS VARCHAR), 5, '0')) END
-         AS trigger_ticket_id
-FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+       CASE WHEN o.o_orderkey % 97 = 0 THEN 'T-' || CASE WHEN o.o_orderkey % s.n < 10000 THEN printf('%05d', o.o_orderkey % s.n)
+            ELSE CAST(o.o_orderkey % s.n AS VARCHAR) END END AS trigger_ticket_id
+FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey,
+     (SELECT count(*) AS n FROM (SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings)) s
 """
