@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import smallest_hashes
 from .words import LOWER, Words, mix, scan, slices
 
 BITS = 18
@@ -176,9 +177,8 @@ def held_out(key: str = "doc_id"):
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
     """Indicators and labels of the learning rows; the ids (at most ``fit_rows``) are broadcast, the texts stay put."""
-    chosen = (labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
-              .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
+    chosen = smallest_hashes(labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
+                             .groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", fit_rows)
     joined = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

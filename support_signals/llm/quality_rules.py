@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_table
+from .components import smallest_hashes
 from .words import scan, slices, windows
 
 FIT_ROWS = 20_000
@@ -204,10 +205,9 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[R
     """Rules from labelled rows that pass the base rule: at most ``fit_rows`` of them come to the driver."""
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     columns = features()
-    chosen = (stats.where(~base_failed()).join(marked, "doc_id")
-              .select("doc_id", "quality", *[c.alias(f) for f, c in columns.items()])
-              .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(fit_rows))
-    rows = chosen.toPandas()
+    passed = stats.where(~base_failed()).select("doc_id", *[c.alias(f) for f, c in columns.items()])
+    rows = smallest_hashes(passed.join(marked, "doc_id"), "doc_id", fit_rows).toPandas()
+    rows = rows.sort_values(["doc_id", *FEATURES], kind="stable")
     if rows.empty or rows["quality"].nunique() < 2:
         return []
     return learn(rows[list(FEATURES)].to_numpy(dtype=float), rows["quality"].to_numpy() == 0)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,4 +83,3 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_license_scan, op4_substring_dedup, op5_token_count, op6_quality_rules, op7_decontaminate, op8_secret_scan,
                                  op9_jaccard_join, op10_warc_derivatives)}
-ORACLE: dict[str, str] = {}
