@@ -24,20 +24,11 @@ class TrendConfig:
       range predicate into an equi-join key.  Smaller buckets mean fewer
       candidate pairs checked per trigger but more trigger replicas
       (window / bucket + 1 of them).
-    * ``target_pairs_per_task``: upper bound on candidate rows a single
-      (key, bucket) join group may hold before it is split by a salt.  A hot
-      category-day holding a third of all tickets is split into
-      ``ceil(rows / target)`` salted sub-groups; the trigger side is
-      replicated once per salt.
-    * ``block_rows``: rows per block for the NumPy block products used by
-      top-k and all-pairs evaluation (memory per task ~ block_rows^2 * 8 B).
-    * ``pair_engine``: ``"join"`` scores each candidate pair in the join's
-      residual predicate (JVM, no Python); ``"blocks"`` co-groups the same
-      salted (key, bucket) groups and scores each group with one NumPy
-      matrix product, emitting only pairs at or above ``min_score`` -- much
-      faster for dense hot groups, at the cost of Arrow transfer; ``"auto"``
-      (default) takes ``blocks`` when the join statistics show hot groups
-      and ``join`` otherwise.
+    * ``target_rows_per_group``: rows per side a (key, bucket) join group may
+      hold before it is split by salts.  A category-day holding a third of all
+      tickets becomes ``ceil(rows / target)`` sub-groups per side.
+    * ``block_rows``: rows per block or tile of the NumPy products (memory per
+      task ~ block_rows^2 * 8 B).
     * ``stream_salts``: fixed split of each (category, day) key of the
       streaming interval join (no statistics exist in a stream); raise it
       when one category-day is hot.
@@ -49,10 +40,8 @@ class TrendConfig:
     top_k: int = DEFAULT_TOP_K
     bucket_hours: int = 24
     target_rows_per_group: int = 20_000
-    max_salt: int = 512
     block_rows: int = 2_048
     stream_salts: int = 1
-    pair_engine: str = "auto"
     sweep: tuple[float, ...] = field(default=(0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75))
 
     def with_(self, **kw) -> "TrendConfig":

@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def as_double_array(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast("array<double>")
-
-
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product of two equal-length numeric arrays (cosine for unit vectors).
 
@@ -38,6 +33,3 @@ def epoch_micros(ts: Column | str) -> Column:
 def bucket_of(ts: Column | str, bucket_seconds: int) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(bucket_seconds)).cast("bigint")
 
-
-def round6(c: Column) -> Column:
-    return F.round(c, 6)

@@ -16,40 +16,42 @@ categories).  Instead both sides get a time bucket of ``bucket_hours``:
 
 Hot groups are split on both sides.  Per (key, bucket) the candidate count
 ``n_c`` and the count ``n_t`` of triggers reaching the bucket give
-``s_c = ceil(n_c / target)`` and ``s_t = ceil(n_t / target)`` (capped).  A
-candidate takes salt_c by hash and is replicated to every salt_t; a trigger
-takes salt_t by hash and is replicated to every salt_c; the join key is
+``s_c = ceil(n_c / target)`` and ``s_t = ceil(n_t / target)``.  A candidate
+takes salt_c by hash and is replicated to every salt_t; a trigger takes
+salt_t by hash and is replicated to every salt_c; the join key is
 (key, bucket, salt_c, salt_t).  A join group then holds about ``target``
 rows of each side, so per-task work is bounded by ~target^2 however hot the
 category-day is, while cold buckets keep (1, 1) and are not replicated.
-The hot-group table is broadcast with a hard row limit (``MAX_HOT_GROUPS``);
-AQE's skew split stays on as a second line of defence.
-
-Scoring (``cfg.pair_engine``): ``join`` evaluates the cosine in the join's
-residual predicate in the JVM; ``blocks`` co-groups the same salted groups
-and scores each with one NumPy product, returning only pairs at or above the
-cut; ``auto`` uses ``blocks`` when hot groups exist.
+The split counts are computed in the plan, for every group that needs one,
+and joined like any other table (AQE broadcasts them when they are small).
+
+Scoring: pairs that must reach a score are found by co-grouping the salted
+groups and multiplying them tile by tile; the products only preselect, with
+a margin, and each preselected pair gets the score that ``functions.vectors.dot``
+defines (a sum from left to right), so a listed score, a score at the cut and
+a score in a plain join are the same number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from support_signals.config import TrendConfig
+from support_signals.operators.blocks import _empty, _stack
 from support_signals.functions.vectors import bucket_of, dot, epoch_micros, epoch_seconds
 
-# At most this many hot (key, bucket) groups are salted.  The hot-group table
-# is broadcast, so its size is bounded by construction (``limit``); groups
-# beyond the cap keep one salt, which changes only the spread of the work,
-# never the result.
-MAX_HOT_GROUPS = 100_000
+# Far above the rounding error of a product of unit vectors, far below any score step.
+MARGIN = 1e-6
 
 
-def _hot_groups(cand: DataFrame, trig: DataFrame | None, keys: Sequence[str], cfg: TrendConfig, span: int) -> DataFrame:
-    """(key, bucket, s_c, s_t) for the hot candidate buckets.
+def group_splits(cand: DataFrame, trig: DataFrame | None, keys: Sequence[str], cfg: TrendConfig, span: int) -> DataFrame:
+    """(key, bucket, s_c, s_t) of every candidate bucket that is split.
 
     ``s_c`` splits the candidates of the bucket, ``s_t`` splits the triggers
     that reach it (those of buckets b .. b + span, a range-frame sum over the
@@ -68,12 +70,10 @@ def _hot_groups(cand: DataFrame, trig: DataFrame | None, keys: Sequence[str], cf
               .where(F.col("n_c").isNotNull()))
 
     def split(n):
-        return F.least(F.lit(cfg.max_salt), F.greatest(F.lit(1), F.ceil(n / F.lit(cfg.target_rows_per_group)))).cast("int")
+        return F.greatest(F.lit(1), F.ceil(n / F.lit(cfg.target_rows_per_group))).cast("int")
 
-    st = st.select(*keys, "bkt", split(F.col("n_c")).alias("s_c"), split(F.col("n_t")).alias("s_t"),
-                   (F.col("n_c") * F.col("n_t")).alias("work"))
-    hot = st.where((F.col("s_c") > 1) | (F.col("s_t") > 1)).orderBy(F.desc("work")).limit(MAX_HOT_GROUPS)
-    return hot.drop("work")
+    return (st.select(*keys, "bkt", split(F.col("n_c")).alias("s_c"), split(F.col("n_t")).alias("s_t"))
+            .where((F.col("s_c") > 1) | (F.col("s_t") > 1)))
 
 
 def window_pairs(
@@ -93,8 +93,9 @@ def window_pairs(
 
     Both inputs need ``id``, ``created_at``, ``embedding`` and ``keys``.
     Extra columns are carried through prefixed ``t_`` / ``c_``.  With
-    ``min_score`` only pairs scoring at least that much are returned (the
-    ``blocks`` engine then never emits the others).
+    ``min_score`` only pairs scoring at least that much are returned, and the
+    others never leave the task that compares them.  Rows with a null key or
+    time are in no window.
     """
     keys = list(keys)
     w, width = cfg.window_seconds, cfg.bucket_seconds
@@ -109,13 +110,7 @@ def window_pairs(
     ).withColumn("t_bkt", F.floor(t_sec / F.lit(width)).cast("bigint"))
     span = -(-w // width)                                # buckets a window reaches back
     same = triggers is candidates
-    stats = _hot_groups(cand.select(*keys, "bkt"), None if same else trig.select(*keys, "t_bkt"), keys, cfg, span)
-    # Hot-group statistics (at most MAX_HOT_GROUPS rows of key, bucket and two
-    # split counts -- no ticket data) are computed once and broadcast to both
-    # sides as one small local table.
-    hot_rows = stats.collect()
-    hot = F.broadcast(candidates.sparkSession.createDataFrame(hot_rows, stats.schema))
-    engine = cfg.pair_engine if cfg.pair_engine != "auto" else ("blocks" if hot_rows else "join")
+    hot = group_splits(cand.select(*keys, "bkt"), None if same else trig.select(*keys, "t_bkt"), keys, cfg, span)
     s_c, s_t = F.coalesce(F.col("s_c"), F.lit(1)), F.coalesce(F.col("s_t"), F.lit(1))
     # candidates: one candidate salt by hash, replicated to every trigger salt
     cand = (cand.join(hot, [*keys, "bkt"], "left")
@@ -133,35 +128,49 @@ def window_pairs(
 
     upper = (F.col("c_ts") <= F.col("t_ts")) if closed_end else (F.col("c_ts") < F.col("t_ts"))
     cond = [*keys, "bkt", "salt_c", "salt_t"]
-    if engine == "blocks" and with_score and min_score is not None:
-        return _block_matches(trig, cand, cond, keys, cfg, closed_end, min_score, trigger_cols, candidate_cols)
+    if with_score and min_score is not None:
+        return block_matches(trig, cand, cond, keys, cfg, closed_end, min_score, trigger_cols, candidate_cols)
     pairs = (trig.join(cand, cond)
              .where((F.col("c_ts") >= F.col("t_ts") - F.make_dt_interval(F.lit(cfg.window_days)))
                     & upper & (F.col("c_id") != F.col("t_id"))))
     out = [*keys, "t_id", "t_ts", "c_id", "c_ts",
            *[f"t_{c}" for c in trigger_cols], *[f"c_{c}" for c in candidate_cols]]
     if with_score:
-        scored = pairs.select(*out, dot("t_vec", "c_vec").alias("score"))
-        return scored if min_score is None else scored.where(F.col("score") >= F.lit(float(min_score)))
+        return pairs.select(*out, dot("t_vec", "c_vec").alias("score"))
     return pairs.select(*out)
 
 
-def _block_matches(trig: DataFrame, cand: DataFrame, cond: list[str], keys: list[str], cfg: TrendConfig,
-                   closed_end: bool, min_score: float, trigger_cols, candidate_cols) -> DataFrame:
-    """``pair_engine="blocks"``: every salted (key, bucket) group is one NumPy
-    product; the window test, self exclusion and score cut run on the score
-    matrix, and only the surviving pairs leave the task."""
-    import numpy as np
-    import pandas as pd
-
-    from support_signals.operators.blocks import _empty, _stack
-
+def tile_matches(tv: np.ndarray, cv: np.ndarray, in_window, min_score: float, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigger row, candidate row, score) of the pairs of two vector blocks that reach ``min_score``.
+
+    ``in_window(rows, columns)`` gives the mask of a tile.  Memory is that of one tile of ``tile`` x ``tile`` products."""
+    found = []
+    for a in range(0, len(tv), tile):
+        for b in range(0, len(cv), tile):
+            rows, cols = slice(a, a + tile), slice(b, b + tile)
+            r, c = np.nonzero((tv[rows] @ cv[cols].T >= min_score - MARGIN) & in_window(rows, cols))
+            score = np.zeros(len(r))
+            for k in range(tv.shape[1]):                 # left to right, as functions.vectors.dot
+                score += tv[a + r, k] * cv[b + c, k]
+            ok = score >= min_score
+            found.append((a + r[ok], b + c[ok], score[ok]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def block_matches(trig: DataFrame, cand: DataFrame, cond: list[str], keys: list[str], cfg: TrendConfig,
+                  closed_end: bool, min_score: float, trigger_cols, candidate_cols) -> DataFrame:
+    """Compares the salted groups tile by tile; only pairs at or above ``min_score`` leave the task."""
     w_us = int(cfg.window_seconds) * 1_000_000
     t_extra, c_extra = [f"t_{c}" for c in trigger_cols], [f"c_{c}" for c in candidate_cols]
+
     def fresh(cols):       # new attribute ids: both sides may stem from the same table
         return [F.col(c).alias(c) for c in cols]
-    tl = trig.select(*fresh([*cond, "t_id", "t_ts"]), epoch_micros("t_ts").alias("t_us"), *fresh(["t_vec", *t_extra]))
-    cl = cand.select(*fresh([*cond, "c_id", "c_ts"]), epoch_micros("c_ts").alias("c_us"), *fresh(["c_vec", *c_extra]))
+
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cond])
+    tl = trig.where(known).select(*fresh([*cond, "t_id", "t_ts"]), epoch_micros("t_ts").alias("t_us"), *fresh(["t_vec", *t_extra]))
+    cl = cand.where(known).select(*fresh([*cond, "c_id", "c_ts"]), epoch_micros("c_ts").alias("c_us"), *fresh(["c_vec", *c_extra]))
     out_cols = [*keys, "t_id", "t_ts", "c_id", "c_ts", *t_extra, *c_extra, "score"]
     fields = {f.name: f.dataType.simpleString() for f in (*tl.schema.fields, *cl.schema.fields)}
     schema = ", ".join(f"{c} {'double' if c == 'score' else fields[c]}" for c in out_cols)
@@ -169,17 +178,21 @@ def _block_matches(trig: DataFrame, cand: DataFrame, cond: list[str], keys: list
     def group(tp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         if len(tp) == 0 or len(cp) == 0:
             return _empty(out_cols, {"score": "float64"})
-        s = _stack(tp["t_vec"]) @ _stack(cp["c_vec"]).T
-        tu, cu = tp["t_us"].to_numpy()[:, None], cp["c_us"].to_numpy()[None, :]
-        upper = (cu <= tu) if closed_end else (cu < tu)
-        ok = (s >= min_score) & (cu >= tu - w_us) & upper & (tp["t_id"].to_numpy()[:, None] != cp["c_id"].to_numpy()[None, :])
-        r, c = np.nonzero(ok)
+        tu, cu = tp["t_us"].to_numpy(), cp["c_us"].to_numpy()
+
+        def in_window(rows: slice, cols: slice) -> np.ndarray:
+            t, c = tu[rows, None], cu[None, cols]
+            return (c >= t - w_us) & ((c <= t) if closed_end else (c < t))
+
+        r, c, score = tile_matches(_stack(tp["t_vec"]), _stack(cp["c_vec"]), in_window, min_score, cfg.block_rows)
+        other = tp["t_id"].to_numpy()[r] != cp["c_id"].to_numpy()[c]
+        r, c, score = r[other], c[other], score[other]
         res = {k: tp[k].to_numpy()[r] for k in keys}
         for col in ("t_id", "t_ts", *t_extra):
             res[col] = tp[col].to_numpy()[r]
         for col in ("c_id", "c_ts", *c_extra):
             res[col] = cp[col].to_numpy()[c]
-        res["score"] = s[r, c]
+        res["score"] = score
         return pd.DataFrame(res)[out_cols]
 
     return tl.groupBy(*cond).cogroup(cl.groupBy(*cond)).applyInPandas(group, schema=schema)

@@ -33,8 +33,8 @@ def test_format_arr_matches_python(spark, amounts):
 
 @SETTINGS
 @given(seed=st.integers(0, 10**6), bucket_hours=st.sampled_from([1, 7, 24, 100]),
-       target=st.sampled_from([3, 20, 20_000]), engine=st.sampled_from(["join", "blocks", "auto"]))
-def test_window_join_matches_brute_force(spark, make_tickets, seed, bucket_hours, target, engine):
+       target=st.sampled_from([3, 20, 20_000]), tile=st.sampled_from([1, 5, 2048]))
+def test_window_join_matches_brute_force(spark, make_tickets, seed, bucket_hours, target, tile):
     rng = np.random.default_rng(seed)
     n = 40
     start = datetime(2026, 7, 1)
@@ -46,7 +46,7 @@ def test_window_join_matches_brute_force(spark, make_tickets, seed, bucket_hours
         rows.append({"id": f"T-{i:03d}", "created_at": ts.isoformat(), "category": ("a", "b")[int(rng.integers(0, 2))],
                      "embedding": [float(x) for x in v]})
     cfg = TrendConfig(threshold=0.3, min_count=2, bucket_hours=bucket_hours, target_rows_per_group=target,
-                      pair_engine=engine)
+                      block_rows=tile)
     got = {r.id: r.similar_count for r in trend.trend_batch(make_tickets(rows), cfg).collect()}
     want = {}
     for r in rows:

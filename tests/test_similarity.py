@@ -119,7 +119,7 @@ def test_hot_category_day_is_salted_and_exact(spark, make_tickets):
     import numpy as np
 
     from support_signals.functions.vectors import bucket_of
-    from support_signals.operators.pairs import _hot_groups
+    from support_signals.operators.pairs import group_splits
 
     random.seed(11)
     rows = []
@@ -133,8 +133,8 @@ def test_hot_category_day_is_salted_and_exact(spark, make_tickets):
     t = make_tickets(rows)
     cfg = TrendConfig(threshold=0.5, min_count=2, target_rows_per_group=10)
     b = t.select("category", bucket_of("created_at", cfg.bucket_seconds).alias("bkt"))
-    hot = _hot_groups(b, b.withColumnRenamed("bkt", "t_bkt"), ["category"], cfg, 7).collect()
-    assert (hot[0].category, hot[0].s_c, hot[0].s_t) == ("api", 5, 5)          # the most work first
+    hot = sorted(group_splits(b, b.withColumnRenamed("bkt", "t_bkt"), ["category"], cfg, 7).collect(), key=lambda h: -h.s_c)
+    assert (hot[0].category, hot[0].s_c, hot[0].s_t) == ("api", 5, 5)
     assert all(h.s_c == 1 and h.s_t > 1 for h in hot[1:])   # cold days: triggers of 8 days reach them
     got = {r.id: r.similar_count for r in trend.trend_batch(t, cfg).collect()}
     want = {}
@@ -149,22 +149,41 @@ def test_hot_category_day_is_salted_and_exact(spark, make_tickets):
     assert max(want.values()) > 0
 
 
-def test_block_engine_equals_join_engine(spark, make_tickets):
+def test_preselected_matches_have_the_scores_of_a_plain_join(spark, make_tickets):
+    """The tiled products and the join give the same pairs and the same numbers, also at the cut itself."""
     import random
+
+    from support_signals.operators.pairs import window_pairs
+
     random.seed(5)
     rows = []
     for i in range(90):
-        v = [random.gauss(0, 1) for _ in range(4)]
+        v = [random.gauss(0, 1) for _ in range(7)]
         n = sum(x * x for x in v) ** 0.5
         rows.append({"id": f"T-{i:03d}", "created_at": f"2026-07-{1 + i % 15:02d}T{(i * 3) % 24:02d}:{i % 60:02d}",
                      "category": ("api", "billing")[i % 2], "embedding": [x / n for x in v]})
     t = make_tickets(rows)
-    base = TrendConfig(threshold=0.3, min_count=2, target_rows_per_group=4)
-    join = sorted((r.id, r.similar_count) for r in trend.trend_batch(t, base).collect())
-    blocks = sorted((r.id, r.similar_count) for r in trend.trend_batch(t, base.with_(pair_engine="blocks")).collect())
-    assert join == blocks and sum(c for _, c in join) > 0
-    free_q = t.select(F.col("id").alias("query_id"), "category", "embedding")
-    a = sorted(tuple(r) for r in trend.freetext_trend(free_q, t, base).select("query_id", "similar_count").collect())
-    b = sorted(tuple(r) for r in trend.freetext_trend(free_q, t, base.with_(pair_engine="blocks"))
-               .select("query_id", "similar_count").collect())
-    assert a == b
+    cfg = TrendConfig(threshold=0.3, min_count=2, target_rows_per_group=4, block_rows=3)
+    every = {(r.t_id, r.c_id): r.score for r in window_pairs(t, t, cfg).collect()}
+    cut = sorted(s for s in every.values() if s > 0.3)[5]                  # a score that a pair has
+    got = {(r.t_id, r.c_id): r.score for r in window_pairs(t, t, cfg, min_score=cut).collect()}
+    assert got == {k: s for k, s in every.items() if s >= cut} and cut in got.values()
+
+
+def test_hot_group_fits_in_tiles():
+    """20,000 triggers against 20,000 candidates: the tiles hold a few products at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    from support_signals.operators.pairs import tile_matches
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20_000, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tracemalloc.start()
+    r, c, score = tile_matches(v, v, lambda rows, cols: np.ones((len(v[rows]), len(v[cols])), dtype=bool), 0.97, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and (score >= 0.97).all() and len(r) >= 20_000
+    assert set(zip(r[r == c].tolist(), c[r == c].tolist())) == {(i, i) for i in range(20_000)}
