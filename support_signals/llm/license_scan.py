@@ -6,11 +6,12 @@ licence family and of *unknown*; a family counts when its probability reaches a
 the fit has not seen (the smallest bound at which no unknown one passes).  The best matching template of that family then
 confirms the prediction: its share of the paragraph's n-grams must reach ``CONFIRM``.
 
-The vocabulary holds n-grams with a *marker* word only, so a paragraph without any marker word has no feature and gets
-the intercept's class, which the fit checks to be unknown; such paragraphs need no further work.  Training takes the
-templates, cut and framed in a few fixed ways, and at most ``BACKGROUND`` corpus paragraphs without marker words next to
-fixed near misses as unknown.  Scoring covers all paragraphs of all rows: the weights are a small table (vocabulary times
-families, independent of the data) that is broadcast, and only paragraphs with a marker word are shuffled.
+Only paragraphs with a *marker* word (one that licence texts have, see ``MARKERS``) are classified, the others are unknown.
+Those leave early, first whole texts and then lines, by a few substrings of which every marker word holds one.
+Training takes the templates, cut and framed in a few fixed ways, and at most ``BACKGROUND`` corpus paragraphs next to
+fixed near misses as unknown; their n-grams (about a thousand short rows, whatever the corpus holds) come to the driver,
+where the regression is fitted.  Scoring covers all paragraphs of all rows: the weights are a small table (vocabulary
+times families, independent of the data) that is broadcast, and only paragraphs with a marker word are shuffled.
 
 Defined results: null and empty texts and empty lines have no finding; a line repeated in a text is reported at each
 place; rows are told apart by their position, so repeated rows give repeated findings; ties go to the family first in
@@ -19,16 +20,18 @@ order of name; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 CONFIRM = 0.5
 BACKGROUND = 400
+LEAST_ROWS = 3          # training rows that an n-gram of the vocabulary is in
 
 #: Statements and opening paragraphs of public licences, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -120,12 +123,13 @@ NEAR_MISSES = (
     "The terms of the agreement were kept secret", "Source and binary stars are far away", "The licence fee for the radio was raised",
 )
 
-#: Words that make a paragraph worth classifying; the vocabulary has no n-gram without one.
+#: Words that make a paragraph worth classifying; every template has one.
 MARKERS = tuple(
-    "license licensed licence licenced licensing licenses copyright copyrighted spdx-license-identifier redistribution redistributions redistribute "
-    "permission warranty mit apache gnu gpl lgpl agpl bsd mozilla mpl isc cc creative commons cc0 unlicense unlicense.org unencumbered "
-    "attribution sharealike noncommercial affero proprietary confidential reserved waived domain software reproduced apache-2.0 "
-    "gpl-3.0-or-later lgpl-2.1-or-later agpl-3.0-only bsd-3-clause mpl-2.0 cc-by-4.0 by-nc by-sa attribution-sharealike attribution-noncommercial".split())
+    "license licensed licence licenced licensing licenses unlicense unlicense.org spdx-license-identifier copyright copyrighted redistribution "
+    "redistributions redistribute permission apache apache-2.0 gnu gpl lgpl agpl gpl-3.0-or-later lgpl-2.1-or-later agpl-3.0-only cc0 domain "
+    "reserved reproduced confidential".split())
+#: Every marker word holds one of these; so do some other words.
+STEMS = ("licen", "copyright", "redistribut", "permission", "apache", "gnu", "gpl", "cc0", "domain", "reserved", "reproduced", "confidential")
 
 FRAMES = ("{}", "{}.", "Note: {}", "{} - see below", "This file: {}.", "the text {} and more of it")
 
@@ -139,13 +143,19 @@ def has_marker(words: Column) -> Column:
     return F.arrays_overlap(words, F.array(*map(F.lit, MARKERS)))
 
 
+def may_have_marker(text: Column) -> Column:
+    """A quick test that every text with a marker word passes."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in STEMS))
+
+
 def grams(words: Column) -> Column:
-    """Distinct n-grams of one to three words that have a marker word; longer lists of words than three give them all."""
+    """Distinct n-grams of one to three words."""
     def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.slice(words, i, n))
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, found).otherwise(F.expr("CAST(array() AS array<string>)"))
 
-    every = F.filter(F.concat(of(1), of(2), of(3)), has_marker)
-    return F.array_distinct(F.transform(every, lambda g: F.array_join(g, " ")))
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
 
 @dataclass(frozen=True)
@@ -172,36 +182,52 @@ def training_table(spark: SparkSession, paragraphs: DataFrame | None, background
         plain = (paragraphs.select("line").where(F.length("line") > 20).orderBy(F.xxhash64("line"), "line").limit(background)
                  .where(~has_marker(words_of(F.col("line")))))
         out = out.unionByName(plain.select(F.lit(UNKNOWN).alias("family"), "line", F.pmod(F.xxhash64("line"), F.lit(3)).cast("int").alias("fold")))
-    return out.coalesce(1)      # about a thousand short rows, whatever the corpus holds
+    return out
+
+
+def regression(x: np.ndarray, y: np.ndarray, classes: int, penalty: float = 1e-3, steps: int = 150, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x classes) and intercepts of a softmax regression, by full-batch Adam steps."""
+    w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
+    target = np.eye(classes)[y]
+    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
+    for t in range(1, steps + 1):
+        p = probabilities(x, w, b) - target
+        for value, grad, k in ((w, x.T @ p / len(y) + penalty * w, 0), (b, p.mean(axis=0), 2)):
+            state[k] = 0.9 * state[k] + 0.1 * grad
+            state[k + 1] = 0.99 * state[k + 1] + 0.01 * grad * grad
+            value -= rate * (state[k] / (1 - 0.9**t)) / (np.sqrt(state[k + 1] / (1 - 0.99**t)) + 1e-8)
+    return w, b
+
+
+def probabilities(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z = x @ w + b
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def fit(spark: SparkSession, background: DataFrame | None = None) -> Model:
     """Trains on all folds after calibrating the bound on the fold left out."""
-    table = training_table(spark, background).withColumn("grams", grams(words_of(F.col("line")))).cache()
+    rows = training_table(spark, background).select("family", "fold", grams(words_of(F.col("line"))).alias("grams")).collect()
     families = tuple(sorted([*TEMPLATES, UNKNOWN]))
-    number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    vector = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0, vocabSize=1 << 15)
-    regression = LogisticRegression(labelCol="label", family="multinomial", regParam=2e-3, maxIter=60, standardization=False)
-    rows = table.withColumn("label", number.cast("double"))
-    vocabulary = vector.fit(rows)
-    rows = vocabulary.transform(rows).cache()
-    part = regression.fit(rows.where("fold <> 0")).transform(rows.where("fold = 0")).select("family", "label", "probability").collect()
-    unknown = families.index(UNKNOWN)
-    passes = [max(p for i, p in enumerate(r["probability"]) if i != unknown) for r in part if r["family"] == UNKNOWN and r["probability"].argmax() != unknown]
-    bound = max([0.5, *(p + 1e-6 for p in passes)])
-    whole = regression.fit(rows)
-    table.unpersist()
-    rows.unpersist()
-    intercepts = tuple(map(float, whole.interceptVector))
-    if max(range(len(families)), key=lambda i: intercepts[i]) != unknown:
-        # paragraphs without a feature must be unknown; the softmax does not change by a common shift of one class
-        intercepts = tuple(v if i != unknown else max(intercepts) + 1e-9 for i, v in enumerate(intercepts))
-    matrix = whole.coefficientMatrix.toArray()
-    weights = spark.createDataFrame([(g, [float(x) for x in matrix[:, k]]) for k, g in enumerate(vocabulary.vocabulary)], "gram string, w array<double>")
+    seen = Counter(g for r in rows for g in r["grams"])
+    vocabulary = sorted(g for g, n in seen.items() if n >= LEAST_ROWS)
+    number = {g: k for k, g in enumerate(vocabulary)}
+    x = np.zeros((len(rows), len(vocabulary)))
+    for i, r in enumerate(rows):
+        x[i, [number[g] for g in r["grams"] if g in number]] = 1
+    y = np.array([families.index(r["family"]) for r in rows])
+    unknown, left_out = families.index(UNKNOWN), np.array([r["fold"] == 0 for r in rows])
+    p = probabilities(x[left_out], *regression(x[~left_out], y[~left_out], len(families)))
+    wrong = (y[left_out] == unknown) & (p.argmax(axis=1) != unknown)
+    bound = max(0.5, *(p[wrong].max(axis=1) + 1e-6)) if wrong.any() else 0.5
+    w, b = regression(x, y, len(families))
+    if b.argmax() != unknown:
+        b[unknown] = b.max() + 1e-9           # a paragraph without a known n-gram is unknown
+    weights = spark.createDataFrame([(g, w[k].tolist()) for k, g in enumerate(vocabulary)], "gram string, w array<double>")
     lines = [(f, line) for f in families if f != UNKNOWN for line in TEMPLATES[f]]
     templates = (spark.createDataFrame([(i, line) for i, (_, line) in enumerate(lines)], "id int, line string")
                  .select("id", F.explode(grams(words_of(F.col("line")))).alias("gram")).groupBy("gram").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    return Model(families, intercepts, weights, templates, tuple(f for f, _ in lines), float(bound))
+    return Model(families, tuple(b.tolist()), weights, templates, tuple(f for f, _ in lines), float(bound))
 
 
 def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -213,9 +239,10 @@ def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 def license_scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: str = "doc_id", confirm: float = CONFIRM) -> DataFrame:
     """Findings: key, paragraph, family, probability, template_share, confirmed."""
     spark = docs.sparkSession
-    lines = paragraphs(docs, text, key)
-    model = model or fit(spark, lines)
-    marked = (lines.withColumn("words", words_of(F.col("line"))).where(has_marker(F.col("words")))
+    model = model or fit(spark, paragraphs(docs, text, key))
+    lines = paragraphs(docs.where(may_have_marker(F.col(text))), text, key)
+    marked = (lines.where(may_have_marker(F.col("line")))
+              .withColumn("words", words_of(F.col("line"))).where(has_marker(F.col("words")))
               .select(key, "row", "paragraph", grams(F.col("words")).alias("grams")))
     k = len(model.families)
     hit = (marked.select(key, "row", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
