@@ -59,8 +59,10 @@ def pct0(x) -> Column:
 
 
 def title_case(x) -> Column:
-    """``s.replace("_", " ").title()`` for plain words."""
-    return F.initcap(F.regexp_replace(_c(x), "_", " "))
+    """``s.replace("_", " ").title()``: a capital after anything that is no letter, lower case elsewhere."""
+    text = F.lower(F.regexp_replace(_c(x), "_", " "))
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.when(text.isNull(), text).otherwise(F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1 << 30))), ""))
 
 
 def truncate(x, n: int = 52) -> Column:

@@ -117,8 +117,9 @@ def initials(name) -> Column:
 
 def date_label(ts, fmt: str = "MMM dd") -> Column:
     """S3: ``%b %d`` style label; unparsable text falls back to its first 10 chars."""
-    t = _c(ts)
-    return F.coalesce(F.date_format(t, fmt), F.substring(t.cast("string"), 1, 10), F.lit("—"))
+    text = _c(ts).cast("string")
+    naive = F.regexp_replace(F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", ""), "T", " ")
+    return F.coalesce(F.date_format(F.try_to_timestamp(naive), fmt), F.substring(text, 1, 10), F.lit("—"))
 
 
 def status_label(status) -> Column:

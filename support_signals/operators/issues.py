@@ -186,6 +186,12 @@ def conform_issues(issues: DataFrame) -> DataFrame:
     return out.select(*ISSUE_COLUMNS)
 
 
+def without_trigger(issues: DataFrame) -> DataFrame:
+    """Issues that belong to no ticket: most of a backlog.  They join with nothing, so they stay out of the joins on the
+    trigger, where their null keys would meet in one task."""
+    return issues.where(F.col("trigger_ticket_id").isNull())
+
+
 def upsert_issues(issues: DataFrame, fields: DataFrame, created) -> DataFrame:
     """One issue per trigger ticket.
 
@@ -194,10 +200,11 @@ def upsert_issues(issues: DataFrame, fields: DataFrame, created) -> DataFrame:
     keys ``max + 1, max + 2, ...`` in trigger-id order, status Open.
     """
     base = conform_issues(issues)
+    plain, linked = without_trigger(base), base.where(F.col("trigger_ticket_id").isNotNull())
     first = first_issue_per_trigger(base).select("trigger_ticket_id", F.col("key_no").alias("_first"))
     f = fields.select(F.col("trigger_ticket_id").alias("f_tid"),
                       *[F.col(c).alias("n_" + c) for c in fields.columns if c != "trigger_ticket_id"])
-    upd = (base.join(first, "trigger_ticket_id", "left")
+    upd = (linked.join(first, "trigger_ticket_id", "left")
            .join(f, (F.col("_first") == F.col("key_no")) & (F.col("trigger_ticket_id") == F.col("f_tid")), "left"))
     hit = F.col("n_summary").isNotNull()
 
@@ -217,7 +224,7 @@ def upsert_issues(issues: DataFrame, fields: DataFrame, created) -> DataFrame:
                      "priority", "summary", "description", "labels", "assignee",
                      F.lit(DEFAULT_REPORTER).alias("reporter"), _c(created).cast("date").alias("created"),
                      "trigger_ticket_id", "similar_ticket_count", "zendesk_ticket_count", "arr_at_risk"))
-    return updated.unionByName(fresh)
+    return updated.unionByName(plain.select(*updated.columns)).unionByName(fresh)
 
 
 def merge_edits(drafts: DataFrame, edits: DataFrame) -> DataFrame:
@@ -250,7 +257,9 @@ def hydrate(issues: DataFrame, live: DataFrame) -> DataFrame:
     lv = live.select("trigger_ticket_id", *[F.col(c).alias("l_" + c) for c in
                                             ("title", "summary", "priority", "similar_count", "total_tickets",
                                              "arr_at_risk_formatted")])
-    j = issues.join(lv, "trigger_ticket_id", "left")
+    absent = [F.lit(None).cast(lv.schema[c].dataType).alias(c) for c in lv.columns if c != "trigger_ticket_id"]
+    j = (issues.where(F.col("trigger_ticket_id").isNotNull()).join(lv, "trigger_ticket_id", "left")
+         .unionByName(without_trigger(issues).select("*", *absent)))
     hit = F.col("l_title").isNotNull()
     return j.select(
         "issue_key", "trigger_ticket_id",

@@ -127,6 +127,8 @@ def route_incoming(requests: DataFrame, tickets: DataFrame) -> DataFrame:
     is_id = F.col("external_id").rlike(TICKET_ID_PATTERN)
     known = tickets.select(F.upper("id").alias("_k"), F.lit(True).alias("known"))
     r = requests.withColumn("route", F.when(is_id, "ticket_id").otherwise("free_text"))
-    return (r.join(known, F.when(is_id, F.upper("external_id")) == F.col("_k"), "left")
+    by_id = r.where(F.col("route") == "ticket_id").join(known, F.upper("external_id") == F.col("_k"), "left")
+    by_text = r.where(F.col("route") == "free_text").withColumns({"_k": F.lit(None).cast("string"), "known": F.lit(None).cast("boolean")})
+    return (by_id.unionByName(by_text)        # free text joins with no ticket
             .select("request_id", "external_id", "route",
                     F.when(F.col("route") == "ticket_id", F.coalesce("known", F.lit(False))).alias("ticket_found")))

@@ -41,15 +41,18 @@ def build_session(master: str | None = None, app: str = "support_signals",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) a scratch
-    folder is created and registered.
+    The cluster names it.  Where it is unset, a local session gets a scratch
+    folder; on a cluster that would be a different folder on every machine, so
+    there it is an error.
     """
     sc = spark.sparkContext
     active = sc.getCheckpointDir()            # already registered (with Spark's own sub-folder)
     if active:
         return active
     current = sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:                           # unset: local tests only
+    if not current:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="ss-ckpt-", dir=os.environ.get("SS_SCRATCH", "/tmp"))
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current

@@ -80,9 +80,9 @@ def explode_tickets(doc: DataFrame) -> DataFrame:
 
 def iso_naive(text: Column) -> Column:
     """ISO-8601 text to TIMESTAMP_NTZ; a trailing 'Z' or offset is dropped
-    (wall-clock kept, no conversion)."""
+    (wall-clock kept, no conversion); other text is null."""
     stripped = F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", "")
-    return F.to_timestamp_ntz(F.regexp_replace(stripped, "T", " "))
+    return F.try_to_timestamp(F.regexp_replace(stripped, "T", " ")).cast("timestamp_ntz")
 
 
 def python_json_list(arr: Column) -> Column:

@@ -44,6 +44,14 @@ def _fs(spark, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _overwrite(spark):
+    """The one-element array of Hadoop rename options that replaces the target."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    return options
+
+
 def _point(spark, state_root: str, target: str) -> None:
     """Write ``CURRENT`` -> target through the Hadoop FileSystem API (works on
     the shared cluster file system): write a temporary file, then rename it
@@ -53,11 +61,10 @@ def _point(spark, state_root: str, target: str) -> None:
     out = fs.create(tmp, True)
     out.write(bytearray(target.encode("utf-8")))
     out.close()
-    cur = jvm.org.apache.hadoop.fs.Path(os.path.join(state_root, "CURRENT"))
-    if fs.exists(cur):
-        fs.delete(cur, False)
-    if not fs.rename(tmp, cur):
-        raise OSError(f"could not publish {target}")
+    # an overwriting rename: readers find the old pointer or the new one at any time
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(
+        fs.makeQualified(tmp), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(os.path.join(state_root, "CURRENT"))),
+        _overwrite(spark))
 
 
 def read_state(spark, state_root: str) -> DataFrame | None:
