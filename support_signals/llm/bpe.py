@@ -45,7 +45,7 @@ ADDED_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0x
 ADDED_LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 ADDED_CAPITAL = re.compile("[" + "".join(map(chr, ADDED_LOWER)) + "]")
 NO_RANK = np.iinfo(np.int64).max
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 100_000
 
 
 @lru_cache(maxsize=1)
@@ -248,8 +248,8 @@ def encode(docs: DataFrame, vocabulary: bytes, with_ids: bool = False, keep: tup
         cache = worker_cache(spec.value)
         for batch in batches:
             column = batch.column(len(keep) + 1)
-            for lo in range(0, batch.num_rows, 1024):
-                part = column.slice(lo, 1024).to_pylist()
+            for lo in range(0, batch.num_rows, 512):
+                part = column.slice(lo, 512).to_pylist()
                 split = [cache.bpe.chunks(t or "") for t in part]
                 n, a, b, ids = [], [], [], []
                 for group in groups(split):
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, vocabulary: bytes, with_ids: bool = False, keep: tup
                         b.append(hashlib.sha256(back.encode()).hexdigest())
                         if with_ids:
                             ids.append(np.array(joined.split(), dtype=np.int32))
-                columns = [batch.column(i).slice(lo, 1024) for i in range(len(keep) + 1)]
+                columns = [batch.column(i).slice(lo, 512) for i in range(len(keep) + 1)]
                 columns += [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 columns += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
                 names = [key, *keep, "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])

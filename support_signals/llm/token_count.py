@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 BLANK = "▁"
 NO_RANK = float("inf")
-CACHE_UNITS = 400_000
+CACHE_UNITS = 250_000
 LIMIT = 4096
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _RANDOM = np.random.default_rng(20240607)
