@@ -1,5 +1,8 @@
-"""Similarity and trend rule on the hand fixtures of the reference tests."""
+"""Similarity and trend rule on made-up timelines; expected values follow from the rule itself."""
 
+from datetime import datetime, timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
 from support_signals.config import TrendConfig
@@ -7,82 +10,61 @@ from support_signals.operators import trend
 from support_signals.operators.blocks import topk_neighbours
 from support_signals.operators.review import score_candidates
 
-CFG9 = TrendConfig(threshold=0.9, min_count=1)
-
+NOON = datetime(2031, 3, 20, 12)
+ALIKE, APART = [0.6, 0.0, 0.8], [0.8, 0.0, -0.6]
 
-def by_id(df, key="id"):
-    return {r[key]: r for r in df.collect()}
 
+def ticket(name, hours=0.0, vector=ALIKE, category="network", **more):
+    """A ticket so many hours before noon."""
+    return {"id": name, "created_at": (NOON - timedelta(hours=hours)).isoformat(), "category": category, "embedding": vector, **more}
 
-def test_candidate_scores_drop_unknown_and_self(spark, make_tickets):
-    t = make_tickets([{"id": "T-1", "created_at": "2026-07-01T09:00", "embedding": [1, 0]},
-                      {"id": "T-2", "created_at": "2026-07-01T10:00", "embedding": [0.8, 0.6]},
-                      {"id": "T-3", "created_at": "2026-07-01T11:00", "embedding": [0, 1]}])
-    pairs = spark.createDataFrame([("T-1", "T-2"), ("T-1", "T-missing"), ("T-1", "T-1")], "trigger_id string, ticket_id string")
-    got = {r.ticket_id: round(r.score, 6) for r in score_candidates(pairs, t).collect()}
-    assert got == {"T-2": 0.8}
 
+def counts(tickets, cfg, triggers=None):
+    return {r.id: (r.similar_count, r.is_potential_trend) for r in trend.trend_batch(tickets, cfg, triggers).collect()}
 
-def test_direction_of_time(spark, make_tickets):
-    t = make_tickets([
-        {"id": "T-1", "created_at": "2026-07-01T09:00", "category": "api", "embedding": [1, 0]},
-        {"id": "T-2", "created_at": "2026-07-01T10:00", "category": "api", "embedding": [0.995, 0.1]},
-        {"id": "T-3", "created_at": "2026-07-01T11:00", "category": "billing", "embedding": [0, 1]}])
-    r = by_id(trend.trend_batch(t, CFG9))
-    assert (r["T-1"].similar_count, r["T-1"].is_potential_trend) == (0, False)
-    assert (r["T-2"].similar_count, r["T-2"].is_potential_trend) == (1, True)
-    assert r["T-3"].is_potential_trend is False
 
+def test_scores_of_chosen_pairs_leave_out_self_and_unknown_ids(spark, make_tickets):
+    t = make_tickets([ticket("K-5"), ticket("K-6", 1, APART), ticket("K-7", 2, [0.0, 1.0, 0.0]), ticket("K-8", 3, [0.36, 0.8, 0.48])])
+    asked = [("K-5", "K-8"), ("K-5", "K-5"), ("K-6", "K-7"), ("K-5", "gone"), ("gone", "K-5")]
+    got = {(r.trigger_id, r.ticket_id): round(r.score, 6) for r in score_candidates(spark.createDataFrame(asked, "trigger_id string, ticket_id string"), t).collect()}
+    assert got == {("K-5", "K-8"): 0.6, ("K-6", "K-7"): 0.0}
 
-def test_window_excludes_old_and_future(spark, make_tickets):
-    t = make_tickets([{"id": i, "created_at": c, "embedding": [1, 0]} for i, c in (
-        ("old", "2026-06-01T10:00"), ("previous", "2026-07-09T10:00"), ("trigger", "2026-07-10T10:00"),
-        ("future", "2026-07-11T10:00"))])
-    r = by_id(trend.trend_batch(t, CFG9, triggers=spark.createDataFrame([("trigger",)], "id string")))
-    assert list(r) == ["trigger"]
-    assert (r["trigger"].similar_count, r["trigger"].is_potential_trend) == (1, True)
 
+def test_only_earlier_tickets_of_the_category_count(spark, make_tickets):
+    t = make_tickets([ticket("n-3", 30), ticket("n-2", 20), ticket("n-1", 10), ticket("n-0", 0),
+                      ticket("other", 15, category="storage"), ticket("unlike", 5, APART)])
+    assert counts(t, TrendConfig(threshold=0.95, min_count=2)) == {
+        "n-3": (0, False), "n-2": (1, False), "n-1": (2, True), "n-0": (3, True), "other": (0, False), "unlike": (0, False)}
 
-def test_window_edges(spark, make_tickets):
-    """Exactly 7 days back is inside; an equal timestamp is not earlier."""
-    t = make_tickets([{"id": i, "created_at": c, "embedding": [1, 0]} for i, c in (
-        ("edge", "2026-07-03T10:00"), ("just_out", "2026-07-03T09:59:59.999999"),
-        ("same_time", "2026-07-10T10:00"), ("trigger", "2026-07-10T10:00"))])
-    r = by_id(trend.trend_batch(t, CFG9))
-    assert r["trigger"].similar_count == 1
 
+@pytest.mark.parametrize("days", [1, 7, 10])
+def test_window_is_closed_behind_and_open_ahead(spark, make_tickets, days):
+    """A ticket exactly ``days`` back is in; a moment more, the same moment and any later one are out."""
+    edge = 24.0 * days
+    t = make_tickets([ticket("in", edge), ticket("in2", edge / 2), ticket("out", edge + 1 / 3600), ticket("twin"), ticket("later", -1), ticket("now")])
+    cfg = TrendConfig(threshold=0.95, min_count=2, window_days=days)
+    only = spark.createDataFrame([("now",)], "id string")
+    assert counts(t, cfg, only) == {"now": (2, True)}
+    assert counts(t, cfg.with_(min_count=3), only) == {"now": (2, False)}
 
-def test_empty_and_unknown_triggers(spark, make_tickets):
-    t = make_tickets([{"id": "T-1", "created_at": "2026-07-09T10:00", "embedding": [1, 0]},
-                      {"id": "T-2", "created_at": "2026-07-10T10:00", "embedding": [1, 0]}])
-    empty = spark.createDataFrame([], "id string")
-    assert trend.trend_batch(t, CFG9, triggers=empty).count() == 0
-    ask = spark.createDataFrame([("T-2",), ("T-30026",)], "id string")
-    r = by_id(trend.trend_batch(t, CFG9, triggers=ask))
-    assert set(r) == {"T-2"} and r["T-2"].is_potential_trend
 
+def test_triggers_that_do_not_exist_are_skipped(spark, make_tickets):
+    t = make_tickets([ticket("n-1", 1), ticket("n-0")])
+    cfg = TrendConfig(threshold=0.95, min_count=1)
+    assert counts(t, cfg, spark.createDataFrame([("n-0",), ("n-0",), ("nowhere",)], "id string")) == {"n-0": (1, True)}
+    assert counts(t, cfg, spark.createDataFrame([], "id string")) == {}
 
-def test_category_guard(spark, make_tickets):
-    t = make_tickets([
-        {"id": "a1", "created_at": "2026-07-08T10:00", "category": "api", "embedding": [1, 0]},
-        {"id": "a2", "created_at": "2026-07-09T10:00", "category": "api", "embedding": [1, 0]},
-        {"id": "b1", "created_at": "2026-07-09T11:00", "category": "billing", "embedding": [1, 0]},
-        {"id": "trigger", "created_at": "2026-07-10T10:00", "category": "api", "embedding": [1, 0]}])
-    r = by_id(trend.trend_batch(t, TrendConfig(threshold=0.9, min_count=3)))
-    assert (r["trigger"].similar_count, r["trigger"].is_potential_trend) == (2, False)
 
-
-def test_webhook_defaults_and_warning(spark, make_tickets):
-    rows = [{"id": f"previous-{i}", "created_at": f"2026-07-0{6 + i}T10:00", "embedding": [1, 0]} for i in (1, 2, 3)]
-    rows.append({"id": "trigger", "created_at": "2026-07-10T10:00", "embedding": [1, 0]})
-    t = make_tickets(rows)
+def test_defaults_detail_and_warning_text(spark, make_tickets):
+    n = 5
+    t = make_tickets([ticket(f"n-{k}", 24 * k) for k in range(n + 1)])
     cfg = TrendConfig()
-    d = trend.trend_detail(t, cfg).where(F.col("trigger_id") == "trigger").orderBy("similar_id").collect()
-    assert [r.similar_id for r in d] == ["previous-1", "previous-2", "previous-3"]
-    assert d[0].similar_count == 3 and d[0].is_potential_trend
-    w = by_id(trend.incoming_warning(trend.trend_batch(t, cfg), cfg), "ticket_id")["trigger"]
-    assert w.label == "Potential trend"
-    assert w.message == "Potential trend: 3 similar tickets found in the previous 7 days."
+    detail = trend.trend_detail(t, cfg).where(F.col("trigger_id") == "n-0").collect()
+    assert {r.similar_id for r in detail} == {f"n-{k}" for k in range(1, n + 1)} and {r.similar_count for r in detail} == {n}
+    warned = {r.ticket_id: r for r in trend.incoming_warning(trend.trend_batch(t, cfg), cfg).collect()}
+    for k in range(n + 1):
+        assert (warned[f"n-{k}"].label is not None) == (n - k >= cfg.min_count)
+    assert warned["n-0"].message == trend.WARNING_FMT % (n, cfg.window_days)
 
 
 def test_salting_and_bucket_width_do_not_change_results(spark, make_tickets):
