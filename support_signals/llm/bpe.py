@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .words import give_back
+
 #: Fixed values of the file format: words of a lower-cased text; blanks are the format's ``\\s``.
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 BLANKS = regex.compile(r"[^\S\x1c-\x1f]+")
@@ -266,6 +268,7 @@ def encode(docs: DataFrame, vocabulary: bytes, with_ids: bool = False, keep: tup
                 columns += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
                 names = [key, *keep, "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            give_back()
 
     return chosen.mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_table
 from .components import bit_of, bitmap, components, exact_bitmap, has_bit
-from .words import LOWER, U64, mix, scan, sequence_hash, slices, windows
+from .words import LOWER, U64, give_back, mix, scan, sequence_hash, slices, windows
 
 SHINGLE = 5
 SHARE = 80
@@ -155,10 +155,22 @@ def chosen_sets(docs: DataFrame, flags: np.ndarray, text: str, key: str, make, s
             for lo, hi, buf, at in slices(batch.column(2)):
                 ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 yield make(ids, shingle_sets(lo, hi, buf, at))
+            give_back()
 
     return rows.mapInArrow(run, schema)
 
 
+def _key_ranges(ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """(key, smallest node, largest node) over the given sets."""
+    every = _keys(ids, sets, None)
+    key, node = every.column(0).to_numpy(), every.column(1).to_numpy()
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(key)) - 1 if len(key) else start
+    return pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(node[start]), pa.array(node[end])], names=["key", "lo", "hi"])
+
+
 def _keys(ids: np.ndarray, sets: list[np.ndarray], wanted: np.ndarray | None) -> pa.RecordBatch:
     owner, need, keys = [], [], []
     for i, s in zip(ids.tolist(), sets):
@@ -183,8 +195,9 @@ def candidate_clusters(docs: DataFrame, members: np.ndarray, text: str, key: str
     before the shuffle); the second only sends keys that more than one document has.  Of those a document needs only its
     rarest, all but as many as a partner shares anyway, so passages that many documents have do not chain them."""
     schema = "key bigint, node bigint, need int"
-    every = chosen_sets(docs, members, text, key, lambda i, s: _keys(i, s, None), schema).select("key", "node")
-    shared = write_table(every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    # the tasks' own ranges are the partial aggregate; a hash table over their mostly single keys would only take memory
+    every = chosen_sets(docs, members, text, key, _key_ranges, "key bigint, lo bigint, hi bigint").repartition("key")
+    shared = write_table(every.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
                          .select("key", "lo"), "shared-keys")
     top = F.shiftrightunsigned(F.col("key"), 64 - KEY_BITS)
     wanted = docs.sparkSession.sparkContext.broadcast(exact_bitmap(shared.select(top.alias("at")), KEY_BITS))

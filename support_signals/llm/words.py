@@ -11,6 +11,7 @@ sums and finished with a bijective mixer, so equal words always have equal hashe
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,6 +28,14 @@ _BYTE_VALUE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _PLACE = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a Python worker lives on into later stages beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
+
+
 def byte_class(separators: str) -> np.ndarray:
     """256 booleans: True where a byte belongs to a word."""
     word = np.ones(256, dtype=bool)
