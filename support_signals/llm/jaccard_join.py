@@ -10,6 +10,8 @@ blocks of 64 parity bits: each shingle flips one bit of one block.  The Hamming
 of the symmetric difference, and a difference of ``d`` elements touches at most ``d`` blocks, so linking classes agree in
 at least ``1 + s`` whole blocks (pigeonhole).  Blocks with fewer than two bits set say little and join many classes;
 they are used as keys only by classes that have ``s`` or more of them, as every other pair agrees in a fuller block.
+Where one side leaves its thin blocks out (fewer than ``s``) and the other does not, they still share two keys at least,
+so a class counts on ``1 + s`` keys less its own thin blocks, of which at most ``s - 1`` can be missing.
 
 **Join.**  Blocks meet on (band, block number, bits).  Documents that meet on one of their rarest shared blocks form small
 clusters; within a cluster sizes, then 256-bit parity sketches (again a lower bound), then the sets themselves are compared.
@@ -123,9 +125,10 @@ def block_keys(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
         spare = 1 + d // 8
         word, size = blocks(s, d + 1 + spare, 1000003 * (band + 1))
         thin = size < 2
-        some = int(thin.sum()) < spare
-        use = np.flatnonzero(~thin) if some else np.arange(len(word))
-        out.append((1 + spare - int(thin.sum()) * some, mix(word[use] + mix(use.astype(np.uint64) + U64(band << 32)))))
+        few = int(thin.sum())
+        use = np.flatnonzero(~thin) if few < spare else np.arange(len(word))
+        # a partner with fewer than ``spare`` thin blocks leaves them out, so as many of the shared ones may be missing
+        out.append((1 + spare - min(few, spare - 1), mix(word[use] + mix(use.astype(np.uint64) + U64(band << 32)))))
     return out
 
 

@@ -110,6 +110,27 @@ def test_jaccard_bounds_hold_for_every_pair_of_sizes():
                 assert y <= (int(edges[other]) - 1) * 100 // 80
 
 
+def test_jaccard_keys_needed_are_shared_at_the_limit():
+    for n in range(28, 46):                              # the smaller set; its partner has it whole and is as large as links allow
+        for t in range(250):
+            w = [f"n{n}t{t}w{k}" for k in range(n * 5 // 4 + 4)]
+            column = pa.array([" ".join(w[:n + 4]), " ".join(w)])
+            ((lo, hi, buf, at),) = words.slices(column)
+            a, b = jaccard_join.shingle_sets(lo, hi, buf, at)
+            assert 100 * len(a) >= 80 * len(b)
+            shared = [(max(x, y), len(np.intersect1d(p, q))) for x, p in jaccard_join.block_keys(a) for y, q in jaccard_join.block_keys(b)]
+            assert any(common >= needed for needed, common in shared), (n, t)
+
+
+def test_jaccard_join_finds_pairs_of_thin_and_thinner_sets(spark):
+    lost = [16, 591, 669, 678, 966, 977, 1276, 1352]     # texts whose pairs the join once left apart
+    docs = []
+    for t in lost:
+        w = [f"l{t}w{k}" for k in range(45)]
+        docs += [(2 * t, " ".join(w[:37])), (2 * t + 1, " ".join(w))]
+    assert rows(jaccard_join.near_duplicates(frame(spark, docs))) == sorted(((i, 33 if i % 2 == 0 else 41, i - i % 2) for i, _ in docs), key=str)
+
+
 def test_jaccard_null_ids_and_empty_table(spark):
     text = "a b c d e f"
     got = rows(jaccard_join.near_duplicates(frame(spark, [(None, text), (5, text), (5, text), (9, None)])))
