@@ -6,12 +6,14 @@ licence family and of *unknown*; a family counts when its probability reaches a
 the fit has not seen (the smallest bound at which no unknown one passes).  The best matching template of that family then
 confirms the prediction: its share of the paragraph's n-grams must reach ``CONFIRM``.
 
-Only paragraphs with a *marker* word (one that licence texts have, see ``MARKERS``) are classified, the others are unknown.
-Those leave early, first whole texts and then lines, by a few substrings of which every marker word holds one.
+Only paragraphs with a *gate* word of the model are scored, and no other can be a finding: a family reaches the bound only
+if the weights of the paragraph's n-grams, each less that of unknown, make up for unknown's larger intercept.  The other
+words of the vocabulary are chosen so that all n-grams made of them alone stay below that for every family, whichever of
+them a paragraph has (see ``gate_words``).
 Training takes the templates, cut and framed in a few fixed ways, and at most ``BACKGROUND`` corpus paragraphs next to
 fixed near misses as unknown; their n-grams (about a thousand short rows, whatever the corpus holds) come to the driver,
 where the regression is fitted.  Scoring covers all paragraphs of all rows: the weights are a small table (vocabulary
-times families, independent of the data) that is broadcast, and only paragraphs with a marker word are shuffled.
+times families, independent of the data) that is broadcast, and only paragraphs with a gate word are shuffled.
 
 Defined results: null and empty texts and empty lines have no finding; a line repeated in a text is reported at each
 place; rows are told apart by their position, so repeated rows give repeated findings; ties go to the family first in
@@ -22,7 +24,6 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,32 +122,43 @@ NEAR_MISSES = (
     "He was given permission to leave", "Distribution of the leaflets starts on Monday",
     "The apache helicopter landed", "Students at MIT wrote the paper", "The creative class and the commons",
     "The terms of the agreement were kept secret", "Source and binary stars are far away", "The licence fee for the radio was raised",
+    "Er kam mit dem Zug aus der Stadt", "Wir gehen mit den Kindern in die Schule", "Das Haus mit dem Garten", "mit der Bahn", "Please send a cc of the mail to the office",
 )
 
-#: Words that make a paragraph worth classifying; every template has one.
-MARKERS = tuple(
-    "license licensed licence licenced licensing licenses unlicense unlicense.org spdx-license-identifier copyright copyrighted redistribution "
-    "redistributions redistribute permission apache apache-2.0 gnu gpl lgpl agpl gpl-3.0-or-later lgpl-2.1-or-later agpl-3.0-only cc0 domain "
-    "reserved reproduced confidential".split())
-#: Every marker word holds one of these; so do some other words.
-STEMS = ("licen", "copyright", "redistribut", "permission", "apache", "gnu", "gpl", "cc0", "domain", "reserved", "reproduced", "confidential")
+#: Short statements as people write them, by family.
+NAMES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache-2.0", "Apache 2.0 licensed", "Distributed under Apache License 2.0", "Available under the Apache 2 license", "Sublicensed under Apache-2.0"),
+    "MIT": ("MIT-licensed", "MIT licensed code", "Distributed under the MIT license", "Available under MIT", "Redistributed under the MIT terms", "Sublicensed under MIT"),
+    "GPL": ("GPLv3", "GPLv2", "GPL-2.0-only", "GPL-3.0-only", "Distributed under GPLv3", "Available under the GPL, version 2", "GPL licensed", "Redistributed under the GPL"),
+    "LGPL": ("LGPLv3", "LGPL-2.1-only", "LGPL-3.0-only", "Distributed under LGPLv3", "Available under the LGPL", "LGPL licensed"),
+    "AGPL": ("AGPLv3", "AGPL-3.0-only", "Distributed under AGPLv3", "Available under the AGPL", "AGPL licensed"),
+    "BSD": ("BSD-3-Clause", "BSD-2-Clause", "BSD licensed", "Distributed under the BSD license", "Available under BSD-3-Clause", "Redistributed under BSD-2-Clause"),
+    "MPL": ("MPL-2.0", "MPLv2", "Distributed under MPL-2.0", "Available under the MPL", "Subject to the Mozilla Public License", "MPL licensed"),
+    "ISC": ("ISC licensed", "Distributed under the ISC license", "Available under ISC"),
+    "CC-BY": ("CC BY 4.0", "CC-BY-4.0", "Text available under CC BY 4.0", "Distributed under CC BY 3.0", "Creative Commons Attribution"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "CC-BY-SA-4.0", "Text available under CC BY-SA 4.0", "Distributed under CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "CC-BY-NC-4.0", "Text available under CC BY-NC 4.0", "Distributed under CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial"),
+    "CC0": ("CC0-1.0", "CC0 1.0 Universal", "Text available under CC0", "Distributed under CC0"),
+    "Unlicense": ("The Unlicense", "Released under the Unlicense", "Distributed under The Unlicense"),
+    "proprietary": ("Proprietary and confidential", "Proprietary software"),
+}
 
-FRAMES = ("{}", "{}.", "Note: {}", "{} - see below", "This file: {}.", "the text {} and more of it")
+PROSE = ("It was a long day and the people of the town had come to see what there was to see, for many of them had not been here in years, "
+         "and some said that they would stay until the end of the week")
+FRAMES = ("{}", "{}.", "Note: {}", "{} - see below", "This file: {}.", "the text {} and more of it", PROSE + ". {}. " + PROSE)
+#: Corpus paragraphs with one of these words are no background, as they may state a licence; the scan does not use them.
+ABOUT = tuple("license licensed licence licenced licensing licenses unlicense spdx copyright copyrighted redistribution redistributions redistribute "
+              "permission apache gnu gpl lgpl agpl domain reserved reproduced confidential".split())
+#: Lower-case words: letters, or numbers with their dots; a version sign before a digit is a word of its own ("gplv3").
+WORD = r"[a-z]+?(?=v[0-9])|[a-z]+|[0-9]+(?:\.[0-9]+)*"
 
 
 def words_of(line: Column) -> Column:
-    """Lower-case words of letters, digits, dots, plus and minus signs inside."""
-    return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9]+(?:[.+/-][a-z0-9]+)*"), F.lit(0))
-
-
-def has_marker(words: Column) -> Column:
-    return F.arrays_overlap(words, F.array(*map(F.lit, MARKERS)))
+    return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
 
 
-def may_have_marker(text: Column) -> Column:
-    """A quick test that every text with a marker word passes."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in STEMS))
+def has_any(words: Column, some: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, some))) if some else F.lit(False)
 
 
 def grams(words: Column) -> Column:
@@ -166,13 +178,14 @@ class Model:
     templates: DataFrame           # gram, ids of the templates that have it
     template_family: tuple[str, ...]
     bound: float
+    gate: tuple[str, ...]          # every paragraph that can be a finding has one of these words
 
 
 def training_table(spark: SparkSession, paragraphs: DataFrame | None, background: int = BACKGROUND) -> DataFrame:
-    """(family, line, fold): framed and cut templates, near misses and corpus paragraphs without a marker word."""
+    """(family, line, fold): framed and cut templates, near misses and corpus paragraphs without a word on licences."""
     rows = []
     for family, lines in TEMPLATES.items():
-        for line in lines:
+        for line in lines + NAMES[family]:
             w = line.split()
             cuts = [line] + ([" ".join(w[:len(w) * 2 // 3]), " ".join(w[len(w) // 4:])] if len(w) > 12 else [])
             rows += [(family, f.format(c.rstrip(".")), k % 3) for c in cuts for k, f in enumerate(FRAMES)]
@@ -180,7 +193,7 @@ def training_table(spark: SparkSession, paragraphs: DataFrame | None, background
     out = spark.createDataFrame(rows, "family string, line string, fold int")
     if paragraphs is not None:
         plain = (paragraphs.select("line").where(F.length("line") > 20).orderBy(F.xxhash64("line"), "line").limit(background)
-                 .where(~has_marker(words_of(F.col("line")))))
+                 .where(~has_any(words_of(F.col("line")), ABOUT)))
         out = out.unionByName(plain.select(F.lit(UNKNOWN).alias("family"), "line", F.pmod(F.xxhash64("line"), F.lit(3)).cast("int").alias("fold")))
     return out
 
@@ -205,6 +218,32 @@ def probabilities(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def gate_words(vocabulary: list[str], w: np.ndarray, b: np.ndarray, unknown: int, bound: float, common: Counter) -> tuple[str, ...]:
+    """Words of which a paragraph needs one to reach the bound.
+
+    A family's probability reaches it only if its score exceeds that of unknown by log(bound / (1 - bound)).  Words leave
+    the gate, those that unknown training rows have most often first, as long as the n-grams of the words outside cannot
+    lift any family that far, even if a paragraph had all that favour it and none that speak against it."""
+    need = b[unknown] - b + np.log(bound / (1 - bound)) - 1e-6
+    lift = np.maximum(w - w[:, [unknown]], 0)
+    need[unknown] = np.inf
+    words = [g.split() for g in vocabulary]
+    at: dict[str, list[int]] = {}
+    for k, ws in enumerate(words):
+        for x in set(ws):
+            at.setdefault(x, []).append(k)
+    left, total, gate = np.array([len(set(ws)) for ws in words]), np.zeros(len(b)), []
+    for x in sorted(at, key=lambda x: (-common[x], x)):
+        rows = np.array(at[x])
+        more = total + lift[rows[left[rows] == 1]].sum(axis=0)
+        if (more < need).all():
+            total = more
+            left[rows] -= 1
+        else:
+            gate.append(x)
+    return tuple(sorted(gate))
+
+
 def fit(spark: SparkSession, background: DataFrame | None = None) -> Model:
     """Trains on all folds after calibrating the bound on the fold left out."""
     rows = training_table(spark, background).select("family", "fold", grams(words_of(F.col("line"))).alias("grams")).collect()
@@ -223,11 +262,13 @@ def fit(spark: SparkSession, background: DataFrame | None = None) -> Model:
     w, b = regression(x, y, len(families))
     if b.argmax() != unknown:
         b[unknown] = b.max() + 1e-9           # a paragraph without a known n-gram is unknown
+    common = Counter(g for r in rows if r["family"] == UNKNOWN for g in r["grams"])
+    gate = gate_words(vocabulary, w, b, unknown, bound, common)
     weights = spark.createDataFrame([(g, w[k].tolist()) for k, g in enumerate(vocabulary)], "gram string, w array<double>")
-    lines = [(f, line) for f in families if f != UNKNOWN for line in TEMPLATES[f]]
+    lines = [(f, line) for f in families if f != UNKNOWN for line in TEMPLATES[f] + NAMES[f]]
     templates = (spark.createDataFrame([(i, line) for i, (_, line) in enumerate(lines)], "id int, line string")
                  .select("id", F.explode(grams(words_of(F.col("line")))).alias("gram")).groupBy("gram").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    return Model(families, tuple(b.tolist()), weights, templates, tuple(f for f, _ in lines), float(bound))
+    return Model(families, tuple(b.tolist()), weights, templates, tuple(f for f, _ in lines), float(bound), gate)
 
 
 def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -240,9 +281,7 @@ def license_scan(docs: DataFrame, model: Model | None = None, text: str = "text"
     """Findings: key, paragraph, family, probability, template_share, confirmed."""
     spark = docs.sparkSession
     model = model or fit(spark, paragraphs(docs, text, key))
-    lines = paragraphs(docs.where(may_have_marker(F.col(text))), text, key)
-    marked = (lines.where(may_have_marker(F.col("line")))
-              .withColumn("words", words_of(F.col("line"))).where(has_marker(F.col("words")))
+    marked = (paragraphs(docs, text, key).withColumn("words", words_of(F.col("line"))).where(has_any(F.col("words"), model.gate))
               .select(key, "row", "paragraph", grams(F.col("words")).alias("grams")))
     k = len(model.families)
     hit = (marked.select(key, "row", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram"))

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -135,6 +136,27 @@ def test_licences_of_templates_and_near_misses(spark, licences):
     assert license_scan.license_scan(frame(spark, []), licences).collect() == []
 
 
+def test_licences_in_words_without_a_template(spark, licences):
+    cases = [("GPL", "Distributed under GPLv3"), ("GPL", "GPL-2.0-only"), ("LGPL", "LGPLv3"), ("MPL", "MPL-2.0"), ("BSD", "BSD-3-Clause"), ("CC-BY-SA", "Text available under CC BY-SA 4.0"),
+             ("MIT", "MIT-licensed"), ("Apache-2.0", "sublicensed under the Apache License"), ("BSD", "Redistributed under the terms of the BSD license"),
+             ("MIT", "to any person obtaining a copy of this software and associated documentation files"), ("GPL", "You can use this package freely under the GPL v2"),
+             ("GPL", "This module is free software: GNU GPL version 2 applies"), (None, "Students at MIT wrote"), (None, "Er kam mit dem Zug")]
+    got = {r.doc_id: r.family for r in license_scan.license_scan(frame(spark, [(i, t) for i, (_, t) in enumerate(cases)]), licences).collect()}
+    assert [got.get(i) for i in range(len(cases))] == [f for f, _ in cases]
+
+
+def test_licence_gate_keeps_every_finding(spark, licences):
+    r = random.Random(8)
+    lines = [x for f in license_scan.TEMPLATES for x in license_scan.TEMPLATES[f] + license_scan.NAMES[f]] + list(license_scan.NEAR_MISSES)
+    vocabulary = [x.gram for x in licences.weights.select("gram").collect()]
+    texts = ["; ".join(r.sample(vocabulary, r.randrange(1, 30))) for _ in range(300)]
+    texts += [" ".join(x.split()[a:a + r.randrange(1, 9)]) for x in lines for a in (0, 2, 5)]
+    docs = frame(spark, list(enumerate(texts)))
+    every = replace(licences, gate=tuple(sorted({w for g in vocabulary for w in g.split()})))
+    found = [sorted(map(tuple, license_scan.license_scan(docs, m).collect())) for m in (licences, every)]
+    assert found[0] == found[1] and len(found[0]) > 100 and len(licences.gate) < len(every.gate)
+
+
 def test_warc_records_read_back(spark, tmp_path):
     page = "<html lang='en'><head><meta charset=utf-8><title>A &amp; B</title><script>x()</script></head><body><p>one<br>two</p><!-- c --><a href='/l?a=1&amp;b=2'>l</a></body></html>"
     pages = spark.createDataFrame([(1, "http://a.example/x", page, "e"), (2, None, None, "e"), (1, "http://a.example/x", page, "e"), (None, "http://b.example/\r\nEvil: 1", "<p>z", "e"),
