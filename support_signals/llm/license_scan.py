@@ -1,22 +1,24 @@
 """Operator 3: license scans with a trained paragraph classifier, in DataFrame and SQL functions only.
 
-A paragraph is a line of a text.  Its features are its distinct word n-grams (one to three words, lower case) that are in
-the model's vocabulary.  A multinomial logistic regression on these sparse indicators gives the probability of each
+Lines are joined to paragraphs up to a blank line.  Each line of a paragraph, each two lines in a row and the whole
+paragraph are classified, so that neither a statement wrapped over lines nor one among others is missed; two lines or the
+whole count only where no smaller part states the same family.  Features are the distinct word n-grams (one to three
+words, lower case) that are in the model's vocabulary.  A multinomial logistic regression on these sparse indicators gives the probability of each
 licence family and of *unknown*; a family counts when its probability reaches a bound that is calibrated on paragraphs
 the fit has not seen (the smallest bound at which no unknown one passes).  The best matching template of that family then
-confirms the prediction: its share of the paragraph's n-grams must reach ``CONFIRM``.
+confirms the prediction: of the template's own n-grams the paragraph must have a share of ``CONFIRM``, however long it is.
 
-Only paragraphs with a *gate* word of the model are scored, and no other can be a finding: a family reaches the bound only
-if the weights of the paragraph's n-grams, each less that of unknown, make up for unknown's larger intercept.  The other
+Only lines, pairs and paragraphs with a *gate* word of the model are scored, and no other can be a finding: a family reaches the bound only
+if the weights of its n-grams, each less that of unknown, make up for unknown's larger intercept.  The other
 words of the vocabulary are chosen so that all n-grams made of them alone stay below that for every family, whichever of
 them a paragraph has (see ``gate_words``).
 Training takes the templates, cut and framed in a few fixed ways, and at most ``BACKGROUND`` corpus paragraphs next to
 fixed near misses as unknown; their n-grams (about a thousand short rows, whatever the corpus holds) come to the driver,
-where the regression is fitted.  Scoring covers all paragraphs of all rows: the weights are a small table (vocabulary
+where the regression is fitted.  Scoring covers all lines and paragraphs of all rows: the weights are a small table (vocabulary
 times families, independent of the data) that is broadcast, and only paragraphs with a gate word are shuffled.
 
-Defined results: null and empty texts and empty lines have no finding; a line repeated in a text is reported at each
-place; rows are told apart by their position, so repeated rows give repeated findings; ties go to the family first in
+Defined results: null and empty texts and empty lines have no finding; ``paragraph`` is the number of the
+line, or of the first of the lines, from 0; a line repeated in a text is reported at each place; rows are told apart by their position, so repeated rows give repeated findings; ties go to the family first in
 order of name; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -26,7 +28,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -176,7 +178,7 @@ class Model:
     intercepts: tuple[float, ...]
     weights: DataFrame             # gram, w (one weight per class)
     templates: DataFrame           # gram, ids of the templates that have it
-    template_family: tuple[str, ...]
+    sizes: DataFrame               # family, its templates as (id, number of n-grams)
     bound: float
     gate: tuple[str, ...]          # every paragraph that can be a finding has one of these words
 
@@ -266,9 +268,11 @@ def fit(spark: SparkSession, background: DataFrame | None = None) -> Model:
     gate = gate_words(vocabulary, w, b, unknown, bound, common)
     weights = spark.createDataFrame([(g, w[k].tolist()) for k, g in enumerate(vocabulary)], "gram string, w array<double>")
     lines = [(f, line) for f in families if f != UNKNOWN for line in TEMPLATES[f] + NAMES[f]]
-    templates = (spark.createDataFrame([(i, line) for i, (_, line) in enumerate(lines)], "id int, line string")
-                 .select("id", F.explode(grams(words_of(F.col("line")))).alias("gram")).groupBy("gram").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    return Model(families, tuple(b.tolist()), weights, templates, tuple(f for f, _ in lines), float(bound), gate)
+    listed = (spark.createDataFrame([(i, f, line) for i, (f, line) in enumerate(lines)], "id int, family string, line string")
+              .select("id", "family", grams(words_of(F.col("line"))).alias("grams")))
+    templates = listed.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    sizes = listed.groupBy("family").agg(F.collect_list(F.struct("id", F.size("grams").alias("n"))).alias("its"))
+    return Model(families, tuple(b.tolist()), weights, templates, sizes, float(bound), gate)
 
 
 def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -277,25 +281,65 @@ def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
             .select(key, "row", F.posexplode(F.split("_text", "\n")).alias("paragraph", "line")))
 
 
+def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, row, start, lines): the words of the lines between blank lines, and the number of the first of them."""
+    texts = (docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), F.col(text).alias("_text"))
+             .select(key, "row", F.split("_text", "\n").alias("_lines")))
+    blank = F.filter(F.transform("_lines", lambda x, i: F.when(F.btrim(x, F.lit(" \t\r")) == "", i)), lambda i: i.isNotNull())
+    spans = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform(blank, lambda i: i + 1)).alias("a"), F.concat(blank, F.array(F.size("_lines"))).alias("z"))
+    found = F.transform(F.filter(spans, lambda s: s["z"] > s["a"]), lambda s: F.struct(
+        s["a"].alias("start"), F.transform(F.slice("_lines", s["a"] + 1, s["z"] - s["a"]), words_of).alias("lines")))
+    return texts.select(key, "row", F.explode(found).alias("b")).select(key, "row", "b.*")
+
+
+LINE, PAIR, WHOLE = 0, 1, 2
+
+
+def units(found: DataFrame, gate: tuple[str, ...], key: str = "doc_id") -> DataFrame:
+    """(key, row, start, paragraph, kind, whole, words): the lines, pairs of lines and whole paragraphs with a gate word."""
+    n = F.size("lines")
+
+    def unit(at: Column, kind: int, whole: Column, words: Column) -> Column:
+        return F.struct((F.col("start") + at).alias("paragraph"), F.lit(kind).alias("kind"), whole.alias("whole"), words.alias("words"))
+
+    every = F.concat(
+        F.transform("lines", lambda w, i: unit(i, LINE, n == 1, w)),
+        F.when(n > 2, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: unit(i, PAIR, F.lit(False), F.flatten(F.slice("lines", i + 1, 2)))))
+        .otherwise(F.array()),
+        F.when(n > 1, F.array(unit(F.lit(0), WHOLE, F.lit(True), F.flatten("lines")))).otherwise(F.array()))
+    return (found.where(has_any(F.flatten("lines"), gate)).select(key, "row", "start", F.explode(every).alias("u"))
+            .select(key, "row", "start", "u.*").where(has_any(F.col("words"), gate)))
+
+
 def license_scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: str = "doc_id", confirm: float = CONFIRM) -> DataFrame:
     """Findings: key, paragraph, family, probability, template_share, confirmed."""
     spark = docs.sparkSession
     model = model or fit(spark, paragraphs(docs, text, key))
-    marked = (paragraphs(docs, text, key).withColumn("words", words_of(F.col("line"))).where(has_any(F.col("words"), model.gate))
-              .select(key, "row", "paragraph", grams(F.col("words")).alias("grams")))
-    k = len(model.families)
-    hit = (marked.select(key, "row", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-           .join(F.broadcast(model.weights), "gram", "left").join(F.broadcast(model.templates), "gram", "left"))
-    sums = [F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
-    shares = [F.count_if(F.array_contains("ids", i)).alias(f"t{i}") for i in range(len(model.template_family))]
-    scored = hit.groupBy(key, "row", "paragraph").agg(F.first("n").alias("n"), *sums, *shares)
+    block, place = [key, "row", "start"], ["paragraph", "kind", "whole"]
+    hit = (units(blocks(docs, text, key), model.gate, key).select(*block, *place, F.explode(grams(F.col("words"))).alias("gram"))
+           .join(F.broadcast(model.weights), "gram").join(F.broadcast(model.templates), "gram", "left"))
+    sums = [F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(model.families))]
+    scored = hit.groupBy(*block, *place).agg(*sums, F.flatten(F.collect_list(F.when(F.col("whole"), F.col("ids")))).alias("ids"))
     logits = F.array(*[F.col(f"s{i}") + F.lit(v) for i, v in enumerate(model.intercepts)])
     top = F.array_max("logits")
     scored = scored.withColumn("logits", logits).withColumn("best", (F.array_position("logits", top) - 1).cast("int"))
     scored = scored.withColumn("probability", 1 / F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("logits"))))
     family = F.array(*map(F.lit, model.families))
-    share = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(F.col("family") == f, F.col(f"t{i}") / F.col("n")).otherwise(F.lit(0.0)) for i, f in enumerate(model.template_family)])
     found = (scored.withColumn("family", family[F.col("best")])
-             .where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.bound)).withColumn("template_share", share))
+             .withColumn("ids", F.max(F.when(F.col("whole"), F.col("ids"))).over(Window.partitionBy(*block)))
+             .where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.bound)))
+    same = Window.partitionBy(*block, "family")
+    near = same.orderBy("paragraph")
+
+    def count(kinds: Column, over) -> Column:
+        return F.coalesce(F.sum(F.when(kinds, 1).otherwise(0)).over(over), F.lit(0))     # none in an empty frame
+
+    kind = F.col("kind")
+    found = (found.withColumn("smaller", F.when(kind == PAIR, count(kind == LINE, near.rangeBetween(0, 1)) + count(kind == PAIR, near.rangeBetween(-1, -1)))
+                              .when(kind == WHOLE, count(kind < WHOLE, same)))
+             .where((kind == LINE) | (F.coalesce("smaller", F.lit(0)) == 0))
+             .join(F.broadcast(model.sizes), "family"))
+    share = F.array_max(F.transform("its", lambda t: F.size(F.filter("ids", lambda i: i == t["id"])) / t["n"]))
+    found = found.withColumn("template_share", share)
     return found.select(key, "paragraph", "family", F.round("probability", 6).alias("probability"),
                         F.round("template_share", 6).alias("template_share"), (F.col("template_share") >= confirm).alias("confirmed"))

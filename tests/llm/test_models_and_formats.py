@@ -145,6 +145,16 @@ def test_licences_in_words_without_a_template(spark, licences):
     assert [got.get(i) for i in range(len(cases))] == [f for f, _ in cases]
 
 
+def test_licences_in_long_and_wrapped_lines(spark, licences):
+    prose = " ".join(f"word{k % 37} and some of the other things" for k in range(20))
+    cases = [(1, f"{prose} Released under the MIT License. {prose}"), (2, "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files"),
+             (3, "first\n\nThis package is under the Mozilla\nPublic License, v. 2.0\n \nlast"), (4, f"{prose}\nit is under CC\nBY-SA 4.0\n{prose}"),
+             (5, f"{prose}\n{prose}\n\n{prose}"), (6, "a\n\n\nReleased under the MIT License.\nand\n\nLicensed under CC BY-NC 4.0.")]
+    got = {(r.doc_id, r.paragraph, r.family, r.confirmed) for r in license_scan.license_scan(frame(spark, cases), licences).collect()}
+    assert {(i, f) for i, _, f, c in got if c} == {(1, "MIT"), (2, "MIT"), (3, "MPL"), (4, "CC-BY-SA"), (6, "MIT"), (6, "CC-BY-NC")}
+    assert {x[:3] for x in got if x[0] in (1, 4, 6)} == {(1, 0, "MIT"), (4, 2, "CC-BY-SA"), (6, 3, "MIT"), (6, 6, "CC-BY-NC")}
+
+
 def test_licence_gate_keeps_every_finding(spark, licences):
     r = random.Random(8)
     lines = [x for f in license_scan.TEMPLATES for x in license_scan.TEMPLATES[f] + license_scan.NAMES[f]] + list(license_scan.NEAR_MISSES)
