@@ -12,8 +12,9 @@ Only lines, pairs and paragraphs with a *gate* word of the model are scored, and
 if the weights of its n-grams, each less that of unknown, make up for unknown's larger intercept.  The other
 words of the vocabulary are chosen so that all n-grams made of them alone stay below that for every family, whichever of
 them a paragraph has (see ``gate_words``).
-Training takes the templates, cut and framed in a few fixed ways, and at most ``BACKGROUND`` corpus paragraphs next to
-fixed near misses as unknown; their n-grams (about a thousand short rows, whatever the corpus holds) come to the driver,
+Training takes the templates, cut and framed in a few fixed ways, and as unknown fixed near misses next to corpus lines
+that no template resembles: at most ``BACKGROUND`` with a word on licences and as many of any kind.  A fold holds whole
+sentences, with all their frames.  Their n-grams (some two thousand short rows, whatever the corpus holds) come to the driver,
 where the regression is fitted.  Scoring covers all lines and paragraphs of all rows: the weights are a small table (vocabulary
 times families, independent of the data) that is broadcast, and only paragraphs with a gate word are shuffled.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 CONFIRM = 0.5
 BACKGROUND = 400
+FOLDS = 3
 LEAST_ROWS = 3          # training rows that an n-gram of the vocabulary is in
 
 #: Statements and opening paragraphs of public licences, by family.
@@ -148,9 +151,11 @@ NAMES: dict[str, tuple[str, ...]] = {
 PROSE = ("It was a long day and the people of the town had come to see what there was to see, for many of them had not been here in years, "
          "and some said that they would stay until the end of the week")
 FRAMES = ("{}", "{}.", "Note: {}", "{} - see below", "This file: {}.", "the text {} and more of it", PROSE + ". {}. " + PROSE)
-#: Corpus paragraphs with one of these words are no background, as they may state a licence; the scan does not use them.
+#: Half of the corpus background are lines with one of these words; the scan does not use them.
 ABOUT = tuple("license licensed licence licenced licensing licenses unlicense spdx copyright copyrighted redistribution redistributions redistribute "
               "permission apache gnu gpl lgpl agpl domain reserved reproduced confidential".split())
+#: Every such word holds one of these.
+STEMS = ("licen", "spdx", "copyright", "redistribut", "permission", "apache", "gnu", "gpl", "domain", "reserved", "reproduced", "confidential")
 #: Lower-case words: letters, or numbers with their dots; a version sign before a digit is a word of its own ("gplv3").
 WORD = r"[a-z]+?(?=v[0-9])|[a-z]+|[0-9]+(?:\.[0-9]+)*"
 
@@ -163,6 +168,11 @@ def has_any(words: Column, some: tuple[str, ...]) -> Column:
     return F.arrays_overlap(words, F.array(*map(F.lit, some))) if some else F.lit(False)
 
 
+def may_be_about(line: Column) -> Column:
+    low = F.lower(line)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in STEMS))
+
+
 def grams(words: Column) -> Column:
     """Distinct n-grams of one to three words."""
     def of(n: int) -> Column:
@@ -184,19 +194,23 @@ class Model:
 
 
 def training_table(spark: SparkSession, paragraphs: DataFrame | None, background: int = BACKGROUND) -> DataFrame:
-    """(family, line, fold): framed and cut templates, near misses and corpus paragraphs without a word on licences."""
+    """(family, line, fold, corpus): framed and cut templates, near misses and corpus lines, with a word on licences and any.
+
+    All frames and cuts of a sentence are in one fold, so a fold left out holds sentences that the fit has not seen."""
     rows = []
     for family, lines in TEMPLATES.items():
-        for line in lines + NAMES[family]:
+        for j, line in enumerate(lines + NAMES[family]):
             w = line.split()
             cuts = [line] + ([" ".join(w[:len(w) * 2 // 3]), " ".join(w[len(w) // 4:])] if len(w) > 12 else [])
-            rows += [(family, f.format(c.rstrip(".")), k % 3) for c in cuts for k, f in enumerate(FRAMES)]
-    rows += [(UNKNOWN, f.format(line), k % 3) for line in NEAR_MISSES for k, f in enumerate(FRAMES)]
-    out = spark.createDataFrame(rows, "family string, line string, fold int")
+            rows += [(family, f.format(c.rstrip(".")), j % FOLDS, False) for c in cuts for f in FRAMES]
+    rows += [(UNKNOWN, f.format(line), j % FOLDS, False) for j, line in enumerate(NEAR_MISSES) for f in FRAMES]
+    out = spark.createDataFrame(rows, "family string, line string, fold int, corpus boolean")
     if paragraphs is not None:
-        plain = (paragraphs.select("line").where(F.length("line") > 20).orderBy(F.xxhash64("line"), "line").limit(background)
-                 .where(~has_any(words_of(F.col("line")), ABOUT)))
-        out = out.unionByName(plain.select(F.lit(UNKNOWN).alias("family"), "line", F.pmod(F.xxhash64("line"), F.lit(3)).cast("int").alias("fold")))
+        lines = paragraphs.select("line").where(F.length("line") > 20)
+        about = has_any(words_of(F.col("line")), ABOUT)
+        for some in (lines.where(may_be_about(F.col("line"))).where(about), lines):
+            some = some.orderBy(F.xxhash64("line"), "line").limit(background)
+            out = out.unionByName(some.select(F.lit(UNKNOWN).alias("family"), "line", F.pmod(F.xxhash64("line"), F.lit(FOLDS)).cast("int").alias("fold"), F.lit(True).alias("corpus")))
     return out
 
 
@@ -247,8 +261,12 @@ def gate_words(vocabulary: list[str], w: np.ndarray, b: np.ndarray, unknown: int
 
 
 def fit(spark: SparkSession, background: DataFrame | None = None) -> Model:
-    """Trains on all folds after calibrating the bound on the fold left out."""
-    rows = training_table(spark, background).select("family", "fold", grams(words_of(F.col("line"))).alias("grams")).collect()
+    """Trains on all folds after calibrating the bound on each fold left out."""
+    rows = training_table(spark, background).select("family", "fold", "corpus", grams(words_of(F.col("line"))).alias("grams")).collect()
+    listed = [set(r["grams"]) for r in spark.createDataFrame([(x,) for f in TEMPLATES for x in TEMPLATES[f] + NAMES[f]], "line string")
+              .select(grams(words_of(F.col("line"))).alias("grams")).collect()]
+    # a corpus line that a template resembles may state a licence
+    rows = [r for r in rows if not r["corpus"] or all(len(t.intersection(r["grams"])) < CONFIRM * len(t) for t in listed)]
     families = tuple(sorted([*TEMPLATES, UNKNOWN]))
     seen = Counter(g for r in rows for g in r["grams"])
     vocabulary = sorted(g for g, n in seen.items() if n >= LEAST_ROWS)
@@ -257,10 +275,12 @@ def fit(spark: SparkSession, background: DataFrame | None = None) -> Model:
     for i, r in enumerate(rows):
         x[i, [number[g] for g in r["grams"] if g in number]] = 1
     y = np.array([families.index(r["family"]) for r in rows])
-    unknown, left_out = families.index(UNKNOWN), np.array([r["fold"] == 0 for r in rows])
-    p = probabilities(x[left_out], *regression(x[~left_out], y[~left_out], len(families)))
-    wrong = (y[left_out] == unknown) & (p.argmax(axis=1) != unknown)
-    bound = max(0.5, *(p[wrong].max(axis=1) + 1e-6)) if wrong.any() else 0.5
+    unknown, fold, bound = families.index(UNKNOWN), np.array([r["fold"] for r in rows]), 0.5
+    for f in range(FOLDS):
+        out = fold == f
+        p = probabilities(x[out], *regression(x[~out], y[~out], len(families)))
+        wrong = (y[out] == unknown) & (p.argmax(axis=1) != unknown)
+        bound = max([bound, *(p[wrong].max(axis=1) + 1e-6)])
     w, b = regression(x, y, len(families))
     if b.argmax() != unknown:
         b[unknown] = b.max() + 1e-9           # a paragraph without a known n-gram is unknown

@@ -155,6 +155,22 @@ def test_licences_in_long_and_wrapped_lines(spark, licences):
     assert {x[:3] for x in got if x[0] in (1, 4, 6)} == {(1, 0, "MIT"), (4, 2, "CC-BY-SA"), (6, 3, "MIT"), (6, 6, "CC-BY-NC")}
 
 
+def test_licence_folds_hold_whole_sentences_and_the_background_lines_with_marker_words(spark):
+    odd = ["The rooms are reserved for guests of the domain", "a plain line of the corpus without such words", "Distributed under the terms of GPLv3 for everyone"]
+    lines = spark.createDataFrame([(x,) for x in odd], "line string")
+    rows = license_scan.training_table(spark, lines).collect()
+    fold = {}
+    for r in rows:
+        for x in license_scan.NEAR_MISSES:
+            if x.rstrip(".") in r.line:
+                fold.setdefault(x, set()).add(r.fold)
+    assert all(len(f) == 1 for f in fold.values()) and {f for x in fold.values() for f in x} == {0, 1, 2}
+    assert {x for x in odd if any(r.line == x and r.family == license_scan.UNKNOWN for r in rows)} == set(odd)
+    model = license_scan.fit(spark, lines)              # there the line that a template resembles is left out
+    got = {r.doc_id: r.family for r in license_scan.license_scan(frame(spark, list(enumerate(odd))), model).collect()}
+    assert got == {2: "GPL"}
+
+
 def test_licence_gate_keeps_every_finding(spark, licences):
     r = random.Random(8)
     lines = [x for f in license_scan.TEMPLATES for x in license_scan.TEMPLATES[f] + license_scan.NAMES[f]] + list(license_scan.NEAR_MISSES)
