@@ -3,8 +3,9 @@
 One pass over the whole texts finds the strong spans (assigned secrets, access identifiers, long hex strings) and weak
 parts: short access identifiers, endpoints (URLs, host names with a port) and bare tokens that look like secrets.  Weak
 parts become rows (document, kind, interval) and are linked in Spark: within a scope -- a paragraph of the document --
-a weak token is reported when an access identifier and an endpoint, or an assigned or hex secret's identifier part, lie
-within ``reach`` code points.  The interval join needs only the nearest part of each kind before and after a token, so
+a weak token is reported when an access identifier and an endpoint, or an access identifier and an assigned or hex secret,
+lie within ``reach`` code points, and a short identifier when an assigned or hex secret does.  Endpoints are no secrets, and
+an identifier beside a bare token alone is no set.  The interval join needs only the nearest part of each kind before and after a token, so
 it is a window over the parts of a scope in order of position, not a join of pairs.
 
 Defined results: null text is empty, without spans; a span never crosses a line break; rows are told apart by a hash of
@@ -35,7 +36,7 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Weak parts.
 SHORT_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{4,}(?![A-Za-z0-9])")
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?://[A-Za-z0-9._~-]+(?::[0-9]+)?|[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5})(?![A-Za-z0-9])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 REACH = 400
 
 PART = "array<struct<kind:string,start:bigint,end:bigint,scope:bigint>>"
@@ -58,8 +59,10 @@ def looks_secret(token: str) -> bool:
 
 
 def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    """Identifiers, endpoints and bare tokens; tokens only outside strong spans."""
-    out = [("id", m.start(), m.end()) for m in SHORT_ID.finditer(text)] if re.search("AKIA|ASIA|AROA|AIDA", text) else []
+    """Identifiers (``short`` outside strong spans, where they can be reported), endpoints and bare tokens, these only
+    outside strong spans."""
+    found = [m.span() for m in SHORT_ID.finditer(text)] if re.search("AKIA|ASIA|AROA|AIDA", text) else []
+    out = [("id" if any(s < z and a < e for s, _, e in strong) else "short", a, z) for a, z in found]
     if ":" in text:
         out += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     taken = [(s, e) for s, _, e in strong] + [(s, e) for _, s, e in out]
@@ -88,8 +91,8 @@ IS_TOKEN = np.array([chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_=-"
 
 
 def parts(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: key, ``keep``, text_hash, counts, base_sha256, base (strong spans) and, where a bare token could be
-    linked, its parts with their scopes."""
+    """Per row: key, ``keep``, text_hash, counts, base_sha256, base (strong spans) and, where a bare token or a short
+    identifier could be linked, its parts with their scopes."""
     chosen = docs.select(key, *keep, F.xxhash64(text).alias("text_hash"), text)
     fixed = [*range(len(keep) + 2)]
     fixed_names = chosen.columns[:-1]
@@ -116,8 +119,8 @@ def parts(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
                         n[k].append(sum(x[1] == k for x in strong))
                     sha.append(hashlib.sha256(",".join(spans).encode()).hexdigest())
                     base.append(spans)
-                    weak = weak_parts(t, strong) if tokens[i] else []
-                    if any(x[0] == "token" for x in weak):
+                    weak = weak_parts(t, strong) if tokens[i] or any(k != 1 for _, k, _ in strong) else []
+                    if any(x[0] in ("token", "short") for x in weak):
                         rows = weak + [("id" if k == 1 else "secret", s, e) for s, k, e in strong]
                         breaks = np.array([m.start() for m in re.finditer(r"\n[ \t\r]*\n", t)], dtype=np.int64)
                         found.append([{"kind": k, "start": s, "end": e, "scope": int(np.searchsorted(breaks, s))} for k, s, e in rows])
@@ -132,18 +135,20 @@ def parts(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
 
 
 def link(found: DataFrame, key: str = "doc_id", reach: int = REACH) -> DataFrame:
-    """(key, text_hash, linked): bare tokens with an identifier and an endpoint within ``reach`` in their scope."""
+    """(key, text_hash, linked): bare tokens with an identifier and either an endpoint or a strong secret within
+    ``reach`` in their scope, and short identifiers with a strong secret."""
     rows = (found.where("parts IS NOT NULL").select(key, "text_hash", "parts").dropDuplicates([key, "text_hash"])
             .select(key, "text_hash", F.explode("parts").alias("p")).select(key, "text_hash", "p.*"))
     order = Window.partitionBy(key, "text_hash", "scope").orderBy("start", "end", "kind")
     back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
 
-    def near(kind: str):
-        before = F.max(F.when(F.col("kind") == kind, F.col("end"))).over(back)
-        after = F.min(F.when(F.col("kind") == kind, F.col("start"))).over(ahead)
+    def near(*kinds: str):
+        before = F.max(F.when(F.col("kind").isin(*kinds), F.col("end"))).over(back)
+        after = F.min(F.when(F.col("kind").isin(*kinds), F.col("start"))).over(ahead)
         return F.coalesce(F.least(F.col("start") - before, after - F.col("end")) <= reach, F.lit(False))
 
-    return (rows.withColumn("linked", (F.col("kind") == "token") & near("id") & near("endpoint")).where("linked")
+    token = (F.col("kind") == "token") & near("id", "short") & (near("endpoint") | near("secret"))
+    return (rows.withColumn("linked", token | ((F.col("kind") == "short") & near("secret"))).where("linked")
             .groupBy(key, "text_hash")
             .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("linked")))
 

@@ -189,6 +189,16 @@ def test_weak_secrets_need_their_complements(spark):
     assert got == {1: f"linked:{at}:{at + len(token)}", 2: "", 3: "", 4: "", 5: "", 6: f"linked:{at}:{at + len(token)}"}
 
 
+def test_weak_secrets_with_strong_ones_and_long_tokens(spark):
+    token, hexes = "Zx9+kLm2/QwErTy8+uIoP3", "0123456789abcdef" * 2
+    long = token * 12                                    # 264 characters
+    texts = [f"ASIAABCD1234 {token} token=abcdef123", f"ASIAABCD1234 {token} {hexes}", "ASIAABCD1234 secret: abcdef123", f"{token} token=abcdef123", f"{token} https://a.example.com {hexes}",
+             f"ASIAABCD1234 {long} https://a.example.com", f"ASIAABCD1234\n\n{hexes}", "token=ASIAABCD1234 x", f"AKIA{'A1' * 8} {hexes}"]
+    got = {r[0]: [x for x in r[-1].split(",") if x.startswith("linked")] for r in rows(secret_scan.secret_scan(frame(spark, list(enumerate(texts)))))}
+    both = ["linked:0:12", f"linked:13:{13 + len(token)}"]
+    assert got == {0: both, 1: both, 2: ["linked:0:12"], 3: [], 4: [], 5: [f"linked:13:{13 + len(long)}"], 6: [], 7: [], 8: []}
+
+
 def test_redaction(spark):
     token = "Zx9+kLm2/QwErTy8+uIoP3"
     docs = spark.createDataFrame([(1, "x token=abcdef123 y", 19), (2, None, 0), (3, f"ASIAABCD1234 {token} https://a.example.com", 1)], "doc_id bigint, text string, n_chars bigint")
