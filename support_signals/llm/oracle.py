@@ -43,4 +43,16 @@ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a AS doc_id, b AS other FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.lowest, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS lowest FROM reach GROUP BY doc_id) m USING (doc_id)""",
+    "op11_lexical_search": f"""
+WITH words AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS ws FROM documents),
+docs AS (SELECT d, doc_id, ws, CAST(len(ws) AS BIGINT) AS n FROM words WHERE len(ws) > 0),
+size AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '{ALNUM}')) AS term FROM benchmark),
+tf AS (SELECT d, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, doc_id, n, unnest(ws) AS term FROM docs)
+       WHERE term IN (SELECT term FROM asked) GROUP BY d, doc_id, n, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term),
+impact AS (SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS s FROM tf JOIN weight USING (term), size),
+score AS (SELECT item_id, d, doc_id, CAST(sum(s) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY item_id, d, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM score WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10""",
 }

@@ -81,5 +81,17 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_bpa import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening_qd import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_license_scan, op4_substring_dedup, op5_token_count, op6_quality_rules, op7_decontaminate, op8_secret_scan,
-                                 op9_jaccard_join, op10_warc_derivatives)}
+                                 op9_jaccard_join, op10_warc_derivatives, op11_lexical_search, op12_whitening)}
