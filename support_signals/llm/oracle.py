@@ -55,4 +55,18 @@ impact AS (SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (1
 score AS (SELECT item_id, d, doc_id, CAST(sum(s) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY item_id, d, doc_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM score WHERE score > 0)
 SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10""",
+    "op13_suffix_dedup": """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+starts AS (SELECT doc_id, t, unnest(generate_series(0, len(t) // 2 - 100)) AS s FROM texts WHERE len(t) >= 200),
+windows AS (SELECT doc_id, s, md5_number(t[2 * s + 1:2 * s + 200]) AS k FROM starts),
+first AS (SELECT k, min(struct_pack(d := doc_id, s := s)) AS f FROM windows GROUP BY k HAVING count(*) > 1),
+later AS (SELECT doc_id, s FROM windows JOIN first USING (k) WHERE doc_id > f.d OR s > f.s),
+edges AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, true) AS opens FROM later),
+runs AS (SELECT doc_id, s, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM edges),
+spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS z FROM runs GROUP BY doc_id, run),
+kept AS (SELECT doc_id, t[2 * coalesce(lag(z) OVER w, 0) + 1:2 * a] AS piece, a, z, t FROM spans JOIN texts USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+cut AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) || any_value(t)[2 * max(z) + 1:] AS t, count(*) AS n, sum(z - a) AS gone FROM kept GROUP BY doc_id)
+SELECT x.doc_id, CAST(len(x.t) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(c.t, x.t))) AS kept_sha256
+FROM texts x LEFT JOIN cut c USING (doc_id)""",
 }

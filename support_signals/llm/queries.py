@@ -93,5 +93,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_license_scan, op4_substring_dedup, op5_token_count, op6_quality_rules, op7_decontaminate, op8_secret_scan,
-                                 op9_jaccard_join, op10_warc_derivatives, op11_lexical_search, op12_whitening)}
+                                 op9_jaccard_join, op10_warc_derivatives, op11_lexical_search, op12_whitening,
+                                 op13_suffix_dedup)}
