@@ -8,10 +8,12 @@ Sizes are cut into bands so that a partner is in the same or the next band; each
 difference of its pairs, and a class sketches itself for its own band and the one below.  A sketch has ``d + 1 + s``
 blocks of 64 parity bits: each shingle flips one bit of one block.  The Hamming distance of two sketches is a lower bound
 of the symmetric difference, and a difference of ``d`` elements touches at most ``d`` blocks, so linking classes agree in
-at least ``1 + s`` whole blocks (pigeonhole).  Blocks with fewer than two bits set say little and join many classes;
-they are used as keys only by classes that have ``s`` or more of them, as every other pair agrees in a fuller block.
-Where one side leaves its thin blocks out (fewer than ``s``) and the other does not, they still share two keys at least,
-so a class counts on ``1 + s`` keys less its own thin blocks, of which at most ``s - 1`` can be missing.
+at least ``1 + s`` whole blocks (pigeonhole).  Blocks of fewer than two elements are *thin*: they say little and join many
+classes.  Blocks in which two linking classes have no difference hold equal elements, so they are thin on both sides or on
+neither.  Hence two families of keys: every class gives its full blocks to a common key space, and a class with ``s`` or more
+thin blocks gives all its blocks to a second one.  Two classes with fewer than ``s`` thin blocks each share ``1 + s`` full
+blocks less the thin ones of either; such a class and one with more share two full blocks at least; two classes with more
+share ``1 + s`` keys of the second space.
 
 **Join.**  Blocks meet on (band, block number, bits).  Documents that meet on one of their rarest shared blocks form small
 clusters; within a cluster sizes, then 256-bit parity sketches (again a lower bound), then the sets themselves are compared.
@@ -20,8 +22,9 @@ pairs, which has the same components.
 
 Defined results: null or empty texts, or such without words, have no shingles and link with nothing; a text of one to four
 words has its whole sequence as its one shingle; component_id is the smallest doc_id reachable, itself included; rows with
-equal ids are told apart by their sets, so repeated rows are fine; a row with a null id takes part as any text and gets
-the component of its class; extra columns are ignored; an empty table gives an empty result.
+equal ids are one node, so repeated rows are fine; a row with a null id is no candidate for links and gets the component of
+the rows that have its set and an id, or null if there are none; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -111,14 +114,15 @@ def blocks(s: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_keys(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(needed, join keys) of a set for each band in which it may meet a partner of another set: its own and the one
-    below.  A linking partner shares at least ``needed`` of the keys."""
+    """(needed, join keys) of up to four families: for each band in which the set may meet a partner of another set, its own
+    and the one below, the full blocks, and all blocks if many are thin.  A linking partner shares at least ``needed`` of the
+    keys of one family."""
     n = len(s)
     if not n:
         return []
     own = int(np.searchsorted(EDGES, n, side="right")) - 1
     out = []
-    for band in ((own, own - 1) if own and n <= (int(EDGES[own]) - 1) * 100 // SHARE else (own,)):
+    for band in (own, own - 1) if own and n <= (int(EDGES[own]) - 1) * 100 // SHARE else (own,):
         d = most_different(band)
         if not d:
             continue                      # only equal sets link, and those are one class already
@@ -126,9 +130,11 @@ def block_keys(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
         word, size = blocks(s, d + 1 + spare, 1000003 * (band + 1))
         thin = size < 2
         few = int(thin.sum())
-        use = np.flatnonzero(~thin) if few < spare else np.arange(len(word))
-        # a partner with fewer than ``spare`` thin blocks leaves them out, so as many of the shared ones may be missing
-        out.append((1 + spare - min(few, spare - 1), mix(word[use] + mix(use.astype(np.uint64) + U64(band << 32)))))
+        number = np.arange(len(word))
+        keys = lambda use, space: mix(word[use] + mix(use.astype(np.uint64) + U64((2 * band + space) << 32)))  # noqa: E731, B023
+        out.append((1 + spare - min(few, spare - 1), keys(number[~thin], 0)))
+        if few >= spare:
+            out.append((1 + spare, keys(number, 1)))
     return out
 
 
@@ -177,12 +183,12 @@ def _key_ranges(ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
 def _keys(ids: np.ndarray, sets: list[np.ndarray], wanted: np.ndarray | None) -> pa.RecordBatch:
     owner, need, keys = [], [], []
     for i, s in zip(ids.tolist(), sets):
-        for below, (needed, k) in enumerate(block_keys(s)):
+        for family, (needed, k) in enumerate(block_keys(s)):
             if wanted is not None:
                 k = k[has_bit(wanted, (k >> U64(64 - KEY_BITS)).astype(np.int64))]
                 if len(k) < needed:
                     continue              # too few blocks are shared with anyone
-            owner.append(np.full(len(k), 2 * i + below, dtype=np.int64))
+            owner.append(np.full(len(k), 4 * i + family, dtype=np.int64))
             need.append(np.full(len(k), needed, dtype=np.int32))
             keys.append(k.view(np.int64))
     empty = np.zeros(0, np.int64)
@@ -194,7 +200,7 @@ def _keys(ids: np.ndarray, sets: list[np.ndarray], wanted: np.ndarray | None) ->
 def candidate_clusters(docs: DataFrame, members: np.ndarray, text: str, key: str) -> DataFrame:
     """(doc_id, cluster) of documents that may link: linking ones are in the same cluster.
 
-    ``node`` is twice the id, plus one for the band below.  A first pass counts the documents at each key (aggregated
+    ``node`` is four times the id, plus the family of the keys.  A first pass counts the documents at each key (aggregated
     before the shuffle); the second only sends keys that more than one document has.  Of those a document needs only its
     rarest, all but as many as a partner shares anyway, so passages that many documents have do not chain them."""
     schema = "key bigint, node bigint, need int"
@@ -213,7 +219,7 @@ def candidate_clusters(docs: DataFrame, members: np.ndarray, text: str, key: str
             .withColumn("place", F.row_number().over(own.orderBy("size", "key")))
             .where("place <= n - need + 1").select("key", "node"))
     least = kept.groupBy("key").agg(F.min("node").alias("leader"))
-    edges = kept.join(least, "key").select(F.shiftright("node", 1).alias("a"), F.shiftright("leader", 1).alias("b"))
+    edges = kept.join(least, "key").select(F.shiftright("node", 2).alias("a"), F.shiftright("leader", 2).alias("b"))
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
 
 

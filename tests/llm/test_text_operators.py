@@ -230,3 +230,16 @@ def test_rules_are_learned_and_emitted_in_order(spark):
     got = {x.doc_id: (x.base_failed, x.kept) for x in out.collect()}
     assert all(got[i] == (False, i % 4 != 0) for i in range(240))
     assert "CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_jaccard_clusters_of_prose_stay_small(spark):
+    """Unrelated texts of few words, as prose has them: thin blocks must not chain them into one candidate cluster."""
+    r = random.Random(17)
+    vocabulary = [f"w{k}" for k in range(400)]
+    docs = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(12, 120)))) for i in range(1500)]
+    docs += [(2000 + i, docs[i][1] + " end") for i in range(0, 1500, 50)]
+    table = frame(spark, docs)
+    clusters = jaccard_join.candidate_clusters(table, np.full((1 << jaccard_join.KEEP_BITS) // 8, 255, dtype=np.uint8), "text", "doc_id")
+    largest = clusters.groupBy("cluster").count().agg({"count": "max"}).first()[0]
+    assert 2 <= largest <= 20
+    assert rows(jaccard_join.near_duplicates(table)) == sorted(brute.near(docs), key=str)
