@@ -10,7 +10,7 @@ that occur once in the corpus are left out (counted with aggregation before the
 **One text per content.**  Equal pieces are one string with many starts: the first of them is its *head* (a minimum that
 is aggregated before the shuffle), all bytes of the others are removed.  So a passage that a third of all documents hold is
 one string to the order below.  Fixed-size bitmaps tell in the second pass over the texts which pieces may be heads; those
-are confirmed by a join, so a full bitmap costs shuffle, not rows.
+are aggregated once more by content, so a full bitmap costs shuffle, not rows.
 
 **Merged order.**  The heads under minimizers that have several contents, or that repeat inside a piece, go to groups of
 about ``GROUP_BYTES`` by minimizer.  A group cuts them into shards, each with its own Burrows-Wheeler transform, and merges
@@ -59,7 +59,8 @@ class Pieces:
     at: np.ndarray         # first byte in ``buf``
     base: np.ndarray       # first byte in the text
     windows: np.ndarray
-    key: np.ndarray
+    least: np.ndarray      # the minimizer
+    key: np.ndarray        # the same, mixed again: smallest hashes are small numbers, and bitmaps want even ones
     again: np.ndarray      # the piece may hold a window twice
     gram: np.ndarray       # hash of the gram at each byte of ``buf``
 
@@ -111,8 +112,9 @@ def pieces_of(lo: int, buf: np.ndarray, at: np.ndarray, place: int) -> Pieces:
         start, count = np.repeat(start, parts) + k * LONGEST, np.minimum(np.repeat(count, parts) - k * LONGEST, LONGEST)
     # a window can be there twice only if one starts with the minimizer and another follows it
     hits = np.concatenate(([0], np.cumsum(ok & (gram[:len(best)] == best))))
-    return Pieces(buf, np.searchsorted(at, start, side="right") - 1 + lo, start, start - at[np.searchsorted(at, start, side="right") - 1] + place,
-                  count, best[start], hits[start + count - 1] > hits[start], gram)
+    doc = np.searchsorted(at, start, side="right") - 1
+    return Pieces(buf, doc + lo, start, start - at[doc] + place, count, best[start], mix(best[start]),
+                  hits[start + count - 1] > hits[start], gram)
 
 
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -170,7 +172,7 @@ def _cut(p: Pieces, k: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     owner, first, size, sure = [], [], [], []
     for i, j in enumerate(k):
         a, n = int(p.at[j]), int(p.windows[j])
-        places = a + np.flatnonzero(p.gram[a:a + n + WINDOW - GRAM] == p.key[j])
+        places = a + np.flatnonzero(p.gram[a:a + n + WINDOW - GRAM] == p.least[j])
         start = a + np.arange(n)
         off = places[np.searchsorted(places, start)] - start          # the leftmost minimizer of each window
         pair = off // 2
@@ -283,23 +285,18 @@ def removed_spans(rows: DataFrame, group: int = GROUP_BYTES) -> DataFrame:
     crowded = exact_bitmap(keys.where(F.col("bytes") > group).select(top_bits("key").alias("at")), BITS)
     table = write_table(decided(rows, shared, heads, mixed, crowded), "pieces")
 
-    # a bit may be set by another start: the heads themselves are told by their contents
-    maybe = table.where("key IS NOT NULL AND NOT cut").alias("p").join(contents.select("key", "h", "size", "head").alias("c"), ["key", "h", "size"])
+    # a bit may be set by another start, and cut pieces of different heads may be equal: the first of a content is its head
+    maybe = table.where("key IS NOT NULL")
+    own = write_table(maybe.groupBy("key", "h", "size").agg(head_struct(), F.count("*").alias("n"), F.any_value("bytes").alias("bytes")), "heads")
     is_head = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("row") == F.col("head.row")) & (F.col("at") == F.col("head.at"))
-    named = maybe.select("key", "doc_id", "row", "at", "size", "bytes", is_head.alias("is_head"))
-    # cut pieces come from different heads but may be equal themselves
-    cut = table.where("cut")
-    own = cut.groupBy("key", "h", "size").agg(head_struct(), F.any_value("bytes").alias("bytes"))
-    first = own.select("key", "head.doc_id", "head.row", "head.at", "size", "bytes")
-    later = (cut.select("key", "h", "size", "doc_id", "row", "at").join(own.select("key", "h", "size", "head"), ["key", "h", "size"])
+    later = (maybe.select("key", "h", "size", "doc_id", "row", "at").join(own.where("n > 1").select("key", "h", "size", "head"), ["key", "h", "size"])
              .where(~is_head))
-    total = table.where("bytes IS NOT NULL").agg(F.sum("size")).first()[0] or 0
-    groups = max(1, -(-total // group))
-    whole = named.where("is_head AND bytes IS NOT NULL").drop("is_head").dropDuplicates(["key", "doc_id", "row", "at"]).unionByName(first)
-    found = (whole.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(groups)))
-             .select("part", "doc_id", "row", "at", "bytes").groupBy("part").applyInArrow(earlier_spans, SPANS))
+    whole = own.where("bytes IS NOT NULL")
+    groups = max(1, -(-(whole.agg(F.sum("size")).first()[0] or 0) // group))
+    found = (whole.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("part"), "head.*", "bytes")
+             .groupBy("part").applyInArrow(earlier_spans, SPANS))
     span = lambda df: df.select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
-    return (span(table.where("key IS NULL")).unionByName(span(named.where("NOT is_head"))).unionByName(span(later)).unionByName(found))
+    return span(table.where("key IS NULL")).unionByName(span(later)).unionByName(found)
 
 
 def kept_text(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, bytes]:

@@ -1,6 +1,7 @@
 """Brute-force versions of the contracts, in plain Python over whole texts."""
 
 import hashlib
+import math
 import re
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,3 +94,46 @@ def statistics(text):
     again = {p for s in range(len(w) - 2) if count[tuple(w[s:s + 3])] > 1 for p in range(s, s + 3)}
     lines = [x for x in t.split("\n") if SPACED.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again)
+
+
+def search(docs, items, k=10):
+    """(item_id, rank, doc_id, score) over docs (doc_id, text) and items (item_id, text); null ids are never ranked."""
+    texts = [(i, ALNUM.findall((t or "").translate(LOWER))) for i, t in docs]
+    texts = [(i, w) for i, w in texts if w]
+    n, total = len(texts), sum(len(w) for _, w in texts)
+    df = {}
+    for _, w in texts:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    out = []
+    for item, t in items:
+        terms = set(ALNUM.findall((t or "").translate(LOWER)))
+        found = []
+        for i, w in texts:
+            m = 10 + 90 * len(w) * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[x] + 1))) * (1_000_000_000 * w.count(x) // (1000 * w.count(x) + 8 * m)) for x in terms & set(w))
+            if s > 0 and i is not None:
+                found.append((-s, i))
+        out += [(item, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=str)
+
+
+def bytes_removed(docs, order, window=100):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256); ``order(doc_id, text)`` orders the texts of an id."""
+    raw = {(i, t): (t or "").encode() for i, t in docs}
+    first = {}
+    for i, t in sorted((x for x in raw if x[0] is not None), key=lambda x: (x[0], order(*x))):
+        b = raw[i, t]
+        for s in range(len(b) - window + 1):
+            first.setdefault(b[s:s + window], (i, t, s))
+    out = []
+    for i, t in docs:
+        b = raw[i, t]
+        gone = bytearray(len(b))
+        if i is not None:
+            for s in range(len(b) - window + 1):
+                if first[b[s:s + window]] != (i, t, s):
+                    gone[s:s + window] = b"\x01" * window
+        runs = len([x for x in bytes(gone).split(b"\x00") if x])
+        out.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=str)
