@@ -47,7 +47,8 @@ ADDED_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0x
 ADDED_LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 ADDED_CAPITAL = re.compile("[" + "".join(map(chr, ADDED_LOWER)) + "]")
 NO_RANK = np.iinfo(np.int64).max
-CACHE_CHUNKS = 100_000
+#: Chunks, and words, that a worker keeps (about 0.6 kB each).
+CACHE_CHUNKS = 300_000
 
 
 @lru_cache(maxsize=1)
@@ -208,19 +209,53 @@ class Bpe:
 
 
 class Cache:
-    """Id text and decoded text of the chunks a worker process has met; emptied at CACHE_CHUNKS."""
+    """Id text and decoded text of the words and the blank-free chunks a worker process has met.
+
+    Both are kept in two generations of half of CACHE_CHUNKS: when the young one is full the old one goes, and what is met
+    again in the old one moves to the young.  So frequent entries stay however many rare ones pass by."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.known = bpe, {}
+        self.bpe, self.known, self.old = bpe, {}, {}
+        self.words, self.old_words = {}, {}
         self.digits = [str(i) for i in range(bpe.width)]
 
     def learn(self, chunks: set[str]) -> None:
+        """Afterwards ``known`` has all ``chunks``."""
         new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known, new = {}, list(chunks)
-        digits, decode, known = self.digits.__getitem__, self.bpe.decode, self.known
-        for c, ids in zip(new, self.bpe.encode_chunks(new)):
-            known[c] = (" ".join(map(digits, ids)), decode(ids))
+        if self.known and len(self.known) + len(new) > CACHE_CHUNKS // 2:
+            self.known, self.old, new = {}, self.known, list(chunks)
+        known, old, rest = self.known, self.old, []
+        for c in new:
+            if c in old:
+                known[c] = old[c]
+            else:
+                rest.append(c)
+        cut, special = self.bpe.words, self.bpe.special
+        pieces = [() if c[0] == "\n" else cut(c) for c in rest]
+        self.learn_words(dict.fromkeys(w for p in pieces for w in p))
+        words = self.words
+        for c, p in zip(rest, pieces):
+            if len(p) == 1:
+                known[c] = words[p[0]]
+            elif p:
+                known[c] = (" ".join([words[w][0] for w in p]), " ".join(filter(None, [words[w][1] for w in p])))
+            else:
+                i = special[c[1:]]
+                known[c] = (self.digits[i], self.bpe.decode([i]))
+
+    def learn_words(self, wanted: dict[str, None]) -> None:
+        if self.words and len(self.words) + len(wanted) > CACHE_CHUNKS // 2:
+            self.words, self.old_words = {}, self.words
+        new = [w for w in wanted if w not in self.words]
+        digits, decode, words, old = self.digits.__getitem__, self.bpe.decode, self.words, self.old_words
+        rest = [w for w in new if w not in old]
+        words.update((w, old[w]) for w in new if w in old)
+        if rest:
+            flat, at = self.bpe.encode_words([w.encode() for w in rest])
+            flat, at = flat.tolist(), at.tolist()
+            for w, a, z in zip(rest, at, at[1:]):
+                ids = flat[a:z]
+                words[w] = (" ".join(map(digits, ids)), decode(ids))
 
     def texts(self, chunks: list[str]) -> tuple[str, str]:
         """Ids and tokens of learned chunks, each joined by blanks."""
@@ -273,7 +308,7 @@ def encode(docs: DataFrame, vocabulary: bytes, with_ids: bool = False, keep: tup
     return chosen.mapInArrow(run, schema)
 
 
-def groups(split: list[list[str]], most: int = CACHE_CHUNKS // 3) -> Iterator[list[list[str]]]:
+def groups(split: list[list[str]], most: int = CACHE_CHUNKS // 9) -> Iterator[list[list[str]]]:
     """Consecutive texts with about ``most`` chunks together (one longer text is a group of its own)."""
     group, n = [], 0
     for cs in split:
