@@ -41,13 +41,13 @@ def shard_order(symbol: np.ndarray) -> np.ndarray:
     n = len(symbol)
     order = np.argsort(symbol, kind="stable")
     first, many = blocks_of(symbol[order])
-    rank = np.zeros(n + 1, dtype=np.int64)                   # 0 beyond the end
+    rank = np.zeros(n + 1, dtype=np.int32)                   # 0 beyond the end
     rank[order] = first + 1
     depth = SYMBOL
     at = np.flatnonzero(many)
     while depth < WINDOW and len(at):
         suffix = order[at]
-        key = rank[suffix] << 32 | rank[np.minimum(suffix + depth, n)]
+        key = rank[suffix].astype(np.int64) << 32 | rank[np.minimum(suffix + depth, n)]
         s = np.argsort(key, kind="stable")
         order[at] = suffix = suffix[s]
         key = key[s]
@@ -74,10 +74,10 @@ def merged_intervals(buf: np.ndarray, lengths: np.ndarray, window: int = WINDOW,
     equal intervals.  ``buf`` holds the pieces one after the other."""
     n = len(buf)
     symbol = symbols(buf)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)         # bytes up to the end of the piece
-    order = np.concatenate([lo + shard_order(symbol[lo:hi]) for lo, hi in shard_bounds(lengths, shard)] or [np.zeros(0, np.int64)])
+    left = np.repeat(np.cumsum(lengths).astype(np.int32), lengths) - np.arange(n, dtype=np.int32)     # bytes up to the end of the piece
+    order = np.concatenate([(lo + shard_order(symbol[lo:hi])).astype(np.int32) for lo, hi in shard_bounds(lengths, shard)] or [np.zeros(0, np.int32)])
     order = order[left[order] >= SYMBOL]
-    rank = np.full(n + window, -1, dtype=np.int64)
+    rank = np.full(n + window, -1, dtype=np.int32)
 
     def merge(live: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Interleaves the shards by ``key``; returns those of ``live``, shard by shard, that share their block."""
@@ -99,5 +99,5 @@ def merged_intervals(buf: np.ndarray, lengths: np.ndarray, window: int = WINDOW,
         ok = (after >= 0) & (left[live] >= depth)
         rank[live] = -1
         live = live[ok]
-        live = merge(live, head[ok] << 32 | after[ok])
+        live = merge(live, head[ok].astype(np.int64) << 32 | after[ok])
     return live, rank[live]

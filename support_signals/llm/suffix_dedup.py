@@ -3,7 +3,7 @@
 A byte is removed if it is covered by a string of 100 bytes that also starts earlier: in a document with a smaller id, or
 earlier in the same document.  Strings are judged on the input, overlaps count, and no string crosses documents.
 
-**Pieces.**  Every window of 100 bytes stands under its *minimizer*, the 16-byte gram of the smallest hash inside it, so equal
+**Pieces.**  Every window of 100 bytes stands under its *minimizer*, the 32-byte gram of the smallest hash inside it, so equal
 windows have equal minimizers and meet wherever they are.  A run of windows under one minimizer is a *piece*.  Minimizers
 that occur once in the corpus are left out (counted with aggregation before the shuffle); nothing under them repeats.
 
@@ -40,14 +40,15 @@ from .bwt_merge import WINDOW, merged_intervals
 from .components import bit_of, bitmap, exact_bitmap, has_bit
 from .words import SLICE_BYTES, U64, give_back, mix, powers, slices
 
-GRAM = 16
+#: Long enough that unrelated prose seldom shares a gram by chance, so that candidates grow in proportion to the input.
+GRAM = 32
 BITS = 25
 DOC_BITS = 23
-GROUP_BYTES = 3 << 19
+GROUP_BYTES = 1 << 20
 #: Windows of a piece at most (only periodic text has more under one minimizer in a row).
 LONGEST = 4096
 _BYTE = np.random.default_rng(20240613).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_LOW, _HIGH = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+_PART = np.random.default_rng(20240614).integers(1, 2**63, GRAM // 8, dtype=np.uint64) * U64(2) + U64(1)
 
 
 @dataclass
@@ -88,8 +89,11 @@ def stretches(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, i
 def pieces_of(lo: int, buf: np.ndarray, at: np.ndarray, place: int) -> Pieces:
     n = len(buf)
     padded = np.concatenate([buf, np.zeros(GRAM, np.uint8)]).tobytes()
-    half = np.ndarray((n + GRAM // 2,), dtype="<u8", buffer=padded, strides=(1,))
-    gram = mix(half[:n] * _LOW ^ half[GRAM // 2:] * _HIGH)
+    eight = np.ndarray((n + GRAM - 8,), dtype="<u8", buffer=padded, strides=(1,))
+    gram = eight[:n] * _PART[0]
+    for k in range(1, GRAM // 8):
+        gram ^= eight[8 * k:8 * k + n] * _PART[k]
+    gram = mix(gram)
     width = WINDOW - GRAM + 1
     best, span = gram, 1
     while span * 2 <= width:
@@ -262,6 +266,7 @@ def earlier_spans(table: pa.Table) -> pa.Table:
     e = np.append(s[1:], len(position))[:len(s)] - 1
     own = piece[s]
     first = at[own] + position[s] - begin[own]
+    give_back()
     return pa.table({"doc_id": pa.array(doc[own]), "row": pa.array(row[own]), "start": pa.array(first),
                      "stop": pa.array(first + position[e] - position[s] + WINDOW)})
 
