@@ -15,9 +15,11 @@ are aggregated once more by content, so a full bitmap costs shuffle, not rows.
 **Merged order.**  The heads under minimizers that have several contents, or that repeat inside a piece, go to groups of
 about ``GROUP_BYTES`` by minimizer.  A group cuts them into shards, each with its own Burrows-Wheeler transform, and merges
 these by interleave refinement (``bwt_merge``).  Repeated intervals of depth 100 give the windows with an earlier start.
-Where one minimizer alone has more bytes of different heads than a group (many contexts around one passage), its pieces
-are cut by the minimizer's place in the window into pieces of two windows, which meet on the 99 bytes they are
-sure to have: two of those differ in their first and last byte only, so a group of theirs is small whatever the input.
+Where one key alone has more bytes of different heads than a group (many contexts around one passage), its heads are cut by
+the minimizer's place in the window into pieces of a few windows, which meet on the bytes all those windows are sure to
+have, and are told by content again: of ``WIDTHS`` windows first, and of two where a key still has too many.  Pieces of two
+windows that meet differ in their first and last byte only, so there are never more than 65,536 of a key, however large the
+input.
 
 Defined results: null or short texts lose nothing; rows with a null id neither lose bytes nor count as earlier; rows with
 equal ids and different texts are one document, whose texts follow each other by the xxhash64 of id and text; repeated rows
@@ -45,6 +47,10 @@ GRAM = 32
 BITS = 25
 DOC_BITS = 23
 GROUP_BYTES = 1 << 20
+#: Windows of the pieces into which the heads of a crowded key are cut.
+WIDTHS = (16, 2)
+NAMES = ["key", "h", "doc_id", "row", "at", "size", "bytes"]
+PIECES = "key bigint, h bigint, doc_id bigint, row bigint, at bigint, size int, bytes binary"
 #: Windows of a piece at most (only periodic text has more under one minimizer in a row).
 LONGEST = 4096
 _BYTE = np.random.default_rng(20240613).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -171,34 +177,46 @@ def head_bits() -> F.Column:
     return F.shiftrightunsigned(F.col("h").bitwiseXOR(F.col("row")).bitwiseXOR(F.shiftleft(F.col("at"), 64 - BITS)), 64 - BITS)
 
 
-def _cut(p: Pieces, k: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pieces ``k`` cut by the place of the minimizer in the window: (number in k, first byte, bytes, key)."""
-    owner, first, size, sure = [], [], [], []
-    for i, j in enumerate(k):
-        a, n = int(p.at[j]), int(p.windows[j])
-        places = a + np.flatnonzero(p.gram[a:a + n + WINDOW - GRAM] == p.least[j])
-        start = a + np.arange(n)
-        off = places[np.searchsorted(places, start)] - start          # the leftmost minimizer of each window
-        pair = off // 2
-        new = np.ones(n, dtype=bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (off[1:] >= off[:-1])
-        s = np.flatnonzero(new)
-        owner.append(np.full(len(s), i))
-        first.append(start[s])
-        size.append(np.diff(np.append(s, n)) + WINDOW - 1)
-        sure.append(start[s] + off[s] - 2 * pair[s])                   # bytes that both windows of the pair have
-    owner, first, size, sure = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, first, size, sure))
-    return owner, first, size, p.hashes(sure, sure + WINDOW - 1)
-
-
-def decided(rows: DataFrame, shared: np.ndarray, heads: np.ndarray, mixed: np.ndarray, crowded: np.ndarray) -> DataFrame:
+def narrower(heads: DataFrame, width: int) -> DataFrame:
+    """The windows of heads (doc_id, row, at, bytes) anew, as pieces of at most ``width`` windows whose minimizer stands in
+    about the same place; their key is the hash of the bytes that all such windows have."""
+    sure = WINDOW - width + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, names, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for part in stretches(batch.column(3)):
+                p = pieces_of(*part)
+                owner, first, size, common = [], [], [], []
+                for j in range(len(p.at)):
+                    a, n = int(p.at[j]), int(p.windows[j])
+                    places = a + np.flatnonzero(p.gram[a:a + n + WINDOW - GRAM] == p.least[j])
+                    start = a + np.arange(n)
+                    off = places[np.searchsorted(places, start)] - start          # to the leftmost minimizer of each window
+                    new = np.ones(n, dtype=bool)
+                    new[1:] = (off[1:] // width != off[:-1] // width) | (off[1:] >= off[:-1])
+                    s = np.flatnonzero(new)
+                    owner.append(np.full(len(s), j))
+                    first.append(start[s])
+                    size.append(np.diff(np.append(s, n)) + WINDOW - 1)
+                    common.append(start[s] + off[s] - off[s] // width * width)
+                owner, first, size, common = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (owner, first, size, common))
+                full, doc = p.buf.tobytes(), p.doc[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(p.hashes(common, common + sure).view(np.int64)), pa.array(p.hashes(first, first + size).view(np.int64)),
+                     pa.array(ids[doc]), pa.array(names[doc]), pa.array(base[doc] + p.base[owner] + first - p.at[owner]), pa.array(size.astype(np.int32)),
+                     pa.array([full[x:x + y] for x, y in zip(first.tolist(), size.tolist())], pa.binary())], names=NAMES)
+
+    return heads.select("head.doc_id", "head.row", "head.at", "bytes").mapInArrow(run, PIECES)
+
+
+def decided(rows: DataFrame, shared: np.ndarray, heads: np.ndarray, mixed: np.ndarray) -> DataFrame:
     """The second pass: spans of pieces that are no heads (``key`` null), and the pieces that may be heads, with their bytes
     where their minimizer has several contents."""
-    flags = rows.sparkSession.sparkContext.broadcast((shared, heads, mixed, crowded))
-    schema = "key bigint, h bigint, doc_id bigint, row bigint, at bigint, size int, cut boolean, bytes binary"
+    flags = rows.sparkSession.sparkContext.broadcast((shared, heads, mixed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, heads, mixed, crowded = flags.value
+        shared, heads, mixed = flags.value
         for batch in batches:
             ids, names = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for part in stretches(batch.column(2)):
@@ -219,31 +237,18 @@ def decided(rows: DataFrame, shared: np.ndarray, heads: np.ndarray, mixed: np.nd
                 n = len(s)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ids[d[s]]), pa.array(names[d[s]]), pa.array(a[s].astype(np.int64)),
-                     pa.array((z[e] - a[s]).astype(np.int32)), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())], names=NAMES)
+                     pa.array((z[e] - a[s]).astype(np.int32)), pa.nulls(n, pa.binary())], names=NAMES)
                 full = p.buf.tobytes()
-                split = maybe & has_bit(crowded, top)
                 j, i = k[maybe], np.flatnonzero(maybe)
-                with_bytes = has_bit(mixed, top[i]) & ~split[i]
+                with_bytes = has_bit(mixed, top[i])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(p.key[j].view(np.int64)), pa.array(h[i].view(np.int64)), pa.array(ids[p.doc[j]]), pa.array(names[p.doc[j]]),
-                     pa.array(p.base[j].astype(np.int64)), pa.array(size[i].astype(np.int32)), pa.array(np.zeros(len(j), dtype=bool)),
+                     pa.array(p.base[j].astype(np.int64)), pa.array(size[i].astype(np.int32)),
                      pa.array([full[x:x + y] if b else None for x, y, b in zip(p.at[j].tolist(), size[i].tolist(), with_bytes.tolist())], pa.binary())],
                     names=NAMES)
-                if split.any():
-                    c = k[split]
-                    owner, first, length, key = _cut(p, c, h[split])
-                    own = c[owner]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(p.hashes(first, first + length).view(np.int64)), pa.array(ids[p.doc[own]]),
-                         pa.array(names[p.doc[own]]), pa.array((p.base[own] + first - p.at[own]).astype(np.int64)), pa.array(length.astype(np.int32)),
-                         pa.array(np.ones(len(own), dtype=bool)),
-                         pa.array([full[x:x + y] for x, y in zip(first.tolist(), length.tolist())], pa.binary())], names=NAMES)
         give_back()
 
-    return rows.where("doc_id IS NOT NULL").mapInArrow(run, schema)
-
-
-NAMES = ["key", "h", "doc_id", "row", "at", "size", "cut", "bytes"]
+    return rows.where("doc_id IS NOT NULL").mapInArrow(run, PIECES)
 
 
 def earlier_spans(table: pa.Table) -> pa.Table:
@@ -274,6 +279,19 @@ def earlier_spans(table: pa.Table) -> pa.Table:
 SPANS = "doc_id bigint, row bigint, start bigint, stop bigint"
 
 
+def told_by_content(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(heads, spans of the other pieces): the first piece of a content is its head."""
+    heads = write_table(pieces.groupBy("key", "h", "size").agg(head_struct(), F.count("*").alias("n"), F.any_value("bytes").alias("bytes")), "heads")
+    other = (F.col("doc_id") != F.col("head.doc_id")) | (F.col("row") != F.col("head.row")) | (F.col("at") != F.col("head.at"))
+    rest = (pieces.select("key", "h", "size", "doc_id", "row", "at")
+            .join(heads.where("n > 1").select("key", "h", "size", "head"), ["key", "h", "size"]).where(other))
+    return heads, span(rest)
+
+
+def span(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
+
+
 def head_struct() -> F.Column:
     return F.min(F.struct("doc_id", "row", "at")).alias("head")
 
@@ -287,21 +305,25 @@ def removed_spans(rows: DataFrame, group: int = GROUP_BYTES) -> DataFrame:
                        .where("n > 1 OR again"), "mixed-minimizers")
     heads = exact_bitmap(contents.select("h", "head.*").select(head_bits().alias("at")), BITS)
     mixed = exact_bitmap(keys.select(top_bits("key").alias("at")), BITS)
-    crowded = exact_bitmap(keys.where(F.col("bytes") > group).select(top_bits("key").alias("at")), BITS)
-    table = write_table(decided(rows, shared, heads, mixed, crowded), "pieces")
-
-    # a bit may be set by another start, and cut pieces of different heads may be equal: the first of a content is its head
-    maybe = table.where("key IS NOT NULL")
-    own = write_table(maybe.groupBy("key", "h", "size").agg(head_struct(), F.count("*").alias("n"), F.any_value("bytes").alias("bytes")), "heads")
-    is_head = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("row") == F.col("head.row")) & (F.col("at") == F.col("head.at"))
-    later = (maybe.select("key", "h", "size", "doc_id", "row", "at").join(own.where("n > 1").select("key", "h", "size", "head"), ["key", "h", "size"])
-             .where(~is_head))
+    table = write_table(decided(rows, shared, heads, mixed), "pieces")
+    own, found = told_by_content(table.where("key IS NOT NULL"))
+    found = span(table.where("key IS NULL")).unionByName(found)
     whole = own.where("bytes IS NOT NULL")
+    ready = []
+    for width in WIDTHS:
+        crowded = write_table(whole.groupBy("key").agg(F.sum("size").alias("all")).where(F.col("all") > group).select("key"), "crowded-keys")
+        if crowded.isEmpty():
+            break
+        ready.append(whole.join(crowded, "key", "left_anti"))
+        cut = write_table(narrower(whole.join(crowded, "key", "left_semi"), width), "narrow-pieces")
+        whole, rest = told_by_content(cut)
+        found = found.unionByName(rest)
+    for other in ready:
+        whole = whole.unionByName(other.select(whole.columns))
     groups = max(1, -(-(whole.agg(F.sum("size")).first()[0] or 0) // group))
-    found = (whole.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("part"), "head.*", "bytes")
-             .groupBy("part").applyInArrow(earlier_spans, SPANS))
-    span = lambda df: df.select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
-    return span(table.where("key IS NULL")).unionByName(span(later)).unionByName(found)
+    merged = (whole.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("part"), "head.*", "bytes")
+              .groupBy("part").applyInArrow(earlier_spans, SPANS))
+    return found.unionByName(merged)
 
 
 def kept_text(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, bytes]:
