@@ -184,9 +184,9 @@ class Bpe:
         return " ".join(filter(None, map(self.names.__getitem__, ids)))
 
     def words(self, chunk: str) -> list[str]:
-        if chunk.isascii():
-            return [chunk] if chunk.isalpha() else ASCII_WORD.findall(chunk)
-        return word_pattern().findall(chunk)
+        if chunk.isalpha():
+            return [chunk]
+        return ASCII_WORD.findall(chunk) if chunk.isascii() else word_pattern().findall(chunk)
 
     def encode_chunks(self, chunks: list[str]) -> Iterator[list[int]]:
         """Ids of each chunk."""
@@ -211,25 +211,22 @@ class Bpe:
 class Cache:
     """Id text and decoded text of the words and the blank-free chunks a worker process has met.
 
-    Both are kept in two generations of half of CACHE_CHUNKS: when the young one is full the old one goes, and what is met
+    Both are kept in two generations of half of ``size`` (CACHE_CHUNKS): when the young one is full the old one goes, and what is met
     again in the old one moves to the young.  So frequent entries stay however many rare ones pass by."""
 
-    def __init__(self, bpe: Bpe):
-        self.bpe, self.known, self.old = bpe, {}, {}
-        self.words, self.old_words = {}, {}
+    def __init__(self, bpe: Bpe, size: int | None = None):
+        self.bpe, self.size = bpe, size
+        self.empty()
         self.digits = [str(i) for i in range(bpe.width)]
 
     def learn(self, chunks: set[str]) -> None:
         """Afterwards ``known`` has all ``chunks``."""
         new = [c for c in chunks if c not in self.known]
-        if self.known and len(self.known) + len(new) > CACHE_CHUNKS // 2:
+        if self.known and len(self.known) + len(new) > (self.size or CACHE_CHUNKS) // 2:
             self.known, self.old, new = {}, self.known, list(chunks)
-        known, old, rest = self.known, self.old, []
-        for c in new:
-            if c in old:
-                known[c] = old[c]
-            else:
-                rest.append(c)
+        known, old = self.known, self.old
+        known.update((c, old[c]) for c in new if c in old)
+        rest = [c for c in new if c not in old]
         cut, special = self.bpe.words, self.bpe.special
         pieces = [() if c[0] == "\n" else cut(c) for c in rest]
         self.learn_words(dict.fromkeys(w for p in pieces for w in p))
@@ -237,6 +234,9 @@ class Cache:
         for c, p in zip(rest, pieces):
             if len(p) == 1:
                 known[c] = words[p[0]]
+            elif len(p) == 2:
+                (a, x), (b, y) = words[p[0]], words[p[1]]
+                known[c] = (f"{a} {b}", f"{x} {y}" if x and y else x or y)
             elif p:
                 known[c] = (" ".join([words[w][0] for w in p]), " ".join(filter(None, [words[w][1] for w in p])))
             else:
@@ -244,7 +244,7 @@ class Cache:
                 known[c] = (self.digits[i], self.bpe.decode([i]))
 
     def learn_words(self, wanted: dict[str, None]) -> None:
-        if self.words and len(self.words) + len(wanted) > CACHE_CHUNKS // 2:
+        if self.words and len(self.words) + len(wanted) > (self.size or CACHE_CHUNKS) // 2:
             self.words, self.old_words = {}, self.words
         new = [w for w in wanted if w not in self.words]
         digits, decode, words, old = self.digits.__getitem__, self.bpe.decode, self.words, self.old_words
@@ -257,6 +257,9 @@ class Cache:
                 ids = flat[a:z]
                 words[w] = (" ".join(map(digits, ids)), decode(ids))
 
+    def empty(self) -> None:
+        self.known, self.old, self.words, self.old_words = {}, {}, {}, {}
+
     def texts(self, chunks: list[str]) -> tuple[str, str]:
         """Ids and tokens of learned chunks, each joined by blanks."""
         if not chunks:
@@ -266,14 +269,17 @@ class Cache:
 
 
 @lru_cache(maxsize=1)
-def worker_cache(spec: bytes) -> Cache:
+def worker_cache(spec: bytes, size: int | None = None) -> Cache:
     """One per Python worker and vocabulary; later tasks of the worker find it filled."""
-    return Cache(Bpe(spec))
+    return Cache(Bpe(spec), size)
 
 
 def encode(docs: DataFrame, vocabulary: bytes, with_ids: bool = False, keep: tuple[str, ...] = (),
-           text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves."""
+           text: str = "text", key: str = "doc_id", cache_size: int | None = None) -> DataFrame:
+    """Per row: key, columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves.
+
+    With ``cache_size`` a worker keeps at most so many chunks and words, and none after a task: for jobs whose other stages
+    need the memory of the same workers."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(vocabulary)
     chosen = docs.select(key, *keep, text)
@@ -282,7 +288,7 @@ def encode(docs: DataFrame, vocabulary: bytes, with_ids: bool = False, keep: tup
     schema += ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(spec.value)
+        cache = worker_cache(spec.value, cache_size)
         for batch in batches:
             column = batch.column(len(keep) + 1)
             for lo in range(0, batch.num_rows, 512):
@@ -303,7 +309,9 @@ def encode(docs: DataFrame, vocabulary: bytes, with_ids: bool = False, keep: tup
                 columns += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
                 names = [key, *keep, "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-            give_back()
+        if cache_size:
+            cache.empty()
+        give_back()
 
     return chosen.mapInArrow(run, schema)
 
