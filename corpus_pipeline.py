@@ -17,6 +17,8 @@ from support_signals.llm import bpe, decontaminate, jaccard_join, quality_nbsvm,
 from support_signals.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Chunks that a worker of the last stage keeps: workers serve all stages, beside the executor's heap.
+CACHE = 80_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -52,7 +54,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE ids of every document that is left, with its key columns and digests."""
-    return bpe.encode(docs, queries.vocabulary("word_bpe_49k.json"), with_ids=True, keep=("lang", "source"))
+    return bpe.encode(docs, queries.vocabulary("word_bpe_49k.json"), with_ids=True, keep=("lang", "source"), cache_size=CACHE)
 
 
 STAGES: list[tuple[str, Stage]] = [
