@@ -25,29 +25,34 @@ category-day is, while cold buckets keep (1, 1) and are not replicated.
 The split counts are computed in the plan, for every group that needs one,
 and joined like any other table (AQE broadcasts them when they are small).
 
-Scoring: pairs that must reach a score are found by co-grouping the salted
-groups and multiplying them tile by tile; the products only preselect, with
-a margin, and each preselected pair gets the score that ``functions.vectors.dot``
+Scoring: pairs that must reach a score are found by multiplying the two sides
+of a salted group tile by tile; the products only preselect, with a margin,
+and each preselected pair gets the score that ``functions.vectors.dot``
 defines (a sum from left to right), so a listed score, a score at the cut and
-a score in a plain join are the same number.
+a score in a plain join are the same number.  Where only their number is
+wanted (``window_counts``), pairs are folded into counts inside the task: a
+burst of near-equal tickets, in which every pair matches, leaves one row per
+trigger and group.  Listed pairs leave the task in batches of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from support_signals.config import TrendConfig
-from support_signals.operators.blocks import _empty, _stack
 from support_signals.functions.vectors import bucket_of, dot, epoch_micros, epoch_seconds
 
 # Far above the rounding error of a product of unit vectors, far below any score step.
 MARGIN = 1e-6
+# Pairs that leave a task in one batch.
+PAIRS_OUT = 1 << 18
 
 
 def group_splits(cand: DataFrame, trig: DataFrame | None, keys: Sequence[str], cfg: TrendConfig, span: int) -> DataFrame:
@@ -98,6 +103,23 @@ def window_pairs(
     time are in no window.
     """
     keys = list(keys)
+    trig, cand, cond = salted_sides(triggers, candidates, cfg, keys, trigger_cols, candidate_cols)
+    upper = (F.col("c_ts") <= F.col("t_ts")) if closed_end else (F.col("c_ts") < F.col("t_ts"))
+    if with_score and min_score is not None:
+        return block_matches(trig, cand, cond, keys, cfg, closed_end, min_score, trigger_cols, candidate_cols)
+    pairs = (trig.join(cand, cond)
+             .where((F.col("c_ts") >= F.col("t_ts") - F.make_dt_interval(F.lit(cfg.window_days)))
+                    & upper & (F.col("c_id") != F.col("t_id"))))
+    out = [*keys, "t_id", "t_ts", "c_id", "c_ts",
+           *[f"t_{c}" for c in trigger_cols], *[f"c_{c}" for c in candidate_cols]]
+    if with_score:
+        return pairs.select(*out, dot("t_vec", "c_vec").alias("score"))
+    return pairs.select(*out)
+
+
+def salted_sides(triggers: DataFrame, candidates: DataFrame, cfg: TrendConfig, keys: list[str],
+                 trigger_cols: Sequence[str] = (), candidate_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(triggers, candidates, join key): both sides bucketed, salted and replicated, so that each pair meets in one group."""
     w, width = cfg.window_seconds, cfg.bucket_seconds
     cand = candidates.select(
         *keys, F.col("id").alias("c_id"), F.col("created_at").alias("c_ts"),
@@ -125,74 +147,145 @@ def window_pairs(
         .withColumn("salt_t", F.pmod(F.xxhash64("t_id"), s_t).cast("int"))
         .withColumn("salt_c", F.explode(F.sequence(F.lit(0), s_c - 1)))
         .drop("s_c", "s_t", "t_bkt"))
+    return trig, cand, [*keys, "bkt", "salt_c", "salt_t"]
 
-    upper = (F.col("c_ts") <= F.col("t_ts")) if closed_end else (F.col("c_ts") < F.col("t_ts"))
-    cond = [*keys, "bkt", "salt_c", "salt_t"]
-    if with_score and min_score is not None:
-        return block_matches(trig, cand, cond, keys, cfg, closed_end, min_score, trigger_cols, candidate_cols)
-    pairs = (trig.join(cand, cond)
-             .where((F.col("c_ts") >= F.col("t_ts") - F.make_dt_interval(F.lit(cfg.window_days)))
-                    & upper & (F.col("c_id") != F.col("t_id"))))
-    out = [*keys, "t_id", "t_ts", "c_id", "c_ts",
-           *[f"t_{c}" for c in trigger_cols], *[f"c_{c}" for c in candidate_cols]]
-    if with_score:
-        return pairs.select(*out, dot("t_vec", "c_vec").alias("score"))
-    return pairs.select(*out)
 
-
-def tile_matches(tv: np.ndarray, cv: np.ndarray, in_window, min_score: float, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigger row, candidate row, score) of the pairs of two vector blocks that reach ``min_score``.
-
-    ``in_window(rows, columns)`` gives the mask of a tile.  Memory is that of one tile of ``tile`` x ``tile`` products."""
-    found = []
+def tiles(tv: np.ndarray, cv: np.ndarray, tile: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(trigger rows, candidate rows, products) of the tiles of two vector blocks."""
     for a in range(0, len(tv), tile):
         for b in range(0, len(cv), tile):
             rows, cols = slice(a, a + tile), slice(b, b + tile)
-            r, c = np.nonzero((tv[rows] @ cv[cols].T >= min_score - MARGIN) & in_window(rows, cols))
-            score = np.zeros(len(r))
-            for k in range(tv.shape[1]):                 # left to right, as functions.vectors.dot
-                score += tv[a + r, k] * cv[b + c, k]
+            yield rows, cols, tv[rows] @ cv[cols].T
+
+
+def exact_scores(tv: np.ndarray, cv: np.ndarray) -> np.ndarray:
+    """Scores of paired rows, left to right as ``functions.vectors.dot``."""
+    score = np.zeros(len(tv))
+    for k in range(tv.shape[1]):
+        score += tv[:, k] * cv[:, k]
+    return score
+
+
+def matches_by_tile(tv: np.ndarray, cv: np.ndarray, in_window, min_score: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(trigger row, candidate row, score) of the pairs that reach ``min_score``, at most ``PAIRS_OUT`` at a time.
+
+    ``in_window(rows, columns)`` gives the mask of a tile.  One tile of ``tile`` x ``tile`` products and its pairs are held."""
+    for rows, cols, s in tiles(tv, cv, tile):
+        r, c = np.nonzero((s >= min_score - MARGIN) & in_window(rows, cols))
+        del s
+        for lo in range(0, len(r), PAIRS_OUT):
+            i, j = rows.start + r[lo:lo + PAIRS_OUT], cols.start + c[lo:lo + PAIRS_OUT]
+            score = exact_scores(tv[i], cv[j])
             ok = score >= min_score
-            found.append((a + r[ok], b + c[ok], score[ok]))
+            yield i[ok], j[ok], score[ok]
+
+
+def tile_matches(tv: np.ndarray, cv: np.ndarray, in_window, min_score: float, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of ``matches_by_tile`` at once."""
+    found = list(matches_by_tile(tv, cv, in_window, min_score, tile))
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def tile_counts(tv: np.ndarray, cv: np.ndarray, in_window, cuts: Sequence[float], tile: int) -> np.ndarray:
+    """Per trigger row and cut, how many candidates in the window score at least the cut.
+
+    Memory is that of one tile, whatever the number of pairs.  Products within ``MARGIN`` of a cut are settled by the exact
+    score, so the counts are those of the listed pairs."""
+    out = np.zeros((len(tv), len(cuts)), dtype=np.int64)
+    for rows, cols, s in tiles(tv, cv, tile):
+        s[~in_window(rows, cols)] = -np.inf
+        for k, cut in enumerate(cuts):
+            out[rows, k] += (s >= cut + MARGIN).sum(axis=1)
+            r, c = np.nonzero(np.abs(s - cut) <= MARGIN)
+            r, c = r[s[r, c] < cut + MARGIN], c[s[r, c] < cut + MARGIN]
+            for lo in range(0, len(r), PAIRS_OUT):
+                i, j = r[lo:lo + PAIRS_OUT], c[lo:lo + PAIRS_OUT]
+                ok = exact_scores(tv[rows.start + i], cv[cols.start + j]) >= cut
+                out[rows, k] += np.bincount(i[ok], minlength=s.shape[0])
+    return out
+
+
+class _Group:
+    """Both sides of one salted group, from its Arrow batches."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], w_us: int, closed_end: bool):
+        table = pa.Table.from_batches(list(batches))
+        side = table["t_side"].to_numpy()
+        self.trig, self.cand = (table.filter(pa.array(side == x)).combine_chunks() for x in (True, False))
+        self.tv, self.cv = _matrix(self.trig["vec"]), _matrix(self.cand["vec"])
+        tu, cu = self.trig["us"].to_numpy(), self.cand["us"].to_numpy()
+        code, _ = pd.factorize(np.concatenate([self.trig["t_id"].to_numpy(), self.cand["c_id"].to_numpy()]))
+        ti, ci = code[:len(tu)], code[len(tu):]
+
+        def in_window(rows: slice, cols: slice) -> np.ndarray:
+            t, c = tu[rows, None], cu[None, cols]
+            return (c >= t - w_us) & ((c <= t) if closed_end else (c < t)) & (ti[rows, None] != ci[None, cols])
+
+        self.in_window = in_window
+
+    def __bool__(self) -> bool:
+        return len(self.tv) > 0 and len(self.cv) > 0
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 0))
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _both_sides(trig: DataFrame, cand: DataFrame, cond: list[str], t_extra: list[str], c_extra: list[str]) -> DataFrame:
+    """Triggers and candidates as one table: a group by ``cond`` has the two sides of a join group.  Rows with a null key,
+    time or vector are in no window."""
+    def side(df: DataFrame, p: str, extra: list[str], is_trigger: bool) -> DataFrame:
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*cond, f"{p}_ts", f"{p}_vec")])
+        return df.where(known).select(
+            *[F.col(c).alias(c) for c in (*cond, f"{p}_id", f"{p}_ts", *extra)], F.lit(is_trigger).alias("t_side"),
+            epoch_micros(f"{p}_ts").alias("us"), F.col(f"{p}_vec").alias("vec"))
+
+    return side(trig, "t", t_extra, True).unionByName(side(cand, "c", c_extra, False), allowMissingColumns=True)
+
+
 def block_matches(trig: DataFrame, cand: DataFrame, cond: list[str], keys: list[str], cfg: TrendConfig,
                   closed_end: bool, min_score: float, trigger_cols, candidate_cols) -> DataFrame:
-    """Compares the salted groups tile by tile; only pairs at or above ``min_score`` leave the task."""
+    """Compares the salted groups tile by tile; only pairs at or above ``min_score`` leave the task, batch by batch."""
     w_us = int(cfg.window_seconds) * 1_000_000
-    t_extra, c_extra = [f"t_{c}" for c in trigger_cols], [f"c_{c}" for c in candidate_cols]
+    t_out, c_out = ["t_id", "t_ts", *[f"t_{c}" for c in trigger_cols]], ["c_id", "c_ts", *[f"c_{c}" for c in candidate_cols]]
+    both = _both_sides(trig, cand, cond, t_out[2:], c_out[2:])
+    out_cols = [*keys, "t_id", "t_ts", "c_id", "c_ts", *t_out[2:], *c_out[2:], "score"]
+    fields = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    schema = ", ".join(f"{c} {'double' if c == 'score' else fields[c]}" for c in out_cols)
 
-    def fresh(cols):       # new attribute ids: both sides may stem from the same table
-        return [F.col(c).alias(c) for c in cols]
+    def group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = _Group(batches, w_us, closed_end)
+        for r, c, score in matches_by_tile(g.tv, g.cv, g.in_window, min_score, cfg.block_rows) if g else ():
+            i, j = pa.array(r), pa.array(c)
+            cols = {k: g.trig[k].take(i) for k in (*keys, *t_out)} | {k: g.cand[k].take(j) for k in c_out} | {"score": pa.array(score)}
+            yield from pa.table({k: cols[k] for k in out_cols}).combine_chunks().to_batches()
 
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cond])
-    tl = trig.where(known).select(*fresh([*cond, "t_id", "t_ts"]), epoch_micros("t_ts").alias("t_us"), *fresh(["t_vec", *t_extra]))
-    cl = cand.where(known).select(*fresh([*cond, "c_id", "c_ts"]), epoch_micros("c_ts").alias("c_us"), *fresh(["c_vec", *c_extra]))
-    out_cols = [*keys, "t_id", "t_ts", "c_id", "c_ts", *t_extra, *c_extra, "score"]
-    fields = {f.name: f.dataType.simpleString() for f in (*tl.schema.fields, *cl.schema.fields)}
-    schema = ", ".join(f"{c} {'double' if c == 'score' else fields[c]}" for c in out_cols)
+    return both.groupBy(*cond).applyInArrow(group, schema=schema)
 
-    def group(tp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if len(tp) == 0 or len(cp) == 0:
-            return _empty(out_cols, {"score": "float64"})
-        tu, cu = tp["t_us"].to_numpy(), cp["c_us"].to_numpy()
 
-        def in_window(rows: slice, cols: slice) -> np.ndarray:
-            t, c = tu[rows, None], cu[None, cols]
-            return (c >= t - w_us) & ((c <= t) if closed_end else (c < t))
-
-        r, c, score = tile_matches(_stack(tp["t_vec"]), _stack(cp["c_vec"]), in_window, min_score, cfg.block_rows)
-        other = tp["t_id"].to_numpy()[r] != cp["c_id"].to_numpy()[c]
-        r, c, score = r[other], c[other], score[other]
-        res = {k: tp[k].to_numpy()[r] for k in keys}
-        for col in ("t_id", "t_ts", *t_extra):
-            res[col] = tp[col].to_numpy()[r]
-        for col in ("c_id", "c_ts", *c_extra):
-            res[col] = cp[col].to_numpy()[c]
-        res["score"] = score
-        return pd.DataFrame(res)[out_cols]
-
-    return tl.groupBy(*cond).cogroup(cl.groupBy(*cond)).applyInPandas(group, schema=schema)
+def window_counts(triggers: DataFrame, candidates: DataFrame, cfg: TrendConfig, cuts: Sequence[float],
+                  keys: Sequence[str] = ("category",), closed_end: bool = False) -> DataFrame:
+    """(t_id, n): per trigger the number of pairs of ``window_pairs`` at or above each cut, as an array in the order of
+    ``cuts``.  Pairs are counted in the task that compares them and are never rows; a trigger without any has no row."""
+    cuts = [float(c) for c in cuts]
+    trig, cand, cond = salted_sides(triggers, candidates, cfg, list(keys))
+    w_us = int(cfg.window_seconds) * 1_000_000
+    both = _both_sides(trig, cand, cond, [], [])
+
+    def group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = _Group(batches, w_us, closed_end)
+        if g:
+            n = tile_counts(g.tv, g.cv, g.in_window, cuts, cfg.block_rows)
+            some = np.flatnonzero(n.any(axis=1))
+            yield pa.RecordBatch.from_arrays([g.trig["t_id"].combine_chunks().take(pa.array(some)), *[pa.array(x) for x in n[some].T]],
+                                             names=["t_id", *[f"n{k}" for k in range(len(cuts))]])
+
+    schema = f"t_id {both.schema['t_id'].dataType.simpleString()}, " + ", ".join(f"n{k} bigint" for k in range(len(cuts)))
+    per = both.groupBy(*cond).applyInArrow(group, schema=schema)
+    sums = per.groupBy("t_id").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(cuts))])
+    return sums.select("t_id", F.array(*[F.col(f"n{k}") for k in range(len(cuts))]).alias("n"))

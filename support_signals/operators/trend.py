@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from support_signals.config import TrendConfig
-from support_signals.operators.pairs import window_pairs
+from support_signals.operators.pairs import window_counts, window_pairs
+from support_signals.operators.windows import trailing_counts
 
 
 def pair_scores(tickets: DataFrame, cfg: TrendConfig) -> DataFrame:
@@ -44,8 +45,7 @@ def trend_batch(tickets: DataFrame, cfg: TrendConfig, triggers: DataFrame | None
     with no match keep a 0 count (left join).
     """
     trig = tickets if triggers is None else tickets.join(triggers.select("id").distinct(), "id", "left_semi")
-    counts = (trend_matches(tickets, cfg, trig)
-              .groupBy(F.col("t_id").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    counts = window_counts(trig, tickets, cfg, (cfg.threshold,)).select(F.col("t_id").alias("id"), F.col("n")[0].alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     return (trig.select("id", "category", "subject").join(counts, "id", "left")
             .select("id", "category", "subject", *_rule_columns(n, cfg)))
@@ -65,10 +65,9 @@ def trend_detail(tickets: DataFrame, cfg: TrendConfig, triggers: DataFrame | Non
 
 def window_candidates(tickets: DataFrame, cfg: TrendConfig) -> DataFrame:
     """Number of same-category tickets in each trigger's trailing window
-    (before any score cut), 0 when none."""
-    p = window_pairs(tickets, tickets, cfg, keys=("category",), with_score=False)
-    c = p.groupBy(F.col("t_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return (tickets.select("id").join(c, "id", "left")
+    (before any score cut), 0 when none; by prefix counts, no pairs."""
+    n = trailing_counts(tickets, ("category",), cfg.window_days)
+    return (tickets.select("id", "category", "created_at").join(n, ["category", "created_at"], "left")
             .select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("window_count")))
 
 
@@ -81,20 +80,27 @@ def freetext_trend(queries: DataFrame, tickets: DataFrame, cfg: TrendConfig) ->
     The anchor is a one-row aggregate; the pairs reuse the bucketed,
     salted window join with every query placed at the anchor time.
     """
-    m = freetext_matches(queries, tickets, cfg)
-    n = m.groupBy(F.col("t_query_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = window_counts(anchored(queries, tickets), tickets, cfg, (cfg.threshold,), closed_end=True)
+    n = counts.select(F.expr(f"substring(t_id, {len(QUERY_PREFIX) + 1})").alias("query_id"), F.col("n")[0].alias("n"))
     cnt = F.coalesce("n", F.lit(0)).cast("bigint")
     return (queries.select("query_id", "category").join(n, "query_id", "left")
             .select("query_id", "category", *_rule_columns(cnt, cfg)))
 
 
+QUERY_PREFIX = "\u0000q:"          # no ticket id begins like this, so a query excludes no ticket
+
+
+def anchored(queries: DataFrame, tickets: DataFrame) -> DataFrame:
+    """The queries as triggers at the time of the newest ticket."""
+    anchor = tickets.select(F.max("created_at")).scalar()      # scalar subquery, evaluated once
+    return queries.select(F.concat(F.lit(QUERY_PREFIX), F.col("query_id")).alias("id"), "category",
+                          anchor.alias("created_at"), "embedding", F.col("query_id"))
+
+
 def freetext_matches(queries: DataFrame, tickets: DataFrame, cfg: TrendConfig) -> DataFrame:
     """Matches of free-text queries: same (inferred) category, closed window
     anchored on the newest ticket, score at or above the threshold."""
-    anchor = tickets.select(F.max("created_at")).scalar()      # scalar subquery, evaluated once
-    q = queries.select(F.concat(F.lit("\u0000q:"), F.col("query_id")).alias("id"), "category",
-                       anchor.alias("created_at"), "embedding", F.col("query_id"))
-    return window_pairs(q, tickets, cfg, keys=("category",), trigger_cols=("query_id",),
+    return window_pairs(anchored(queries, tickets), tickets, cfg, keys=("category",), trigger_cols=("query_id",),
                         candidate_cols=("account_id",), closed_end=True, min_score=cfg.threshold)
 
 

@@ -399,9 +399,8 @@ def q_nn_accuracy(spark, d):
 @register("q_pair_separation")
 def q_pair_separation(spark, d):
     """Mean cosine of same-topic and cross-topic pairs."""
-    from support_signals.operators.evaluate import pair_statistics
-    s = pair_statistics(_a(spark, d).tickets, CFG, CFG.sweep)
-    return s.select("same_pairs", "cross_pairs", "same_mean", "cross_mean").distinct()
+    from support_signals.operators.evaluate import pair_means
+    return pair_means(_a(spark, d).tickets)
 
 
 @register("q_pair_thresholds")
