@@ -8,10 +8,11 @@ licence family and of *unknown*; a family counts when its probability reaches a
 the fit has not seen (the smallest bound at which no unknown one passes).  The best matching template of that family then
 confirms the prediction: of the template's own n-grams the paragraph must have a share of ``CONFIRM``, however long it is.
 
-Only lines, pairs and paragraphs with a *gate* word of the model are scored, and no other can be a finding: a family reaches the bound only
-if the weights of its n-grams, each less that of unknown, make up for unknown's larger intercept.  The other
-words of the vocabulary are chosen so that all n-grams made of them alone stay below that for every family, whichever of
-them a paragraph has (see ``gate_words``).
+Only lines, pairs and paragraphs that can be a finding are scored: a family reaches the bound only if the weights of its
+n-grams, each less that of unknown, make up for unknown's larger intercept.  So they need a *gate* word (all n-grams made of
+other words stay below that for every family, see ``gate_words``), and their words must be able to reach it (every n-gram
+stands under its rarest word, see ``word_lifts``).  Both tests are in the row, before any n-gram is built, and only n-grams
+of the vocabulary leave the row.
 Training takes the templates, cut and framed in a few fixed ways, and as unknown fixed near misses next to corpus lines
 that no template resembles: at most ``BACKGROUND`` with a word on licences and as many of any kind.  A fold holds whole
 sentences, with all their frames.  Their n-grams (some two thousand short rows, whatever the corpus holds) come to the driver,
@@ -37,6 +38,7 @@ UNKNOWN = "unknown"
 CONFIRM = 0.5
 BACKGROUND = 400
 FOLDS = 3
+FIRST_BITS = 1 << 14
 LEAST_ROWS = 3          # training rows that an n-gram of the vocabulary is in
 
 #: Statements and opening paragraphs of public licences, by family.
@@ -182,6 +184,22 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
 
+def grams_near(words: Column, bits: tuple[int, ...]) -> Column:
+    """Distinct n-grams that begin with a word whose hash has its bit set (64 bits a number); those of the vocabulary do."""
+    flags, size = F.array(*map(F.lit, bits)), F.size(words)
+
+    def set_at(i: Column) -> Column:
+        h = F.pmod(F.xxhash64(F.element_at(words, i)), F.lit(64 * len(bits)))
+        return F.getbit(F.element_at(flags, F.floor(h / 64).cast("int") + 1), F.pmod(h, F.lit(64)).cast("int")) == 1
+
+    at = F.when(size > 0, F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), set_at)).otherwise(F.expr("CAST(array() AS array<int>)"))
+
+    def of(n: int) -> Column:
+        return F.transform(F.filter(at, lambda i: i + (n - 1) <= size), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
 @dataclass(frozen=True)
 class Model:
     families: tuple[str, ...]      # by class number
@@ -191,6 +209,10 @@ class Model:
     sizes: DataFrame               # family, its templates as (id, number of n-grams)
     bound: float
     gate: tuple[str, ...]          # every paragraph that can be a finding has one of these words
+    lifts: dict[str, tuple[float, ...]]     # per word the most that the n-grams standing under it speak for each class
+    need: tuple[float, ...]        # what a class has to reach
+    vocabulary: tuple[str, ...]    # the n-grams that have weights
+    first: tuple[int, ...]         # bits of the hashes of the words that those begin with
 
 
 def training_table(spark: SparkSession, paragraphs: DataFrame | None, background: int = BACKGROUND) -> DataFrame:
@@ -238,7 +260,7 @@ def gate_words(vocabulary: list[str], w: np.ndarray, b: np.ndarray, unknown: int
     """Words of which a paragraph needs one to reach the bound.
 
     A family's probability reaches it only if its score exceeds that of unknown by log(bound / (1 - bound)).  Words leave
-    the gate, those that unknown training rows have most often first, as long as the n-grams of the words outside cannot
+    the gate, those that corpus lines have most often first, as long as the n-grams of the words outside cannot
     lift any family that far, even if a paragraph had all that favour it and none that speak against it."""
     need = b[unknown] - b + np.log(bound / (1 - bound)) - 1e-6
     lift = np.maximum(w - w[:, [unknown]], 0)
@@ -260,6 +282,38 @@ def gate_words(vocabulary: list[str], w: np.ndarray, b: np.ndarray, unknown: int
     return tuple(sorted(gate))
 
 
+def word_lifts(vocabulary: list[str], w: np.ndarray, b: np.ndarray, unknown: int, bound: float, common: Counter) -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
+    """(lifts, need): a paragraph can be a finding only if the lifts of its distinct words add up to ``need`` for a class.
+
+    Every n-gram stands under its word that the corpus lines have least often.  A paragraph with the n-gram has that word,
+    so the sum over words is at least the sum over n-grams of what speaks for the class more than for unknown."""
+    need = b[unknown] - b + np.log(bound / (1 - bound)) - 1e-6
+    need[unknown] = np.inf
+    lift = np.maximum(w - w[:, [unknown]], 0)
+    out: dict[str, np.ndarray] = {}
+    for k, g in enumerate(vocabulary):
+        word = min(g.split(), key=lambda x: (common[x], x))
+        out[word] = out.get(word, 0) + lift[k]
+    return {x: tuple(v.tolist()) for x, v in out.items() if v.any()}, tuple(need.tolist())
+
+
+def first_bits(spark: SparkSession, vocabulary: list[str]) -> tuple[int, ...]:
+    words = spark.createDataFrame([(x,) for x in sorted({g.split()[0] for g in vocabulary})], "word string")
+    bits = [0] * (FIRST_BITS // 64)
+    for row in words.select(F.pmod(F.xxhash64("word"), F.lit(FIRST_BITS)).alias("h")).collect():
+        bits[row["h"] // 64] |= 1 << row["h"] % 64
+    return tuple(b - 2**64 if b >= 2**63 else b for b in bits)
+
+
+def can_reach(words: Column, model: Model) -> Column:
+    """Whether the words' lifts reach what some class needs."""
+    listed = F.array(*map(F.lit, model.lifts))
+    table = F.map_from_arrays(listed, F.array(*[F.array(*map(F.lit, v)) for v in model.lifts.values()]))
+    zero = F.array(*[F.lit(0.0)] * len(model.need))
+    total = F.aggregate(F.array_intersect(words, listed), zero, lambda a, x: F.zip_with(a, table[x], lambda p, q: p + q))
+    return F.exists(F.zip_with(total, F.array(*map(F.lit, model.need)), lambda p, q: p >= q), lambda x: x)
+
+
 def fit(spark: SparkSession, background: DataFrame | None = None) -> Model:
     """Trains on all folds after calibrating the bound on each fold left out."""
     rows = training_table(spark, background).select("family", "fold", "corpus", grams(words_of(F.col("line"))).alias("grams")).collect()
@@ -284,7 +338,10 @@ def fit(spark: SparkSession, background: DataFrame | None = None) -> Model:
     w, b = regression(x, y, len(families))
     if b.argmax() != unknown:
         b[unknown] = b.max() + 1e-9           # a paragraph without a known n-gram is unknown
-    common = Counter(g for r in rows if r["family"] == UNKNOWN for g in r["grams"])
+    common = Counter(g for r in rows if r["corpus"] for g in r["grams"])
+    if not common:
+        common = Counter(g for r in rows if r["family"] == UNKNOWN for g in r["grams"])
+    lifts, need = word_lifts(vocabulary, w, b, unknown, bound, common)
     gate = gate_words(vocabulary, w, b, unknown, bound, common)
     weights = spark.createDataFrame([(g, w[k].tolist()) for k, g in enumerate(vocabulary)], "gram string, w array<double>")
     lines = [(f, line) for f in families if f != UNKNOWN for line in TEMPLATES[f] + NAMES[f]]
@@ -292,7 +349,7 @@ def fit(spark: SparkSession, background: DataFrame | None = None) -> Model:
               .select("id", "family", grams(words_of(F.col("line"))).alias("grams")))
     templates = listed.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     sizes = listed.groupBy("family").agg(F.collect_list(F.struct("id", F.size("grams").alias("n"))).alias("its"))
-    return Model(families, tuple(b.tolist()), weights, templates, sizes, float(bound), gate)
+    return Model(families, tuple(b.tolist()), weights, templates, sizes, float(bound), gate, lifts, need, tuple(vocabulary), first_bits(spark, vocabulary))
 
 
 def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -315,8 +372,10 @@ def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 LINE, PAIR, WHOLE = 0, 1, 2
 
 
-def units(found: DataFrame, gate: tuple[str, ...], key: str = "doc_id") -> DataFrame:
-    """(key, row, start, paragraph, kind, whole, words): the lines, pairs of lines and whole paragraphs with a gate word."""
+def units(found: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """(key, row, start, paragraph, kind, whole, words): the lines, pairs of lines and whole paragraphs with a gate word whose
+    words can reach the bound; with a part of a paragraph the whole is among them."""
+    gate = model.gate
     n = F.size("lines")
 
     def unit(at: Column, kind: int, whole: Column, words: Column) -> Column:
@@ -328,7 +387,7 @@ def units(found: DataFrame, gate: tuple[str, ...], key: str = "doc_id") -> DataF
         .otherwise(F.array()),
         F.when(n > 1, F.array(unit(F.lit(0), WHOLE, F.lit(True), F.flatten("lines")))).otherwise(F.array()))
     return (found.where(has_any(F.flatten("lines"), gate)).select(key, "row", "start", F.explode(every).alias("u"))
-            .select(key, "row", "start", "u.*").where(has_any(F.col("words"), gate)))
+            .select(key, "row", "start", "u.*").where(has_any(F.col("words"), gate)).where(can_reach(F.col("words"), model)))
 
 
 def license_scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: str = "doc_id", confirm: float = CONFIRM) -> DataFrame:
@@ -336,7 +395,8 @@ def license_scan(docs: DataFrame, model: Model | None = None, text: str = "text"
     spark = docs.sparkSession
     model = model or fit(spark, paragraphs(docs, text, key))
     block, place = [key, "row", "start"], ["paragraph", "kind", "whole"]
-    hit = (units(blocks(docs, text, key), model.gate, key).select(*block, *place, F.explode(grams(F.col("words"))).alias("gram"))
+    known = F.array_intersect(grams_near(F.col("words"), model.first), F.array(*map(F.lit, model.vocabulary)))
+    hit = (units(blocks(docs, text, key), model, key).select(*block, *place, F.explode(known).alias("gram"))
            .join(F.broadcast(model.weights), "gram").join(F.broadcast(model.templates), "gram", "left"))
     sums = [F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(model.families))]
     scored = hit.groupBy(*block, *place).agg(*sums, F.flatten(F.collect_list(F.when(F.col("whole"), F.col("ids")))).alias("ids"))
