@@ -386,7 +386,9 @@ def units(found: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
         F.when(n > 2, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: unit(i, PAIR, F.lit(False), F.flatten(F.slice("lines", i + 1, 2)))))
         .otherwise(F.array()),
         F.when(n > 1, F.array(unit(F.lit(0), WHOLE, F.lit(True), F.flatten("lines")))).otherwise(F.array()))
-    return (found.where(has_any(F.flatten("lines"), gate)).select(key, "row", "start", F.explode(every).alias("u"))
+    # what the whole paragraph cannot reach, no part of it can
+    whole = F.flatten("lines")
+    return (found.where(has_any(whole, gate)).where(can_reach(whole, model)).select(key, "row", "start", F.explode(every).alias("u"))
             .select(key, "row", "start", "u.*").where(has_any(F.col("words"), gate)).where(can_reach(F.col("words"), model)))
 
 
