@@ -119,6 +119,29 @@ def first_issue_per_trigger(issues: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("linked_issues")))
 
 
+def issue_by_key(issues: DataFrame, keys: DataFrame) -> DataFrame:
+    """of every requested ``issue_key`` whether there is such an issue, and the first one (lowest key number) if so.
+
+    Requests are looked up with one join, repeated ones once; a null key finds nothing."""
+    first = (issues.where(F.col("issue_key").isNotNull()).groupBy("issue_key")
+             .agg(F.min_by(F.struct("status", "priority", "summary", "assignee", "trigger_ticket_id"), "key_no").alias("i")))
+    return (keys.select("issue_key").distinct().join(first, "issue_key", "left")
+            .select("issue_key", F.col("i").isNotNull().alias("found"), "i.*"))
+
+
+def issue_links(issues: DataFrame, tickets: DataFrame) -> DataFrame:
+    """per ticket whether an issue is linked to it, and the key of the first such issue."""
+    first = first_issue_per_trigger(issues).select(F.col("trigger_ticket_id").alias("id"), "issue_key", "linked_issues")
+    return (tickets.select("id").join(first, "id", "left")
+            .select("id", F.col("issue_key").isNotNull().alias("linked"), "issue_key",
+                    F.coalesce("linked_issues", F.lit(0)).cast("bigint").alias("linked_issues")))
+
+
+def ticket_count(*counts: Column | str) -> Column:
+    """The first of the counts that is neither null nor zero, else 0."""
+    return F.coalesce(*[F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(0)) for c in counts], F.lit(0))
+
+
 def issue_page(issues: DataFrame, page: int = 0, size: int = ISSUE_PAGE_SIZE) -> DataFrame:
     """One page in key order with its 'Showing x-y of n' caption.
 

@@ -656,6 +656,18 @@ ORACLE["q_issue_for_trigger"] = with_views("""
 SELECT trigger_ticket_id, arg_min(issue_key, key_no) AS issue_key, min(key_no) AS key_no, count(*) AS linked_issues
 FROM issues WHERE trigger_ticket_id IS NOT NULL GROUP BY trigger_ticket_id""", views=("issues",))
 
+ORACLE["q_issue_by_key"] = with_views("""
+SELECT k.issue_key, i.issue_key IS NOT NULL AS found, i.status, i.priority, i.summary, i.assignee, i.trigger_ticket_id
+FROM (SELECT DISTINCT 'ENG-' || CAST(ticket_no AS VARCHAR) AS issue_key FROM tickets) k LEFT JOIN issues i ON i.issue_key = k.issue_key""",
+                                      views=("tickets", "issues"))
+
+ORACLE["q_issue_links"] = with_views("""
+SELECT t.id, i.issue_key IS NOT NULL AS linked, i.issue_key, CAST(coalesce(i.n, 0) AS BIGINT) AS linked_issues
+FROM tickets t LEFT JOIN (SELECT trigger_ticket_id, arg_min(issue_key, key_no) AS issue_key, count(*) AS n FROM issues GROUP BY 1) i
+  ON i.trigger_ticket_id = t.id""", views=("tickets", "issues"))
+
+ORACLE["q_ticket_accounts"] = with_views("SELECT id, account_id FROM tickets WHERE account_id IS NOT NULL", views=("tickets",))
+
 ORACLE["q_issue_page"] = with_views("""
 SELECT issue_key, pos, status, 'Showing 51–' || CAST(least(75, n) AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) AS caption
 FROM (SELECT issue_key, status, row_number() OVER (ORDER BY key_no) AS pos, count(*) OVER () AS n FROM issues)

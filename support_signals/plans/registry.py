@@ -342,6 +342,30 @@ def q_issue_for_trigger(spark, d):
     return first_issue_per_trigger(_a(spark, d).issues)
 
 
+@register("q_issue_by_key")
+def q_issue_by_key(spark, d):
+    """lookup by key; the keys asked for are numbered like the tickets, so some have no issue."""
+    from support_signals.operators.issues import issue_by_key
+    a = _a(spark, d)
+    keys = a.tickets.select(F.concat(F.lit("ENG-"), F.col("ticket_no").cast("string")).alias("issue_key"))
+    return issue_by_key(a.issues, keys)
+
+
+@register("q_issue_links")
+def q_issue_links(spark, d):
+    """does a ticket have an issue, and which is the first."""
+    from support_signals.operators.issues import issue_links
+    a = _a(spark, d)
+    return issue_links(a.issues, a.tickets)
+
+
+@register("q_ticket_accounts")
+def q_ticket_accounts(spark, d):
+    """Ticket to account map."""
+    from support_signals.sources.raw import ticket_accounts
+    return ticket_accounts(_a(spark, d).tickets)
+
+
 @register("q_issue_page")
 def q_issue_page(spark, d):
     """Third page of the backlog."""

@@ -153,3 +153,10 @@ def nest_from_views(tickets: DataFrame, accounts: DataFrame) -> DataFrame:
                  F.col("is_emerging_trend").alias("is_emerging_trend"), F.lit(None).cast("string").alias("root_cause"),
                  F.lit(False).alias("is_trend_seed")).alias("ground_truth"),
     )
+
+
+def ticket_accounts(tickets: DataFrame) -> DataFrame:
+    """(id, account_id) of the tickets that have an account; empty where the source has no such column."""
+    if "account_id" not in tickets.columns:
+        return tickets.select("id", F.lit(None).cast("string").alias("account_id")).where(F.lit(False))
+    return tickets.where(F.col("account_id").isNotNull()).select("id", "account_id")
