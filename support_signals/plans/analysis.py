@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from support_signals.config import TEST_CONFIG, TrendConfig
 from support_signals.operators import drafts, impact, trend
-from support_signals.operators.blocks import topk_neighbours
+from support_signals.operators.neighbours import Cells, build_cells, topk_neighbours
 from support_signals.operators.pairs import window_pairs
 from support_signals.session import write_table
 from support_signals.sources import views
@@ -66,11 +66,17 @@ class Analysis:
                                         candidate_cols=("account_id", "subject"), min_score=self.cfg.threshold),
                            "matches", "t_id")
 
+    @cached_property
+    def cells(self) -> Cells | None:
+        """Pivot cells of all ticket vectors, shared by the searches."""
+        return build_cells(self.tickets.select("id", "embedding", "category", "subject"), self.cfg.block_rows)
+
     @cached_property
     def topk_all(self) -> DataFrame:
         """k nearest other tickets of every ticket (B2); k = 1 and top-3 views derive from it."""
         return self._store(topk_neighbours(self.tickets, self.tickets, self.cfg.top_k, self.cfg.block_rows,
-                                           exclude_self=True, candidate_cols=("category", "subject")), "topk", "q_id")
+                                           exclude_self=True, candidate_cols=("category", "subject"), cells=self.cells),
+                           "topk", "q_id")
 
     @cached_property
     def trend(self) -> DataFrame:
@@ -91,7 +97,7 @@ class Analysis:
     def topk_free_all(self) -> DataFrame:
         """k nearest tickets of every ticket vector used as anonymous text (B3): nothing excluded."""
         return self._store(topk_neighbours(self.tickets, self.tickets, self.cfg.top_k, self.cfg.block_rows,
-                                           exclude_self=False, candidate_cols=("category", "subject")),
+                                           exclude_self=False, candidate_cols=("category", "subject"), cells=self.cells),
                            "topk_free", "q_id")
 
     def topk(self, queries: DataFrame | None = None, exclude_self: bool = True, k: int | None = None) -> DataFrame:
@@ -102,7 +108,7 @@ class Analysis:
             return t if queries is None else t.join(queries.select(F.col("id").alias("q_id")), "q_id", "left_semi")
         q = self.tickets if queries is None else queries
         return topk_neighbours(q, self.tickets, k, self.cfg.block_rows,
-                               exclude_self=exclude_self, candidate_cols=("category", "subject"))
+                               exclude_self=exclude_self, candidate_cols=("category", "subject"), cells=self.cells)
 
     @cached_property
     def flagged(self) -> DataFrame:
