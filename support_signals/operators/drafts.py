@@ -115,21 +115,17 @@ def analysis_record(trend: DataFrame, topk: DataFrame, impact: DataFrame, drafts
                     "arr_at_risk_formatted", "draft_title"))
 
 
-def pick_draft(trend: DataFrame, drafts_df: DataFrame, reviewed: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """The confirmed review's draft, else the analysis draft, else a
-    below-threshold row.  ``reviewed``: trigger_id, similar_count after review;
-    ``confirmed``: trigger ids with a stored review."""
-    rv = (reviewed.join(confirmed.select("trigger_id").distinct(), "trigger_id", "left_semi")
-          .select(F.col("trigger_id").alias("id"), F.col("similar_count").alias("rn")))
-    d = drafts_df.select(F.col("trigger_ticket_id").alias("id"), F.col("title").alias("dt"))
-    j = trend.join(rv, "id", "left").join(d, "id", "left")
-    reviewed_title = F.format_string(TITLE_FMT, title_case("category"), F.col("rn"))
+def pick_draft(trend: DataFrame, drafts_df: DataFrame, records: DataFrame) -> DataFrame:
+    """The draft of the stored review, else the analysis draft, else a below-threshold row.  ``records``:
+    ``review_record.review_records``."""
+    rv = records.select(F.col("trigger_id").alias("id"), F.struct("title", "priority", "similar_count").alias("r"))
+    d = drafts_df.select(F.col("trigger_ticket_id").alias("id"), F.struct("title", "priority", "similar_count").alias("a"))
+    j = trend.select("id").join(rv, "id", "left").join(d, "id", "left").withColumn("p", F.coalesce("r", "a"))
     return j.select(
         F.col("id").alias("trigger_id"),
-        F.when(F.col("rn").isNotNull(), "review").when(F.col("dt").isNotNull(), "analysis").otherwise("none")
-        .alias("source"),
-        F.when(F.col("rn").isNotNull(), reviewed_title).when(F.col("dt").isNotNull(), F.col("dt"))
-        .otherwise(F.lit("No engineering draft: below the trend threshold.")).alias("title"))
+        F.when(F.col("r").isNotNull(), "review").when(F.col("a").isNotNull(), "analysis").otherwise("none").alias("source"),
+        F.coalesce("p.title", F.lit("No engineering draft: below the trend threshold.")).alias("title"),
+        F.col("p.priority").alias("priority"), F.col("p.similar_count").alias("similar_count"))
 
 
 FREE_TEXT_LABEL_CHARS = 60          # fixed value: label of a free-text trigger

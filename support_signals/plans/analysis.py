@@ -143,6 +143,43 @@ class Analysis:
         from support_signals.operators.review import latest_decisions
         return latest_decisions(self.decisions_log)
 
+    @cached_property
+    def included(self) -> DataFrame:
+        """Matches that the latest decisions keep."""
+        from support_signals.operators.review import reviewed_members
+        return reviewed_members(self.matches, self.decisions)
+
+    @cached_property
+    def cluster_state(self) -> DataFrame:
+        from support_signals.operators.review_record import cluster_state
+        return self._store(cluster_state(self.matches, self.tickets, self.impact), "cluster_state", "trigger_id")
+
+    @cached_property
+    def account_counts(self) -> DataFrame:
+        from support_signals.operators.review_record import account_counts
+        return self._store(account_counts(self.members, self.accounts), "account_counts", "trigger_id")
+
+    def reviewed(self, decisions: DataFrame) -> DataFrame:
+        """State of every cluster after the given decisions."""
+        from support_signals.operators import review_record as R
+        return R.exclude(self.cluster_state, self.account_counts, R.excluded_members(self.matches, decisions))
+
+    @cached_property
+    def confirmed(self) -> DataFrame:
+        from support_signals.operators.review_record import confirm
+        return confirm(self.reviewed(self.decisions), self.decisions_log, self.cfg)
+
+    @cached_property
+    def review_drafts(self) -> DataFrame:
+        from support_signals.operators.review_record import review_drafts
+        return review_drafts(self.confirmed, self.included, self.tickets, self.cfg)
+
+    @cached_property
+    def review_records(self) -> DataFrame:
+        """The confirmed reviews, stored once; later views read them."""
+        from support_signals.operators.review_record import review_records
+        return self._store(review_records(self.confirmed, self.review_drafts), "reviews", "trigger_id")
+
     @cached_property
     def tiers(self) -> DataFrame:
         return self.accounts.select("account_id", F.col("tier").alias("customer_tier"))

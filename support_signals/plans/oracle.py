@@ -701,15 +701,6 @@ SELECT d.trigger_ticket_id,
        d.similar_count
 FROM drafts d LEFT JOIN edits e ON e.trigger_ticket_id = d.trigger_ticket_id""", views=IVIEWS, ctes=LIVE_CTES)
 
-ORACLE["q_issue_hydrate"] = with_views(f"""
-SELECT i.issue_key, i.trigger_ticket_id, coalesce(d.title, i.summary) AS summary,
-       CASE WHEN d.title IS NOT NULL THEN {title_sql('d.priority')} ELSE i.priority END AS priority,
-       d.similar_count AS similar_ticket_count, d.total_tickets AS zendesk_ticket_count,
-       d.arr_at_risk_formatted AS arr_at_risk,
-       CASE WHEN d.title IS NOT NULL THEN 'live' ELSE 'stored' END AS analysis_source,
-       CASE WHEN d.title IS NOT NULL THEN sha256(d.summary) END AS description_sha
-FROM issues i LEFT JOIN drafts d ON d.trigger_ticket_id = i.trigger_ticket_id""", views=IVIEWS, ctes=LIVE_CTES)
-
 ORACLE["q_linked_tickets"] = with_views("""
 SELECT l.trigger_id, l.ticket_id, coalesce(t.subject, l.ticket_id) AS subject, l.relationship
 FROM (SELECT t_id AS trigger_id, c_id AS ticket_id, 'Similar' AS relationship FROM matches
@@ -843,16 +834,86 @@ LEFT JOIN (SELECT q_id, string_agg(c_id, ', ' ORDER BY rank) AS similar_ids FROM
 LEFT JOIN impact i ON i.trigger_id = tr.id LEFT JOIN drafts d ON d.trigger_ticket_id = tr.id""",
                                   views=ACC_VIEWS, ctes=DRAFT_CTES)
 
-ORACLE["q_pick_draft"] = with_views(f"""
-SELECT tr.id AS trigger_id,
-       CASE WHEN rv.rn IS NOT NULL THEN 'review' WHEN d.title IS NOT NULL THEN 'analysis' ELSE 'none' END AS source,
-       CASE WHEN rv.rn IS NOT NULL THEN '[Trend] Recurring ' || {title_sql('tr.category')} || ' issues (' || CAST(rv.rn AS VARCHAR) || ' similar tickets)'
-            WHEN d.title IS NOT NULL THEN d.title ELSE 'No engineering draft: below the trend threshold.' END AS title
-FROM trend tr
-LEFT JOIN (SELECT DISTINCT trigger_id, coalesce((SELECT count(*) FROM matches m LEFT JOIN decisions dd ON dd.trigger_id = m.t_id
-           AND dd.ticket_id = m.c_id WHERE coalesce(dd.include, true) AND m.t_id = dl.trigger_id), 0) AS rn FROM dlog dl) rv
-  ON rv.trigger_id = tr.id
-LEFT JOIN drafts d ON d.trigger_ticket_id = tr.id""", views=ACC_VIEWS, ctes={**DRAFT_CTES, **REVIEW_CTES})
+def review_ctes(decisions: str = "decisions", log: str = "dlog", p: str = "r") -> dict[str, str]:
+    """CTEs of the clusters after the decisions, counted from the tickets that are left (names start with ``p``)."""
+    sub = lambda x: (x.replace("matches m", f"{p}incl m").replace("members", f"{p}members")
+                     .replace("FROM ca ", f"FROM {p}ca "))
+    return {
+        f"{p}incl": f"""SELECT m.* FROM matches m LEFT JOIN {decisions} d ON d.trigger_id = m.t_id AND d.ticket_id = m.c_id
+WHERE coalesce(d.include, true)""",
+        f"{p}members": sub(MEMBERS["members"]), f"{p}ca": sub(MEMBERS["ca"]), f"{p}impact": sub(IMPACT_CTES["impact"]),
+        f"{p}state": f"""
+SELECT i.*, CAST(coalesce(n.n, 0) AS BIGINT) AS similar_count, coalesce(n.signature, 0) AS signature
+FROM {p}impact i LEFT JOIN (SELECT t_id, count(*) AS n, bit_xor(CAST(('0x' || substr(md5(c_id), 1, 15)) AS BIGINT)) AS signature
+                            FROM {p}incl GROUP BY t_id) n ON n.t_id = i.trigger_id""",
+        f"{p}confirmed": f"""
+SELECT * FROM {p}state WHERE similar_count >= {MIN_COUNT} AND trigger_id IN (SELECT trigger_id FROM {log})""",
+    }
+
+
+def _record_ctes() -> dict[str, str]:
+    d = DRAFT_CTES["drafts"].replace("FROM flagged f LEFT JOIN impact i", "FROM rflagged f LEFT JOIN rimpact i")
+    d = d.replace("LEFT JOIN ids ON ids.t_id", "LEFT JOIN rids ids ON ids.t_id").replace("JOIN samples s", "JOIN rsamples s")
+    return {
+        **review_ctes(),
+        "rflagged": """
+SELECT t.id, t.category, t.subject, t.priority, c.similar_count AS n FROM rconfirmed c JOIN tickets t ON t.id = c.trigger_id""",
+        "rsamples": """
+SELECT t_id AS q_id, string_agg('- ' || subject, chr(10) ORDER BY r) AS sample_lines
+FROM (SELECT m.t_id, c.subject, row_number() OVER (PARTITION BY m.t_id ORDER BY m.score DESC, m.c_id) AS r
+      FROM rincl m JOIN tickets c ON c.id = m.c_id) WHERE r <= 3 GROUP BY t_id""",
+        "rids": DRAFT_CTES["ids"].replace("FROM matches", "FROM rincl"),
+        "rdrafts": d,
+        "records": """
+SELECT c.*, d.title, d.summary, d.priority, d.category, d.similar_ticket_ids, c.similar_count + 1 AS linked_tickets
+FROM rconfirmed c JOIN rdrafts d ON d.trigger_ticket_id = c.trigger_id""",
+    }
+
+
+RECORD_CTES = {**IMPACT_CTES, **REVIEW_CTES, **_record_ctes()}
+
+ORACLE["q_reviewed_impact"] = with_views("SELECT * FROM rstate", views=ACC_VIEWS,
+                                         ctes={**IMPACT_CTES, **REVIEW_CTES, **review_ctes()})
+
+ORACLE["q_confirm_review"] = with_views("SELECT * FROM records", views=ACC_VIEWS, ctes=RECORD_CTES)
+
+ORACLE["q_reviewed_draft"] = with_views("SELECT * FROM rdrafts", views=ACC_VIEWS, ctes=RECORD_CTES)
+
+ORACLE["q_review_links"] = with_views("""
+SELECT l.trigger_id, l.ticket_id, t.subject, l.relationship
+FROM (SELECT t_id AS trigger_id, c_id AS ticket_id, 'Similar' AS relationship FROM rincl
+      WHERE t_id IN (SELECT trigger_id FROM rconfirmed)
+      UNION ALL SELECT trigger_id, trigger_id, 'Trigger' FROM rconfirmed) l JOIN tickets t ON t.id = l.ticket_id""",
+                                      views=ACC_VIEWS, ctes=RECORD_CTES)
+
+ORACLE["q_review_current"] = with_views("""
+SELECT f.trigger_id, f.similar_count AS included_then, n.similar_count AS included_now,
+       f.signature = n.signature AND f.similar_count = n.similar_count AS is_confirmed
+FROM fconfirmed f JOIN rstate n ON n.trigger_id = f.trigger_id""", views=ACC_VIEWS, ctes={
+    **IMPACT_CTES, **REVIEW_CTES, **review_ctes(),
+    "flog": "SELECT * FROM dlog WHERE seq = 1",
+    "fdecisions": "SELECT trigger_id, ticket_id, arg_max(include, decided_at) AS include FROM flog GROUP BY ALL",
+    **review_ctes("fdecisions", "flog", "f")})
+
+ORACLE["q_pick_draft"] = with_views("""
+SELECT t.id AS trigger_id,
+       CASE WHEN r.title IS NOT NULL THEN 'review' WHEN d.title IS NOT NULL THEN 'analysis' ELSE 'none' END AS source,
+       coalesce(r.title, d.title, 'No engineering draft: below the trend threshold.') AS title,
+       coalesce(r.priority, d.priority) AS priority, coalesce(r.similar_count, d.similar_count) AS similar_count
+FROM tickets t LEFT JOIN records r ON r.trigger_id = t.id LEFT JOIN drafts d ON d.trigger_ticket_id = t.id""",
+                                    views=ACC_VIEWS, ctes={**DRAFT_CTES, **REVIEW_CTES, **_record_ctes()})
+
+ORACLE["q_issue_hydrate"] = with_views(f"""
+SELECT i.issue_key, i.trigger_ticket_id, coalesce(r.title, d.title, i.summary) AS summary,
+       CASE WHEN d.title IS NOT NULL THEN {title_sql('coalesce(r.priority, d.priority)')} ELSE i.priority END AS priority,
+       coalesce(r.similar_count, d.similar_count) AS similar_ticket_count,
+       coalesce(r.total_tickets, d.total_tickets) AS zendesk_ticket_count,
+       coalesce(r.arr_at_risk_formatted, d.arr_at_risk_formatted) AS arr_at_risk,
+       CASE WHEN d.title IS NOT NULL THEN 'live' ELSE 'stored' END AS analysis_source,
+       CASE WHEN d.title IS NOT NULL THEN sha256(coalesce(r.summary, d.summary)) END AS description_sha
+FROM issues i LEFT JOIN drafts d ON d.trigger_ticket_id = i.trigger_ticket_id
+LEFT JOIN records r ON r.trigger_id = i.trigger_ticket_id""", views=IVIEWS,
+                                       ctes={**LIVE_CTES, **REVIEW_CTES, **_record_ctes()})
 
 
 # ---------------------------------------------------------------- sources / ingest / dq

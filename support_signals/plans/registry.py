@@ -256,6 +256,44 @@ def q_reviewed_trend(spark, d):
     return reviewed_trend(reviewed_members(a.matches, a.decisions), a.tickets, a.cfg)
 
 
+@register("q_reviewed_impact")
+def q_reviewed_impact(spark, d):
+    """Impact of every cluster after the review decisions, by deltas on the stored cluster state."""
+    a = _a(spark, d)
+    return a.reviewed(a.decisions)
+
+
+@register("q_confirm_review")
+def q_confirm_review(spark, d):
+    """The stored review records."""
+    return _a(spark, d).review_records
+
+
+@register("q_reviewed_draft")
+def q_reviewed_draft(spark, d):
+    """Engineering drafts of the confirmed reviews."""
+    return _a(spark, d).review_drafts
+
+
+@register("q_review_links")
+def q_review_links(spark, d):
+    """Tickets linked by the confirmed reviews."""
+    from support_signals.operators.review_record import review_links
+    a = _a(spark, d)
+    return review_links(a.review_records, a.included, a.tickets)
+
+
+@register("q_review_current")
+def q_review_current(spark, d):
+    """F8: reviews confirmed after the first decisions against the tickets included after all of them."""
+    from support_signals.operators.review import latest_decisions
+    from support_signals.operators.review_record import confirm, review_is_current
+    a = _a(spark, d)
+    first = a.decisions_log.where(F.col("seq") == 1)
+    then = confirm(a.reviewed(latest_decisions(first)), first, a.cfg)
+    return review_is_current(then, a.reviewed(a.decisions))
+
+
 @register("q_cluster_events")
 def q_cluster_events(spark, d):
     """G7/W8."""
@@ -391,10 +429,11 @@ def q_edit_merge(spark, d):
 
 @register("q_issue_hydrate")
 def q_issue_hydrate(spark, d):
-    """Every issue, linked ones with live metrics."""
+    """Every issue, linked ones with the metrics of the stored review, else with live ones."""
     from support_signals.operators.issues import hydrate
+    from support_signals.operators.review_record import live_analysis
     a = _a(spark, d)
-    return hydrate(a.issues, a.live_drafts)
+    return hydrate(a.issues, live_analysis(a.live_drafts, a.review_records))
 
 
 @register("q_linked_tickets")
@@ -522,10 +561,8 @@ def q_analysis(spark, d):
 def q_pick_draft(spark, d):
     """G17."""
     from support_signals.operators.drafts import pick_draft
-    from support_signals.operators.review import reviewed_members, reviewed_trend
     a = _a(spark, d)
-    rv = reviewed_trend(reviewed_members(a.matches, a.decisions), a.tickets, a.cfg)
-    return pick_draft(a.trend, a.drafts, rv, a.decisions_log)
+    return pick_draft(a.trend, a.drafts, a.review_records)
 
 
 # ---------------------------------------------------------------- 2.1 sources / ingest
