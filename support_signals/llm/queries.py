@@ -78,7 +78,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_derive import derivatives
 
-    return derivatives(table(spark, sf_dir, "pages"))
+    # the WARC bytes of a record are its header columns and its block
+    return derivatives(table(spark, sf_dir, "pages"), with_block=True).drop("warc")
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

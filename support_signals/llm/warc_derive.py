@@ -4,8 +4,10 @@ Every response (a stored page) gives three linked records: the *response* itself
 off its page (title, language, charset, outgoing links) and a *conversion* record with its plain text.  The derived records
 name the response in WARC-Refers-To, repeat its target URI and date, and keep the source's header block and digests as
 fields of the metadata record, so each can be traced and checked without the others.  Record ids are name-based (from the
-page's id, address and digest), so a rebuilt derivative has the same ids.  ``serialize`` writes a record as WARC/1.1 bytes
-and ``parse`` reads them back; ``write_files`` stores gzip members per record in part files.
+page's id, address and digest), so a rebuilt derivative has the same ids.  Where the pages come with the header block, record
+id or payload digest of their own response record, these are kept as they are; pages without a header block get a minimal
+made-up one (status 200, type, length).  ``serialize`` writes a record as WARC/1.1 bytes and ``parse`` reads them back;
+``write_files`` stores gzip members, those of a batch of records together, as rows of a parquet table.
 
 Defined results: a null page is an empty block with the digest of nothing; a null address gives no target URI; the date is
 that of the column ``fetched`` if there is one, else the fixed ``EPOCH``; repeated rows give records with equal ids; pages
@@ -64,13 +66,22 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(parts))}>"
 
 
-def derive(page_id: str, url: str | None, page: str, date: str) -> list[dict]:
-    """The response and its derivatives, as dictionaries of header fields with a block of bytes."""
+def header_block(headers: str) -> bytes:
+    """The lines of a header block, none empty, each ended by CR LF, and the empty line after them."""
+    return "".join(f"{x}\r\n" for x in headers.splitlines() if x.strip()).encode() + b"\r\n"
+
+
+def derive(page_id: str, url: str | None, page: str, date: str, headers: str | None = None, source_id: str | None = None,
+           payload_digest: str | None = None) -> list[dict]:
+    """The response and its derivatives, as dictionaries of header fields with a block of bytes.  ``headers`` (status line and
+    header lines), ``source_id`` and ``payload_digest`` are those of the stored response, where known; blank counts as unknown."""
     body = page.encode()
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+    given = headers is not None and headers.strip()
+    http = header_block(headers if given else f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(body)}")
     target = one_line(url) if url is not None else None
-    response = {"type": "response", "id": record_id("response", page_id, target or "", digest(body)), "refers_to": None, "date": date,
-                "target": target, "block": http + body, "payload_digest": digest(body)}
+    own = one_line(source_id or "") or record_id("response", page_id, target or "", digest(body))
+    response = {"type": "response", "id": own, "refers_to": None, "date": date,
+                "target": target, "block": http + body, "payload_digest": one_line(payload_digest or "") or digest(body)}
     title, lang, charset = _TITLE.search(page), _LANG.search(page), _CHARSET.search(page)
     fields = [("title", one_line(html.unescape(title[1])) if title else None), ("languages-declared", lang[1] if lang else None),
               ("charset-declared", charset[1].lower() if charset else None), ("source-block-digest", digest(response["block"])),
@@ -111,17 +122,21 @@ RECORD = ("page_id bigint, record_type string, record_id string, refers_to strin
           "content_length bigint, block_digest string, payload_digest string, record_bytes bigint")
 
 
-def derivatives(pages: DataFrame, with_block: bool = False) -> DataFrame:
-    """Three rows per page; with ``with_block`` also the block and the record's WARC bytes."""
+def derivatives(pages: DataFrame, with_block: bool = False, headers: str | None = None, source_id: str | None = None,
+                payload_digest: str | None = None) -> DataFrame:
+    """Three rows per page; with ``with_block`` also the block and the record's WARC bytes.  ``headers``, ``source_id`` and
+    ``payload_digest`` name string columns with the header block, record id and payload digest of the stored responses."""
     date = F.date_format("fetched", "yyyy-MM-dd'T'HH:mm:ss'Z'") if "fetched" in pages.columns else F.lit(None).cast("string")
-    chosen = pages.select(F.col("page_id").cast("bigint"), "url", F.col("html"), F.coalesce(date, F.lit(EPOCH)).alias("date"))
+    chosen = pages.select(F.col("page_id").cast("bigint"), "url", F.col("html"), F.coalesce(date, F.lit(EPOCH)).alias("date"),
+                          *[(F.col(c) if c else F.lit(None)).cast("string").alias(f"source_{k}")
+                            for k, c in enumerate((headers, source_id, payload_digest))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows: list[list] = [[] for _ in range(13)]
-                for page_id, url, page, when in zip(*(c.slice(lo, 256).to_pylist() for c in batch.columns)):
-                    for r in derive("" if page_id is None else str(page_id), url, page or "", when):
+                for page_id, url, page, when, *source in zip(*(c.slice(lo, 256).to_pylist() for c in batch.columns)):
+                    for r in derive("" if page_id is None else str(page_id), url, page or "", when, *source):
                         raw = serialize(r)
                         values = (page_id, r["type"], r["id"], r["refers_to"], r["target"], r["date"], TYPES[r["type"]], len(r["block"]),
                                   digest(r["block"]), r["payload_digest"], len(raw), r["block"], raw)

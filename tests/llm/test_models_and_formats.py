@@ -206,6 +206,27 @@ def test_warc_records_read_back(spark, tmp_path):
     assert warc_derive.derivatives(pages.limit(0)).collect() == []
 
 
+def test_warc_keeps_the_headers_ids_and_digests_of_its_source(spark):
+    head = "HTTP/1.1 404 Not Found\r\nServer: x/1\nSet-Cookie: a=b: c\r\n\r\n"
+    rows = [(1, "http://a.example/", "<p>gone", head, "<urn:uuid:1>", "sha1:GIVEN"), (2, "http://b.example/", "<p>b", None, " ", None),
+            (3, None, None, "", None, "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, block string, warc string, source_0 string")
+    got = {(r.page_id, r.record_type): r for r in warc_derive.derivatives(pages, True, "block", "warc", "source_0").collect()}
+    assert len(got) == 9
+    own = got[1, "response"]
+    assert (own.record_id, own.payload_digest) == ("<urn:uuid:1>", "sha1:GIVEN")
+    assert bytes(own.block) == b"HTTP/1.1 404 Not Found\r\nServer: x/1\r\nSet-Cookie: a=b: c\r\n\r\n<p>gone"
+    fields = bytes(got[1, "metadata"].block).decode().split("\r\n")
+    assert [x for x in fields if x.startswith("source-")] == [
+        f"source-block-digest: {own.block_digest}", "source-payload-digest: sha1:GIVEN", "source-header: HTTP/1.1 404 Not Found",
+        "source-header: Server: x/1", "source-header: Set-Cookie: a=b: c"]
+    assert got[1, "conversion"].refers_to == got[1, "metadata"].refers_to == "<urn:uuid:1>"
+    plain = {(r.page_id, r.record_type): r for r in warc_derive.derivatives(pages, True).collect()}
+    for k in ((2, t) for t in warc_derive.TYPES):
+        assert plain[k] == got[k]                   # unknown is the same as not given
+    assert plain[3, "metadata"] == got[3, "metadata"] and plain[1, "response"].record_id != "<urn:uuid:1>"
+
+
 def test_components_against_union_find(spark):
     r = random.Random(3)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(1000, k) for k in range(500, 540)] + [(k, k + 1) for k in range(2000, 2040)] + [(None, 3), (4, 4)]
