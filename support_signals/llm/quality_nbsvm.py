@@ -176,7 +176,9 @@ def held_out(key: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Indicators and labels of the learning rows; the ids (at most ``fit_rows``) are broadcast, the texts stay put."""
+    """Indicators and labels of the learning rows; the ids (at most ``fit_rows``) are broadcast, the texts stay put.  Equal rows of
+    an id count once and are dropped before they leave Spark; at most ``fit_rows`` rows, by hash of the id, reach the driver, so
+    an id with many different texts does not either."""
     chosen = smallest_hashes(labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
                              .groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", fit_rows)
     joined = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
@@ -189,10 +191,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
                      pa.array([r.tobytes() for r in indicators(lo, hi, buf, at, bits)], pa.binary())],
                     names=["doc_id", "quality", "row"])
 
-    table = joined.mapInArrow(run, "doc_id bigint, quality int, row binary").toArrow()
-    found: dict[tuple[int, bytes], int] = {}
-    for i, q, r in zip(*(table.column(n).to_pylist() for n in ("doc_id", "quality", "row"))):
-        found[(i, r)] = q                            # repeated rows count once
+    rows = joined.mapInArrow(run, "doc_id bigint, quality int, row binary").dropDuplicates(["doc_id", "row"])
+    table = rows.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "row").limit(fit_rows).toArrow()
+    found = {(i, r): q for i, q, r in zip(*(table.column(n).to_pylist() for n in ("doc_id", "quality", "row")))}
     keys = sorted(found, key=lambda k: (zlib.crc32(str(k[0]).encode()), k))
     return [np.frombuffer(k[1], dtype=np.int32) for k in keys], np.array([found[k] for k in keys])
 

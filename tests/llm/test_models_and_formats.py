@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+import zlib
 from dataclasses import replace
 
 import numpy as np
@@ -206,6 +207,17 @@ def test_warc_records_read_back(spark, tmp_path):
     assert warc_derive.derivatives(pages.limit(0)).collect() == []
 
 
+def test_fit_rows_are_bounded_for_a_repeated_id(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in ids] + [(ids[0], f"other words {k}") for k in range(300)]
+                                 + [(ids[1], "the same words")] * 300, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    rows, y = quality_nbsvm.training_rows(docs, labels, 50)
+    assert len(rows) == len(y) == 50
+    few, _ = quality_nbsvm.training_rows(docs.where(f"doc_id <> {ids[0]}"), labels, 1000)
+    assert len(few) == len(ids)             # one row per id, and the second text of one of them once
+
+
 def test_warc_keeps_the_headers_ids_and_digests_of_its_source(spark):
     head = "HTTP/1.1 404 Not Found\r\nServer: x/1\nSet-Cookie: a=b: c\r\n\r\n"
     rows = [(1, "http://a.example/", "<p>gone", head, "<urn:uuid:1>", "sha1:GIVEN"), (2, "http://b.example/", "<p>b", None, " ", None),
