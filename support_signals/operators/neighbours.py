@@ -11,6 +11,7 @@ rounding, and cells with equal bounds are visited, so ties go to the smaller can
 * Tasks: cells are packed, neighbours together, into blocks of about ``block_rows`` candidates; a crowded cell is cut
   into several blocks by id hash.  The queries that visit a block are cut into parts of ``block_rows`` as well, so a
   task holds two blocks and their products, whatever the data.
+* The slacks are absolute: scores are taken to be below about 10,000 (unit vectors: at most 1).
 * Where nothing can be skipped (vectors without clusters) the work is that of all blocks against all blocks.
 """
 
