@@ -151,15 +151,16 @@ def salted_sides(triggers: DataFrame, candidates: DataFrame, cfg: TrendConfig, k
     return trig, cand, [*keys, "bkt", "salt_c", "salt_t"]
 
 
-def tiles(tv: np.ndarray, cv: np.ndarray, in_window, tile: int) -> Iterator[tuple[slice, slice, np.ndarray, float]]:
+def tiles(tv: np.ndarray, cv: np.ndarray, in_window, tile: int, row_tile: int | None = None) -> Iterator[tuple[slice, slice, np.ndarray, float]]:
     """(trigger rows, candidate rows, products, margin) of the tiles of two vector blocks.
 
     Products are in single precision and within ``margin`` of the score; minus infinity where ``in_window(rows, columns)``,
     a mask or one boolean for the whole tile, is false.  A tile is good until the next one is asked for."""
     t, c, err = _rough(tv, cv)
-    room = np.empty(min(tile, len(t)) * min(tile, len(c)), t.dtype)
-    for a in range(0, len(t), tile):
-        rows = slice(a, min(a + tile, len(t)))
+    row_tile = row_tile or tile
+    room = np.empty(min(row_tile, len(t)) * min(tile, len(c)), t.dtype)
+    for a in range(0, len(t), row_tile):
+        rows = slice(a, min(a + row_tile, len(t)))
         margin = MARGIN + float(err[rows][np.isfinite(err[rows])].max(initial=0.0))
         for b in range(0, len(c), tile):
             cols = slice(b, min(b + tile, len(c)))
@@ -207,6 +208,20 @@ def tile_matches(tv: np.ndarray, cv: np.ndarray, in_window, min_score: float, ti
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def tile_hits(tv: np.ndarray, cv: np.ndarray, in_window, min_score: float, tile: int,
+              row_tile: int | None = None) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(trigger rows, candidate rows, matrix of the matches) tile by tile, all tiles of some rows after each other.
+
+    Products within the margin are settled by the exact score, so the matches are those of ``matches_by_tile``."""
+    for rows, cols, s, margin in tiles(tv, cv, in_window, tile, row_tile):
+        hit = s >= s.dtype.type(min_score + margin)
+        r, c = _pairs_of((s >= s.dtype.type(min_score - margin)) ^ hit)
+        for lo in range(0, len(r), PAIRS_OUT):
+            i, j = r[lo:lo + PAIRS_OUT], c[lo:lo + PAIRS_OUT]
+            hit[i, j] = exact_scores(tv[rows.start + i], cv[cols.start + j]) >= min_score
+        yield rows, cols, hit
+
+
 def tile_counts(tv: np.ndarray, cv: np.ndarray, in_window, cuts: Sequence[float], tile: int) -> np.ndarray:
     """Per trigger row and cut, how many candidates in the window score at least the cut.
 
@@ -236,7 +251,8 @@ class _Group:
         table = pa.Table.from_batches(list(batches))
         side = table["t_side"].to_numpy()
         # in order of time most tiles lie wholly inside or outside the window
-        self.trig, self.cand = (table.filter(pa.array(side == x)).sort_by("us").combine_chunks() for x in (True, False))
+        self.trig, self.cand = (table.filter(pa.array(side == x)).sort_by([("us", "ascending"), (i, "ascending")]).combine_chunks()
+                                for x, i in ((True, "t_id"), (False, "c_id")))
         self.tv, self.cv = _matrix(self.trig["vec"]), _matrix(self.cand["vec"])
         tu, cu = self.trig["us"].to_numpy(), self.cand["us"].to_numpy()
         code, _ = pd.factorize(np.concatenate([self.trig["t_id"].to_numpy(), self.cand["c_id"].to_numpy()]))
