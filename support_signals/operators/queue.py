@@ -136,13 +136,18 @@ def latest_comment(tickets: DataFrame, messages: DataFrame) -> DataFrame:
 
 def timeline(members: DataFrame, newest: int = 12) -> DataFrame:
     """Ticket volume per hour (cluster spans < 2 days) or per day, the
-    newest ``newest`` buckets of each cluster, bar height max(8, round(n/max*86))."""
-    span = members.groupBy("trigger_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    newest ``newest`` buckets of each cluster, bar height max(8, round(n/max*86)).
+
+    ``members``: trigger_id and ts, or counted beforehand (``clusters.member_times``): trigger_id, ``n`` tickets of the
+    hour or, in clusters of two days or more, day ``at``, and the first and last time of their part of the cluster."""
+    if "ts" in members.columns:
+        members = members.select("trigger_id", *[F.col("ts").alias(c) for c in ("at", "lo", "hi")], F.lit(1).alias("n"))
+    span = members.groupBy("trigger_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     hourly = F.timestamp_diff("DAY", F.col("lo"), F.col("hi")) < 2
-    j = members.join(span, "trigger_id")
-    b = (j.select("trigger_id", hourly.alias("hourly"),
-                  F.when(hourly, F.date_trunc("hour", "ts")).otherwise(F.date_trunc("day", "ts")).alias("bucket"))
-         .groupBy("trigger_id", "hourly", "bucket").agg(F.count(F.lit(1)).alias("n_tickets")))
+    j = members.select("trigger_id", "at", "n").join(span, "trigger_id")
+    b = (j.select("trigger_id", hourly.alias("hourly"), "n",
+                  F.when(hourly, F.date_trunc("hour", "at")).otherwise(F.date_trunc("day", "at")).alias("bucket"))
+         .groupBy("trigger_id", "hourly", "bucket").agg(F.sum("n").alias("n_tickets")))
     w = Window.partitionBy("trigger_id").orderBy(F.desc("bucket"))
     kept = b.withColumn("r", F.row_number().over(w)).where(F.col("r") <= newest)
     mx = F.max("n_tickets").over(Window.partitionBy("trigger_id"))
