@@ -139,11 +139,14 @@ def cluster_events(members: DataFrame, tickets: DataFrame, confirmed: DataFrame)
     trigger analysed, and a confirmed-review row without a time.
 
     Only the 4 earliest members per cluster are ranked (per-task top-k before
-    the shuffle), the rest is partial aggregation.
+    the shuffle), the rest is partial aggregation.  Members may be given as
+    their earliest ones alone, each with the number ``n`` of members that it
+    stands for (``clusters.earliest_members``).
     """
     subj = tickets.select(F.col("id").alias("ticket_id"), "subject", F.col("category").alias("cat"))
-    m = members.select("trigger_id", "ticket_id", "ts", "is_trigger")
-    n = m.groupBy("trigger_id").agg(F.count(F.lit(1)).alias("n"),
+    stands_for = F.col("n") if "n" in members.columns else F.lit(1)
+    m = members.select("trigger_id", "ticket_id", "ts", "is_trigger", stands_for.alias("k"))
+    n = m.groupBy("trigger_id").agg(F.sum("k").alias("n"),
                                     F.max_by(F.struct("ts", "ticket_id"), "is_trigger").alias("trig"))
     w = Window.partitionBy("trigger_id").orderBy("ts", "ticket_id")
     early = m.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 4)
