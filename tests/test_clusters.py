@@ -69,3 +69,20 @@ def test_a_burst_leaves_a_few_rows_per_trigger(spark, make_tickets):
                            "account_id", ("account_id", "many"), ("account_id", "arr", "tier", "known")).count() <= 300
     last = C.cluster_impact(t, acc, cfg).where("trigger_id = 'T-299'").first()
     assert (last.total_tickets, last.unique_accounts, last.pro_arr) == (300, 300, 300 * 299 // 2)
+
+
+def test_all_scores_of_a_window_come_from_tiles_and_gaps_stay_null(spark, make_tickets):
+    from .test_plans import plan
+    t = odd_tickets(make_tickets)
+    gap = F.when(F.col("ticket_no") % 9 == 0, F.lit(None)).when(F.col("ticket_no") % 11 == 0, F.transform(
+        "embedding", lambda x: F.when(x > 0, x))).otherwise(F.col("embedding"))
+    t = t.withColumn("embedding", gap)
+    cfg = TrendConfig()
+    from support_signals.functions.vectors import dot
+    a = t.select("category", F.col("id").alias("t_id"), F.col("created_at").alias("t_ts"), F.col("embedding").alias("tv"))
+    b = t.select("category", F.col("id").alias("c_id"), F.col("created_at").alias("c_ts"), F.col("embedding").alias("cv"))
+    want = (a.join(b, "category").where("c_ts < t_ts AND c_ts >= t_ts - INTERVAL 7 DAYS AND c_id <> t_id")
+            .select("category", "t_id", "t_ts", "c_id", "c_ts", dot("tv", "cv").alias("score")))
+    got = trend.pair_scores(t, cfg)
+    assert rows(got.select(*want.columns)) == rows(want)
+    assert "Arrow" in plan(got)
