@@ -86,3 +86,16 @@ def test_all_scores_of_a_window_come_from_tiles_and_gaps_stay_null(spark, make_t
     got = trend.pair_scores(t, cfg)
     assert rows(got.select(*want.columns)) == rows(want)
     assert "Arrow" in plan(got)
+
+
+def test_evidence_of_false_alerts_is_not_shuffled(spark, make_tickets):
+    from support_signals.operators import evaluate
+    t = odd_tickets(make_tickets)
+    cfg = TrendConfig(threshold=0.3)
+    m = window_pairs(t, t, cfg, min_score=cfg.threshold)
+    exp = evaluate.expected_alerts(t, cfg)
+    n = m.groupBy(F.col("t_id").alias("id")).agg(F.count(F.lit(1)).alias("matches")).where("matches >= 3")
+    want = (exp.where(~F.col("expected")).select("id").join(n, "id")
+            .join(m.select(F.col("t_id").alias("id"), F.col("c_id").alias("evidence_id"), "score"), "id")
+            .join(t.select("id", "topic_id"), "id").select("id", "topic_id", "matches", "evidence_id", F.round("score", 6).alias("score")))
+    assert rows(evaluate.false_positives(t, cfg)) == rows(want)
