@@ -9,6 +9,7 @@ from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -184,6 +185,31 @@ def test_licence_gate_keeps_every_finding(spark, licences):
     assert found[0] == found[1] and len(found[0]) > 100 and len(licences.gate) < len(every.gate)
 
 
+def test_licence_balance_keeps_every_finding_with_fewer_units(spark, licences):
+    r = random.Random(9)
+    vocabulary = [x.gram for x in licences.weights.select("gram").collect()]
+    texts = ["; ".join(r.sample(vocabulary, r.randrange(1, 30))) for _ in range(200)]
+    texts += [f"{license_scan.PROSE}\n{a}\n{license_scan.PROSE}\n{b}" for a in license_scan.NEAR_MISSES for b in ("Er kam mit dem Zug", "Released under the MIT License.")]
+    docs = frame(spark, list(enumerate(texts)))
+    loose = replace(licences, balance=licences.lifts)
+    found = [sorted(map(tuple, license_scan.license_scan(docs, m).collect())) for m in (licences, loose)]
+    assert found[0] == found[1] and len(found[0]) > 50
+    places = [{tuple(x) for x in license_scan.units(license_scan.blocks(docs), m).select("doc_id", "paragraph", "kind").collect()} for m in (licences, loose)]
+    assert places[0] < places[1]
+    # the whole paragraph comes with every part of it
+    assert {x[0] for x in places[0] if x[0] >= 200 and x[2] < license_scan.WHOLE} <= {x[0] for x in places[0] if x[2] == license_scan.WHOLE}
+
+
+def test_fit_rows_are_views_of_the_collected_table_in_the_order_of_the_hash():
+    rows = [(7, 1, np.array([1, 5], np.int32)), (7, 1, np.array([1, 4], np.int32)), (3, 0, np.array([], np.int32)), (12, 0, np.array([9], np.int32))]
+    parts = [pa.table({"doc_id": [i for i, _, _ in x], "quality": [q for _, q, _ in x], "row": pa.array([v.tobytes() for _, _, v in x], pa.binary())}) for x in (rows[:2], rows[2:], [])]
+    got, quality = quality_nbsvm.fit_table(pa.concat_tables([t.cast(parts[0].schema) for t in parts]))
+    want = sorted(rows, key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0], x[2].tobytes()))
+    assert [g.tolist() for g in got] == [v.tolist() for _, _, v in want] and quality.tolist() == [q for _, q, _ in want]
+    assert all(g.base is not None for g in got)
+    assert quality_nbsvm.fit_table(parts[0].slice(0, 0))[0] == []
+
+
 def test_warc_records_read_back(spark, tmp_path):
     page = "<html lang='en'><head><meta charset=utf-8><title>A &amp; B</title><script>x()</script></head><body><p>one<br>two</p><!-- c --><a href='/l?a=1&amp;b=2'>l</a></body></html>"
     pages = spark.createDataFrame([(1, "http://a.example/x", page, "e"), (2, None, None, "e"), (1, "http://a.example/x", page, "e"), (None, "http://b.example/\r\nEvil: 1", "<p>z", "e"),
