@@ -19,6 +19,7 @@ results; null ids are not held out; extra columns are ignored; an empty table gi
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,8 +83,7 @@ def indicators(lo: int, hi: int, buf: np.ndarray, at: np.ndarray, bits: int = BI
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float, passes: int, seed: int = 7) -> np.ndarray:
     """Weights (on scaled indicators) of an L2-regularised hinge-loss model; coordinates in random order per pass."""
     w, alpha = np.zeros(len(scale)), np.zeros(len(rows))
-    values = [scale[r] for r in rows]
-    square = np.array([float(v @ v) for v in values])
+    square = np.array([float(v @ v) for v in (scale[r] for r in rows)])
     cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     order = np.random.default_rng(seed)
     for _ in range(passes):
@@ -91,7 +91,8 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: fl
         for i in order.permutation(len(rows)):
             if square[i] == 0:
                 continue
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = scale[r]          # not kept for all rows: it is twice the indicators in the driver's memory
             slope = y[i] * float(w[r] @ v) - 1.0
             new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
             step = new - alpha[i]
@@ -193,9 +194,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
     rows = joined.mapInArrow(run, "doc_id bigint, quality int, row binary").dropDuplicates(["doc_id", "row"])
     table = rows.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "row").limit(fit_rows).toArrow()
-    found = {(i, r): q for i, q, r in zip(*(table.column(n).to_pylist() for n in ("doc_id", "quality", "row")))}
-    keys = sorted(found, key=lambda k: (zlib.crc32(str(k[0]).encode()), k))
-    return [np.frombuffer(k[1], dtype=np.int32) for k in keys], np.array([found[k] for k in keys])
+    return fit_table(table)
+
+
+def fit_table(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Indicators and labels of distinct rows (doc_id, quality, row) by hash of the id, id and row; the indicators are views of the
+    table's own memory."""
+    views: list[np.ndarray] = []
+    for chunk in table.column("row").cast(pa.binary()).chunks:
+        _, at, data = chunk.buffers()
+        at = np.frombuffer(at, np.int32)[chunk.offset:chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int32)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        views += [data[a:z].view(np.int32) for a, z in zip(at[:-1], at[1:])]
+    ids, quality = table.column("doc_id").to_pylist(), table.column("quality").to_pylist()
+    often = Counter(ids)
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], views[i].tobytes() if often[ids[i]] > 1 else b""))
+    return [views[i] for i in order], np.array([quality[i] for i in order])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, text: str = "text",
